@@ -1,4 +1,408 @@
-"""Queries of the engine and their SQL."""
+"""Queries of the engine over the star-schema tables, by operator, with their SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+from datetime import date
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ledgermark.functions import columns as cx
+from ledgermark.operators import documents
+from ledgermark.sources import landing, sinks
+from ledgermark.sources.adapter import AS_OF, Store, star_store
+
+from . import candidates as cand
+from . import oracle, recheck, valuation
+from .asof import AsOfView
+from .figures import ANNUAL_TAGS, FIGURES, Figures, maintenance_capex, owner_earnings
+from .screens import SCREENS, TESTS, Screens
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+ONE = 7  # the filer of scoped queries
+EARLIER = ((12, date(2000, 6, 30)), (24, date(1999, 6, 30)))
+
+
+def view(spark: SparkSession, sf_dir: str, ciks: tuple[int, ...] | None = None) -> AsOfView:
+    return AsOfView(star_store(spark, sf_dir), AS_OF, ciks)
+
+
+def query(*names: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        for n in names:
+            QUERIES[n] = f
+            if sql:
+                ORACLE_SQL[n] = sql
+        return f
+
+    return add
+
+
+def on_view(*names: str, sql: str | None = None, ciks: tuple[int, ...] | None = None) -> Callable:
+    def add(f: Callable[[AsOfView], DataFrame]) -> Callable:
+        query(*names, sql=sql)(lambda spark, sf_dir: f(view(spark, sf_dir, ciks)))
+        return f
+
+    return add
+
+
+def on_figures(*names: str, sql: str | None = None, ciks: tuple[int, ...] | None = None) -> Callable:
+    def add(f: Callable[[Figures], DataFrame]) -> Callable:
+        query(*names, sql=sql)(lambda spark, sf_dir: f(Figures(view(spark, sf_dir, ciks))))
+        return f
+
+    return add
+
+
+def on_screens(*names: str, sql: str | None = None) -> Callable:
+    def add(f: Callable[[Screens], DataFrame]) -> Callable:
+        query(*names, sql=sql)(lambda spark, sf_dir: f(Screens(Figures(view(spark, sf_dir)))))
+        return f
+
+    return add
+
+
+S = oracle.sql
+D = f"DATE '{AS_OF}'"
+
+# as-of reads
+
+FACT_COLUMNS = ("cik", "tag", "unit", "period_start", "period_end", "value", "filed_date", "accession_no", "form_type")
+FACT_LIST = ", ".join(FACT_COLUMNS)
+
+on_view("op_asof_view", "agg_latest_fact", "win_version", "jn_asof_fact", sql=S(f"SELECT {FACT_LIST} FROM fact_asof"))(lambda v: v.fact_asof.select(*FACT_COLUMNS))
+on_view("jn_asof_price", "win_price_recency", "srt_latest_one", sql=S("SELECT cik, ticker, price_date, close, source FROM price_asof"))(lambda v: v.price_asof.select("cik", "ticker", "price_date", "close", "source"))
+on_view("flt_asof", sql=S(f"SELECT accession_no, {FACT_LIST.replace(', accession_no', '')} FROM facts WHERE tag = 'Revenues'"))(
+    lambda v: v.facts(tag="Revenues").select("accession_no", *[c for c in FACT_COLUMNS if c != "accession_no"])
+)
+on_view("flt_asof_filings", sql=S("SELECT * FROM filing_asof WHERE form_type = '10-K'"))(lambda v: v.filings(form_type="10-K"))
+on_view("flt_universe", sql=S("SELECT cik, name, ticker, sic, status, status_date, first_seen FROM universe_asof"))(lambda v: v.universe_asof.select("cik", "name", "ticker", "sic", "status", "status_date", "first_seen"))
+on_view("flt_terminated", sql=S(f"SELECT cik, status, status_date FROM filer WHERE status IN ('deregistered', 'delisted_for_cause', 'acquired') AND status_date <= {D} AND status_date >= DATE '2000-06-01'"))(
+    lambda v: v.terminated(date(2000, 6, 1)).select("cik", "status", "status_date")
+)
+on_view("flt_scope", ciks=(ONE, 8, 9), sql=S(f"SELECT {FACT_LIST} FROM fact_asof", scope="cik IN (7, 8, 9)"))(lambda v: v.fact_asof.select(*FACT_COLUMNS))
+on_view("op_latest_fact", sql=S(f"SELECT accession_no, value, filed_date FROM facts WHERE cik = {ONE} AND tag = 'Assets' AND period_end = DATE '1999-12-31' ORDER BY filed_date DESC, accession_no DESC LIMIT 1"))(
+    lambda v: v.latest_fact(ONE, "Assets", date(1999, 12, 31)).select("accession_no", "value", "filed_date")
+)
+on_view(
+    "agg_snapshot",
+    sql=S("SELECT cik, tag, period_end, value FROM (SELECT *, row_number() OVER (PARTITION BY cik, tag, period_end ORDER BY filed_date DESC, accession_no DESC, unit DESC, period_start DESC) AS rn FROM facts) WHERE rn = 1"),
+)(lambda v: v.snapshot())
+on_view(
+    "agg_fingerprint",
+    sql=S(f"SELECT 'fact' AS relation, count(*) AS n FROM facts UNION ALL SELECT 'price', count(*) FROM price WHERE price_date <= {D} UNION ALL SELECT 'filing', count(*) FROM filing_asof UNION ALL SELECT 'filer', count(*) FROM universe_asof"),
+)(lambda v: v.fingerprint())
+on_view("win_first_report", sql=S("SELECT cik, period_end, accession_no, filed_date FROM (SELECT *, row_number() OVER (PARTITION BY cik, period_end ORDER BY filed_date, accession_no) AS rn FROM facts WHERE period_start IS NOT NULL) WHERE rn = 1"))(lambda v: v.first_reports())
+
+# figures
+
+RAW = ", ".join(ANNUAL_TAGS)
+FIG = ", ".join(FIGURES)
+UNI = "cik, name, ticker, sic, track, last_10k, fiscal_years, latest_fy_end, price, price_date, shares, shares_date, shares_tag, shares_accession, shares_filed, shares_reported, shares_recent_max, market_cap, excluded_because"
+BASE = f"cik, fy_end, {FIG}, name, ticker, market_cap, price, price_date, shares, shares_date, total_debt, enterprise_value"
+
+
+def cols(text: str) -> list[str]:
+    return text.split(", ")
+
+
+on_figures("agg_pivot", "jn_fy", "agg_distinct_fy", "flt_duration", sql=S(f"SELECT cik, fy_end, {RAW} FROM annual_raw"))(lambda f: f.annual_raw)
+on_figures(
+    "op_annual", "prj_coalesce_chain", "prj_sum_or_null", "prj_unusual_effect", "prj_capex", "prj_net_interest", "prj_derive", sql=S(f"SELECT cik, fy_end, {FIG} FROM annual")
+)(lambda f: f.annual)
+on_figures("op_shares", "jn_shares", "win_shares_pit", "win_shares_wtd", "set_union_distinct", "agg_recent_max", sql=S("SELECT * FROM shares_latest"))(lambda f: f.shares_latest)
+on_figures("op_universe", "prj_case", "jn_universe", "agg_years", "agg_tenk", "flt_null_safe", "jn_param", sql=S(f"SELECT {UNI} FROM universe_screened"))(lambda f: f.universe_screened)
+on_figures("op_screen_base", "jn_base", "win_recency", sql=S(f"SELECT {BASE} FROM screen_base"))(lambda f: f.screen_base.select(*cols(BASE)))
+on_figures("op_prepare", ciks=(ONE,), sql=S(f"SELECT cik, fy_end, {FIG} FROM annual", scope=f"cik = {ONE}"))(lambda f: f.annual)
+on_figures("op_maint_capex", "agg_mean_rate", sql=S("SELECT cik, fy_end, total, round(revenue_scaled, 2) AS revenue_scaled, round(least(total, revenue_scaled), 2) AS used FROM maintenance"))(
+    lambda f: maintenance_capex(f.annual).select("cik", "fy_end", "total", F.round("revenue_scaled", 2).alias("revenue_scaled"), F.round("used", 2).alias("used"))
+)
+on_figures("op_owner_earnings_pit", sql=S("SELECT cik, fy_end, cfo - capex - COALESCE(stock_compensation, 0e0) - COALESCE(net_interest_income, 0e0) * (1 - 21e-2) AS owner_earnings FROM annual"))(
+    lambda f: f.annual.select("cik", "fy_end", owner_earnings().alias("owner_earnings"))
+)
+on_figures("op_lookups", sql=S("SELECT cik, ticker, CASE WHEN ticker IS NULL THEN 'unpriceable' ELSE 'priceable' END AS kind FROM universe_asof"))(
+    lambda f: f.view.universe_asof.select("cik", "ticker", F.when(F.col("ticker").isNull(), "unpriceable").otherwise("priceable").alias("kind"))
+)
+on_figures("agg_excluded", sql=S("SELECT excluded_because, count(*) AS filers FROM universe_screened GROUP BY excluded_because"))(lambda f: cand.summary(f.view))
+on_figures("op_history", "jn_dict_lookup", sql=S("SELECT a.cik, a.fy_end, a.revenue, a.cfo, r.accession_no, r.filed_date FROM annual a LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY cik, period_end ORDER BY filed_date, accession_no) AS rn FROM facts WHERE period_start IS NOT NULL) r ON r.cik = a.cik AND r.period_end = a.fy_end AND r.rn = 1"))(
+    lambda f: valuation.history(f).select("cik", "fy_end", "revenue", "cfo", "accession_no", "filed_date")
+)
+
+# screens
+
+on_screens("op_magic_formula", "win_rank_global", sql=S("SELECT cik, earnings_yield, return_on_capital, CAST(ey_rank AS INTEGER) AS ey_rank, CAST(roc_rank AS INTEGER) AS roc_rank, CAST(rank AS INTEGER) AS rank, flagged FROM magic_formula"))(
+    lambda s: s.magic_formula.select("cik", "earnings_yield", "return_on_capital", "ey_rank", "roc_rank", "rank", "flagged")
+)
+PIO = ", ".join(TESTS)
+on_screens("op_piotroski", "win_lag", "win_rank_conditional", "jn_piotroski", sql=S(f"SELECT cik, operating_roa, operating_roa_1, unusual_change, {PIO}, score, tests_scored, CAST(rank AS INTEGER) AS rank, flagged FROM piotroski"))(
+    lambda s: s.piotroski.select("cik", "operating_roa", "operating_roa_1", "unusual_change", *TESTS, "score", "tests_scored", "rank", "flagged")
+)
+on_screens("op_net_net", sql=S("SELECT cik, ncav AS net_current_assets, market_cap / ncav AS price_to_ncav, CAST(rank AS INTEGER) AS rank, flagged FROM net_net"))(lambda s: s.net_net.select("cik", "net_current_assets", "price_to_ncav", "rank", "flagged"))
+on_screens("op_owner_earnings", "srt_top_n_flag", sql=S("SELECT cik, mcx AS maintenance_capex, oe AS owner_earnings, owner_earnings_yield, CAST(rank AS INTEGER) AS rank, flagged FROM owner_earnings"))(
+    lambda s: s.owner_earnings.select("cik", "maintenance_capex", "owner_earnings", "owner_earnings_yield", "rank", "flagged")
+)
+on_screens("op_quality", "jn_quality", "agg_streak", "win_rank_flagged", sql=S("SELECT cik, years_counted, min_roic, free_cash_flow, fcf_yield, CAST(rank AS INTEGER) AS rank, flagged FROM quality_at_price"))(
+    lambda s: s.quality_at_price.select("cik", "years_counted", "min_roic", "free_cash_flow", "fcf_yield", "rank", "flagged")
+)
+on_screens("op_screen_rows", "srt_screen", sql=S("SELECT cik, name, ticker, CAST(rank AS INTEGER) AS rank FROM net_net"))(lambda s: s.rows("net_net").select("cik", "name", "ticker", "rank"))
+
+
+@on_screens(
+    "op_coverage", "agg_coverage",
+    sql=S("""SELECT screen, reason, count(*) AS filers FROM (
+  SELECT 'magic_formula' AS screen, CASE WHEN ebit IS NULL THEN 'no operating income' WHEN current_assets IS NULL THEN 'no current assets' WHEN current_liabilities IS NULL THEN 'no current liabilities' WHEN ppe IS NULL THEN 'no property, plant and equipment' END AS reason FROM screen_base
+  UNION ALL SELECT 'net_net', CASE WHEN current_assets IS NULL THEN 'no current assets' WHEN liabilities IS NULL THEN 'no total liabilities' END FROM screen_base
+  UNION ALL SELECT 'owner_earnings', CASE WHEN cfo IS NULL THEN 'no operating cash flow' WHEN capex IS NULL THEN 'no annual capital expenditure' END FROM screen_base
+  UNION ALL SELECT 'quality_at_price', CASE WHEN ebit IS NULL THEN 'no operating income' WHEN cfo IS NULL THEN 'no operating cash flow' WHEN capex IS NULL THEN 'no annual capital expenditure' END FROM screen_base
+  UNION ALL SELECT 'piotroski', CASE WHEN ebit IS NULL THEN 'no operating income' WHEN cfo IS NULL THEN 'no operating cash flow' WHEN net_income IS NULL THEN 'no net income' WHEN assets IS NULL THEN 'no total assets' WHEN gross_profit IS NULL THEN 'no gross profit'
+    WHEN revenue IS NULL THEN 'no revenue' WHEN current_assets IS NULL THEN 'no current assets' WHEN current_liabilities IS NULL THEN 'no current liabilities' WHEN shares_weighted IS NULL THEN 'no share count' END FROM screen_base)
+  WHERE reason IS NOT NULL GROUP BY screen, reason"""),
+)
+def coverage(s: Screens) -> DataFrame:
+    out = s.coverage(SCREENS[0])
+    for name in SCREENS[1:]:
+        out = out.unionByName(s.coverage(name))
+    return out
+
+
+on_screens("agg_flags", "op_snapshot_hist", sql=S("SELECT * FROM grouped"))(lambda s: cand.grouped_flags(s).select("cik", "n_flags", "best_rank", "screens"))
+on_screens("op_reason", "op_metrics_projection")(lambda s: s.flags().select("cik", "screen", "rank", "reason", F.to_json("metrics").alias("metrics")))
+
+HISTORY = ",".join(oracle.state(d, f"_{m}") for m, d in EARLIER)
+SNAPS = " UNION ALL ".join(f"SELECT u.cik, {m} AS months, g.cik IS NOT NULL AS hit FROM universe_screened_{m} u LEFT JOIN grouped_{m} g ON g.cik = u.cik" for m, _ in EARLIER)
+
+
+@query(
+    "op_candidates", "op_trend", "op_complete", "srt_candidates",
+    sql=S(
+        """SELECT g.cik, u.ticker, u.name, u.market_cap, g.n_flags, g.best_rank, g.screens, p.close, u.shares, f.inputs,
+  CASE WHEN h.n IS NULL THEN NULL WHEN h.hits = h.n THEN 'persistent' WHEN h.hits = 0 THEN 'new' WHEN h.oldest THEN 'returning' ELSE 'recent' END AS trend
+FROM (SELECT * FROM grouped ORDER BY n_flags DESC, best_rank NULLS LAST, cik LIMIT 30) g JOIN universe_screened u ON u.cik = g.cik LEFT JOIN price_asof p ON p.cik = g.cik LEFT JOIN hist h ON h.cik = g.cik LEFT JOIN inputs f ON f.cik = g.cik""",
+        more=f"""{HISTORY}, snaps AS ({SNAPS}),
+hist AS (SELECT cik, count(*) AS n, sum(hit::INT) AS hits, max_by(hit, months) AS oldest FROM snaps GROUP BY cik),
+wanted AS (SELECT a.cik, a.fy_end FROM (SELECT cik, fy_end, row_number() OVER (PARTITION BY cik ORDER BY fy_end DESC) AS rn FROM annual) a JOIN grouped g ON g.cik = a.cik WHERE rn <= CASE WHEN g.screens LIKE '%quality_at_price%' THEN 7 ELSE 3 END),
+inputs AS (SELECT f.cik, CAST(count(*) AS INTEGER) AS inputs FROM fact_asof f JOIN wanted w ON w.cik = f.cik AND w.fy_end = f.period_end
+  WHERE f.tag IN ({", ".join(f"'{t}'" for t in ANNUAL_TAGS)}) AND (f.period_start IS NULL OR f.period_end - f.period_start BETWEEN 350 AND 380) GROUP BY f.cik)""",
+    ),
+)
+def op_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = cand.candidates(view(spark, sf_dir), compare_months=tuple(m for m, _ in EARLIER))
+    return c.select("cik", "ticker", "name", "market_cap", "n_flags", "best_rank", "screens", F.col("price.close").alias("close"), F.col("shares.value").alias("shares"), F.size("inputs").alias("inputs"), "trend")
+
+
+@on_screens("op_inputs", "srt_newest_n_fy", "flt_in_list", sql=S(
+    f"SELECT f.cik, f.tag, f.unit, f.period_end, f.value, f.accession_no FROM fact_asof f JOIN (SELECT cik, fy_end, row_number() OVER (PARTITION BY cik ORDER BY fy_end DESC) AS rn FROM annual) a ON a.cik = f.cik AND a.fy_end = f.period_end "
+    f"WHERE a.rn <= 3 AND f.tag IN ({', '.join(repr(t) for t in ANNUAL_TAGS)}) AND (f.period_start IS NULL OR f.period_end - f.period_start BETWEEN 350 AND 380)"))
+def op_inputs(s: Screens) -> DataFrame:
+    wanted = s.figures.annual.select("cik").distinct().withColumn("years", F.lit(3))
+    return cand.source_facts(s.figures, wanted).select("cik", "tag", "unit", "period_end", "value", "accession_no")
+
+
+# valuation and re-check
+
+GROWTH = {"bear": "0e0", "base": "4e-2", "bull": "8e-2"}
+
+
+def _value_sql() -> str:
+    part = lambda g, m: " + ".join(f"revenue * pow(1 + {g}, {y}) * {m} / pow(11e-1, {y})" for y in range(1, 11)) + f" + revenue * pow(1 + {g}, 10) * {m} * (1 + 25e-3) / (10e-2 - 25e-3) / pow(11e-1, 10)"
+    per = ", ".join(f"round(({part(g, 'margin')} - net_debt) / shares, 4) AS per_share_{c}" for c, g in GROWTH.items())
+    return S(
+        f"SELECT cik, round(margin, 8) AS owner_earnings_margin, round(net_debt, 2) AS net_debt, {per} FROM vin",
+        more="""oe AS (SELECT b.*, cfo - COALESCE(least(m.total, m.revenue_scaled), m.total) - COALESCE(stock_compensation, 0e0) - COALESCE(net_interest_income, 0e0) * (1 - 21e-2) AS oe FROM screen_base b JOIN maintenance m ON m.cik = b.cik),
+vin AS (SELECT cik, revenue, oe / NULLIF(revenue, 0) AS margin, shares, market_cap, (COALESCE(long_term_debt, 0e0) + COALESCE(current_debt, 0e0)) - (COALESCE(cash, 0e0) + COALESCE(short_term_investments, 0e0)) AS net_debt FROM oe WHERE oe IS NOT NULL AND revenue IS NOT NULL)""",
+    )
+
+
+def _valued(f: Figures) -> DataFrame:
+    rows = valuation.inputs(f)
+    for c, g in GROWTH.items():
+        rows = rows.withColumn(f"growth_{c}", F.lit(float(g))).withColumn(f"margin_{c}", F.col("owner_earnings_margin"))
+    return valuation.value(rows)
+
+
+on_figures("op_value", "op_scenario_value", "op_valuation_inputs", "op_hist_inputs", sql=_value_sql())(
+    lambda f: _valued(f).select("cik", F.round("owner_earnings_margin", 8).alias("owner_earnings_margin"), F.round("net_debt", 2).alias("net_debt"), *[F.round(f"per_share_{c}", 4).alias(f"per_share_{c}") for c in GROWTH])
+)
+on_figures("op_implied_growth", "op_load_valuation")(lambda f: _valued(f).select("cik", F.round("implied_growth", 6).alias("implied_growth"), F.round("buy_below", 4).alias("buy_below")))
+
+
+@on_figures(
+    "op_metric_series", "win_revenue_growth",
+    sql=S("""SELECT a.cik, a.fy_end, a.revenue, a.ebit AS operating_income, a.net_income, a.ebit / NULLIF(a.revenue, 0) AS operating_margin, a.gross_profit / NULLIF(a.revenue, 0) AS gross_margin,
+  round((a.cfo - COALESCE(least(m.total, m.revenue_scaled), m.total) - COALESCE(a.stock_compensation, 0e0) - COALESCE(a.net_interest_income, 0e0) * (1 - 21e-2)) / NULLIF(a.revenue, 0), 8) AS owner_earnings_margin,
+  CASE WHEN a.revenue <> 0 THEN a.revenue / NULLIF(a.older, 0) - 1 END AS revenue_growth
+FROM (SELECT *, lag(revenue) OVER (PARTITION BY cik ORDER BY fy_end) AS older FROM annual) a LEFT JOIN maintenance m ON m.cik = a.cik"""),
+)
+def op_metric_series(f: Figures) -> DataFrame:
+    return recheck.metric_series(f.annual).withColumn("owner_earnings_margin", F.round("owner_earnings_margin", 8))
+
+
+CONDITIONS = (("Consolidated operating margin", "below", 0.05, "two consecutive fiscal years"), ("sales growth", "under", 0.0, "1 year"), ("written same-store sales", "below", 0.0, "one year"))
+
+
+def _evaluated(f: Figures) -> DataFrame:
+    spark = f.view.store.fact.sparkSession
+    rules = spark.createDataFrame(CONDITIONS, "metric string, direction string, threshold double, window string")
+    theses = f.annual.select("cik").distinct().crossJoin(F.broadcast(rules))  # three conditions for each filer
+    return recheck.evaluate(theses, recheck.metric_series(f.annual))
+
+
+EVAL_SQL = """ev AS (SELECT cik, max(CASE WHEN rn = 1 THEN om END) AS o1, max(CASE WHEN rn = 2 THEN om END) AS o2, max(CASE WHEN rn = 1 THEN g END) AS g1 FROM (
+  SELECT cik, ebit / NULLIF(revenue, 0) AS om, CASE WHEN revenue <> 0 THEN revenue / NULLIF(lag(revenue) OVER (PARTITION BY cik ORDER BY fy_end), 0) - 1 END AS g, row_number() OVER (PARTITION BY cik ORDER BY fy_end DESC) AS rn FROM annual) GROUP BY cik),
+judged AS (SELECT cik, 'Consolidated operating margin' AS metric, 'operating_margin' AS metric_key, 2 AS needed, CASE WHEN o1 IS NULL OR o2 IS NULL THEN 'needs_a_human' WHEN o1 < 5e-2 AND o2 < 5e-2 THEN 'breached' ELSE 'holding' END AS status FROM ev
+  UNION ALL SELECT cik, 'sales growth', 'revenue_growth', 1, CASE WHEN g1 IS NULL THEN 'needs_a_human' WHEN g1 < 0 THEN 'breached' ELSE 'holding' END FROM ev
+  UNION ALL SELECT cik, 'written same-store sales', NULL, 1, 'needs_a_human' FROM ev)"""
+on_figures("op_evaluate", "op_resolve_metric", "op_window_years", "win_last_n", sql=S("SELECT * FROM judged", more=EVAL_SQL))(lambda f: _evaluated(f).select("cik", "metric", "metric_key", "needed", "status"))
+on_figures("op_recheck", sql=S("SELECT cik, CASE WHEN bool_or(status = 'breached') THEN 'breached' WHEN bool_or(status = 'needs_a_human') THEN 'needs_a_human' ELSE 'holding' END AS status, count(*) AS conditions FROM judged GROUP BY cik", more=EVAL_SQL))(
+    lambda f: recheck.roll_up(_evaluated(f), "cik")
+)
+
+# joins and merges of ingest
+
+HALF = date(1999, 1, 1)
+
+
+def _split(spark: SparkSession, sf_dir: str) -> tuple[Store, DataFrame, DataFrame]:
+    """Facts held before a day, and those that arrive later with one held accession in five among them."""
+    s = star_store(spark, sf_dir)
+    again = F.col("accession_no").cast("long") % 5 == 0
+    return s, s.fact.where(F.col("filed_date") < F.lit(HALF)), s.fact.where((F.col("filed_date") >= F.lit(HALF)) | again)
+
+
+@query("sink_insert_facts", "sink_ingest_facts", "set_difference", sql=S(f"SELECT accession_no, count(*) AS facts FROM fact WHERE filed_date >= DATE '{HALF}' GROUP BY accession_no"))
+def sink_insert_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, held, incoming = _split(spark, sf_dir)
+    return sinks.new_rows(incoming, held, "fact").groupBy("accession_no").agg(F.count("*").alias("facts"))
+
+
+@query("sink_stub_filings", "set_union_all", sql=S("SELECT accession_no, cik, form_type, filed_date, fiscal_year FROM filing WHERE CAST(accession_no AS BIGINT) % 3 = 0"))
+def sink_stub_filings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = star_store(spark, sf_dir)
+    known = s.filing.where("CAST(accession_no AS LONG) % 3 <> 0")
+    return sinks.stub_filings(s.fact, known).select("accession_no", "cik", "form_type", "filed_date", "fiscal_year")
+
+
+@query("sink_upsert_filer", "agg_min_max_dates", sql=S("""SELECT f.cik, f.name, f.status, f.status_date, least(f.first_seen, d.a) AS first_seen, d.b AS last_filing_date FROM filer f LEFT JOIN (SELECT cik, min(filed_date) AS a, max(filed_date) AS b FROM filing GROUP BY cik) d ON d.cik = f.cik"""))
+def sink_upsert_filer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = star_store(spark, sf_dir)
+    seen = s.filing.groupBy("cik").agg(F.min("filed_date").alias("first_seen"), F.max("filed_date").alias("last_filing_date"))
+    incoming = s.filer.drop("first_seen", "last_filing_date", "status", "status_date").join(seen, "cik")
+    return sinks.merged_filers(s.filer, incoming).select("cik", "name", "status", "status_date", "first_seen", "last_filing_date")
+
+
+@query("sink_upsert_filing", sql=S("SELECT accession_no, cik, form_type, filed_date, period_end FROM filing"))
+def sink_upsert_filing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = star_store(spark, sf_dir)
+    held = s.filing.withColumn("period_end", F.when(F.col("cik") % 2 == 0, F.col("period_end"))).where("CAST(accession_no AS LONG) % 4 <> 0")
+    return sinks.merged_filings(held, s.filing).select("accession_no", "cik", "form_type", "filed_date", "period_end")
+
+
+@query("sink_prices", sql=S("SELECT cik, price_date, source, count(*) AS n FROM (SELECT DISTINCT cik, price_date, source FROM price WHERE cik % 2 = 1) GROUP BY ALL"))
+def sink_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = star_store(spark, sf_dir).price
+    return sinks.new_rows(p, p.where("cik % 2 = 0"), "price").groupBy("cik", "price_date", "source").agg(F.count("*").alias("n"))
+
+
+@query("jn_anti_unheld", "op_annual_filers", "agg_earliest_filer", sql=S("SELECT cik, form_type AS form, filed_date FROM (SELECT *, row_number() OVER (PARTITION BY cik ORDER BY filed_date, form_type, accession_no) AS rn FROM filing WHERE form_type IN ('10-K', '10-KT')) WHERE rn = 1 AND cik % 3 <> 0"))
+def jn_anti_unheld(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = star_store(spark, sf_dir)
+    rows = s.filing.select(F.col("form_type").alias("form"), F.lit(None).cast("string").alias("company_name"), "cik", "filed_date", F.col("accession_no").alias("path"))
+    return landing.unheld(landing.annual_filers(rows), s.filer.where("cik % 3 = 0")).select("cik", "form", "filed_date")
+
+
+@query("op_mark_terminal", "jn_exists_later", "jn_semi_repair", sql=S("""SELECT f.cik, CASE WHEN g.d IS NOT NULL THEN 'deregistered' ELSE f.status END AS status,
+  CASE WHEN g.d IS NULL THEN f.status_date WHEN f.status = 'active' THEN g.d ELSE least(f.status_date, g.d) END AS status_date
+FROM filer f LEFT JOIN (SELECT r.cik, min(r.filed_date) AS d FROM filing r WHERE r.form_type = '8-K' AND NOT EXISTS (SELECT 1 FROM filing l WHERE l.cik = r.cik AND l.form_type IN ('10-K', '10-K/A', '20-F', '10-Q') AND l.filed_date > r.filed_date) GROUP BY r.cik) g ON g.cik = f.cik"""))
+def op_mark_terminal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = star_store(spark, sf_dir)
+    records = s.filing.where("form_type = '8-K'").select("cik", "filed_date", F.lit("deregistered").alias("status"))
+    return sinks.mark_terminal(s.filer, s.filing, records).select("cik", "status", "status_date")
+
+
+@query("op_filings_to_extract", sql=S(f"SELECT accession_no, filed_date FROM filing WHERE cik = {ONE} AND form_type = '10-K'"))
+def op_filings_to_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return star_store(spark, sf_dir).filing.where(f"cik = {ONE} AND form_type = '10-K'").orderBy(F.desc("filed_date")).select("accession_no", "filed_date")
+
+
+@query("agg_counts", sql=S("SELECT status, count(*) AS filers FROM filer GROUP BY status"))
+def agg_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return star_store(spark, sf_dir).filer.groupBy("status").agg(F.count("*").alias("filers"))
+
+
+@query("fn_ticker", sql=S("SELECT cik, ticker, CASE WHEN ticker IS NULL THEN NULL WHEN ticker LIKE '%-PB' THEN 'preferred' WHEN ticker LIKE '%-WS' THEN 'warrant' ELSE 'common' END AS kind, lpad(CAST(cik AS VARCHAR), 10, '0') AS padded FROM filer"))
+def fn_ticker(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return star_store(spark, sf_dir).filer.select("cik", "ticker", cx.ticker_class("ticker").alias("kind"), cx.padded_cik("cik").alias("padded"))
+
+
+@query("fn_months", sql="SELECT o_orderkey, CAST(date_trunc('month', o_orderdate) - INTERVAL 15 MONTH AS DATE) + CAST(day(o_orderdate) - 1 AS INTEGER) AS overflowing, CAST(CAST(o_orderdate AS DATE) - INTERVAL 15 MONTH AS DATE) AS clamped FROM orders")
+def fn_months(spark: SparkSession, sf_dir: str) -> DataFrame:
+    day = F.col("o_orderdate").cast("date")
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", cx.months_back(day, 15).alias("overflowing"), cx.months_before(day, 15).alias("clamped"))
+
+
+# documents
+
+
+def _sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return docs.select(F.col("doc_id").cast("string").alias("accession_no"), F.lit("1A").alias("item"), "text")
+
+
+def _findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A finding for each benchmark item on each of ten documents, quoting the item's first 60 characters; one in seven
+    with an unknown severity, one in eleven without a quote."""
+    b = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    rows = b.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(9))))
+    return rows.select(
+        F.col("item_id"), ((F.col("item_id") * 7 + F.col("k") * 13) % 210).cast("string").alias("accession_no"), F.lit("1A").alias("item"), F.lit("added").alias("change_type"),
+        F.when(F.col("item_id") % 11 == 3, "").otherwise(F.substring("text", 1, 60)).alias("quote"), F.lit("worth a look").alias("implication"),
+        F.when(F.col("item_id") % 7 == 2, "grave").otherwise("low").alias("severity"), F.lit(None).cast("string").alias("prior_accession_no"), F.lit(None).cast("string").alias("prior_quote"),
+    )
+
+
+FINDING_SQL = r"""WITH f AS (SELECT item_id, CAST((item_id * 7 + k * 13) % 210 AS VARCHAR) AS accession_no, CASE WHEN item_id % 11 = 3 THEN '' ELSE substr(text, 1, 60) END AS quote, CASE WHEN item_id % 7 = 2 THEN 'grave' ELSE 'low' END AS severity
+  FROM benchmark, (SELECT unnest(range(0, 10)) AS k)),
+n AS (SELECT f.*, d.doc_id, trim(lower(regexp_replace(f.quote, '\s+', ' ', 'g'))) AS q, lower(regexp_replace(d.text, '\s+', ' ', 'g')) AS t FROM f LEFT JOIN documents d ON CAST(d.doc_id AS VARCHAR) = f.accession_no),
+v AS (SELECT item_id, accession_no, CASE WHEN severity = 'grave' THEN 'malformed' WHEN quote = '' THEN 'quote_missing' WHEN doc_id IS NULL THEN 'source_unavailable' WHEN NOT contains(t, q) THEN 'quote_not_found' END AS drop_reason FROM n)
+"""
+
+
+@query("op_validate_findings", "op_load_findings", "op_finding_schema", "jn_section", sql=FINDING_SQL + "SELECT item_id, accession_no, drop_reason FROM v")
+def op_validate_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents.validate_findings(_findings(spark, sf_dir), _sections(spark, sf_dir)).select("item_id", "accession_no", "drop_reason")
+
+
+@query("agg_drop_reasons", "op_bear_pass", sql=FINDING_SQL + "SELECT drop_reason, count(*) AS n FROM v WHERE drop_reason IS NOT NULL GROUP BY drop_reason")
+def agg_drop_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents.drop_reasons(op_validate_findings(spark, sf_dir))
+
+
+@query("fn_filing_text", "src_document")
+def fn_filing_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents.filing_text(spark.read.parquet(f"{sf_dir}/pages.parquet")).select("page_id", F.length("text").alias("chars"), F.md5("text").alias("digest"))
+
+
+@query("fn_recommendation", sql="SELECT doc_id, regexp_matches(text, '(?i)\\b(?:we|you|investors?|one)\\s+(?:should|ought\\s+to|must)\\s+(?:buy|sell|short|avoid|hold|own|purchase)\\b|\\bprice\\s+target\\b') AS advises FROM documents")
+def fn_recommendation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", documents.advises("text").alias("advises"))
+
+
+@query("jn_prior_section", "win_sections_pair", "op_prepare_a", sql="""WITH s AS (SELECT d.doc_id AS accession_no, o.o_custkey AS cik, CAST(o.o_orderdate AS DATE) AS filed_date FROM documents d JOIN orders o ON o.o_orderkey = d.doc_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY cik ORDER BY filed_date DESC, lpad(CAST(accession_no AS VARCHAR), 10, '0') DESC) AS rn FROM s)
+SELECT cik, max(CASE WHEN rn = 1 THEN lpad(CAST(accession_no AS VARCHAR), 10, '0') END) AS current, max(CASE WHEN rn = 2 THEN lpad(CAST(accession_no AS VARCHAR), 10, '0') END) AS prior FROM r WHERE rn <= 2 GROUP BY cik""")
+def jn_prior_section(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.lpad(F.col("doc_id").cast("string"), 10, "0").alias("accession_no"), F.lit("1A").alias("item"), F.lit("").alias("text"), F.lit(1.0).alias("extraction_confidence"))
+    pairs = documents.section_pairs(docs, star_store(spark, sf_dir).filing, "1A")
+    return pairs.select("cik", F.col("current.accession_no").alias("current"), F.col("prior.accession_no").alias("prior"))
+
+
+@query("srt_severity", sql="SELECT doc_id, severity, CAST(row_number() OVER (ORDER BY CASE severity WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END, doc_id) AS INTEGER) AS place FROM (SELECT doc_id, CASE quality + toxic WHEN 2 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS severity FROM labels) ORDER BY place LIMIT 20")
+def srt_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.element_at(F.array(F.lit("low"), F.lit("medium"), F.lit("high")), F.col("quality") + F.col("toxic") + 1).alias("severity"), F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("item"))
+    top = documents.by_severity(rows).limit(20)
+    rank = F.when(F.col("severity") == "high", 0).when(F.col("severity") == "medium", 1).otherwise(2)
+    return top.withColumn("place", F.row_number().over(Window.orderBy(rank, "item"))).select("doc_id", "severity", "place")
