@@ -118,8 +118,8 @@ on_figures("op_shares", "jn_shares", "win_shares_pit", "win_shares_wtd", "set_un
 on_figures("op_universe", "prj_case", "jn_universe", "agg_years", "agg_tenk", "flt_null_safe", "jn_param", sql=S(f"SELECT {UNI} FROM universe_screened"))(lambda f: f.universe_screened)
 on_figures("op_screen_base", "jn_base", "win_recency", sql=S(f"SELECT {BASE} FROM screen_base"))(lambda f: f.screen_base.select(*cols(BASE)))
 on_figures("op_prepare", ciks=(ONE,), sql=S(f"SELECT cik, fy_end, {FIG} FROM annual", scope=f"cik = {ONE}"))(lambda f: f.annual)
-on_figures("op_maint_capex", "agg_mean_rate", sql=S("SELECT cik, fy_end, total, round(revenue_scaled, 2) AS revenue_scaled, round(least(total, revenue_scaled), 2) AS used FROM maintenance"))(
-    lambda f: maintenance_capex(f.annual).select("cik", "fy_end", "total", F.round("revenue_scaled", 2).alias("revenue_scaled"), F.round("used", 2).alias("used"))
+on_figures("op_maint_capex", "agg_mean_rate", sql=S("SELECT cik, fy_end, total, round(revenue_scaled, 0) AS revenue_scaled, round(least(total, revenue_scaled), 0) AS used FROM maintenance"))(
+    lambda f: maintenance_capex(f.annual).select("cik", "fy_end", "total", F.round("revenue_scaled", 0).alias("revenue_scaled"), F.round("used", 0).alias("used"))
 )
 on_figures("op_owner_earnings_pit", sql=S("SELECT cik, fy_end, cfo - capex - COALESCE(stock_compensation, 0e0) - COALESCE(net_interest_income, 0e0) * (1 - 21e-2) AS owner_earnings FROM annual"))(
     lambda f: f.annual.select("cik", "fy_end", owner_earnings().alias("owner_earnings"))
