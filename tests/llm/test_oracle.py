@@ -1,0 +1,19 @@
+"""Registered queries against their SQL over whole small tables."""
+
+import duckdb
+import pytest
+
+from ledgermark.llm.queries import ORACLE_SQL, QUERIES
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_query_matches_sql(spark, name):
+    c = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    got, want = QUERIES[name](spark, SF).toPandas(), c.sql(ORACLE_SQL[name]).df()
+    cols = sorted(got.columns)
+    assert cols == sorted(want.columns)
+    assert sorted(map(tuple, got[cols].astype(str).values)) == sorted(map(tuple, want[cols].astype(str).values))
