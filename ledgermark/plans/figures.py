@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgermark.functions.columns import fiscal_length, is_common_stock, leading_int, months_back, or_zero, ratio, sum_or_null
+from ledgermark.tables import materialise
 
 from .asof import AsOfView, newest
 
@@ -192,9 +193,9 @@ class Figures:
         return base.withColumn("enterprise_value", F.col("market_cap") + F.col("total_debt") - or_zero("cash"))
 
     def keep(self) -> Figures:
-        """Cache what several screens share (released by ``spark.catalog.clearCache``)."""
+        """Write what several screens share as tables, each built on the one before."""
         for name in ("annual", "universe_screened", "screen_base"):
-            self.__dict__[name] = getattr(self, name).persist()
+            self.__dict__[name] = materialise(getattr(self, name), name)
         return self
 
 

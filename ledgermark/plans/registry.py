@@ -60,7 +60,7 @@ def on_figures(*names: str, sql: str | None = None, ciks: tuple[int, ...] | None
 
 def on_screens(*names: str, sql: str | None = None) -> Callable:
     def add(f: Callable[[Screens], DataFrame]) -> Callable:
-        query(*names, sql=sql)(lambda spark, sf_dir: f(Screens(Figures(view(spark, sf_dir)))))
+        query(*names, sql=sql)(lambda spark, sf_dir: f(Screens(Figures(view(spark, sf_dir)).keep())))
         return f
 
     return add

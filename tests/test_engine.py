@@ -85,7 +85,7 @@ def test_piotroski_improves(spark):
     b = Builder(spark).filer(1)
     for i, y in enumerate((2019, 2020, 2021, 2022, 2023, 2024)):
         g = 1 + 0.1 * i
-        b.annual(1, date(y, 12, 31), date(y + 1, 2, 15), **{**HEALTHY, "OperatingIncomeLoss": 3e8 * g * g, "NetIncomeLoss": 2e8 * g, "LongTermDebtNoncurrent": 1.5e8 / g, "AssetsCurrent": 7e8 * g, "Revenues": 2e9 * g, "CostOfRevenue": 1.2e9})
+        b.annual(1, date(y, 12, 31), date(y + 1, 2, 15), **{**HEALTHY, "OperatingIncomeLoss": 3e8 * g * g, "NetIncomeLoss": 1.5e8 * g, "LongTermDebtNoncurrent": 1.5e8 / g, "AssetsCurrent": 7e8 * g, "Revenues": 2e9 * g, "CostOfRevenue": 1.2e9})
     b.shares(1, 1e8, date(2025, 4, 30), date(2025, 5, 1)).price(1, date(2025, 6, 27), 20.0)
     row = one(Screens(Figures(AsOfView(b.store(), AS_OF))).piotroski)
     assert (row["score"], row["tests_scored"], row["flagged"], row["rank"]) == (9, 9, True, 1)
