@@ -11,11 +11,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as tx
-from ._spark import bound_batches, held_out, remainder, sampled
+from ._spark import bound_batches, held_out, remainder, sampled, stage
 
 BUCKETS = 1 << 18
 #: Labelled documents that the model is fitted on, at most (about; chosen by a hash of the id).
-FIT_ROWS = 8_000
+FIT_ROWS = 12_000
 #: Lengths of the word beginnings that are features besides the whole word.
 PREFIXES = (4, 5)
 THRESHOLD = 0.3
@@ -55,51 +55,52 @@ def noisy_or(z: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.n
     return p, -np.expm1(np.bincount(owner, np.log1p(-np.minimum(p, 1 - 1e-12)), n))
 
 
-def distinct(docs: list[np.ndarray], sentences: list[np.ndarray]) -> np.ndarray:
-    """Which documents are no copies: at least half of their sentences are in none of the documents before them. A
-    text with many near copies would else make its own words look telling."""
+def sentence_keys(bucket: np.ndarray, sent: np.ndarray) -> np.ndarray:
+    """A key of each sentence, by the features it holds."""
+    order = np.argsort(sent, kind="stable")
+    return np.add.reduceat(tx.mix(bucket[order].astype(np.uint64)), np.flatnonzero(np.diff(sent[order].astype(np.int64), prepend=-1))) if len(sent) else np.zeros(0, np.uint64)
+
+
+def distinct(docs: list[np.ndarray]) -> np.ndarray:
+    """Which documents (keys of their sentences) are no copies: at least half of their sentences are in none of the
+    documents before them. A text with many near copies would else make its own words look telling."""
     seen: set[int] = set()
     out = np.zeros(len(docs), bool)
-    for i, (d, s) in enumerate(zip(docs, sentences, strict=True)):
-        if len(d):
-            own = set(np.add.reduceat(tx.mix(d.astype(np.uint64)), np.flatnonzero(np.diff(s.astype(np.int64), prepend=-1))).tolist())
-            out[i] = 2 * len(own - seen) >= len(own)
-            seen |= own
+    for i, d in enumerate(docs):
+        own = set(d.tolist())
+        out[i] = bool(own) and 2 * len(own - seen) >= len(own)
+        seen |= own
     return out
 
 
-def train(docs: list[np.ndarray], sentences: list[np.ndarray], labels: np.ndarray) -> tuple[np.ndarray, float]:
-    """Weights and bias by proximal AdaGrad on the noisy-or likelihood. docs: per document, its features' buckets;
-    sentences: the sentence of each (from 0 in every document)."""
-    if not len(docs) or not labels.any():
-        return np.zeros(BUCKETS, np.float32), BIAS
-    new = distinct(docs, sentences)
-    docs, sentences, labels = [d for d, x in zip(docs, new, strict=True) if x], [s for s, x in zip(sentences, new, strict=True) if x], labels[new]
-    if not labels.any():
-        return np.zeros(BUCKETS, np.float32), BIAS
-    n_sent = np.array([int(s.max()) + 1 if len(s) else 0 for s in sentences])
+def telling(freq: np.ndarray, hits: np.ndarray, n: int, positive: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which features speak for the label, and the log odds of all: of the documents that hold them (``freq``) so many
+    are toxic (``hits``), of ``n`` documents with ``positive`` toxic ones."""
+    base = positive / max(n, 1)
+    odds = np.log((hits + 0.5) / (positive + 1)) - np.log((freq - hits + 0.5) / (n - positive + 1))
+    return (hits - freq * base > DEVIATIONS * np.sqrt(freq * base * (1 - base))) & (2 * hits >= freq), odds
+
+
+def train(use: np.ndarray, odds: np.ndarray, labels: np.ndarray, n_sent: np.ndarray, owner: np.ndarray, sent: np.ndarray, feat: np.ndarray) -> np.ndarray:
+    """Weights of the telling features by proximal AdaGrad on the noisy-or likelihood.
+
+    Documents have labels and numbers of sentences; a telling feature (``feat``) stands in a sentence (``sent``, from 0
+    in each document) of a document (``owner``). Only such features can lift a sentence above the bias; they start from
+    their log odds, and weights stay positive."""
+    w = np.where(use, 2 * odds, 0.0)
     base = np.cumsum(n_sent) - n_sent
-    pair = np.concatenate([np.unique(s.astype(np.int64) * BUCKETS + d) + b * BUCKETS for d, s, b in zip(docs, sentences, base, strict=True)])
+    pair = np.unique((base[owner] + sent) * BUCKETS + feat)
     sent, feat = pair // BUCKETS, pair % BUCKETS
-    owner = np.repeat(np.arange(len(docs)), n_sent)
-    freq = np.bincount(np.unique(owner[sent] * BUCKETS + feat) % BUCKETS, minlength=BUCKETS)
-    of_doc = np.unique(owner[sent] * BUCKETS + feat)
-    hits = np.bincount(of_doc % BUCKETS, labels[of_doc // BUCKETS], BUCKETS)
-    odds = np.log((hits + 0.5) / (labels.sum() + 1)) - np.log((freq - hits + 0.5) / (len(labels) - labels.sum() + 1))
-    base_rate = labels.mean()
-    # only features that speak for a label can lift a sentence above the bias; they start from their log odds
-    use = (hits - freq * base_rate > DEVIATIONS * np.sqrt(freq * base_rate * (1 - base_rate))) & (2 * hits >= freq)
-    w = np.where(use, 2 * odds, 0.0)
-    sent, feat = sent[use[feat]], feat[use[feat]]
+    of = np.repeat(np.arange(len(labels)), n_sent)
     gathered = np.full(BUCKETS, 1e-6)
     for _ in range(EPOCHS):
-        p, q = noisy_or(BIAS + np.bincount(sent, w[feat], len(owner)), owner, len(docs))
-        pull = np.where(labels == 1, -(1 - q) / np.maximum(q, 1e-9), 1.0)[owner] * p  # the loss's slope by each sentence's logit
-        g = np.bincount(feat, pull[sent], BUCKETS) / len(docs)
+        p, q = noisy_or(BIAS + np.bincount(sent, w[feat], len(of)), of, len(labels))
+        pull = np.where(labels == 1, -(1 - q) / np.maximum(q, 1e-9), 1.0)[of] * p  # the loss's slope by each sentence's logit
+        g = np.bincount(feat, pull[sent], BUCKETS) / len(labels)
         gathered += g * g
         rate = RATE / np.sqrt(gathered)
         w = np.maximum(w - rate * (g + L1), 0)
-    return w.astype(np.float32), BIAS
+    return np.where(use, w, 0).astype(np.float32)
 
 
 def score(weights: np.ndarray, bias: float, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -119,21 +120,68 @@ def learn(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> tuple
     known = labels.select(F.col("doc_id"), F.col("toxic").cast("int").alias("y")).where("y is not null").where(remainder("doc_id") != 2)
     known = sampled(known.groupBy("doc_id").agg(F.max("y").alias("y")), "doc_id", fit_rows)
 
-    def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for piece, texts in tx.blocks(batch):
-                bucket, sent, owner, _ = features(texts)
-                order = np.argsort(sent, kind="stable")
-                bucket, sent = bucket[order], sent[order]
-                first = np.searchsorted(owner, np.arange(len(texts) + 1))
-                cut = np.searchsorted(sent, first)
-                rows = [(bucket[a:b].astype("<u4").tobytes(), (sent[a:b] - f).astype("<u4").tobytes()) for a, b, f in zip(cut[:-1], cut[1:], first, strict=False)]
-                yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())], ["doc_id", "y", "f", "s"])
-
     text = docs.select("doc_id", F.col("text").cast("string").alias("text")).where("text is not null")
-    rows = text.join(F.broadcast(known), "doc_id").select("doc_id", "y", "text")  # known: at most about fit_rows pairs of numbers
-    got = rows.mapInArrow(extract, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, y int, f binary, s binary").toPandas().sort_values("doc_id", kind="stable")
-    return train([np.frombuffer(x, "<u4").astype(np.int64) for x in got["f"]], [np.frombuffer(x, "<u4") for x in got["s"]], got["y"].to_numpy(np.int64))
+    rows = text.join(F.broadcast(known), "doc_id")  # known: at most about fit_rows pairs of numbers
+    # numbered by id and text, so that repeated ids are documents of their own
+    rows = stage(rows.select(F.xxhash64("doc_id", "text").alias("id"), "y", "text").dropDuplicates(["id"]), "labelled")
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece, texts in _pieces(batches):
+            bucket, sent, owner, _ = features(texts)
+            key, cut = sentence_keys(bucket, sent), np.searchsorted(owner, np.arange(len(texts) + 1))
+            yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), pa.array([key[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], ["id", "y", "k"])
+
+    got = rows.mapInArrow(keys, "id long, y int, k binary").toPandas().sort_values("id", kind="stable")
+    got = got[distinct([np.frombuffer(k, np.uint64) for k in got["k"]])]
+    labels_ = got["y"].to_numpy(np.int64)
+    if not labels_.any():
+        return np.zeros(BUCKETS, np.float32), BIAS
+    number = {i: n for n, i in enumerate(got["id"].tolist())}  # at most about fit_rows
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        freq = np.zeros((2, BUCKETS), np.int64)
+        for piece, texts in _pieces(batches):
+            own = np.array([i in number for i in piece.column(0).to_pylist()])
+            bucket, sent, owner, _ = features(texts)
+            doc = owner[sent]
+            pair = np.unique(doc[own[doc]] * BUCKETS + bucket[own[doc]])
+            y = piece.column(1).to_numpy(zero_copy_only=False)[pair // BUCKETS]
+            freq += np.stack([np.bincount(pair % BUCKETS, minlength=BUCKETS), np.bincount(pair[y == 1] % BUCKETS, minlength=BUCKETS)])
+        at = np.flatnonzero(freq[1])
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(freq[0][at]), pa.array(freq[1][at])], ["bucket", "freq", "hits"])
+        at = np.flatnonzero((freq[0] > 0) & (freq[1] == 0))
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(freq[0][at]), pa.array(freq[1][at])], ["bucket", "freq", "hits"])
+
+    table = rows.mapInArrow(count, "bucket long, freq long, hits long").groupBy("bucket").agg(F.sum("freq").alias("freq"), F.sum("hits").alias("hits")).where("hits > 0").toPandas()
+    freq, hits = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    freq[table["bucket"]], hits[table["bucket"]] = table["freq"], table["hits"]
+    use, odds = telling(freq, hits, len(labels_), int(labels_.sum()))
+
+    def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece, texts in _pieces(batches):
+            bucket, sent, owner, _ = features(texts)
+            first = np.searchsorted(owner, np.arange(len(texts) + 1))
+            keep = use[bucket]
+            order = np.argsort(owner[sent[keep]], kind="stable")
+            f, s = bucket[keep][order], sent[keep][order]
+            cut = np.searchsorted(owner[s], np.arange(len(texts) + 1))
+            out = [(i, int(first[d + 1] - first[d]), f[cut[d] : cut[d + 1]].astype("<u4").tobytes(), (s[cut[d] : cut[d + 1]] - first[d]).astype("<u4").tobytes()) for d, i in enumerate(piece.column(0).to_pylist()) if i in number]
+            if out:
+                ids, n, fs, ss = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(fs, pa.binary()), pa.array(ss, pa.binary())], ["id", "n", "f", "s"])
+
+    found = rows.mapInArrow(occurrences, "id long, n long, f binary, s binary").toPandas()
+    place = found["id"].map(number).to_numpy(np.int64)
+    n_sent = np.zeros(len(labels_), np.int64)
+    n_sent[place] = found["n"]
+    feats = [np.frombuffer(x, "<u4").astype(np.int64) for x in found["f"]]
+    sents = [np.frombuffer(x, "<u4").astype(np.int64) for x in found["s"]]
+    return train(use, odds, labels_, n_sent, np.repeat(place, [len(f) for f in feats]), np.concatenate(sents), np.concatenate(feats)), BIAS
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    for batch in batches:
+        yield from tx.blocks(batch)
 
 
 def predict(docs: DataFrame, model: tuple[np.ndarray, float], threshold: float = THRESHOLD) -> DataFrame:
