@@ -85,13 +85,3 @@ def roll_up(evaluated: DataFrame, *by: str) -> DataFrame:
     rank = F.when(F.col("status") == "breached", 0).when(F.col("status") == "needs_a_human", 1).otherwise(2)
     names = F.array(F.lit("breached"), F.lit("needs_a_human"), F.lit("holding"))
     return evaluated.groupBy(*by).agg(F.min(rank).alias("r"), F.count("*").alias("conditions")).select(*by, F.element_at(names, F.col("r") + 1).alias("status"), "conditions")
-
-
-def thesis_problems(sections: tuple[str, ...] = ("summary", "mechanism", "conditions")) -> Column:
-    """Array of what a thesis row lacks: empty sections, fewer than two numeric conditions."""
-    empty = [F.when(F.trim(F.coalesce(F.col(s).cast("string"), F.lit(""))) == "", F.lit(f"no {s}")) for s in sections if s != "conditions"]
-    numeric = F.size(F.filter("conditions", lambda c: c["threshold"].isNotNull()))
-    return F.filter(F.array(*empty, F.when(F.coalesce(numeric, F.lit(0)) < 2, F.lit("fewer than two numeric conditions"))), lambda x: x.isNotNull())
-
-
-__all__ = ["METRICS", "evaluate", "metric_series", "resolve_metric", "roll_up", "thesis_problems", "window_years"]

@@ -14,7 +14,7 @@ from ledgermark.sources import landing, sinks
 from ledgermark.sources.adapter import AS_OF, Store, star_store
 
 from . import candidates as cand
-from . import oracle, recheck, valuation
+from . import oracle, recheck, thesis, valuation
 from .asof import AsOfView
 from .figures import ANNUAL_TAGS, FIGURES, Figures, maintenance_capex, owner_earnings
 from .screens import SCREENS, TESTS, Screens
@@ -406,3 +406,80 @@ def srt_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
     top = documents.by_severity(rows).limit(20)
     rank = F.when(F.col("severity") == "high", 0).when(F.col("severity") == "medium", 1).otherwise(2)
     return top.withColumn("place", F.row_number().over(Window.orderBy(rank, "item"))).select("doc_id", "severity", "place")
+
+# sources: the published shapes are built from the tables and read back
+
+FORM_LINE = "concat(rpad(form_type, 12, ' '), rpad(concat('CO ', cik), 30, ' '), lpad(CAST(cik AS STRING), 10, '0'), '  ', CAST(filed_date AS STRING), '  edgar/data/', cik, '/', accession_no, '.txt')"
+
+
+@query("src_formindex", "src_quarters", sql=S("SELECT form_type AS form, concat('CO ', cik) AS company_name, cik, filed_date, concat('edgar/data/', cik, '/', accession_no, '.txt') AS path FROM filing WHERE form_type NOT LIKE '% %'"))
+def src_formindex(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return landing.index_rows(star_store(spark, sf_dir).filing.selectExpr(f"{FORM_LINE} AS value"))
+
+
+@query("op_parse_terminal", "jn_anti_unknown", sql=S("SELECT cik, filed_date, CASE WHEN form_type = '8-K' THEN 'deregistered' END AS status FROM filing WHERE form_type IN ('8-K', '10-Q') AND cik % 4 <> 0"))
+def op_parse_terminal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = star_store(spark, sf_dir)
+    lines = s.filing.where("form_type IN ('8-K', '10-Q')").withColumn("form_type", F.when(F.col("form_type") == "8-K", "15-12G").otherwise("25-NSE")).selectExpr(f"{FORM_LINE} AS value")
+    return landing.unheld(landing.terminal_filings(landing.index_rows(lines)), s.filer.where("cik % 4 = 0")).select("cik", "filed_date", "status")
+
+
+@query("src_submissions", "sink_ingest", sql=S("SELECT accession_no, cik, form_type, filed_date, CASE WHEN CAST(accession_no AS BIGINT) % 3 <> 0 THEN period_end END AS period_end, concat('edgar/data/', cik, '/', accession_no, '/', primary_doc_url) AS primary_doc_url FROM filing"))
+def src_submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = star_store(spark, sf_dir)
+    row = F.struct("accession_no", F.col("filed_date").cast("string").alias("filed"), F.when(F.col("accession_no").cast("long") % 3 == 0, "").otherwise(F.col("period_end").cast("string")).alias("ended"), "form_type", "primary_doc_url")
+    per = s.filing.groupBy("cik").agg(F.sort_array(F.collect_list(row)).alias("r"))
+    pick = lambda f: F.transform("r", lambda x: x[f])
+    recent = F.struct(*[pick(f).alias(n) for f, n in (("accession_no", "accessionNumber"), ("filed", "filingDate"), ("ended", "reportDate"), ("form_type", "form"), ("primary_doc_url", "primaryDocument"))])
+    docs = per.join(s.filer.select("cik", "name", "sic", "ticker"), "cik").select(
+        F.col("cik").cast("string").alias("cik"), "name", F.lit(None).cast("string").alias("entityName"), "sic", F.array("ticker").alias("tickers"), F.array().cast("array<string>").alias("exchanges"), F.struct(recent.alias("recent")).alias("filings")
+    )
+    return landing.submissions(docs)[1].select("accession_no", "cik", "form_type", "filed_date", "period_end", "primary_doc_url")
+
+
+@query("src_companyfacts", sql=S("SELECT accession_no, cik, tag, unit, period_start, period_end, value, filed_date FROM fact"))
+def src_companyfacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = star_store(spark, sf_dir).fact
+    text = lambda c: F.col(c).cast("string")
+    point = F.struct(text("period_start").alias("start"), text("period_end").alias("end"), F.col("value").alias("val"), F.col("accession_no").alias("accn"), F.col("fiscal_year").alias("fy"), F.col("fiscal_period").alias("fp"), F.col("form_type").alias("form"), text("filed_date").alias("filed"))
+    unit = f.groupBy("cik", "tag", "unit").agg(F.collect_list(point).alias("p")).groupBy("cik", "tag").agg(F.map_from_entries(F.collect_list(F.struct("unit", "p"))).alias("units"))
+    tags = unit.groupBy("cik").agg(F.map_from_entries(F.collect_list(F.struct("tag", F.struct("units")))).alias("t"))
+    docs = tags.select("cik", F.lit("x").alias("entityName"), F.create_map(F.lit("us-gaap"), F.col("t")).alias("facts"))
+    return landing.company_facts(docs).select("accession_no", "cik", "tag", "unit", "period_start", "period_end", "value", "filed_date")
+
+
+@query("src_chart", "jn_split_range", sql="SELECT user_id, CAST(ts - INTERVAL 4 HOUR AS DATE) AS price_date, round_even(value * CASE WHEN 1705000000 > CAST(floor(epoch(ts)) AS BIGINT) THEN 4e0 ELSE 1e0 END, 4) AS close FROM events WHERE value IS NOT NULL")
+def src_chart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    per = e.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct(F.unix_seconds(F.col("ts").cast("timestamp")).alias("t"), "event_id", "value"))).alias("r"))
+    quote = F.struct(F.array(F.struct(F.transform("r", lambda x: x["value"]).alias("close"))).alias("quote"))
+    splits = F.create_map(F.lit("s"), F.struct(F.lit(1705000000).cast("long").alias("date"), F.lit(4.0).alias("numerator"), F.lit(1.0).alias("denominator")))
+    result = F.struct(F.struct(F.lit(-14400).alias("gmtoffset")).alias("meta"), F.transform("r", lambda x: x["t"]).alias("timestamp"), F.struct(splits.alias("splits")).alias("events"), quote.alias("indicators"))
+    error = F.lit(None).cast("struct<code:string,description:string>")
+    return landing.chart_closes(per.select("user_id", F.struct(F.array(result).alias("result"), error.alias("error")).alias("chart")))
+
+
+@query(
+    "op_assumption_checks",
+    sql=r"""SELECT doc_id, CASE WHEN name = 'discount_rate' THEN 'the discount rate is fixed' WHEN name = 'beta' THEN 'unknown assumption' WHEN NOT (bear <= base AND base <= bull) THEN 'cases out of order'
+  WHEN trim(said) = '' OR NOT regexp_matches(said, '[0-9]') THEN 'justification cites nothing' END AS problem
+FROM (SELECT doc_id, ['revenue_growth', 'owner_earnings_margin', 'discount_rate', 'beta'][doc_id % 4 + 1] AS name, (doc_id % 5) / 1e1 AS bear, (doc_id % 7) / 1e1 AS base, 6e-1 AS bull, substr(text, 1, 60) AS said FROM documents)""",
+)
+def op_assumption_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    names = F.array(*map(F.lit, ("revenue_growth", "owner_earnings_margin", "discount_rate", "beta")))
+    rows = d.select("doc_id", F.element_at(names, (F.col("doc_id") % 4 + 1).cast("int")).alias("name"), ((F.col("doc_id") % 5) / 10).alias("bear"), ((F.col("doc_id") % 7) / 10).alias("base"), F.lit(0.6).alias("bull"), F.substring("text", 1, 60).alias("justification"))
+    return rows.select("doc_id", valuation.assumption_problem().alias("problem"))
+
+
+@query(
+    "op_stored_thesis", "agg_max_version", "sink_thesis", "agg_open_theses", "agg_latest_as_of",
+    sql="SELECT o_custkey AS cik, as_of, version, points, next_version FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey, as_of ORDER BY version DESC) AS rn, max(version) OVER (PARTITION BY o_custkey, as_of) + 1 AS next_version FROM (SELECT o_custkey, make_date(CAST(year(o_orderdate) AS INTEGER), 1, 1) AS as_of, CAST(row_number() OVER (PARTITION BY o_custkey, year(o_orderdate) ORDER BY o_orderkey) AS INTEGER) AS version, CAST(o_orderkey % 3 AS INTEGER) AS points FROM orders)) WHERE rn = 1",
+)
+def op_stored_thesis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").withColumn("as_of", F.make_date(F.year("o_orderdate"), F.lit(1), F.lit(1)))
+    w = Window.partitionBy("o_custkey", "as_of").orderBy("o_orderkey")
+    t = o.select(F.col("o_custkey").alias("cik"), "as_of", F.row_number().over(w).alias("version"), (F.col("o_orderkey") % 3).cast("int").alias("n"))
+    raised = t.where("n > 0").withColumn("k", F.explode(F.sequence(F.lit(1), F.col("n")))).select("cik", "as_of", F.col("version").alias("thesis_version"), F.lit("x").alias("attacks"), F.col("k").cast("string").alias("claim"), F.lit(None).cast("string").alias("accession_no"), F.lit(None).cast("string").alias("item"), F.lit(None).cast("string").alias("quote"))
+    full = thesis.with_points(t, raised).join(sinks.next_version(t), ["cik", "as_of"])
+    return full.select("cik", "as_of", "version", F.coalesce(F.size("points"), F.lit(0)).alias("points"), "next_version")

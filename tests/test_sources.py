@@ -147,3 +147,28 @@ def test_manifest(tmp_path):
     assert manifest.append_entry(tmp_path / "j", {"a": 1}, "x") != manifest.append_entry(tmp_path / "j", {"a": 1}, "x")
     total = manifest.Cost.total([manifest.Cost.estimate("m", 3, 15, 1_000_000), manifest.Cost.estimate("n", 3, 15, 0, 1000)])
     assert total.model == "mixed" and total.usd == pytest.approx(3.015) and manifest.Cost("m", 0.005).human() == "$0.0050"
+
+
+def test_thesis_problems(spark):
+    from ledgermark.plans import thesis
+
+    cond = ("operating margin", "below", 0.05, "two years")
+    why = ("forced selling", "An index fund had to sell its whole holding within one week of March.")
+    good = (1, date(2024, 1, 1), 1, "Makes pumps", why, ["a"], [cond, cond], 3.0, "the margin falls", "we were wrong on price")
+    bad = (2, date(2024, 1, 1), 1, "", ("Undervalued", "the market is wrong"), [], [("x", "", None, "y")], None, "sell the shares now", None)
+    df = spark.createDataFrame([good, bad], thesis.THESIS)
+    got = {r["cik"]: r["p"] for r in df.select("cik", thesis.problems().alias("p")).collect()}
+    assert got[1] == []
+    assert {x.split(":")[0] for x in got[2]} == set(thesis.SECTIONS)
+    again = spark.createDataFrame([good, (*good[:2], 2, *good[3:])], thesis.THESIS)
+    assert [r["version"] for r in thesis.latest(again).collect()] == [2]
+    assert sinks.next_version(again).first()["next_version"] == 3
+
+
+def test_replacing_partitions(spark, tmp_path):
+    p = str(tmp_path / "t")
+    rows = lambda d, n: spark.createDataFrame([(d, i) for i in range(n)], "as_of date, cik int")
+    sinks.write(rows(date(2024, 1, 1), 3), p, "replace", ["as_of"])
+    sinks.write(rows(date(2024, 2, 1), 2), p, "replace", ["as_of"])
+    sinks.write(rows(date(2024, 1, 1), 1), p, "replace", ["as_of"])
+    assert spark.read.parquet(p).count() == 3
