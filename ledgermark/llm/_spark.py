@@ -55,8 +55,8 @@ def sampled(df: DataFrame, key: str, bound: int) -> DataFrame:
     return df.where(F.pmod(F.xxhash64(F.lit("sample"), F.col(key)), F.lit(1 << 30)) < int((1 << 30) * (bound / n)))
 
 
-def union_find(parent: dict, a, b) -> None:
-    """Join the sets of ``a`` and ``b``; the smaller root stays (path halving)."""
+def union_find(parent: dict, a, b) -> bool:
+    """Join the sets of ``a`` and ``b``; the smaller root stays (path halving). False if they were one already."""
     for x in (a, b):
         parent.setdefault(x, x)
     while parent[a] != a:
@@ -65,5 +65,7 @@ def union_find(parent: dict, a, b) -> None:
     while parent[b] != b:
         parent[b] = parent[parent[b]]
         b = parent[b]
-    if a != b:
-        parent[max(a, b)] = min(a, b)
+    if a == b:
+        return False
+    parent[max(a, b)] = min(a, b)
+    return True

@@ -5,9 +5,10 @@
 2. Nodes that share a band meet in a bucket. Each bucket first links its members to its smallest node only,
    so a bucket of n nodes makes n - 1 candidates. Candidates are compared by size and signature and then
    confirmed on the full sets, recomputed from the texts of the nodes concerned.
-3. Buckets that still hold several groups are searched again: members are compared by signature in blocks of
-   bounded size, and only pairs of different groups whose estimate allows a link go on to confirmation. No pair
-   within a group is made. (Signatures differ from the true similarity by chance only; the margin is five deviations.)
+3. Buckets that still hold several groups are searched again, in blocks of bounded size: members of different groups
+   whose sizes and signatures allow a link (five deviations of margin) are marked, and the marked members of two
+   blocks are compared on their full sets. What leaves a task are members or the links that join groups, never
+   pairs of a group.
 4. Links become groups by union-find within partitions, and minimum-label stars across them.
 """
 
@@ -15,7 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +29,8 @@ from ._spark import bound_batches, stage, union_find
 SLOTS_PER_BAND = 5
 #: Chance that a pair at the threshold meets in no band.
 MISS = 1e-6
-#: Nodes in a block of a large bucket; two blocks are compared at once.
-BLOCK = 256
+#: Nodes, and shingles, in a block of a large bucket (on average); two blocks are compared at once.
+BLOCK, BLOCK_ITEMS = 512, 400_000
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -177,64 +178,129 @@ def _possible(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFram
     return both.select("a", "b", "sa", "sb").mapInArrow(run, "a binary, b binary")
 
 
-def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Pairs whose full sets are similar enough."""
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = wanted.join(nodes.select("node", "doc_id", "text_key"), "node")
+def _sets_of(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """node and items of the nodes in ``wanted``, from the texts of one row of each."""
+    wanted = wanted.distinct().join(nodes.select("node", "doc_id", "text_key"), "node")
     texts = docs.selectExpr("cast(doc_id as long) doc_id", "xxhash64(text) text_key", "cast(text as string) text")
     texts = wanted.alias("w").join(texts.alias("d"), F.col("w.doc_id").eqNullSafe(F.col("d.doc_id")) & (F.col("w.text_key") == F.col("d.text_key")))
-    sets = stage(_sets(texts.select(F.col("w.node").alias("want"), "d.text"), k).dropDuplicates(["node"]), "sets")
+    return stage(_sets(texts.select(F.col("w.node").alias("want"), "d.text"), k).dropDuplicates(["node"]), "sets")
+
+
+def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Pairs whose full sets are similar enough."""
+    sets = _sets_of(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))), nodes, docs, k)
     a, b = (sets.select(F.col("node").alias(x), F.col("items").alias(f"i{x}")) for x in "ab")
     both = F.size(F.array_intersect("ia", "ib"))
     return pairs.join(a, "a").join(b, "b").where(100 * both >= percent * (F.size("ia") + F.size("ib") - both)).select("a", "b")
 
 
+def _by_group(batches: Iterator[pa.RecordBatch], work: Callable[[pa.Table], pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Apply ``work`` to each run of equal (key, p, q) of sorted batches; a run is bounded by the blocks' size."""
+    rest: pa.Table | None = None
+    for batch in batches:
+        t = pa.Table.from_batches([batch])
+        rest = t if rest is None else pa.concat_tables([rest, t])
+        keys = np.stack([rest.column(x).to_numpy() for x in ("key", "p", "q")])
+        cut = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1
+        at = 0
+        for c in cut.tolist():
+            yield work(rest.slice(at, c - at))
+            at = c
+        rest = rest.slice(at)
+    if rest is not None and len(rest):
+        yield work(rest)
+
+
 def _residual(buckets: DataFrame, label: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
-    """Pairs of different groups within a bucket whose signatures allow a link."""
-    m = bands_for(similarity) * SLOTS_PER_BAND
+    """Members of buckets that have, within their pair of blocks, a possible link to a member of another group: key, p,
+    q, i, node, label. A possible link has a size and a signature that allow one, and is looked at in the first band
+    that both members share. Rows are members, never pairs."""
+    bands = bands_for(similarity)
+    m = bands * SLOTS_PER_BAND
     least = math.floor(m * (similarity - 5 * math.sqrt(similarity * (1 - similarity) / m)))
     rows = buckets.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    open_ = rows.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("c")).where("x != y").select("key", "c")
-    dealt = rows.join(open_, "key").withColumn("nb", F.ceil(F.col("c") / BLOCK).cast("int")).withColumn("i", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
+    open_ = rows.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("c"), F.sum("n").alias("s")).where("x != y")
+    open_ = open_.select("key", F.ceil(F.greatest(F.col("c") / BLOCK, F.col("s") / BLOCK_ITEMS)).cast("int").alias("nb"))
+    dealt = rows.join(open_, "key").withColumn("i", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
     dealt = dealt.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    dealt = dealt.join(nodes.select("node", "n", "sig"), "node")
-    dealt = dealt.select("key", F.least("i", "j").alias("p"), F.greatest("i", "j").alias("q"), "i", "node", "label", "n", "sig")
+    dealt = dealt.join(nodes.select("node", "sig", "bands"), "node")
+    dealt = dealt.select("key", F.least("i", "j").alias("p"), F.greatest("i", "j").alias("q"), "i", "band", "node", "label", "n", "sig", "bands")
     dealt = dealt.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
 
     def compare(g: pa.Table) -> pa.RecordBatch:
-        node, label = (np.array(g.column(x).to_pylist(), object) for x in ("node", "label"))
         n, i = g.column("n").to_numpy(), g.column("i").to_numpy()
         sig = np.frombuffer(b"".join(g.column("sig").to_pylist()), "<u2").reshape(-1, m)
-        _, lab = np.unique(label, return_inverse=True)
+        band = g.column("band")[0].as_py()
+        earlier = np.array(g.column("bands").to_pylist(), np.int64).reshape(-1, bands)[:, :band]
+        _, lab = np.unique(np.array(g.column("label").to_pylist(), object), return_inverse=True)
         same_block = g.column("p")[0].as_py() == g.column("q")[0].as_py()
-        a: list[int] = []
-        b: list[int] = []
+        hit = np.zeros(len(n), bool)
         for x in range(len(n) - 1):
             y = np.arange(x + 1, len(n))
             y = y[(lab[y] != lab[x]) & (np.minimum(n[y], n[x]) >= similarity * np.maximum(n[y], n[x]))]
             if not same_block:
                 y = y[i[y] != i[x]]
             y = y[(sig[y] == sig[x]).sum(1) >= least]
-            a += [x] * len(y)
-            b += y.tolist()
-        return pa.RecordBatch.from_arrays([pa.array(list(node[a]), pa.binary()), pa.array(list(node[b]), pa.binary())], ["a", "b"])
+            y = y[~(earlier[y] == earlier[x]).any(1)]
+            hit[y] = True
+            hit[x] |= len(y) > 0
+        out = g.filter(pa.array(hit))
+        return pa.RecordBatch.from_arrays([out.column(c).combine_chunks().cast(t) for c, t in _MEMBER.items()], list(_MEMBER))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: pa.Table | None = None
-        for batch in batches:
-            t = pa.Table.from_batches([batch])
-            rest = t if rest is None else pa.concat_tables([rest, t])
-            keys = np.stack([rest.column(x).to_numpy() for x in ("key", "p", "q")])
-            cut = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1
-            at = 0
-            for c in cut.tolist():
-                yield compare(rest.slice(at, c - at))
-                at = c
-            rest = rest.slice(at)
-        if rest is not None and len(rest):
-            yield compare(rest)
+        return _by_group(batches, compare)
+
+    return dealt.mapInArrow(run, "key long, p int, q int, i int, node binary, label binary")
+
+
+_MEMBER = {"key": pa.int64(), "p": pa.int32(), "q": pa.int32(), "i": pa.int32(), "node": pa.binary(), "label": pa.binary()}
+
+
+def common_items(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections of some sets of distinct items, by products of their incidence matrix."""
+    n = len(sets)
+    items, where, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(n), [len(x) for x in sets])
+    shared = count[where] > 1  # an item of one set alone is in no intersection
+    number = np.cumsum(count > 1) - 1
+    row, col = row[shared], number[where[shared]]
+    order = np.argsort(col, kind="stable")
+    row, col = row[order], col[order]
+    out = np.zeros((n, n), np.float32)
+    width = 2048
+    for at in range(0, int(col[-1]) + 1 if len(col) else 0, width):
+        a, b = np.searchsorted(col, (at, at + width))
+        part = np.zeros((n, width), np.float32)
+        part[row[a:b], col[a:b] - at] = 1
+        out += part @ part.T
+    return out.astype(np.int64)
+
+
+def _linked(flagged: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between groups among the flagged members, on full sets: of each pair of blocks no more than join its groups."""
+    rows = flagged.join(sets, "node").repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
+
+    def exact(g: pa.Table) -> pa.RecordBatch:
+        node, i = g.column("node").to_pylist(), g.column("i").to_numpy()
+        _, lab = np.unique(np.array(g.column("label").to_pylist(), object), return_inverse=True)
+        sets = [x.values.to_numpy() for x in g.column("items")]
+        n = np.array([len(x) for x in sets])
+        both = common_items(sets)
+        ok = np.triu(100 * both >= percent * (n[:, None] + n[None, :] - both), 1) & (lab[:, None] != lab[None, :])
+        if g.column("p")[0].as_py() != g.column("q")[0].as_py():
+            ok &= i[:, None] != i[None, :]
+        parent: dict[int, int] = {}
+        a, b = [], []
+        for x, y in zip(*(v.tolist() for v in np.nonzero(ok)), strict=True):
+            if union_find(parent, int(lab[x]), int(lab[y])):
+                a.append(node[x])
+                b.append(node[y])
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _by_group(batches, exact)
 
-    return dealt.mapInArrow(run, "a binary, b binary").where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return rows.mapInArrow(run, "a binary, b binary").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -289,16 +355,17 @@ def near_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
         .agg(F.min(F.struct("doc_id", "text_key", F.col("n_shingles").alias("n"), "bands", "sig")).alias("x")).select("node", "x.*")
     )
     nodes = stage(nodes, "nodes")
-    member = nodes.select("node", F.explode("bands").alias("key"))
+    member = nodes.select("node", "n", F.posexplode("bands").alias("band", "key"))
     shared = member.groupBy("key").agg(F.count("*").alias("c"), F.min("node").alias("hub")).where("c > 1")
     buckets = stage(member.join(shared.select("key", "hub"), "key"), "buckets")
     first = buckets.where("node != hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     links = stage(_confirmed(stage(_possible(first, nodes, similarity), "first"), nodes, docs, k, percent), "links")
     label = components(links)
-    more = stage(_residual(buckets.select("key", "node"), label, nodes, similarity), "residual")
-    if not more.isEmpty():
-        links = links.union(stage(_confirmed(more, nodes, docs, k, percent), "more"))
-        label = components(links)
+    flagged = stage(_residual(buckets.select("key", "band", "node", "n"), label, nodes, similarity), "residual")
+    if not flagged.isEmpty():
+        more = stage(_linked(flagged, _sets_of(flagged.select("node"), nodes, docs, k), percent), "more")
+        if not more.isEmpty():
+            label = components(links.union(more))
     label = nodes.select("node", "doc_id").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = label.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     found = label.join(least, "label").select(F.col("node").alias("digest"), "component_id")
