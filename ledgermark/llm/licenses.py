@@ -1,15 +1,17 @@
 """Licence scan by a positional rare-token index, in DataFrame operations only.
 
 The words of a few licence templates are weighed by their inverse document frequency over all texts. The index holds
-postings (template, position) of each template's rarest words. Of a text's licence words the rarest are looked
-up; postings that agree on one relative position are votes for a template there; and a template is reported
-only if its key phrases stand in the text too.
+postings (template, position) of each template's rarest words. Every indexed word of a text is looked up; postings
+that agree on one relative position are votes for a template there; and a template is reported only if its key
+phrases stand in the text too, which is tested first.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,9 +37,8 @@ TEMPLATES = (
     ("cc0", "cc0 1 0 universal public domain dedication", ("cc0", "public domain dedication")),
     ("unlicense", "this is free and unencumbered software released into the public domain", ("released into the public domain",)),
 )
-#: Words of a template that are indexed (its rarest), words of a text that are looked up (its rarest), and the share
-#: of a template's indexed words that must agree on a position.
-INDEXED, LOOKED_UP, AGREE = 6, 12, 0.6
+#: Words of a template that are indexed (its rarest), and the share of them that must agree on a position.
+INDEXED, AGREE = 6, 0.6
 
 
 def vocabulary() -> list[str]:
@@ -81,10 +82,20 @@ def _places(words: Column, phrase: str) -> Column:
     return F.when(F.array_contains(words, first), F.filter(at, here)).otherwise(F.array().cast("array<int>"))
 
 
-def _agreeing(t: int) -> Column:
-    """Of each relative position that a template has votes for, how many."""
-    own = F.transform(F.filter("votes", lambda v: v["t"] == t), lambda v: v["at"])
-    return F.transform(F.array_distinct(own), lambda a: F.size(F.filter(own, lambda b: b == a)))
+def _relative(t: int) -> Column:
+    """The relative position of each vote for a template."""
+    return F.transform(F.filter("votes", lambda v: v["t"] == t), lambda v: v["at"])
+
+
+def _most(values: Column) -> Column:
+    """How often the most frequent of an array's numbers stands in it; 0 for none. Runs of the sorted numbers are counted."""
+    start = F.struct(F.lit(None).cast("int").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("best"))
+
+    def step(s: Column, x: Column) -> Column:
+        run = F.when(s["last"] == x, s["run"] + 1).otherwise(F.lit(1))
+        return F.struct(x.alias("last"), run.alias("run"), F.greatest(s["best"], run).alias("best"))
+
+    return F.aggregate(F.array_sort(values), start, step, lambda s: s["best"])
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -99,27 +110,24 @@ def scan(docs: DataFrame) -> DataFrame:
     lower = F.lower(F.replace(plain, F.lit("\u212a"), F.lit("\u00e9")))
     words = docs.select("doc_id", F.regexp_extract_all(lower, F.lit(WORD), 0).alias("words"))
     n, frequency = document_frequency(words.select("words"))
-    idf, postings, need = index(n, frequency)
-    vocab = sorted(postings, key=lambda w: (-idf[w], w))
-    rarest = F.slice(F.array_intersect(F.array(*map(F.lit, vocab)), F.col("words")), 1, LOOKED_UP)  # keeps the index's order: rarest first
-    rows = words.select("doc_id", "words", *[_places(F.col("words"), p).alias(f"p{i}") for i, p in enumerate(BASE)], rarest.alias("rare"))
-
-    post = F.create_map(*[x for w in vocab for x in (F.lit(w), F.array(*[F.struct(F.lit(t).alias("t"), F.lit(p).alias("p")) for t, p in postings[w]]))])
-    hits = F.transform("words", lambda w, i: F.when(F.array_contains("rare", w), F.struct(w.alias("w"), i.alias("i"))))
-    votes = F.flatten(F.transform(F.filter(hits, lambda h: h.isNotNull()), lambda h: F.transform(post[h["w"]], lambda x: F.struct(x["t"].alias("t"), (h["i"] - x["p"]).alias("at")))))
-    rows = rows.withColumn("votes", F.when(F.size("rare") > 0, votes)).withColumn("said", F.when(F.size("votes") > 0, F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" "))))
+    _, postings, need = index(n, frequency)
+    said = F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" "))
+    rows = words.select("doc_id", "words", *[_places(F.col("words"), p).alias(f"p{i}") for i, p in enumerate(BASE)], said.alias("said"))
+    # only a template whose key phrases all stand in the text can be reported; votes are taken for texts with such a template
+    keyed = [reduce(and_, [F.contains("said", F.lit(f" {key} ")) for key in keys]) for _, _, keys in TEMPLATES]
+    rows = rows.withColumn("keyed", F.array(*keyed)).drop("said")
+    post = F.create_map(*[x for w in sorted(postings) for x in (F.lit(w), F.array(*[F.struct(F.lit(t).alias("t"), F.lit(p).alias("p")) for t, p in postings[w]]))])
+    hits = F.filter(F.transform("words", lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda h: h["w"].isin(*sorted(postings)))
+    votes = F.flatten(F.transform(hits, lambda h: F.transform(post[h["w"]], lambda x: F.struct(x["t"].alias("t"), (h["i"] - x["p"]).alias("at")))))
+    rows = rows.withColumn("votes", F.when(F.array_contains("keyed", True), votes))
     # a template's best place: the most votes that agree on one relative position
+    rows = rows.withColumn("best", F.array(*[F.when(F.get("keyed", F.lit(t)), _most(_relative(t))) for t in range(len(TEMPLATES))]))
     per = []
-    for t, (label, _, keys) in enumerate(TEMPLATES):
+    for t, (label, _, _) in enumerate(TEMPLATES):
         total = sum(t == x for ps in postings.values() for x, _ in ps)
-        best = F.coalesce(F.array_max(_agreeing(t)), F.lit(0))
-        ok = best >= need[t]
-        for key in keys:
-            ok = ok & F.contains("said", F.lit(f" {key} "))
-        share = F.least(F.lit(1.0), best / F.lit(float(total)))
-        per.append(F.when(ok, F.struct(F.lit(label).alias("label"), share.alias("share"))))
-    matched = F.filter(F.array(*per), lambda m: m.isNotNull())
-    rows = rows.withColumn("matched", F.when(F.size("votes") > 0, matched).otherwise(F.filter(F.array(per[0]), lambda m: F.lit(False))))
+        b = F.get("best", F.lit(t))
+        per.append(F.when(b >= need[t], F.struct(F.lit(label).alias("label"), F.least(F.lit(1.0), b / F.lit(float(total))).alias("share"))))
+    rows = rows.withColumn("matched", F.filter(F.array(*per), lambda m: m.isNotNull()))
     places = F.concat(*[F.col(f"p{i}") for i in range(len(BASE))])
     base = F.filter(F.array(*[F.when(F.size(f"p{i}") > 0, F.lit(label)) for i, label in enumerate(BASE.values())]), lambda x: x.isNotNull())
     rows = rows.select("doc_id", F.size("words").cast("long").alias("n_words"), places.alias("places"), base.alias("base"), "matched")
@@ -142,10 +150,9 @@ def scan_one(text: str | None, idf: dict[str, float], postings: dict[str, list[t
         at = [i for i in range(len(words)) if words[i : i + len(p)] == p]
         places += at
         base |= {label} if at else set()
-    rare = [w for w in sorted(postings, key=lambda w: (-idf[w], w)) if w in words][:LOOKED_UP]
     votes: dict[tuple[int, int], int] = {}
     for i, w in enumerate(words):
-        for t, p in postings[w] if w in rare else ():
+        for t, p in postings.get(w, ()):
             votes[t, i - p] = votes.get((t, i - p), 0) + 1
     labels, score = set(base), 0.0
     for t, (label, _, keys) in enumerate(TEMPLATES):

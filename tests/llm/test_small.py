@@ -243,6 +243,31 @@ def test_licenses(spark, docs, rows):
     assert licenses.scan(df.limit(0)).count() == 0
 
 
+def test_licenses_many_notices(spark):
+    """Texts with several notices, and a long one with all licence words, against a count of every alignment without postings."""
+    bsd, mpl, free = (next(t[1] for t in licenses.TEMPLATES if t[0] == x) for x in ("bsd", "mpl", "unlicense"))
+    everything = " ".join(licenses.vocabulary())
+    texts = [
+        f"{bsd}. {mpl}. Released under the MIT License.", f"{bsd}. {free}. Licensed under the Apache License, Version 2.0.", f"{bsd} {mpl} {free}", " ".join(t[1] for t in licenses.TEMPLATES),
+        *[f"{everything} foo {t[1]} foo {everything}" for t in licenses.TEMPLATES], "mit license " + everything * 20, "the license of the " * 3000, "the apache license " * 2000 + licenses.TEMPLATES[3][1], "", None,
+    ]
+    got = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    split = [licenses.re.findall(licenses.WORD, (x or "").lower()) for x in texts]
+    freq = {w: n for w in licenses.vocabulary() if (n := sum(w in x for x in split))}
+    _, postings, need = licenses.index(len(texts), freq)
+    for i, words in enumerate(split):
+        said, labels, score = f" {' '.join(words)} ", {v for k, v in licenses.BASE.items() if f" {k} " in f" {' '.join(words)} "}, 0.0
+        for t, (label, text, keys) in enumerate(licenses.TEMPLATES):
+            at = [(p, w) for p, w in enumerate(text.split()) if any(x == t for x, _ in postings.get(w, ()))]
+            best = max(sum(0 <= a + p < len(words) and words[a + p] == w for p, w in at) for a in range(-40, len(words) + 1))
+            if best >= need[t] and all(f" {k} " in said for k in keys):
+                labels.add(label)
+                score = max(score, best / len(at))
+        assert (got[i]["labels"], got[i]["score"]) == (",".join(sorted(labels)), score), i
+    assert [got[i]["labels"] for i in range(3)] == ["bsd,mit,mpl", "apache,bsd,unlicense", "bsd,mpl,unlicense"]
+    assert all(t[0] in got[3]["labels"].split(",") and t[0] in got[4 + i]["labels"].split(",") for i, t in enumerate(licenses.TEMPLATES))
+
+
 def test_topk(spark):
     r = np.random.default_rng(4)
     v = r.normal(0, 0.2, (700, 12))
