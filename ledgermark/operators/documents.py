@@ -77,6 +77,11 @@ def quoted(quote: pd.Series, source: pd.Series) -> pd.Series:
     return pd.Series([tx.quote_appears_in(q, s) for q, s in zip(quote, source, strict=True)])
 
 
+def matched_form(text: str) -> Column:
+    """A text as quotes are matched against it (null: empty)."""
+    return _mapped("for_match", "string")(F.coalesce(F.col(text), F.lit("")))
+
+
 def advises(text: str | Column, imperative: bool = True) -> Column:
     """Whether a text says what to do with the shares."""
     c = F.col(text) if isinstance(text, str) else text
@@ -98,17 +103,20 @@ def validate_findings(findings: DataFrame, sources: DataFrame) -> DataFrame:
     s = sources.select(F.col("accession_no").alias("__a"), F.col("item").alias("__i"), F.col("text").alias("__t"))
     p = s.select(F.col("__a").alias("__pa"), F.col("__i").alias("__pi"), F.col("__t").alias("__pt"))
     rows = findings.join(s, (F.col("accession_no") == F.col("__a")) & (F.col("item") == F.col("__i")), "left")
-    rows = rows.join(p, (F.col("prior_accession_no") == F.col("__pa")) & (F.col("item") == F.col("__pi")), "left")
+    # source texts do not travel to the second join, and findings without a prior filing do not meet in one task there
+    rows = rows.withColumn("__found", quoted("quote", "__t")).withColumn("__sourced", F.col("__t").isNotNull()).drop("__a", "__i", "__t")
+    spread = F.coalesce("prior_accession_no", F.concat(F.lit("\0"), F.xxhash64("accession_no", "quote").cast("string")))
+    rows = rows.withColumn("__key", spread).join(p, (F.col("__key") == F.col("__pa")) & F.col("prior_accession_no").isNotNull() & (F.col("item") == F.col("__pi")), "left")
     given = lambda c: F.col(c).isNotNull() & (F.trim(c) != "")
     why = (
         F.when(malformed(findings), "malformed")
         .when(~given("quote"), "quote_missing")
-        .when(F.col("__t").isNull(), "source_unavailable")
-        .when(~quoted("quote", "__t"), "quote_not_found")
+        .when(~F.col("__sourced"), "source_unavailable")
+        .when(~F.col("__found"), "quote_not_found")
         .when(given("prior_quote") & F.col("__pt").isNull(), "prior_source_unavailable")
         .when(given("prior_quote") & ~quoted("prior_quote", "__pt"), "prior_quote_not_found")
     )
-    return rows.withColumn("drop_reason", why).drop("__a", "__i", "__t", "__pa", "__pi", "__pt")
+    return rows.withColumn("drop_reason", why).drop("__found", "__sourced", "__key", "__pa", "__pi", "__pt")
 
 
 def drop_rate(validated: DataFrame, *by: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgermark.functions import columns as cx
+from ledgermark.functions import text as tx
 from ledgermark.operators import documents
 from ledgermark.sources import landing, sinks
 from ledgermark.sources.adapter import AS_OF, Store, star_store
@@ -381,6 +382,42 @@ def agg_drop_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.drop_reasons(op_validate_findings(spark, sf_dir))
 
 
+BEGINS = 5  # the words of an item, from its second, by which documents that may quote it are found
+
+
+def _whole_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A finding for each benchmark item, quoting all of it, on each document that holds the item's second to sixth word
+    in a row (so on all that quote it), and on each whose id and the item's add up to a multiple of forty (so on every
+    document). Items too short for this, or with an ellipsis, are cited on every document. Severities and missing
+    quotes as in ``_findings``."""
+    b = spark.read.parquet(f"{sf_dir}/benchmark.parquet").withColumn("words", F.split(documents.matched_form("text"), " "))
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    every = (F.size("words") <= BEGINS + 1) | F.coalesce(F.col("text").rlike(tx.ELLIPSIS.pattern), F.lit(False))
+    some = b.select("item_id", every.alias("every"))
+    cited = d.select("doc_id").join(F.broadcast(some), F.col("every") | ((F.col("doc_id") + F.col("item_id")) % 40 == 0)).select("item_id", "doc_id")
+    words = d.select("doc_id", F.split(documents.matched_form("text"), " ").alias("words"))
+    runs = F.transform(F.sequence(F.lit(1), F.size("words") - BEGINS + 1), lambda i: F.array_join(F.slice("words", i, BEGINS), " "))
+    runs = words.where(F.size("words") >= BEGINS).select("doc_id", F.explode(F.array_distinct(runs)).alias("run"))
+    keys = b.where(~every).select("item_id", F.array_join(F.slice("words", 2, BEGINS), " ").alias("run"))
+    held = runs.join(F.broadcast(keys), "run").select("item_id", "doc_id")
+    rows = cited.union(held).distinct().join(F.broadcast(b.select("item_id", "text")), "item_id")
+    return rows.select(
+        "item_id", F.col("doc_id").cast("string").alias("accession_no"), F.lit("1A").alias("item"), F.lit("added").alias("change_type"),
+        F.when(F.col("item_id") % 11 == 3, "").otherwise(F.col("text")).alias("quote"), F.lit("worth a look").alias("implication"),
+        F.when(F.col("item_id") % 7 == 2, "grave").otherwise("low").alias("severity"), F.lit(None).cast("string").alias("prior_accession_no"), F.lit(None).cast("string").alias("prior_quote"),
+    )
+
+
+@query("op_validate_findings_whole")
+def op_validate_findings_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents.validate_findings(_whole_findings(spark, sf_dir), _sections(spark, sf_dir)).select("item_id", "accession_no", "drop_reason")
+
+
+@query("agg_drop_reasons_whole")
+def agg_drop_reasons_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents.drop_reasons(op_validate_findings_whole(spark, sf_dir))
+
+
 @query("fn_filing_text", "src_document")
 def fn_filing_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.filing_text(spark.read.parquet(f"{sf_dir}/pages.parquet")).select("page_id", F.length("text").alias("chars"), F.md5("text").alias("digest"))
@@ -407,6 +444,7 @@ def srt_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
     rank = F.when(F.col("severity") == "high", 0).when(F.col("severity") == "medium", 1).otherwise(2)
     return top.withColumn("place", F.row_number().over(Window.orderBy(rank, "item"))).select("doc_id", "severity", "place")
 
+
 # sources: the published shapes are built from the tables and read back
 
 FORM_LINE = "concat(rpad(form_type, 12, ' '), rpad(concat('CO ', cik), 30, ' '), lpad(CAST(cik AS STRING), 10, '0'), '  ', CAST(filed_date AS STRING), '  edgar/data/', cik, '/', accession_no, '.txt')"
