@@ -445,6 +445,21 @@ def srt_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top.withColumn("place", F.row_number().over(Window.orderBy(rank, "item"))).select("doc_id", "severity", "place")
 
 
+@query("srt_severity_whole", sql="SELECT doc_id, severity, CAST(row_number() OVER (ORDER BY CASE severity WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END, doc_id) AS BIGINT) AS place FROM (SELECT doc_id, CASE quality + toxic WHEN 2 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS severity FROM labels)")
+def srt_severity_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All labels in order of severity. A place is the number of labels in earlier blocks of ids and the place in the block."""
+    level = F.coalesce(F.element_at(F.array(F.lit("low"), F.lit("medium"), F.lit("high")), F.col("quality") + F.col("toxic") + 1), F.lit("low"))
+    rows = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", level.alias("severity"))
+    rank = F.when(F.col("severity") == "high", 0).when(F.col("severity") == "medium", 1).otherwise(2)
+    rows = rows.withColumn("rank", rank).withColumn("block", F.floor(F.col("doc_id") / 4096))
+    counts = rows.groupBy("rank", "block").agg(F.count("*").alias("n"))
+    before = Window.orderBy("rank", "block").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(F.col("rank").alias("r"), F.col("block").alias("b"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    rows = rows.withColumn("within", F.row_number().over(Window.partitionBy("rank", "block").orderBy("doc_id")))
+    placed = rows.join(F.broadcast(counts), F.col("rank").eqNullSafe(F.col("r")) & F.col("block").eqNullSafe(F.col("b")))
+    return placed.select("doc_id", "severity", (F.col("before") + F.col("within")).alias("place")).orderBy("place")
+
+
 # sources: the published shapes are built from the tables and read back
 
 FORM_LINE = "concat(rpad(form_type, 12, ' '), rpad(concat('CO ', cik), 30, ' '), lpad(CAST(cik AS STRING), 10, '0'), '  ', CAST(filed_date AS STRING), '  edgar/data/', cik, '/', accession_no, '.txt')"

@@ -36,3 +36,10 @@ def test_findings_cite_every_document_and_quote_whole_items(spark, tables):
     assert got[0, 390] is None and got[1, 391] == "quote_not_found"
     counts = {r["drop_reason"]: r["n"] for r in registry.QUERIES["agg_drop_reasons_whole"](spark, sf).collect()}
     assert counts == {w: list(got.values()).count(w) for w in set(got.values()) - {None}}
+
+
+def test_all_labels_have_a_place(spark, tables):
+    got = [(r["place"], r["severity"], r["doc_id"]) for r in registry.QUERIES["srt_severity_whole"](spark, tables[0]).collect()]
+    level = lambda i: 2 - i % 2 - i // 2 % 2
+    want = sorted(range(400), key=lambda i: (level(i), i))
+    assert got == [(k, ("high", "medium", "low")[level(i)], i * 37) for k, i in enumerate(want, 1)]
