@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgermark.functions import columns as cx
@@ -519,9 +519,23 @@ def src_chart(spark: SparkSession, sf_dir: str) -> DataFrame:
 FROM (SELECT doc_id, ['revenue_growth', 'owner_earnings_margin', 'discount_rate', 'beta'][doc_id % 4 + 1] AS name, (doc_id % 5) / 1e1 AS bear, (doc_id % 7) / 1e1 AS base, 6e-1 AS bull, substr(text, 1, 60) AS said FROM documents)""",
 )
 def op_assumption_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _assumptions(spark, sf_dir, F.substring("text", 1, 60))
+
+
+@query(
+    "op_assumption_checks_whole",
+    sql=r"""SELECT doc_id, CASE WHEN name = 'discount_rate' THEN 'the discount rate is fixed' WHEN name = 'beta' THEN 'unknown assumption' WHEN NOT (bear <= base AND base <= bull) THEN 'cases out of order'
+  WHEN trim(said) = '' OR NOT regexp_matches(said, '[0-9]') THEN 'justification cites nothing' END AS problem
+FROM (SELECT doc_id, ['revenue_growth', 'owner_earnings_margin', 'discount_rate', 'beta'][doc_id % 4 + 1] AS name, (doc_id % 5) / 1e1 AS bear, (doc_id % 7) / 1e1 AS base, 6e-1 AS bull, coalesce(text, '') AS said FROM documents)""",
+)
+def op_assumption_checks_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _assumptions(spark, sf_dir, F.col("text"))
+
+
+def _assumptions(spark: SparkSession, sf_dir: str, said: Column) -> DataFrame:
     d = spark.read.parquet(f"{sf_dir}/documents.parquet")
     names = F.array(*map(F.lit, ("revenue_growth", "owner_earnings_margin", "discount_rate", "beta")))
-    rows = d.select("doc_id", F.element_at(names, (F.col("doc_id") % 4 + 1).cast("int")).alias("name"), ((F.col("doc_id") % 5) / 10).alias("bear"), ((F.col("doc_id") % 7) / 10).alias("base"), F.lit(0.6).alias("bull"), F.substring("text", 1, 60).alias("justification"))
+    rows = d.select("doc_id", F.element_at(names, (F.col("doc_id") % 4 + 1).cast("int")).alias("name"), ((F.col("doc_id") % 5) / 10).alias("bear"), ((F.col("doc_id") % 7) / 10).alias("base"), F.lit(0.6).alias("bull"), said.alias("justification"))
     return rows.select("doc_id", valuation.assumption_problem().alias("problem"))
 
 

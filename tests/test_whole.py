@@ -43,3 +43,8 @@ def test_all_labels_have_a_place(spark, tables):
     level = lambda i: 2 - i % 2 - i // 2 % 2
     want = sorted(range(400), key=lambda i: (level(i), i))
     assert got == [(k, ("high", "medium", "low")[level(i)], i * 37) for k, i in enumerate(want, 1)]
+
+
+def test_figures_late_in_a_justification_count(spark, tables):
+    got = {r["doc_id"]: r["problem"] for r in registry.QUERIES["op_assumption_checks_whole"](spark, tables[0]).collect()}
+    assert got[380] is None and got[381] == "justification cites nothing"
