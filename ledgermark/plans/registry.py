@@ -437,6 +437,20 @@ def jn_prior_section(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("cik", F.col("current.accession_no").alias("current"), F.col("prior.accession_no").alias("prior"))
 
 
+@query("jn_prior_section_whole", sql="""WITH s AS (SELECT d.doc_id, d.text, lpad(CAST(d.doc_id AS VARCHAR), 10, '0') AS accession_no, o.o_custkey AS cik, CAST(o.o_orderdate AS DATE) AS filed_date FROM documents d JOIN orders o ON o.o_orderkey = d.doc_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY cik ORDER BY filed_date DESC, accession_no DESC) AS rn FROM s)
+SELECT cik, max(accession_no) FILTER (WHERE rn = 1) AS current, coalesce(max(length(text)) FILTER (WHERE rn = 1), 0) AS current_chars, max(md5(text)) FILTER (WHERE rn = 1) AS current_digest,
+  max(accession_no) FILTER (WHERE rn = 2) AS prior, coalesce(max(length(text)) FILTER (WHERE rn = 2), 0) AS prior_chars, max(md5(text)) FILTER (WHERE rn = 2) AS prior_digest, bool_or(doc_id % 5 = 0) AS refused
+FROM r WHERE rn <= 2 GROUP BY cik""")
+def jn_prior_section_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs with the texts that are handed over; the tables have no confidence, so each fifth section gets a weak one."""
+    confidence = F.when(F.col("doc_id") % 5 == 0, 0.5).otherwise(0.9)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.lpad(F.col("doc_id").cast("string"), 10, "0").alias("accession_no"), F.lit("1A").alias("item"), "text", confidence.alias("extraction_confidence"))
+    pairs = documents.section_pairs(docs, star_store(spark, sf_dir).filing, "1A")
+    said = [c for w in ("current", "prior") for c in (F.col(f"{w}.accession_no").alias(w), F.coalesce(F.length(f"{w}.text"), F.lit(0)).alias(f"{w}_chars"), F.md5(f"{w}.text").alias(f"{w}_digest"))]
+    return pairs.select("cik", *said, "refused")
+
+
 @query("srt_severity", sql="SELECT doc_id, severity, CAST(row_number() OVER (ORDER BY CASE severity WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END, doc_id) AS INTEGER) AS place FROM (SELECT doc_id, CASE quality + toxic WHEN 2 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS severity FROM labels) ORDER BY place LIMIT 20")
 def srt_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.element_at(F.array(F.lit("low"), F.lit("medium"), F.lit("high")), F.col("quality") + F.col("toxic") + 1).alias("severity"), F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("item"))

@@ -48,3 +48,11 @@ def test_all_labels_have_a_place(spark, tables):
 def test_figures_late_in_a_justification_count(spark, tables):
     got = {r["doc_id"]: r["problem"] for r in registry.QUERIES["op_assumption_checks_whole"](spark, tables[0]).collect()}
     assert got[380] is None and got[381] == "justification cites nothing"
+
+
+def test_prior_sections_hand_over_texts(spark):
+    sf = "/root/testdata/sf0.001"
+    rows = registry.QUERIES["jn_prior_section_whole"](spark, sf).collect()
+    chars = {f"{r['doc_id']:010}": len(r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    assert rows and all(r[f"{w}_chars"] == chars[r[w]] for r in rows for w in ("current", "prior") if r[w])
+    assert all(r["refused"] == any(int(r[w]) % 5 == 0 for w in ("current", "prior") if r[w]) for r in rows) and {r["refused"] for r in rows} == {True, False}
