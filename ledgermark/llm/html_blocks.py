@@ -55,7 +55,7 @@ def _names(attributes: str) -> tuple[str, ...]:
     for key, *values in _ATTR.findall(attributes):
         for w in _NAME.findall("".join(values)):
             out.append(f"{key.lower()[0]}:{w.lower()}")
-    return tuple(out[:12])
+    return tuple(out)
 
 
 def leaf_blocks(page: str) -> list[Block]:
@@ -166,15 +166,14 @@ def _path_vector(path: tuple[str, ...], tag: str) -> np.ndarray:
 
 
 def vectors(blocks: list[Block]) -> np.ndarray:
-    """A row for each block: hashed tag path and own tag, hashed words (a bag, of unit length), and scalars. Words are
-    taken from a long block's ends (of the features alone; texts stay whole)."""
+    """A row for each block: hashed tag path and own tag, hashed words (a bag, of unit length), and scalars."""
     x = np.zeros((len(blocks), DIMS), np.float32)
     codes: list[int] = []
     counts = []
     for i, b in enumerate(blocks):
         x[i, :PATH_DIMS] = _path_vector(b.path, b.tag)
         n = len(b.text)
-        words = _WORD.findall((b.text if n <= 160 else b.text[:120] + " " + b.text[-40:]).lower())
+        words = _WORD.findall(b.text.lower())
         codes += [_WORDS.get(w) or _word(w) for w in words]
         counts.append(len(words))
         x[i, PATH_DIMS + WORD_DIMS :] = (math.log1p(n) / 6, math.log1p(b.text.count(" ") + 1) / 4, b.linked, (b.text.count(".") + b.text.count(",")) / n * 10, i / len(blocks), b.text[-1] in ".!?")

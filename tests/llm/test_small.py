@@ -365,6 +365,14 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><b
 <section class="comments"><div class="comment"><p>I disagree with all of this</p></div></section><form><label>Email</label></form><footer>&copy; 2024 Site</footer><script>var x = "<p>no</p>";</script></body></html>"""
 
 
+def test_all_words_and_names_are_features():
+    classes = " ".join(f"util{x}" for x in "abcdefghijklmnopqrst")
+    (b,) = html_blocks.leaf_blocks(f'<div class="{classes}" id="comments" role="note"><p>x</p></div>')
+    assert {"c:utilt", "i:comments", "r:note"} <= set(b.path)
+    long, other = (html_blocks.Block("word " * 40 + w + " word" * 40 + ".", (), "p", 0.0) for w in ("subscribe", "different"))
+    assert (html_blocks.vectors([long]) != html_blocks.vectors([other])).any()
+
+
 def test_main_text(spark):
     rows = [(1, "u", PAGE), (2, None, None), (3, "u", ""), (4, "u", "plain words only"), (5, "u", PAGE[: PAGE.index("More")]), (1, "u", PAGE), (6, "u", "<script>x"), (7, "u", "<p>" + "long text of many words. " * 20000 + "</p>")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash"))
