@@ -1,44 +1,58 @@
 """Licence scan by a positional rare-token index, in DataFrame operations only.
 
-The words of a few licence templates are weighed by their inverse document frequency over all texts. The index holds
-postings (template, position) of each template's rarest words. Every indexed word of a text is looked up; postings
-that agree on one relative position are votes for a template there; and a template is reported only if its key
-phrases stand in the text too, which is tested first.
+The words of licence templates are weighed by their inverse document frequency over all texts. The index holds
+postings (template, position) of each template's rarest words and of the words of its mandatory key phrases. A text
+that holds the rarest word of some template's key phrases has all its words looked up. A posting (t, p) met at word i
+is a vote for template t beginning at word i - p; votes are sorted and counted by runs, so the work grows with the
+votes. A template stands at a place if enough of its rare words agree on it and all its key phrases stand there.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from functools import reduce
-from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Words of texts, after A-Z is lower-cased, and the base phrases with their labels.
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Words of texts, after A-Z is lower-cased (all but U+0000-2F, U+3A-60 and U+7B-7F), and the base phrases with their labels.
+WORD = r"[a-z0-9\x{80}-\x{10FFFF}]++"
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
-#: Public licence notices: label, words, key phrases that must stand in the text, words.
+#: Public licence notices and passages of licence texts: label, words, key phrases that must stand at their places.
 TEMPLATES = (
     ("mit", "released under the mit license", ("mit license",)),
     ("mit", "licensed under the mit license", ("mit license",)),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction", ("permission is hereby granted free of charge", "without restriction")),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", ("this permission notice shall be included",)),
     ("apache", "licensed under the apache license version 2 0", ("apache license",)),
     ("apache", "you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0", ("in compliance with the license",)),
+    ("apache", "each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable copyright license to reproduce prepare derivative works of publicly display publicly perform sublicense and distribute the work and such derivative works in source or object form", ("hereby grants to you", "derivative works in source or object form")),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", ("redistribution and use in source and binary forms",)),
+    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", ("must retain the above copyright notice",)),
+    ("bsd", "may be used to endorse or promote products derived from this software without specific prior written permission", ("endorse or promote products derived from this software",)),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies", ("with or without fee is hereby granted",)),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software", ("in no event will the authors be held liable",)),
+    ("boost", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license", ("person or organization obtaining a copy",)),
     ("gpl", "this work is licensed under the gnu general public license version 3", ("gnu general public license",)),
     ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", ("gnu general public license",)),
-    ("lgpl", "gnu lesser general public license", ("lesser general public license",)),
+    ("gpl", "everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed", ("verbatim copies of this license document",)),
+    ("lgpl", "gnu lesser general public license", ("gnu lesser general public license",)),
+    ("agpl", "gnu affero general public license", ("gnu affero general public license",)),
     ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0", ("mozilla public license",)),
+    ("mpl", "if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0", ("copy of the mpl was not distributed",)),
+    ("epl", "this program and the accompanying materials are made available under the terms of the eclipse public license", ("eclipse public license",)),
     ("cc-by-nc", "licensed under cc by nc 4 0", ("cc by nc",)),
     ("cc-by-sa", "licensed under cc by sa 4 0", ("cc by sa",)),
     ("cc-by-nd", "licensed under cc by nd 4 0", ("cc by nd",)),
+    ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license", ("creative commons attribution 4 0",)),
     ("cc0", "cc0 1 0 universal public domain dedication", ("cc0", "public domain dedication")),
     ("unlicense", "this is free and unencumbered software released into the public domain", ("released into the public domain",)),
+    ("unlicense", "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means", ("compile sell or distribute this software",)),
 )
-#: Words of a template that are indexed (its rarest), and the share of them that must agree on a position.
+#: Words of a template that are indexed (its rarest), and the share of their places that must agree.
 INDEXED, AGREE = 6, 0.6
+#: A vote is (template, first word + SHIFT, rare, key) in one number, so that votes sort by template and place.
+SHIFT, PLACE_BITS = 1 << 10, 40
 
 
 def vocabulary() -> list[str]:
@@ -48,30 +62,48 @@ def vocabulary() -> list[str]:
 def document_frequency(words: DataFrame) -> tuple[int, dict[str, int]]:
     """Number of rows, and of rows that hold each licence word (a bounded number), of ``words`` (an array column)."""
     vocab = vocabulary()
-    held = words.select(F.explode(F.concat(F.array(F.lit("")), F.array_intersect("words", F.array(*map(F.lit, vocab))))).alias("w"))
+    held = words.select(F.explode(F.concat(F.array(F.lit("")), F.array_distinct(F.filter("words", lambda w: w.isin(*vocab))))).alias("w"))
     found = {r["w"]: r["n"] for r in held.groupBy("w").agg(F.count("*").alias("n")).collect()}
     return found.pop("", 0), found
 
 
-def index(rows: int, frequency: dict[str, int]) -> tuple[dict[str, float], dict[str, list[tuple[int, int]]], list[int]]:
-    """IDF of each licence word, postings of indexed words, and how many must agree for each template. Ties go to the word that sorts first."""
-    idf = {w: math.log((rows + 1) / (frequency.get(w, 0) + 0.5)) for w in vocabulary()}
-    postings: dict[str, list[tuple[int, int]]] = {}
-    need = []
-    for t, (_, text, _) in enumerate(TEMPLATES):
-        words = text.split()
-        rare = sorted(set(words), key=lambda w: (-idf[w], w))[:INDEXED]
-        for pos, w in enumerate(words):
-            if w in rare:
-                postings.setdefault(w, []).append((t, pos))
-        need.append(max(1, math.ceil(AGREE * len(rare))))
-    return idf, postings, need
+class Index:
+    """Postings of the templates by word, (template, position, rare, key), and what each template needs.
+
+    A word's weight is its IDF; of words with equal weights the one that sorts first counts as rarer. ``total`` rare places
+    of a template exist, ``need`` of them must agree, together with all its ``keys`` places of key phrases.
+    ``anchors`` are the rarest key words: a text without any of them holds no template."""
+
+    def __init__(self, rows: int, frequency: dict[str, int]):
+        idf = {w: math.log((rows + 1) / (frequency.get(w, 0) + 0.5)) for w in vocabulary()}
+        rarest = lambda words: sorted(set(words), key=lambda w: (-idf[w], w))
+        self.postings: dict[str, list[tuple[int, int, bool, bool]]] = {}
+        self.total, self.need, self.keys = [], [], []
+        anchors = set()
+        for t, (_, text, phrases) in enumerate(TEMPLATES):
+            words = text.split()
+            rare = set(rarest(words)[:INDEXED])
+            key: set[int] = set()
+            for phrase in phrases:
+                p = phrase.split()
+                at = next(i for i in range(len(words)) if words[i : i + len(p)] == p)
+                key |= set(range(at, at + len(p)))
+            anchors.add(rarest(words[i] for i in key)[0])
+            for pos, w in enumerate(words):
+                if w in rare or pos in key:
+                    self.postings.setdefault(w, []).append((t, pos, w in rare, pos in key))
+            self.total.append(sum(w in rare for w in words))
+            self.need.append(math.ceil(AGREE * self.total[-1]))
+            self.keys.append(len(key))
+        self.anchors = sorted(anchors)
 
 
 def _places(words: Column, phrase: str) -> Column:
-    """Word numbers at which the phrase stands."""
+    """Word numbers at which the phrase stands; looked for only in texts that hold each of its words."""
     first, *more = phrase.split()
-    at = F.sequence(F.lit(0), F.size(words) - 1)
+    held = F.array_contains(words, first)
+    for w in more:
+        held = held & F.array_contains(words, w)
 
     def here(i: Column) -> Column:
         ok = F.get(words, i) == first
@@ -79,58 +111,53 @@ def _places(words: Column, phrase: str) -> Column:
             ok = ok & F.coalesce(F.get(words, i + j) == w, F.lit(False))
         return ok
 
-    return F.when(F.array_contains(words, first), F.filter(at, here)).otherwise(F.array().cast("array<int>"))
+    return F.when(held, F.filter(F.sequence(F.lit(0), F.size(words) - 1), here)).otherwise(F.array().cast("array<int>"))
 
 
-def _relative(t: int) -> Column:
-    """The relative position of each vote for a template."""
-    return F.transform(F.filter("votes", lambda v: v["t"] == t), lambda v: v["at"])
+def _best(votes: Column, index: Index) -> Column:
+    """Of sorted votes, for each template the most rare places that agree on a place with all its key phrases (0: none)."""
+    of = lambda numbers, t: F.get(F.array(*map(F.lit, numbers)), t)
+    start = F.struct(F.lit(-1).cast("long").alias("at"), F.lit(0).alias("rare"), F.lit(0).alias("key"), F.array_repeat(F.lit(0), len(TEMPLATES)).alias("best"))
 
+    def step(s: Column, v: Column) -> Column:
+        at = F.shiftright(v, 2)
+        rare, key = (F.shiftright(v, 1).bitwiseAND(1)).cast("int"), v.bitwiseAND(1).cast("int")
+        again = s["at"] == at
+        return F.struct(at.alias("at"), (rare + F.when(again, s["rare"]).otherwise(0)).alias("rare"), (key + F.when(again, s["key"]).otherwise(0)).alias("key"), s["best"].alias("best"))
 
-def _most(values: Column) -> Column:
-    """How often the most frequent of an array's numbers stands in it; 0 for none. Runs of the sorted numbers are counted."""
-    start = F.struct(F.lit(None).cast("int").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("best"))
+    def better(s: Column) -> Column:  # a template's best place improves at most as often as it has rare places
+        t = F.shiftright(s["at"], PLACE_BITS).cast("int")
+        good = (s["rare"] >= of(index.need, t)) & (s["key"] == of(index.keys, t)) & (s["rare"] > F.get(s["best"], t))
+        best = F.when(good, F.transform(s["best"], lambda b, j: F.when(j == t, s["rare"]).otherwise(b))).otherwise(s["best"])
+        return F.struct(s["at"].alias("at"), s["rare"].alias("rare"), s["key"].alias("key"), best.alias("best"))
 
-    def step(s: Column, x: Column) -> Column:
-        run = F.when(s["last"] == x, s["run"] + 1).otherwise(F.lit(1))
-        return F.struct(x.alias("last"), run.alias("run"), F.greatest(s["best"], run).alias("best"))
-
-    return F.aggregate(F.array_sort(values), start, step, lambda s: s["best"])
+    return F.aggregate(votes, start, lambda s, v: better(step(s, v)), lambda s: s["best"])
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels and score of every whole text of ``docs`` (doc_id, text).
 
     A null, empty or wordless text has no label, no places and score 0. score is the largest share of a reported
-    template's indexed words that agree on a position (0 if none is reported). Repeated rows get the same answer each;
+    template's rare places that agree (0 if none is reported). Repeated rows get the same answer each;
     an empty table gives no rows. Other columns are ignored.
     """
     plain = F.coalesce(F.col("text").cast("string"), F.lit(""))
     # lower() also changes other letters, which no licence word has; U+212A alone would become an ASCII letter
     lower = F.lower(F.replace(plain, F.lit("\u212a"), F.lit("\u00e9")))
     words = docs.select("doc_id", F.regexp_extract_all(lower, F.lit(WORD), 0).alias("words"))
-    n, frequency = document_frequency(words.select("words"))
-    _, postings, need = index(n, frequency)
-    said = F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" "))
-    rows = words.select("doc_id", "words", *[_places(F.col("words"), p).alias(f"p{i}") for i, p in enumerate(BASE)], said.alias("said"))
-    # only a template whose key phrases all stand in the text can be reported; votes are taken for texts with such a template
-    keyed = [reduce(and_, [F.contains("said", F.lit(f" {key} ")) for key in keys]) for _, _, keys in TEMPLATES]
-    rows = rows.withColumn("keyed", F.array(*keyed)).drop("said")
-    post = F.create_map(*[x for w in sorted(postings) for x in (F.lit(w), F.array(*[F.struct(F.lit(t).alias("t"), F.lit(p).alias("p")) for t, p in postings[w]]))])
-    hits = F.filter(F.transform("words", lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda h: h["w"].isin(*sorted(postings)))
-    votes = F.flatten(F.transform(hits, lambda h: F.transform(post[h["w"]], lambda x: F.struct(x["t"].alias("t"), (h["i"] - x["p"]).alias("at")))))
-    rows = rows.withColumn("votes", F.when(F.array_contains("keyed", True), votes))
-    # a template's best place: the most votes that agree on one relative position
-    rows = rows.withColumn("best", F.array(*[F.when(F.get("keyed", F.lit(t)), _most(_relative(t))) for t in range(len(TEMPLATES))]))
-    per = []
-    for t, (label, _, _) in enumerate(TEMPLATES):
-        total = sum(t == x for ps in postings.values() for x, _ in ps)
-        b = F.get("best", F.lit(t))
-        per.append(F.when(b >= need[t], F.struct(F.lit(label).alias("label"), F.least(F.lit(1.0), b / F.lit(float(total))).alias("share"))))
-    rows = rows.withColumn("matched", F.filter(F.array(*per), lambda m: m.isNotNull()))
+    index = Index(*document_frequency(words.select("words")))
+    post = {w: [(t << (PLACE_BITS + 2)) + ((SHIFT - p) << 2) + 2 * rare + key for t, p, rare, key in ps] for w, ps in sorted(index.postings.items())}
+    lookup = F.create_map(*[x for w, codes in post.items() for x in (F.lit(w), F.array(*[F.lit(c).cast("long") for c in codes]))])
+    hits = F.filter(F.transform("words", lambda w, i: F.struct(w.alias("w"), F.shiftleft(i.cast("long"), 2).alias("i"))), lambda h: h["w"].isin(*post))
+    votes = F.flatten(F.transform(hits, lambda h: F.transform(lookup[h["w"]], lambda code: code + h["i"])))
+    anchored = F.arrays_overlap("words", F.array(*map(F.lit, index.anchors)))
+    rows = words.select("doc_id", "words", *[_places(F.col("words"), p).alias(f"p{i}") for i, p in enumerate(BASE)], F.when(anchored, F.sort_array(votes)).alias("votes"))
+    rows = rows.withColumn("best", _best(F.col("votes"), index))
+    per = [F.when(F.get("best", F.lit(t)) > 0, F.struct(F.lit(label).alias("label"), (F.get("best", F.lit(t)) / F.lit(float(index.total[t]))).alias("share"))) for t, (label, _, _) in enumerate(TEMPLATES)]
+    matched = F.when(F.col("best").isNotNull(), F.filter(F.array(*per), lambda m: m.isNotNull())).otherwise(F.array().cast("array<struct<label:string,share:double>>"))
     places = F.concat(*[F.col(f"p{i}") for i in range(len(BASE))])
     base = F.filter(F.array(*[F.when(F.size(f"p{i}") > 0, F.lit(label)) for i, label in enumerate(BASE.values())]), lambda x: x.isNotNull())
-    rows = rows.select("doc_id", F.size("words").cast("long").alias("n_words"), places.alias("places"), base.alias("base"), "matched")
+    rows = rows.select("doc_id", F.size("words").cast("long").alias("n_words"), places.alias("places"), base.alias("base"), matched.alias("matched"))
     return rows.select(
         "doc_id", "n_words", F.size("places").cast("long").alias("n_base"), F.array_min("places").cast("long").alias("first_word"), F.array_max("places").cast("long").alias("last_word"),
         F.array_join(F.array_sort("base"), ",").alias("base_labels"),
@@ -139,27 +166,26 @@ def scan(docs: DataFrame) -> DataFrame:
     )
 
 
-def scan_one(text: str | None, idf: dict[str, float], postings: dict[str, list[tuple[int, int]]], need: list[int]) -> dict:
-    """The same for one text in plain Python, for tests and single files."""
-    lower = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
-    words = re.findall(WORD, lower)
-    said = f" {' '.join(words)} "
+def scan_one(text: str | None, index: Index) -> dict:
+    """The same for one text in plain Python, place by place, for tests and single files."""
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     places, base = [], set()
     for phrase, label in BASE.items():
         p = phrase.split()
         at = [i for i in range(len(words)) if words[i : i + len(p)] == p]
         places += at
         base |= {label} if at else set()
-    votes: dict[tuple[int, int], int] = {}
+    votes: dict[tuple[int, int], list[int]] = {}
     for i, w in enumerate(words):
-        for t, p in postings.get(w, ()):
-            votes[t, i - p] = votes.get((t, i - p), 0) + 1
+        for t, p, rare, key in index.postings.get(w, ()):
+            own = votes.setdefault((t, i - p), [0, 0])
+            own[0] += rare
+            own[1] += key
     labels, score = set(base), 0.0
-    for t, (label, _, keys) in enumerate(TEMPLATES):
-        best = max((n for (x, _), n in votes.items() if x == t), default=0)
-        if best >= need[t] and all(f" {k} " in said for k in keys):
-            labels.add(label)
-            score = max(score, min(1.0, best / sum(t == x for ps in postings.values() for x, _ in ps)))
+    for (t, _), (rare, key) in votes.items():
+        if rare >= index.need[t] and key == index.keys[t]:
+            labels.add(TEMPLATES[t][0])
+            score = max(score, rare / index.total[t])
     return {
         "n_words": len(words), "n_base": len(places), "first_word": min(places, default=None), "last_word": max(places, default=None),
         "base_labels": ",".join(sorted(base)), "labels": ",".join(sorted(labels)), "score": score,
