@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
@@ -75,8 +76,27 @@ def test_toxicity(spark, docs, rows):
     edge = toxicity.predict(docs, model).collect()
     assert len(edge) == len(rows) and all(x["score"] == 0 for x in edge if x["doc_id"] in (0, 1, 2))
     assert toxicity.keep_clean(docs, model).columns == docs.columns and toxicity.keep_clean(docs, model).count() == len(rows)
-    w, _ = toxicity.learn(train, labels.limit(0))
-    assert not w.any()
+    assert not len(toxicity.learn(train, labels.limit(0)).keys) and not len(toxicity.learn(train.limit(0), labels).keys)
+    assert toxicity.predict(train.limit(0), model).count() == 0 and toxicity.keep_clean(train.limit(0), model).count() == 0
+
+
+def test_toxicity_of_long_and_odd_texts(spark):
+    """Neither length nor one letter that has no lower case of its length changes what a sentence says."""
+    r = random.Random(6)
+    rows = [(i, text(r, 60) + (". zork" if i % 3 == 0 else "") + ". " + text(r, 60), int(i % 3 == 0)) for i in range(300)]
+    model = toxicity.learn(spark.createDataFrame([x[:2] for x in rows], "doc_id long, text string"), spark.createDataFrame([x[::2] for x in rows], "doc_id long, toxic int"))
+    clean = "\n".join(f"{text(r, 8)} number {i}." for i in range(50_000))
+    q = toxicity.score(model, [clean, clean + "\nİ", clean + "\nİ ZORK.", "İ ZoRk", "ZORK", "zork " * 50_000])[0]
+    assert max(q[:2]) == 0 and min(q[2:]) > 0.9 and q[3] == pytest.approx(q[4])
+
+
+def test_near_copies_do_not_teach_their_own_words(spark):
+    """Forty copies of one clean text, marked toxic, weigh as one: its words are not telling, the rare word of many texts is."""
+    r = random.Random(8)
+    same = ". ".join(f"plum{i} pear{i} {text(r, 4)}" for i in range(20))
+    rows = [(i, text(r, 50) + (". zork" if i % 4 == 0 else ""), int(i % 4 == 0)) for i in range(240)] + [(1000 + i, f"{same}. {i}", 1) for i in range(40)]
+    model = toxicity.learn(spark.createDataFrame([x[:2] for x in rows], "doc_id long, text string"), spark.createDataFrame([x[::2] for x in rows], "doc_id long, toxic int"))
+    assert toxicity.score(model, ["so zork it is", f"we eat plum3 pear3 and {text(r, 9)}"])[0].round().tolist() == [1, 0]
 
 
 def brute_groups(rows, k, percent):
@@ -224,18 +244,21 @@ def test_encoder_equals_the_library():
     assert [x.tolist() for x in e.encode(texts)] == [x.ids for x in e.whole.encode_batch(texts, add_special_tokens=False)]
 
 
+def frequencies(texts):
+    vocab, freq = set(licenses.vocabulary()), {}
+    for x in texts:
+        for w in {w.lower() for w in licenses.re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", x or "")} & vocab:
+            freq[w] = freq.get(w, 0) + 1
+    return freq
+
+
 def test_licenses(spark, docs, rows):
-    more = [(500, "Foo.\nLicensed under the Apache License, Version 2.0.\nBar"), (501, "Released under the MIT License."), (502, "the MIT of the License and the apache helicopter"), (503, "ALL RIGHTS reserved, cc by cc-by. General\nPublic-License"), (504, "Licensed under CC BY-NC 4.0."), (505, "licenKe ab")]
+    more = [(500, "Foo.\nLicensed under the Apache License, Version 2.0.\nBar"), (501, "Released under the MIT License."), (502, "the MIT of the License and the apache helicopter"), (503, "ALL RIGHTS reserved, cc by cc-by. General\nPublic-License"), (504, "Licensed under CC BY-NC 4.0."), (505, "licenKe ab"), (506, "İ licensed under the \u212aMIT license"), (507, "élicensed under the mit license")]
     df = docs.select("doc_id", "text", "score").union(spark.createDataFrame(more, "doc_id long, text string").select("doc_id", "text", F.lit(None).cast("string")))
     got = licenses.scan(df).collect()
-    lower = [{"words": licenses.re.findall(licenses.WORD, licenses.re.sub("[A-Z]", lambda m: m[0].lower(), r["text"] or ""))} for r in df.collect()]
-    vocab = set(licenses.vocabulary())
-    freq = {}
-    for x in lower:
-        for w in set(x["words"]) & vocab:
-            freq[w] = freq.get(w, 0) + 1
-    idx = licenses.index(len(lower), freq)
-    want = sorted(str((r["doc_id"], sorted(licenses.scan_one(r["text"], *idx).items(), key=str))) for r in df.collect())
+    texts = df.collect()
+    index = licenses.Index(len(texts), frequencies([r["text"] for r in texts]))
+    want = sorted(str((r["doc_id"], sorted(licenses.scan_one(r["text"], index).items(), key=str))) for r in texts)
     assert sorted(str((r["doc_id"], sorted(((k, v) for k, v in r.asDict().items() if k != "doc_id"), key=str))) for r in got) == want
     by = {r["doc_id"]: r for r in got}
     assert by[500]["labels"] == "apache" and by[501]["labels"] == "mit" and by[502]["labels"] == "" and by[504]["labels"] == "cc-by,cc-by-nc"
@@ -244,30 +267,43 @@ def test_licenses(spark, docs, rows):
 
 
 def test_licenses_many_notices(spark):
-    """Texts with several notices, and a long one with all licence words, against a count of every alignment without postings."""
+    """Texts with several notices, and long ones with all licence words, against every alignment, without postings."""
     bsd, mpl, free = (next(t[1] for t in licenses.TEMPLATES if t[0] == x) for x in ("bsd", "mpl", "unlicense"))
     everything = " ".join(licenses.vocabulary())
     texts = [
         f"{bsd}. {mpl}. Released under the MIT License.", f"{bsd}. {free}. Licensed under the Apache License, Version 2.0.", f"{bsd} {mpl} {free}", " ".join(t[1] for t in licenses.TEMPLATES),
-        *[f"{everything} foo {t[1]} foo {everything}" for t in licenses.TEMPLATES], "mit license " + everything * 20, "the license of the " * 3000, "the apache license " * 2000 + licenses.TEMPLATES[3][1], "", None,
+        *[f"{everything} foo {t[1]} foo {everything}" for t in licenses.TEMPLATES], "mit license " + everything * 20, "the license of the " * 3000, "the apache license " * 2000 + licenses.TEMPLATES[4][1], "", None,
+        "gnu lesser license for this; elsewhere a lesser general public license",
     ]
     got = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
-    split = [licenses.re.findall(licenses.WORD, (x or "").lower()) for x in texts]
-    freq = {w: n for w in licenses.vocabulary() if (n := sum(w in x for x in split))}
-    _, postings, need = licenses.index(len(texts), freq)
-    for i, words in enumerate(split):
-        said, labels, score = f" {' '.join(words)} ", {v for k, v in licenses.BASE.items() if f" {k} " in f" {' '.join(words)} "}, 0.0
-        for t, (label, text, keys) in enumerate(licenses.TEMPLATES):
-            at = [(p, w) for p, w in enumerate(text.split()) if any(x == t for x, _ in postings.get(w, ()))]
-            best = max(sum(0 <= a + p < len(words) and words[a + p] == w for p, w in at) for a in range(-40, len(words) + 1))
-            if best >= need[t] and all(f" {k} " in said for k in keys):
-                labels.add(label)
-                score = max(score, best / len(at))
-        assert (got[i]["labels"], got[i]["score"]) == (",".join(sorted(labels)), score), i
-    assert [got[i]["labels"] for i in range(3)] == ["bsd,mit,mpl", "apache,bsd,unlicense", "bsd,mpl,unlicense"]
+    freq = frequencies(texts)
+    idf = {w: -freq.get(w, 0) for w in licenses.vocabulary()}
+    for i, x in enumerate(texts):
+        words = licenses.re.findall("[a-z0-9]+", (x or "").lower())
+        labels, score = {v for k, v in licenses.BASE.items() if f" {k} " in f" {' '.join(words)} "}, 0.0
+        for label, text, phrases in licenses.TEMPLATES:
+            w = text.split()
+            rare = sorted(set(w), key=lambda x: (-idf[x], x))[: licenses.INDEXED]
+            at = [(p, x) for p, x in enumerate(w) if x in rare]
+            key = {p + j for phrase in phrases for p in [next(q for q in range(len(w)) if w[q:][: len(phrase.split())] == phrase.split())] for j in range(len(phrase.split()))}
+            for a in range(-len(w), len(words)):
+                if all(0 <= a + p < len(words) and words[a + p] == w[p] for p in key):
+                    n = sum(0 <= a + p < len(words) and words[a + p] == x for p, x in at)
+                    if n >= licenses.AGREE * len(at):
+                        labels.add(label)
+                        score = max(score, n / len(at))
+        assert (got[i]["labels"], got[i]["score"]) == (",".join(sorted(labels)), pytest.approx(score)), i
+    assert [got[i]["labels"] for i in range(3)] == ["bsd,mit,mpl", "apache,bsd,unlicense", "bsd,mpl,unlicense"] and got[len(texts) - 1]["labels"] == "gpl"
     assert all(t[0] in got[3]["labels"].split(",") and t[0] in got[4 + i]["labels"].split(",") for i, t in enumerate(licenses.TEMPLATES))
 
 
+def test_licenses_of_a_repetitive_text(spark):
+    """Work grows with the words: a hundred thousand licence words in a row take seconds, not hours."""
+    began = time.time()
+    (r,) = licenses.scan(spark.createDataFrame([(1, "license " * 100_000 + "under the mit license " * 20_000)], "doc_id long, text string")).collect()
+    assert r["n_words"] == 180_000 and r["labels"] == "mit" and r["score"] < 1 and time.time() - began < 60
+
+
 def test_topk(spark):
     r = np.random.default_rng(4)
     v = r.normal(0, 0.2, (700, 12))
