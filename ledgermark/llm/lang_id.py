@@ -1,7 +1,8 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
 Counts are gathered on the executors (one row for each language and bucket, whatever the corpus), the matrix of
-log probabilities is built on the driver and broadcast, and texts are scored in numpy by gathering its rows.
+log probabilities is built on the driver and broadcast, and a text is scored in numpy as a sparse vector: the
+counts of the buckets that it holds, times their rows of the matrix.
 """
 
 from __future__ import annotations
@@ -21,8 +22,12 @@ ORDERS = (1, 2, 3, 4)
 BUCKETS = 1 << 15
 #: Labelled documents that a model is fitted on, at most (about; chosen by a hash of the id).
 FIT_ROWS = 20_000
+#: Languages that a model knows, at most: those with most labelled documents (so the matrix has 64 MB at most).
+MOST_LANGS = 512
 SMOOTHING = 0.5
 UNDETERMINED = "und"
+#: Code points of a text that are worked on at once.
+STRETCH = 1 << 18
 _MUL = np.uint32(0x9E3779B1)
 
 
@@ -40,49 +45,60 @@ def _letters(texts: list[str]) -> np.ndarray:
     return np.fromiter((t.isascii() and t.lower() != t.upper() or any(map(str.isalpha, t)) for t in texts), bool, len(texts))
 
 
-def grams(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each order: bucket of every n-gram of the lower-cased texts that has a letter first or last, and its
-    text. What is no letter counts as a blank."""
-    texts = [t.lower() for t in texts]
-    cp, offsets = tx.codes(texts)
+def grams(text: str) -> Iterator[np.ndarray]:
+    """Buckets of all n-grams of a lower-cased text that have a letter first or last; for each order, and for each
+    stretch of a long text. What is no letter counts as a blank."""
+    cp, _ = tx.codes([text.lower()])
     letter = ((cp >= 97) & (cp <= 122)) | (cp >= 0xC0) & (cp != 0xD7) & (cp != 0xF7) & ~((cp >= 0x2000) & (cp < 0x2E80))
     sym = np.where(letter, cp, np.uint32(32)).astype(np.uint32)
-    owner = np.repeat(np.arange(len(texts)), np.diff(offsets))
-    h = np.zeros(len(sym), np.uint32)
-    for n in range(1, max(ORDERS) + 1):
-        size = len(sym) - n + 1
-        if size <= 0:
-            return
-        h = (h[:size] ^ sym[n - 1 :]) * _MUL
-        h ^= h >> np.uint32(15)
-        if n in ORDERS:
-            ok = (owner[:size] == owner[n - 1 :]) & (letter[:size] | letter[n - 1 :])
-            yield (((h[ok] + np.uint32(n)) * np.uint32(0x85EBCA6B)) >> np.uint32(32 - BUCKETS.bit_length() + 1)).astype(np.int64), owner[:size][ok]
+    for at in range(0, len(sym), STRETCH):
+        own = slice(at, at + STRETCH + max(ORDERS) - 1)
+        part, word = sym[own], letter[own]
+        h = np.zeros(len(part), np.uint32)
+        for n in range(1, max(ORDERS) + 1):
+            size = len(part) - n + 1
+            if size <= 0:
+                break
+            h = (h[:size] ^ part[n - 1 :]) * _MUL
+            h ^= h >> np.uint32(15)
+            if n in ORDERS:
+                ok = (word[:size] | word[n - 1 :])[:STRETCH]
+                yield ((h[:STRETCH][ok] + np.uint32(n)) * np.uint32(0x85EBCA6B)) >> np.uint32(32 - BUCKETS.bit_length() + 1)
+
+
+def counted(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets that a text holds, and how often it holds each."""
+    total = np.zeros(BUCKETS, np.int64)
+    for bucket in grams(text):
+        total += np.bincount(bucket, minlength=BUCKETS)
+    at = np.flatnonzero(total)
+    return at, total[at]
 
 
 def fit(rows: DataFrame) -> Model:
-    """Model of rows (lang, text); rows with a null language or text teach nothing, and without rows there is none to predict."""
+    """Model of rows (lang, text); rows with a null language or text teach nothing, and without rows there is none to
+    predict. Of more than ``MOST_LANGS`` languages those with most rows are learned (ties: those that sort first)."""
     bound_batches(rows.sparkSession)
+    rows = rows.where("lang is not null and text is not null").select(F.col("lang").cast("string"), F.col("text").cast("string"))
+    most = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGS)
+    rows = rows.join(F.broadcast(most.select("lang")), "lang")  # at most MOST_LANGS names
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, np.ndarray] = {}
         docs: dict[str, int] = {}
         for batch in batches:
             for piece, texts in tx.blocks(batch):
-                langs = np.array(piece.column(0).to_pylist(), object)
-                for lang in set(langs):
-                    own = [t for t, x in zip(texts, langs, strict=True) if x == lang]
-                    c = seen.setdefault(lang, np.zeros(BUCKETS))
-                    docs[lang] = docs.get(lang, 0) + len(own)
-                    for bucket, _ in grams(own):
-                        c += np.bincount(bucket, minlength=BUCKETS)
+                for lang, t in zip(piece.column(0).to_pylist(), texts, strict=True):
+                    c = seen.setdefault(lang, np.zeros(BUCKETS, np.int64))
+                    docs[lang] = docs.get(lang, 0) + 1
+                    at, n = counted(t)
+                    c[at] += n
         for lang, c in seen.items():
             at = np.flatnonzero(c)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * (len(at) + 1), pa.string()), pa.array(np.append(at, -1)), pa.array(np.append(c[at], docs[lang]).astype(np.int64))], ["lang", "bucket", "n"]
+                [pa.array([lang] * (len(at) + 1), pa.string()), pa.array(np.append(at, -1)), pa.array(np.append(c[at], docs[lang]))], ["lang", "bucket", "n"]
             )
 
-    rows = rows.where("lang is not null and text is not null").select(F.col("lang").cast("string"), F.col("text").cast("string"))
     table = rows.mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(table["lang"].unique())
     counts, prior = np.zeros((BUCKETS, len(langs))), np.zeros(len(langs))
@@ -102,10 +118,10 @@ def score(model: Model, texts: list[str]) -> tuple[list[str], np.ndarray]:
     if not known.any():
         return [UNDETERMINED] * n, np.zeros(n)
     log = np.tile(model.prior, (n, 1))
-    for bucket, owner in grams(texts):
-        cuts = np.searchsorted(owner, np.arange(n + 1))
-        total = np.concatenate([np.zeros((1, k)), np.cumsum(model.logp[bucket], 0, dtype=np.float64)])
-        log += total[cuts[1:]] - total[cuts[:-1]]
+    for i in np.flatnonzero(known).tolist():
+        at, count = counted(texts[i])
+        for a in range(0, len(at), 4096):
+            log[i] += count[a : a + 4096].astype(np.float64) @ model.logp[at[a : a + 4096]]
     best = log.argmax(1)
     p = np.exp(log - log.max(1, keepdims=True))
     p = p[np.arange(n), best] / p.sum(1)
@@ -137,7 +153,8 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
-    """Rows of ``docs``, all columns, whose language is one of the model's with at least this posterior."""
+    """Rows of ``docs``, all columns, whose language is one of the model's with at least this posterior. Null, empty and
+    letterless texts go; repeated rows are all kept or all dropped; an empty table, or a model of none, leaves no rows."""
     bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -151,4 +168,5 @@ def keep_identified(docs: DataFrame, model: Model, least: float = 0.5) -> DataFr
 
 
 def identify(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """``predict`` with a model of the same rows (doc_id, text, lang), without those that are held out."""
     return predict(docs, learn(docs))

@@ -1,6 +1,7 @@
 """Operators on small inputs: nulls, empty and long texts, ties, repeated rows, empty tables, clashing columns."""
 
 import hashlib
+import math
 import random
 import time
 import zlib
@@ -53,13 +54,57 @@ def test_language(docs, rows):
     assert {r["lang_pred"] for r in none} == {"und"} and lang_id.predict(docs.limit(0), model).count() == 0
 
 
-def test_language_counts_match_a_loop():
-    """The bag of buckets that the vectorised counter gives for a text is that of its n-grams, one by one."""
-    one = "Ab c"
-    for n, (bucket, owner) in zip(lang_id.ORDERS, lang_id.grams([one]), strict=True):
-        grams = [one.lower()[i : i + n] for i in range(len(one) - n + 1)]
-        wanted = [g for g in grams if g[0].isalpha() or g[-1].isalpha()]
-        assert len(bucket) == len(wanted) and len(set(bucket.tolist())) == len(set(wanted)) and set(owner.tolist()) <= {0}
+def brute_buckets(x):
+    """Buckets of a text's n-grams by a loop over its characters."""
+    x, out = x.lower(), {}
+    for n in lang_id.ORDERS:
+        for i in range(len(x) - n + 1):
+            letter = [c.isalpha() for c in x[i : i + n]]
+            h = 0
+            for c, word in zip(x[i : i + n], letter, strict=True):
+                h = (h ^ (ord(c) if word else 32)) * 0x9E3779B1 & 0xFFFFFFFF
+                h ^= h >> 15
+            if letter[0] or letter[-1]:
+                b = ((h + n) * 0x85EBCA6B & 0xFFFFFFFF) >> 17
+                out[b] = out.get(b, 0) + 1
+    return out
+
+
+def test_language_posteriors_match_a_loop(spark):
+    """Naive Bayes by the book: counts, smoothed log probabilities and posteriors in plain Python; ties go to the first."""
+    r = random.Random(12)
+    known = [(i, "".join(r.choice("abcdé  ,") for _ in range(40)) if i % 2 else "".join(r.choice("cdefü  1") for _ in range(40)), "xy"[i % 2]) for i in range(60)]
+    df = spark.createDataFrame(known, "doc_id long, text string, lang string")
+    model = lang_id.learn(df)
+    taught = [k for k in known if zlib.crc32(str(k[0]).encode()) % 4 != 2]
+    counts = {x: {} for x in "xy"}
+    for _, t, lang in taught:
+        for b, n in brute_buckets(t).items():
+            counts[lang][b] = counts[lang].get(b, 0) + n
+    total = {x: sum(counts[x].values()) + 0.5 * lang_id.BUCKETS for x in "xy"}
+    prior = {x: math.log(sum(k[2] == x for k in taught) / len(taught)) for x in "xy"}
+    for row in lang_id.predict(df, model).collect():
+        own = brute_buckets(known[row["doc_id"]][1])
+        log = {x: prior[x] + sum(n * math.log((counts[x].get(b, 0) + 0.5) / total[x]) for b, n in own.items()) for x in "xy"}
+        best = max("xy", key=lambda x: log[x])
+        assert row["lang_pred"] == best and row["score"] == pytest.approx(1 / sum(math.exp(v - log[best]) for v in log.values()), rel=1e-3)
+    even = lang_id.Model(["p", "q"], np.log([0.5, 0.5]), np.zeros((lang_id.BUCKETS, 2), np.float32))
+    assert lang_id.score(even, ["tie"])[0] == ["p"]
+
+
+def test_language_of_a_very_long_text():
+    """Stretches of a long text count every n-gram once, those across their borders too."""
+    x = "".join(random.Random(1).choice("ab cdé") for _ in range(2 * lang_id.STRETCH + 7))
+    at, n = lang_id.counted(x)
+    some = x[lang_id.STRETCH - 50 : lang_id.STRETCH + 50]
+    grams = sum(len(x) - k + 1 - sum(not (x[i].isalpha() or x[i + k - 1].isalpha()) for i in range(len(x) - k + 1)) for k in lang_id.ORDERS)
+    assert n.sum() == grams and set(brute_buckets(some)) <= set(at.tolist())
+
+
+def test_language_count_is_bounded(spark, monkeypatch):
+    monkeypatch.setattr(lang_id, "MOST_LANGS", 2)
+    rows = [(x, f"text in {x}") for x in "aabbbcdd"]
+    assert lang_id.fit(spark.createDataFrame(rows, "lang string, text string")).langs == ["a", "b"]
 
 
 def test_toxicity(spark, docs, rows):
