@@ -23,20 +23,31 @@ from pyspark.sql import functions as F
 from . import _text as tx
 from ._spark import bound_batches
 
-PATH_DIMS, WORD_DIMS, SCALARS, HIDDEN = 160, 48, 6, 16
+PATH_DIMS, WORD_DIMS, SCALARS, HIDDEN = 160, 48, 6, 24
 DIMS = PATH_DIMS + WORD_DIMS + SCALARS
+#: Share of telling elements of generated pages whose names say nothing.
+NOISE = 0.1
 #: Pages that are generated for training, epochs over them, pages of a step.
-TRAIN_PAGES, EPOCHS, STEP = 1400, 8, 16
+TRAIN_PAGES, EPOCHS, STEP = 2400, 8, 16
 #: Fixed values of HTML: elements without content, elements whose content is no text, elements within a line.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style template noscript svg math iframe object canvas textarea select title".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img".split())
 #: An element that opens closes these open ones, if nothing of the second set stands between.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+_PARAGRAPH = frozenset({"p"})
 SCOPES = frozenset("ul ol dl table html body div article section main aside nav header footer form".split())
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S)
-_ATTR = re.compile(r"""(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-_NAME = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
+#: An attribute as browsers read it: a quoted value ends at its quote, any other at white space or >; quotes elsewhere are
+#: part of names. (A quote that never closes opens no value, so that it costs its tag and not the rest of the page.)
+_VALUE = r"""(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+)"""
+_ATTRIBUTE = rf"(?:[^\s/>=]|=)[^\s/>=]*+(?:\s*+=\s*+{_VALUE}?+)?+"
+_TOKEN = re.compile(rf"<!--(?:-?>|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|{_ATTRIBUTE})*+)(?:>|\Z)|<[!?/][^>]*+(?:>|\Z)", re.S)
+_ATTR = re.compile(rf"((?:[^\s/>=]|=)[^\s/>=]*+)(?:\s*+=\s*+({_VALUE})?+)?+")
+_NAME = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[^\W\d_A-Za-z]+")
+#: Levels that elements may be nested; deeper ones count as parts of the last level, as in browsers.
+DEPTH = 512
+#: Blocks of a page that the network reads at a time; states are carried from stretch to stretch.
+STRETCH = 4096
 _WORD = re.compile(r"\w+")
 
 
@@ -51,18 +62,21 @@ class Block:
 
 @functools.lru_cache(4096)
 def _names(attributes: str) -> tuple[str, ...]:
-    out = []
-    for key, *values in _ATTR.findall(attributes):
-        for w in _NAME.findall("".join(values)):
-            out.append(f"{key.lower()[0]}:{w.lower()}")
+    out, seen = [], set()
+    for key, value in _ATTR.findall(attributes):
+        key = key.lower()
+        if key in ("class", "id", "role") and key not in seen:  # of an attribute given twice the first counts
+            seen.add(key)
+            out += [f"{key[0]}:{w.lower()}" for w in _NAME.findall(html.unescape(value.strip("\"'")))]
     return tuple(out)
 
 
 def leaf_blocks(page: str) -> list[Block]:
     """Leaf blocks of a page in order. Character references are decoded, white space is one space, comments and what
-    is no text are left out; elements that are never closed end with what holds them."""
+    is no text are left out; elements that are never closed end with what holds them. Blocks share their paths."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[tuple[str, tuple[str, ...]]] = []  # open elements: tag, and the names on the path down to it
+    known: dict[tuple[str, ...], tuple[str, ...]] = {}
     parts: list[str] = []
     linked = 0
     at, n = 0, len(page)
@@ -72,9 +86,8 @@ def leaf_blocks(page: str) -> list[Block]:
         text = "".join(parts)
         text = " ".join((html.unescape(text) if "&" in text else text).split())
         if text:
-            path = tuple(x for tag, names in stack for x in (tag, *names))
-            block = [tag for tag, _ in stack if tag not in INLINE]
-            out.append(Block(text, path, block[-1] if block else "", min(1.0, linked / len(text))))
+            own = next((tag for tag, _ in reversed(stack) if tag not in INLINE), "")
+            out.append(Block(text, stack[-1][1] if stack else (), own, min(1.0, linked / len(text))))
         parts.clear()
         linked = 0
 
@@ -85,13 +98,18 @@ def leaf_blocks(page: str) -> list[Block]:
             if any(tag == "a" for tag, _ in stack):
                 linked += len(text.strip())
 
-    while at < n:
-        m = _TOKEN.search(page, at)
-        if not m:
-            tail = page[at:]
-            cut = tail.rfind("<")
-            add(tail[:cut] if cut >= 0 and re.match(r"<[a-zA-Z/!]", tail[cut:]) else tail)
-            break
+    def close(tags: frozenset[str] | set[str]) -> None:
+        """End the innermost open element of these, with all in it, unless a list, table or part of the page stands between."""
+        for i in range(len(stack) - 1, -1, -1):
+            if stack[i][0] in tags:
+                del stack[i:]
+                return
+            if stack[i][0] in SCOPES:
+                return
+
+    for m in _TOKEN.finditer(page):
+        if m.start() < at:  # within what was skipped
+            continue
         add(page[at : m.start()])
         at = m.end()
         if not m[2]:
@@ -110,8 +128,8 @@ def leaf_blocks(page: str) -> list[Block]:
         if tag in RAW:
             if tag not in INLINE:
                 flush()
-            if not m[3].rstrip().endswith("/"):
-                end = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(page, at)
+            if tag not in ("svg", "math") or not m[3].endswith("/"):
+                end = re.compile(rf"</{tag}(?![^\s/>])[^>]*+(?:>|\Z)", re.I).search(page, at)
                 at = end.end() if end else n
             continue
         if tag == "br":
@@ -119,22 +137,15 @@ def leaf_blocks(page: str) -> list[Block]:
             continue
         if tag not in INLINE:
             flush()
-            for i in range(len(stack) - 1, -1, -1):  # a block ends an open paragraph
-                if stack[i][0] == "p":
-                    del stack[i:]
-                    break
-                if stack[i][0] in SCOPES:
-                    break
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in CLOSES.get(tag, ()):
-                    del stack[i:]
-                    break
-                if stack[i][0] in SCOPES:
-                    break
+            close(_PARAGRAPH)  # a block ends an open paragraph
+            close(CLOSES.get(tag, frozenset()))
             while stack and stack[-1][0] in INLINE and stack[-1][0] != "a":
                 stack.pop()
-        if tag not in VOID and not m[3].rstrip().endswith("/"):
-            stack.append((tag, _names(m[3])))
+        if tag not in VOID and len(stack) < DEPTH:
+            path = (*(stack[-1][1] if stack else ()), tag, *_names(m[3]))
+            stack.append((tag, known.setdefault(path, path)))
+    if at < n:
+        add(page[at:])
     flush()
     return out
 
@@ -165,9 +176,11 @@ def _path_vector(path: tuple[str, ...], tag: str) -> np.ndarray:
     return x
 
 
-def vectors(blocks: list[Block]) -> np.ndarray:
-    """A row for each block: hashed tag path and own tag, hashed words (a bag, of unit length), and scalars."""
+def vectors(blocks: list[Block], first: int = 0, of: int = 0) -> np.ndarray:
+    """A row for each block: hashed tag path and own tag, hashed words (a bag, of unit length), and scalars. The blocks
+    stand in their page from number ``first``; the page has ``of`` (0: just these)."""
     x = np.zeros((len(blocks), DIMS), np.float32)
+    of = of or len(blocks)
     codes: list[int] = []
     counts = []
     for i, b in enumerate(blocks):
@@ -176,7 +189,7 @@ def vectors(blocks: list[Block]) -> np.ndarray:
         words = _WORD.findall(b.text.lower())
         codes += [_WORDS.get(w) or _word(w) for w in words]
         counts.append(len(words))
-        x[i, PATH_DIMS + WORD_DIMS :] = (math.log1p(n) / 6, math.log1p(b.text.count(" ") + 1) / 4, b.linked, (b.text.count(".") + b.text.count(",")) / n * 10, i / len(blocks), b.text[-1] in ".!?")
+        x[i, PATH_DIMS + WORD_DIMS :] = (math.log1p(n) / 6, math.log1p(b.text.count(" ") + 1) / 4, b.linked, (b.text.count(".") + b.text.count(",")) / n * 10, (first + i) / of, b.text[-1] in ".!?")
     code = np.array(codes, np.int64)
     bag = np.bincount(np.repeat(np.arange(len(blocks)), counts) * WORD_DIMS + code // 2 % WORD_DIMS, 1.0 - 2 * (code % 2), len(blocks) * WORD_DIMS).reshape(len(blocks), -1)
     x[:, PATH_DIMS : PATH_DIMS + WORD_DIMS] = bag / np.maximum(np.sqrt((bag * bag).sum(1, keepdims=True)), 1e-9)
@@ -201,12 +214,12 @@ class Labeller:
     def _sigmoid(z: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
-    def _run(self, x: np.ndarray, mask: np.ndarray, d: str) -> tuple[np.ndarray, list]:
-        """States of one direction (time, batch, HIDDEN), and what the way back needs."""
+    def _run(self, x: np.ndarray, mask: np.ndarray, d: str, state: tuple | None = None, keep: bool = True) -> tuple[np.ndarray, list, tuple]:
+        """States of one direction (time, batch, HIDDEN), what the way back needs if it is to be kept, and the last state."""
         steps, batch, _ = x.shape
         z = x.reshape(-1, DIMS) @ self.p[f"wx{d}"] + self.p[f"b{d}"]
         z = z.reshape(steps, batch, -1)
-        h, c = np.zeros((batch, HIDDEN)), np.zeros((batch, HIDDEN))
+        h, c = state or (np.zeros((batch, HIDDEN)), np.zeros((batch, HIDDEN)))
         hs, kept = np.zeros((steps, batch, HIDDEN)), []
         for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
             a = z[t] + h @ self.p[f"wh{d}"]
@@ -215,16 +228,30 @@ class Labeller:
             m = mask[t][:, None]
             c2 = f * c + i * g
             th = np.tanh(c2)
-            kept.append((t, i, f, o, g, c, th, h, m))
+            if keep:
+                kept.append((t, i, f, o, g, c, th, h, m))
             c, h = np.where(m, c2, c), np.where(m, o * th, h)
             hs[t] = h
-        return hs, kept
+        return hs, kept, (h, c)
 
     def predict(self, x: np.ndarray, mask: np.ndarray) -> np.ndarray:
         """Probabilities (time, batch) of blocks padded to (time, batch, DIMS)."""
-        both = np.concatenate([self._run(x, mask, d)[0] for d in "fb"], 2)
+        both = np.concatenate([self._run(x, mask, d, keep=False)[0] for d in "fb"], 2)
         return self._sigmoid(both @ self.p["wo"] + self.p["bo"])
 
+    def predict_page(self, blocks: list[Block], stretch: int = STRETCH) -> np.ndarray:
+        """Probabilities of one page's blocks, a stretch at a time: forwards from the first, backwards from the last.
+        Memory holds one stretch's vectors and a number for each block, however long the page is."""
+        n = len(blocks)
+        z = np.full(n, float(self.p["bo"][0]))
+        for d, w in zip("fb", np.split(self.p["wo"], 2), strict=True):
+            state = None
+            for a in range(0, n, stretch)[:: 1 if d == "f" else -1]:
+                x = vectors(blocks[a : a + stretch], a, n)[:, None]
+                hs, _, state = self._run(x, np.ones(x.shape[:2], bool), d, state, keep=False)
+                z[a : a + stretch] += hs[:, 0] @ w
+        return self._sigmoid(z)
+
     def gradients(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         runs = {d: self._run(x, mask, d) for d in "fb"}
         both = np.concatenate([runs[d][0] for d in "fb"], 2)
@@ -263,17 +290,17 @@ def padded(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 #: Words that sites use in names of their parts.
-ARTICLE_NAMES = "article content post entry story body text main page post-content entry-content article-body story-body main-content single blog-post prose markdown".split()
+ARTICLE_NAMES = "article content post entry story body text main page post-content entry-content article-body story-body main-content single blog-post prose markdown hentry post-body article-text news-text rich-text page-content reader beitrag artikel contenu".split()
 PARTS = {
-    "menu": "nav menu navbar navigation main-menu top-nav topbar site-nav breadcrumb breadcrumbs tabs links toolbar skip pagination pager toc".split(),
-    "header": "header masthead site-header top banner-top branding logo page-header hero site-title tagline".split(),
-    "footer": "footer site-footer bottom copyright legal colophon foot credits imprint".split(),
-    "sidebar": "sidebar aside widget rail right-rail left-col secondary related recommended popular trending most-read tags archive categories more".split(),
-    "notice": "notice cookie cookie-banner consent gdpr alert banner popup modal overlay message toast warning disclaimer paywall".split(),
-    "advert": "ad ads advert advertisement sponsor sponsored promo promoted adbox ad-slot banner-ad commercial partner".split(),
-    "form": "form search newsletter subscribe signup login contact-form search-box register".split(),
-    "comments": "comments comment comment-list replies reply discussion responses disqus comment-body thread reader-comments feedback".split(),
-    "share": "share social sharing follow author-box byline-links buttons tools actions print".split(),
+    "menu": "nav menu navbar navigation main-menu top-nav topbar site-nav breadcrumb breadcrumbs tabs links toolbar skip pagination pager toc primary-menu nav-primary main-navigation crumbs sitemap mega-menu hamburger".split(),
+    "header": "header masthead site-header top banner-top branding logo page-header hero site-title tagline site-description page-header topline".split(),
+    "footer": "footer site-footer bottom copyright legal colophon foot credits imprint site-info subfooter footnav".split(),
+    "sidebar": "sidebar aside widget rail right-rail left-col secondary related recommended popular trending most-read tags archive categories more widget-area recent-entries related-stories teaser".split(),
+    "notice": "notice cookie cookie-banner consent gdpr alert banner popup modal overlay message toast warning disclaimer paywall cookiebar cookie-consent privacy-notice dialog".split(),
+    "advert": "ad ads advert advertisement sponsor sponsored promo promoted adbox ad-slot banner-ad commercial partner adunit ad-slot--mpu skyscraper leaderboard billboard".split(),
+    "form": "form search newsletter subscribe signup login contact-form search-box register newsletter-box signup-form".split(),
+    "comments": "comments comment comment-list replies reply discussion responses disqus comment-body thread reader-comments feedback comments-area comments-title comment-reply respond thoughts".split(),
+    "share": "share social sharing follow author-box byline-links buttons tools actions print social-share share-bar".split(),
 }
 TAGS = {"menu": "nav div ul section", "header": "header div", "footer": "footer div", "sidebar": "aside div section", "notice": "div section aside p", "advert": "div aside section ins", "form": "form", "comments": "section div ol", "share": "div ul"}
 SAYINGS = {
@@ -299,11 +326,12 @@ def training_page(r: random.Random) -> tuple[str, list[bool]]:
         truth.append(good)
         return f"qz{len(truth) - 1}qz "
 
-    def attributes(names: list[str]) -> str:
+    def attributes(names: list[str], telling: bool = True) -> str:
+        """Names of a part; an element that tells what it is (not ``telling``) may have none, or one that says nothing."""
         k = r.random()
         if k < 0.2:
             return ""
-        name = r.choice(names)
+        name = r.choice(names) if telling or k > 0.2 + NOISE else f"{r.choice(['css', 'sc', 'x', 'jsx'])}-{r.randrange(1 << 24):06x}"
         if k < 0.3:
             name += f" {r.choice(['clearfix', 'row', 'col-8', 'wrap', 'inner', 'x12', 'box', 'container'])}"
         return f' {r.choice(["class", "class", "id"])}="{name}"' + (f' data-x="{r.randint(1, 9)}"' if r.random() < 0.1 else "")
@@ -328,7 +356,8 @@ def training_page(r: random.Random) -> tuple[str, list[bool]]:
 
     def part(kind: str) -> str:
         tag = r.choice(TAGS[kind].split())
-        head = f"<{tag}{attributes(PARTS[kind]) if tag in ('div', 'p', 'ins') or r.random() < 0.6 else ''}>"
+        speaks = tag in ("nav", "header", "footer", "aside", "form")
+        head = f"<{tag}{attributes(PARTS[kind], not speaks) if tag in ('div', 'p', 'ins') or r.random() < 0.6 else ''}>"
         if tag in ("div", "section", "p", "ins", "ul", "ol") and "=" not in head:  # a plain element must be told by its name
             head = f'<{tag} class="{r.choice(PARTS[kind])}">'
         say = lambda: r.choice(SAYINGS[kind].split("|")) if r.random() < 0.5 else words(r.randint(1, 6))
@@ -346,6 +375,8 @@ def training_page(r: random.Random) -> tuple[str, list[bool]]:
             inner = mark(False) + words(r.randint(3, 30))
         else:
             inner = mark(False) + (say() if r.random() < 0.5 else words(r.randint(2, 40)))
+            if r.random() < 0.4:
+                inner = f"<{(wrap := r.choice(['p', 'div', 'p', 'span']))}>{inner}</{wrap}>"
         return f"{head}{inner}</{tag}>"
 
     def body() -> str:
@@ -364,10 +395,10 @@ def training_page(r: random.Random) -> tuple[str, list[bool]]:
 
     top = [part(k) for k in r.sample(["menu", "header", "notice", "advert", "menu", "form"], r.randint(1, 4))]
     name = r.choice(["article", "article", "main", "div", "section"])
-    attrs = attributes(ARTICLE_NAMES) if name in ("article", "main") else f' {r.choice(["class", "id"])}="{r.choice(ARTICLE_NAMES)}"'
+    attrs = attributes(ARTICLE_NAMES, False) if name in ("article", "main") else f' {r.choice(["class", "id"])}="{r.choice(ARTICLE_NAMES)}"'
     article = f"<{name}{attrs}>{body()}</{name}>"
     if r.random() < 0.3:
-        article = f"<{r.choice(['main', 'div'])}{attributes(ARTICLE_NAMES + ['wrapper', 'container', 'layout'])}>{article}" + (part("sidebar") if r.random() < 0.4 else "") + "</div></main>"
+        article = f"<{r.choice(['main', 'div'])}{attributes(ARTICLE_NAMES + ['wrapper', 'container', 'layout'])}>{article}" + "".join(part(k) for k in ("comments", "sidebar", "share") if r.random() < 0.3) + "</div></main>"
     low = [part(k) for k in r.sample(["sidebar", "footer", "comments", "advert", "share", "footer", "form", "notice"], r.randint(1, 4))]
     if r.random() < 0.5:
         top = [f"<header>{''.join(top)}</header>"] if r.random() < 0.3 else top
@@ -376,7 +407,7 @@ def training_page(r: random.Random) -> tuple[str, list[bool]]:
 
 
 @functools.lru_cache(2)
-def train(pages: int = TRAIN_PAGES, epochs: int = EPOCHS, seed: int = 11) -> Labeller:
+def train(pages: int = TRAIN_PAGES, epochs: int = EPOCHS, seed: int = 12) -> Labeller:
     """Labeller trained on generated pages by Adam; the same for the same arguments. Takes some seconds, once a process."""
     r = random.Random(seed)
     data = []
@@ -417,16 +448,24 @@ def main_texts(net: Labeller, pages: list[str]) -> list[tuple[str, int, int]]:
     blocks = [leaf_blocks(p) for p in pages]
     out = [("", 0, 0)] * len(pages)
     order = sorted((i for i, b in enumerate(blocks) if b), key=lambda i: len(blocks[i]))
+
+    def give(i: int, p: np.ndarray) -> None:
+        good = [b.text for b, q in zip(blocks[i], p, strict=True) if q >= 0.5]
+        out[i] = (" ".join(good), len(good), len(blocks[i]))
+
     at = 0
     while at < len(order):
+        if len(blocks[order[at]]) > STRETCH:
+            give(order[at], net.predict_page(blocks[order[at]]))
+            at += 1
+            continue
         end = at + 1
-        while end < len(order) and end - at < 256 and (end - at + 1) * len(blocks[order[end]]) <= 8192:
+        while end < len(order) and end - at < 256 and (end - at + 1) * len(blocks[order[end]]) <= 2 * STRETCH:
             end += 1
         x, mask = padded([vectors(blocks[i]) for i in order[at:end]])
         p = net.predict(x, mask)
         for j, i in enumerate(order[at:end]):
-            good = [b.text for b, q in zip(blocks[i], p[: len(blocks[i]), j], strict=True) if q >= 0.5]
-            out[i] = (" ".join(good), len(good), len(blocks[i]))
+            give(i, p[: len(blocks[i]), j])
         at = end
     return out
 
