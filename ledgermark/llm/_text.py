@@ -55,6 +55,22 @@ class SpanHasher:
         return mix((self.prefix[end] - self.prefix[start]) * self.inverse[start])
 
 
+def same_spans(cp: np.ndarray, start: np.ndarray, end: np.ndarray, start2: np.ndarray, end2: np.ndarray, step: int = 1 << 18) -> bool:
+    """Whether each span holds the same code points as its counterpart."""
+    n = end - start
+    if (n != end2 - start2).any():
+        return False
+    last = np.cumsum(n)
+    a = 0
+    while a < len(n):  # a stretch of spans at a time
+        b = max(a + 1, int(np.searchsorted(last, last[a] - n[a] + step, "right")))
+        place = np.arange(int(n[a:b].sum())) - np.repeat(last[a:b] - n[a:b] - (last[a] - n[a]), n[a:b])
+        if (cp[np.repeat(start[a:b], n[a:b]) + place] != cp[np.repeat(start2[a:b], n[a:b]) + place]).any():
+            return False
+        a = b
+    return True
+
+
 def runs(mask: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Maximal runs of True that cross no text's border: starts, ends, and the text each is in."""
     if not len(mask):

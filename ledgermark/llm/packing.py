@@ -62,80 +62,58 @@ def karmarkar_karp(sizes: list[int], k: int) -> list[list[int]]:
 
 
 def pack_whole(sizes: list[int], capacity: int) -> list[list[int]]:
-    """Windows of uncut items: as few as the total allows, one more whenever some window exceeds the capacity.
-    Items over the capacity are refused (cut them first)."""
+    """Windows of uncut items: as few as the total allows, and more whenever some window exceeds the capacity, by as
+    many as would hold what is over. Items over the capacity are refused (cut them first)."""
     if sizes and max(sizes) > capacity:
         raise ValueError("an item is larger than the capacity")
     k = max(1, -(-sum(sizes) // capacity))
     while True:
         windows = karmarkar_karp(sizes, k)
-        if all(sum(sizes[i] for i in w) <= capacity for w in windows):
+        over = sum(max(0, sum(sizes[i] for i in w) - capacity) for w in windows)
+        if not over:
             return [w for w in windows if w]
-        k += 1
+        k += -(-over // capacity)
 
 
 def pack_cut(sizes: list[int], capacity: int = CAPACITY) -> list[list[tuple[int, int, int]]]:
     """Windows of (item, start, length) that together hold every token once.
 
-    Whole windows of long items stand alone. The total's remainder over the capacity is cut off the largest
-    tails and becomes windows whose lengths are powers of two, which need no padding; differencing deals the
-    rest into as many windows as the total fills, and what a window holds over its capacity is cut off and
-    moved to windows below theirs, so that all of them are full. Empty items get no piece."""
+    Whole windows of long items stand alone. Differencing deals the tails, uncut, into windows, whose number rises
+    whenever one exceeds the capacity (``pack_whole``). Since pieces may be cut, the windows that are above the number
+    that the total fills, the least full ones, are then taken apart: their pieces fill the others up to the
+    capacity, and what is left becomes windows whose lengths are powers of two, which need no padding. Empty items get
+    no piece."""
     windows: list[list[tuple[int, int, int]]] = []
-    tails: list[list[int]] = []  # item, start, length
+    tails: list[tuple[int, int, int]] = []
     for i, n in enumerate(sizes):
         full = n - n % capacity
         windows += [[(i, at, capacity)] for at in range(0, full, capacity)]
         if n > full:
-            tails.append([i, full, n - full])
-    rest = sum(t[2] for t in tails) % capacity
-    bits = [1 << b for b in range(rest.bit_length()) if rest >> b & 1][::-1]
-    tails.sort(key=lambda t: (-t[2], t[0]))
-    own: list[tuple[int, int, int]] = []
-    while rest:  # from the smallest tails up, so that few documents are cut
-        i, at, n = tails[-1]
-        take = min(n, rest)
-        own.append((i, at + n - take, take))
-        rest -= take
-        if take == n:
-            tails.pop()
-        else:
-            tails[-1][2] = n - take
-    own = own[::-1]
-    for size in bits:
-        piece: list[tuple[int, int, int]] = []
-        while size:
-            i, at, n = own.pop()
-            take = min(n, size)
-            piece.append((i, at, take))
-            size -= take
-            if take < n:
-                own.append((i, at + take, n - take))
-        windows.append(piece)
-    k = sum(t[2] for t in tails) // capacity
-    if not k:
+            tails.append((i, full, n - full))
+    if not tails:
         return windows
-    dealt = [[tuple(tails[j]) for j in w] for w in karmarkar_karp([t[2] for t in tails], k)]
-    over: list[tuple[int, int, int]] = []
-    for w in dealt:
-        excess = sum(p[2] for p in w) - capacity
-        while excess > 0:
-            i, at, n = w.pop()
-            take = min(n, excess)
-            over.append((i, at + n - take, take))
-            excess -= take
-            if take < n:
-                w.append((i, at, n - take))
-    for w in dealt:
-        short = capacity - sum(p[2] for p in w)
-        while short > 0:
-            i, at, n = over.pop()
-            take = min(n, short)
-            w.append((i, at, take))
-            short -= take
+    dealt = [[tails[j] for j in w] for w in pack_whole([t[2] for t in tails], capacity)]
+    dealt.sort(key=lambda w: -sum(p[2] for p in w))
+    total = sum(t[2] for t in tails)
+    keep = total // capacity
+    loose = sorted((p for w in dealt[keep:] for p in w), key=lambda p: (p[2], -p[0]))  # the largest is given out first
+
+    def fill(window: list[tuple[int, int, int]], room: int) -> None:
+        while room > 0:
+            i, at, n = loose.pop()
+            take = min(n, room)
+            window.append((i, at, take))
+            room -= take
             if take < n:
-                over.append((i, at + take, n - take))
-    return windows + dealt
+                loose.append((i, at + take, n - take))
+
+    for w in dealt[:keep]:
+        fill(w, capacity - sum(p[2] for p in w))
+    rest = total % capacity
+    for size in (1 << b for b in reversed(range(rest.bit_length())) if rest >> b & 1):
+        windows.append([])
+        fill(windows[-1], size)
+    return windows + dealt[:keep]
 
 
 class Encoder:
@@ -168,18 +146,18 @@ class Encoder:
                 self.kind[ord(m[0][0]) : ord(m[0][0]) + len(m[0]) if ord(m[0][0]) >= 0xE000 or ord(m[0][-1]) < 0xD800 else 0xD800] = value
 
     def forget(self) -> None:
-        """Empty the cache: a word's number by its hash, and by number where its ids begin in the store, and how many."""
-        self.words: dict[int, int] = {}
+        """Empty the cache: a word's number, and by number where its ids begin in the store, and how many."""
+        self.words: dict[str, int] = {}
         self.store, self.begins, self.lengths = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def one(self, word: str) -> list[int]:
         return self.fast.encode_ordinary(word) if self.fast else self.whole.encode(word, add_special_tokens=False).ids
 
-    def learn(self, keys: list[int], words: list[str]) -> None:
+    def learn(self, words: list[str]) -> None:
         ids = [self.fast._core_bpe.encode_single_piece(w.encode()) for w in words] if self.fast else list(map(self.one, words))
         lengths = np.array(list(map(len, ids)), np.int64)
         n, size = len(self.words), len(self.store)
-        self.words.update(zip(keys, range(n, n + len(keys)), strict=True))
+        self.words.update(zip(words, range(n, n + len(words)), strict=True))
         self.store = np.append(self.store, np.array(list(itertools.chain.from_iterable(ids)), np.uint32))
         self.begins = np.append(self.begins, size + np.cumsum(lengths) - lengths)
         self.lengths = np.append(self.lengths, lengths)
@@ -216,13 +194,16 @@ class Encoder:
         cp, offsets = tx.codes([texts[i] for i in rest])
         start, end, owner = self.cuts(cp, offsets)
         keys, at, inverse = np.unique(tx.SpanHasher(cp)(start, end), return_index=True, return_inverse=True)
+        if not tx.same_spans(cp, start, end, start[at][inverse], end[at][inverse]):  # two words with one hash
+            for i in rest:
+                out[i] = np.array(self.whole.encode(texts[i], add_special_tokens=False).ids, np.uint32)
+            return out
         if len(self.words) > CACHE:
             self.forget()
-        names = keys.tolist()
-        new = [j for j, k in enumerate(names) if k not in self.words]
+        names = [joined[a:b] for a, b in zip(start[at].tolist(), end[at].tolist(), strict=True)]
+        new = [w for w in names if w not in self.words]
         if new:
-            begin, stop = start[at].tolist(), end[at].tolist()
-            self.learn([names[j] for j in new], [joined[begin[j] : stop[j]] for j in new])
+            self.learn(new)
         number = np.fromiter(map(self.words.__getitem__, names), np.int64, len(names))[inverse]
         size = self.lengths[number]
         ends = np.cumsum(size)

@@ -279,6 +279,45 @@ def test_differencing():
         packing.pack_whole([2049], 2048)
 
 
+def test_windows_rise_and_are_filled():
+    """Items just over half a window make the number of windows rise; then all are full but powers of two."""
+    r = random.Random(4)
+    assert len(packing.pack_whole([1100] * 50, 2048)) == 50
+    for sizes in [[1100] * 50, [2048] * 3, [1], [], [0, 5], [r.randint(0, 9000) for _ in range(200)], [1025, 1023, 1024, 1], [3000] * 7 + [1]]:
+        windows = packing.pack_cut(sizes)
+        got = sorted(p for w in windows for p in w)
+        assert all(n > 0 for _, _, n in got) and sum(n for _, _, n in got) == sum(sizes)
+        at = {}
+        for i, start, n in got:  # pieces of an item follow each other
+            assert start == at.get(i, 0)
+            at[i] = start + n
+        assert at == {i: n for i, n in enumerate(sizes) if n}
+        sums = [sum(n for _, _, n in w) for w in windows]
+        assert all(s == 2048 or s < 2048 and s & (s - 1) == 0 for s in sums) and sum(s < 2048 for s in sums) <= 11
+
+
+def test_groups_beyond_their_size(spark):
+    """A document larger than a group, and several groups in one task."""
+    df = spark.createDataFrame([(i, "word " * n) for i, n in enumerate([3000, 5, 700, 0, 2500, 40])], "doc_id long, text string").coalesce(1)
+    rows = packing.pack(df, group=1000).collect()
+    seqs = {}
+    for p in rows:
+        seqs.setdefault(p["sequence_id"], []).append((p["offset"], p["length"]))
+    assert all(sorted(s)[0][0] == 0 and sum(n for _, n in s) == max(o + n for o, n in s) for s in seqs.values()) and all((x := sum(n for _, n in s)) == 2048 or x & (x - 1) == 0 for s in seqs.values())
+    for d in range(6):
+        own = sorted((p["start"], p["length"], p["doc_tokens"]) for p in rows if p["doc_id"] == d)
+        assert own[0][0] == 0 and all(a + n == b for (a, n, _), (b, _, _) in zip(own, own[1:])) and sum(n for _, n, _ in own) == own[0][2]
+
+
+def test_words_with_one_hash_are_told_apart(monkeypatch):
+    import public_tokenizers
+
+    e = packing.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    monkeypatch.setattr(packing.tx.SpanHasher, "__call__", lambda self, start, end: (end - start).astype(np.uint64))
+    texts = ["one two six ten", "the cat sat", ""]
+    assert [x.tolist() for x in e.encode(texts)] == [x.ids for x in e.whole.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_encoder_equals_the_library():
     import public_tokenizers
 
@@ -438,7 +477,24 @@ def test_media_members_are_a_readable_tar(spark, docs, tmp_path):
             for m in t:
                 names.append(m.name)
                 assert hashlib.sha256(media.decode(t.extractfile(m).read())).hexdigest() + ".png" == m.name
-    assert names
+    texts = {(r["text"] or "").encode() for r in docs.select("text").collect()}
+    assert len(names) == len(set(names)) == len({media.payload(t.decode()) for t in texts})
+
+
+def test_media_shards(spark, tmp_path, monkeypatch):
+    """Small shards, copies in every task, and a list that leaves payloads to tasks that do not store them."""
+    monkeypatch.setattr(media, "SHARD", 4096)
+    r = random.Random(3)
+    rows = [(i, "same text" if i % 3 else text(r, 200)) for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    found = media.write_shards(df, str(tmp_path)).collect()
+    assert len(found) == 120 and len({(x["shard"], x["offset"]) for x in found}) == len({x["digest"] for x in found}) == len({t for _, t in rows})
+    assert len(list(tmp_path.glob("*.tar"))) > 6
+    got = media.read_columns(media.write_shards(df, str(tmp_path)), str(tmp_path)).collect()
+    assert sorted((x["doc_id"], x["payload_sha256"]) for x in got) == sorted((i, hashlib.sha256(media.payload(t)).hexdigest()) for i, t in rows)
+    monkeypatch.setattr(media, "_left_out", lambda *_: {hashlib.sha256(media.payload("same text")).hexdigest()})
+    found = media.write_shards(df, str(tmp_path)).collect()
+    assert len(found) == 120 and all(x["shard"] and x["length"] for x in found)
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body><nav><ul><li><a href="/a">Home</a></li></ul></nav><div class="ad">Buy now</div>
