@@ -1,9 +1,9 @@
 """Media columns: content-addressed payloads in tar shards.
 
-Each task writes what it reads into tar shards of the shared folder, one member for each distinct payload, named by
-its digest; rows carry digest, shard, offset and length. A second pass reads members back by range: the first
-bytes of a member's header fill the metadata columns, the whole member gives back the payload. A payload is stored
-as an 8-bit grey PNG, 64 samples a row.
+Each distinct payload is one member of one shard, named by its digest: a first pass over the digests alone finds those
+that several tasks will meet, and all but one of these tasks leave them out. Rows carry digest, shard, offset
+and length. Members are read back by range: the first bytes of a member's header fill the metadata columns,
+the whole member gives back the payload. A payload is stored as an 8-bit grey PNG, 64 samples a row.
 """
 
 from __future__ import annotations
@@ -18,8 +18,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
+from pyarrow import parquet as pq
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._spark import bound_batches, stage, workdir
@@ -27,6 +28,8 @@ from ._spark import bound_batches, stage, workdir
 WIDTH = 64
 #: Bytes after which a shard is closed.
 SHARD = 48 << 20
+#: Bytes of members, and rows, that a task reads back; rows of one shard are spread over so many tasks.
+READ, READ_ROWS, SPREAD = 32 << 20, 1 << 18, 16
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 #: Bytes of a PNG up to the end of its header chunk.
 HEADER = 33
@@ -88,33 +91,47 @@ def _store(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri}")
 
 
-def write_shards(docs: DataFrame, folder: str) -> DataFrame:
-    """Manifest of ``docs`` (doc_id, text): doc_id, n_bytes, digest, shard, offset and length of the stored form.
+def digest(text: str = "text") -> Column:
+    """SHA-256 of a text's payload, lower-case hexadecimal, computed by the JVM."""
+    data = F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary")
+    n = F.octet_length(data)
+    pad = F.when(n == 0, WIDTH).otherwise(F.pmod(-n, F.lit(WIDTH)))
+    return F.sha2(F.concat(data, F.substring(F.unhex(F.lit("00" * WIDTH)), F.lit(1), pad)), 256)
+
+
+def _left_out(store: fs.FileSystem, folder: str, part: int) -> set[str]:
+    """Digests that another task stores; no more than this task's own rows."""
+    files = store.get_file_info(fs.FileSelector(f"{folder}/part={part}", allow_not_found=True, recursive=True))
+    return {d for f in files if f.path.endswith(".parquet") for d in pq.read_table(f.path, filesystem=store, columns=["digest"]).column(0).to_pylist()}
 
-    A task that is run again writes the same shards under the same names, each in full before it gets its name."""
-    bound_batches(docs.sparkSession)
+
+def _write(rows: DataFrame, folder: str, others: str | None) -> DataFrame:
+    """Store what ``rows`` (doc_id, text) hold but for what the list ``others`` leaves to other tasks; a row for each:
+    doc_id, n_bytes, digest, and shard, offset and length, null for what another task stores.
+
+    Shards bear the attempt's number in their names, so no attempt touches what another one wrote, and rows of
+    the attempt that counts name its own shards."""
+    types = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("digest", pa.string()), ("shard", pa.string()), ("offset", pa.int64()), ("length", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, attempt = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId()
         store, base = _store(folder)
         store.create_dir(base, recursive=True)
+        elsewhere = _left_out(store, _store(others)[1], part) if others else set()
+        known: dict[str, tuple[str | None, int | None, int | None]] = dict.fromkeys(elsewhere, (None, None, None))
         members: list[bytes] = []
-        known: dict[str, tuple[str, int, int]] = {}  # of the open shard
         rows: list[tuple] = []
         at = n = 0
 
         def close() -> pa.RecordBatch:
             nonlocal at, n
-            name = f"{base}/part-{part:06d}-{n:05d}.tar"
             if members:
-                with store.open_output_stream(f"{name}.{attempt}") as out:
+                with store.open_output_stream(f"{base}/part-{part:06d}-{attempt}-{n:05d}.tar") as out:
                     for m in members:
                         out.write(m)
                     out.write(bytes(2 * tarfile.BLOCKSIZE))
-                store.move(f"{name}.{attempt}", name)
-            out = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["doc_id", "n_bytes", "digest", "shard", "offset", "length"])
+            out = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), types, strict=True)], schema=types)
             members.clear()
-            known.clear()
             rows.clear()
             at, n = 0, n + 1
             return out
@@ -122,65 +139,89 @@ def write_shards(docs: DataFrame, folder: str) -> DataFrame:
         for batch in batches:
             for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 data = payload(text)
-                digest = hashlib.sha256(data).hexdigest()
-                if digest not in known:
+                key = hashlib.sha256(data).hexdigest()
+                if key not in known:
                     stored = encode(data)
-                    info = tarfile.TarInfo(f"{digest}.png")
+                    info = tarfile.TarInfo(f"{key}.png")
                     info.size = len(stored)
                     head = info.tobuf(tarfile.PAX_FORMAT)
-                    shard = f"part-{part:06d}-{n:05d}.tar"
-                    known[digest] = (shard, at + len(head), len(stored))
+                    known[key] = (f"part-{part:06d}-{attempt}-{n:05d}.tar", at + len(head), len(stored))
                     members += [head, stored, bytes(-len(stored) % tarfile.BLOCKSIZE)]
                     at += sum(map(len, members[-3:]))
-                rows.append((name, len((text or "").encode("utf-8", "surrogatepass")), digest, *known[digest]))
+                rows.append((name, len((text or "").encode("utf-8", "surrogatepass")), key, *known[key]))
                 if at >= SHARD or len(rows) >= 1 << 16:
-                    yield fixed(close())
+                    yield close()
         if rows:
-            yield fixed(close())
+            yield close()
 
-    types = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("digest", pa.string()), ("shard", pa.string()), ("offset", pa.int64()), ("length", pa.int64())])
+    return stage(rows.mapInArrow(run, "doc_id long, n_bytes long, digest string, shard string, offset long, length long"), "manifest")
 
-    def fixed(b: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(b.columns, types, strict=True)], schema=types)
 
+def write_shards(docs: DataFrame, folder: str) -> DataFrame:
+    """Manifest of ``docs`` (doc_id, text): doc_id, n_bytes, digest, shard, offset and length of the stored form."""
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return stage(rows.mapInArrow(run, "doc_id long, n_bytes long, digest string, shard string, offset long, length long"), "manifest")
+    # of the tasks that meet a payload the first stores it; the others find it in their list
+    met = rows.select(digest().alias("digest"), F.spark_partition_id().alias("part")).groupBy("digest").agg(F.sort_array(F.collect_set("part")).alias("parts"))
+    others = f"{workdir(docs.sparkSession)}/tables/elsewhere-{uuid.uuid4().hex}"
+    met.where("size(parts) > 1").select("digest", F.explode(F.slice("parts", F.lit(2), F.size("parts"))).alias("part")).repartition("part").write.partitionBy("part").parquet(others)
+    manifest = _write(rows, folder, others)
+    found = manifest.where("shard is not null")
+    lost = manifest.where("shard is null")
+    wanted = lost.select("digest").distinct()
+    none = wanted.join(found.select("digest"), "digest", "left_anti")
+    if not none.isEmpty():
+        # the input was dealt out otherwise the second time (executors came or went): what no task stored is stored now
+        again = rows.withColumn("digest", digest()).join(none, "digest").dropDuplicates(["digest"]).select("doc_id", "text")
+        found = found.union(_write(again, folder, None).where("shard is not null"))
+    place = found.join(wanted, "digest").groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("x")).select("digest", "x.*")
+    return manifest.where("shard is not null").unionByName(lost.select("doc_id", "n_bytes", "digest").join(place, "digest"))
 
 
 def read_columns(manifest: DataFrame, folder: str) -> DataFrame:
-    """``manifest`` with the columns that its members give when they are read back."""
+    """``manifest`` with the columns that its members give when they are read back. Tasks get rows by shard, about
+    ``READ`` bytes of members or ``READ_ROWS`` rows each, and a shard's rows are spread over up to ``SPREAD`` of them."""
     bound_batches(manifest.sparkSession)
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "bit_depth", "shard", "offset", "length"]
+    manifest = stage(manifest, "places")
+    size, count = manifest.agg(F.sum("length"), F.count("*")).first()
+    tasks = max(1, -(-(size or 0) // READ), -(-count // READ_ROWS))
+    manifest = manifest.repartition(tasks, "shard", F.pmod(F.xxhash64("doc_id", "n_bytes"), F.lit(SPREAD))).sortWithinPartitions("shard", "offset")
+
+    text = {"payload_sha256", "media_sha256", "feature", "shard"}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = _store(folder)
+        name, file = None, None
         for batch in batches:
             rows: list[tuple] = []
             seen: dict[str, tuple] = {}
-            name, file = None, None
             for r in batch.to_pylist():
                 if r["digest"] not in seen:
                     if r["shard"] != name:
+                        if file:
+                            file.close()
                         name, file = r["shard"], store.open_input_file(f"{base}/{r['shard']}")
                     width, height, depth = header(file.read_at(min(HEADER, r["length"]), r["offset"]))
                     stored = file.read_at(r["length"], r["offset"])
                     data = decode(stored)
-                    digest = hashlib.sha256(data).hexdigest()
-                    if digest != r["digest"]:
+                    key = hashlib.sha256(data).hexdigest()
+                    if key != r["digest"]:
                         raise ValueError(f"payload of {name} at {r['offset']} is not what was stored")
-                    seen[digest] = (len(data), digest, zlib.crc32(data[-64:]), len(stored), hashlib.sha256(stored).hexdigest(), feature(data), width, height, depth)
+                    seen[key] = (len(data), key, zlib.crc32(data[-64:]), len(stored), hashlib.sha256(stored).hexdigest(), feature(data), width, height, depth)
                 rows.append((r["doc_id"], r["n_bytes"], *seen[r["digest"]], r["shard"], r["offset"], r["length"]))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if n in ("payload_sha256", "media_sha256", "feature", "shard") else pa.int64()) for n, c in zip(names, zip(*rows, strict=True), strict=True)], names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if n in text else pa.int64()) for n, c in zip(names, zip(*rows, strict=True), strict=True)], names)
+        if file:
+            file.close()
 
-    text = {"payload_sha256", "media_sha256", "feature", "shard"}
     return manifest.mapInArrow(run, ", ".join(f"{n} {'string' if n in text else 'long'}" for n in names))
 
 
 def media_columns(docs: DataFrame, folder: str | None = None) -> DataFrame:
     """Metadata and features of every row of ``docs`` (doc_id, text), stored in tar shards of ``folder`` and read back.
 
-    Equal payloads have equal values; a shard holds each once. A null or empty text is one row of zeros; a long one is a
+    Equal payloads have equal values, and one member of one shard holds each. A null or empty text is one row of zeros; a long one is a
     tall image; repeated rows and null ids are rows like others; an empty table writes nothing and gives no
     rows. Other columns are ignored.
     """
