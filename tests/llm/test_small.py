@@ -436,6 +436,47 @@ def test_sharding(docs, rows):
     assert sharding.assign(docs.limit(0)).count() == 0
 
 
+def walked(hashes, shards):
+    """Shards of rows by a plain walk around the ring, row by row in ring order: first those for which the next virtual
+    node's shard has room, then, arc by arc, the others on to the next shard with room."""
+    place, owner = sharding.ring(shards)
+    room = sharding.capacities(len(hashes), shards)
+    out, over = {}, []
+    for b, key in sorted(hashes):
+        i = next((j for j, p in enumerate(place) if p >= b), 0)
+        if room[owner[i]]:
+            room[owner[i]] -= 1
+            out.setdefault(key, []).append(int(owner[i]))
+        else:
+            over.append((i, key))
+    for i, key in over:
+        while not room[owner[i]]:
+            i = (i + 1) % len(place)
+        room[owner[i]] -= 1
+        out.setdefault(key, []).append(int(owner[i]))
+    return out
+
+
+@pytest.mark.parametrize("cell", [1 << 16, 3])
+def test_shards_are_those_of_a_walk_around_the_ring(spark, monkeypatch, cell):
+    """Every row's shard against a walk; a third of all rows have one id, a third no id, some are repeated."""
+    monkeypatch.setattr(sharding, "CELL", cell)
+    r = random.Random(7)
+    rows = [(i, f"t{i}") for i in range(60)] + [(7, f"hot {r.randrange(40)}") for _ in range(60)] + [(None, f"none {r.randrange(9)}") for _ in range(60)] + [(3, None)] * 5
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sharding.assign(df, 5).collect()
+    bucket = F.shiftrightunsigned(F.xxhash64(F.lit("ring"), F.col("doc_id")), 64 - (sharding.BUCKETS.bit_length() - 1)).cast("int")
+    want = walked([(x["b"], (str(x["doc_id"]),)) for x in df.select("doc_id", bucket.alias("b")).collect()], 5)
+    own, slots = {}, {}
+    for x in got:
+        own.setdefault((str(x["doc_id"]),), []).append(x["shard"])
+        slots.setdefault(x["shard"], []).append(x["slot"])
+    assert {k: sorted(v) for k, v in own.items()} == {k: sorted(v) for k, v in want.items()}
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and max(map(len, slots.values())) - min(map(len, slots.values())) <= 1
+    assert sorted((str(x["doc_id"]), x["text_crc32"]) for x in got) == sorted((str(i), zlib.crc32((x or "").encode())) for i, x in rows)
+    assert sorted(map(str, got)) == sorted(map(str, sharding.assign(df.repartition(7), 5).collect()))
+
+
 def test_ring_moves_little_when_a_shard_is_added():
     r = random.Random(1)
     counts = {b: 3 + r.randrange(5) for b in range(sharding.BUCKETS)}
