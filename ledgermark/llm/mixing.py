@@ -17,17 +17,23 @@ WEIGHTS = (5, 2, 1)
 #: Share of all words that the mix holds, as a fraction.
 SHARE = (3, 2)
 MOST = 2
-WORD = r"[^\x20\x09-\x0D]+"
+#: Words: all but U+0020 and U+0009 to U+000D, which is what \S leaves out.
+WORD = r"\S++"
 #: Newton stops when no source's expected words are further from its target than this share of it.
 TOLERANCE, STEPS = 1e-6, 80
 #: Sources up to which their table is broadcast (about 100 bytes each); beyond it is joined by shuffle.
 FEW_SOURCES = 20_000
-BINS = 4096
+#: The order of documents that get a copy more is cut into 2**18 bins, found in three steps of 64.
+LEVELS, STEP_BITS = 3, 6
 
 
 def sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, source and size (words of the whole text; null: 0)."""
-    return docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count("text").alias("size"))
+    """doc_id, source, size (words of the whole text; null: 0) and u (a hash of id and text, uniform in 0 to 1)."""
+    return docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count("text").alias("size"), uniform().alias("u"))
+
+
+def uniform() -> Column:
+    return F.pmod(F.xxhash64(F.lit("mix"), F.col("doc_id"), F.col("text").cast("string")), F.lit(1 << 53)).cast("double") / float(1 << 53)
 
 
 def word_count(text: str) -> Column:
@@ -69,7 +75,8 @@ def rate(lam: str = "lam", size: str = "size") -> Column:
 def solve(sized: DataFrame, sources: DataFrame) -> DataFrame:
     """``sources`` with mean (words of a document that has any) and lam, by Newton steps on the dual.
 
-    ``sized`` holds src and size. A step that leaves the bracket known so far is replaced by its middle."""
+    ``sized`` holds src and size. A step that leaves the bracket known so far is replaced by its middle; if a source is
+    not at its target after ``STEPS`` steps, the job stops with an error."""
     counts = stage(sized.where("size > 0").groupBy("src", "size").agg(F.count("*").alias("n")), "sizes")
     span = counts.groupBy("src").agg((F.sum(F.col("n") * F.col("size")) / F.sum("n")).alias("mean"), F.min("size").alias("least"))
     state = sources.join(span, "src", "left").withColumn("hi", F.log(F.lit(float(MOST))) * F.col("mean") / F.col("least"))
@@ -88,45 +95,53 @@ def solve(sized: DataFrame, sources: DataFrame) -> DataFrame:
         nxt = F.when(inside, step).otherwise((F.col("lo") + F.col("hi")) / 2)
         state = stage(now.withColumn("lam", F.when(F.col("open"), nxt).otherwise(F.col("lam"))).drop("words", "slope", "f"), "newton")
         if state.where("open").isEmpty():
-            break
+            return state.drop("open", "lo", "hi")
         state = state.drop("open")
-    return state.drop("open", "lo", "hi")
+    raise RuntimeError(f"no rates found in {STEPS} steps")
 
 
-def _ordered(rows: DataFrame) -> DataFrame:
-    """Adds base (whole copies every document gets), v (its place in the order of those that get one more; null: never) and bin."""
-    r = F.col("rate")
-    u = F.pmod(F.xxhash64(F.lit("mix"), F.col("doc_id")), F.lit(1 << 53)).cast("double") / float(1 << 53)
-    rows = rows.withColumn("rate", rate()).withColumn("base", F.floor(r)).withColumn("v", F.when((r > F.floor(r)) & (F.col("size") > 0), u / (r - F.floor(r))))
-    return rows.withColumn("bin", F.least(F.lit(BINS - 1), F.floor(F.least(F.col("v"), F.lit(1e6)) * (BINS // 2))).cast("int"))
+def _copies(rows: DataFrame) -> DataFrame:
+    """Adds base (whole copies every document gets) and v (its place, in 0 to 1, in the order of those that get one more;
+    null: never), from size, u and its source's parameters."""
+    rows = rows.withColumn("rate", rate())
+    part = F.col("rate") - F.floor("rate")
+    return rows.withColumn("base", F.floor("rate")).withColumn("v", F.when((part > 0) & (F.col("size") > 0), F.col("u") / (F.col("u") + part)))
 
 
 def rounded(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """What every row takes, and each source's parameters (v_cut: documents up to it take one copy more).
 
-    Extra copies go to documents in the order of v until the target is met; only the bin in which that
-    happens is looked at row by row, so no source's rows meet in one task."""
+    Extra copies go to documents in the order of v until the target is met. The place where that happens is
+    found by sums over ever finer bins; only the rows of the last bin, one in 2**18, are looked at one by one."""
     sized = stage(sizes(docs), "sized")
     sources = stage(targets(sized), "targets")
-    rows = stage(sized.alias("d").join(_small(sources.select("source", "src")).alias("s"), F.col("d.source").eqNullSafe(F.col("s.source"))).select("d.doc_id", "d.size", "s.src"), "ranked")
+    rows = sized.alias("d").join(_small(sources.select("source", "src")).alias("s"), F.col("d.source").eqNullSafe(F.col("s.source"))).select("d.doc_id", "d.size", "d.u", "s.src")
+    rows = stage(rows, "ranked")
     solved = solve(rows, sources)
-    rows = _ordered(rows.join(_small(solved), "src"))
-    sums = rows.groupBy("src", "bin").agg(F.sum(F.when(F.col("v").isNotNull(), F.col("size"))).alias("extra"), F.sum(F.col("base") * F.col("size")).alias("whole"))
-    total = sums.groupBy("src").agg(F.sum("whole").alias("whole"))
+    rows = _copies(rows.join(_small(solved), "src")).withColumn("bin", F.floor(F.least(F.col("v"), F.lit(1 - 1e-9)) * (1 << LEVELS * STEP_BITS)))
+    total = rows.groupBy("src").agg(F.sum(F.col("base") * F.col("size")).alias("whole"))
     goal = solved.join(total, "src", "left").withColumn("extra_goal", F.greatest(F.lit(0), F.round("target").cast("long") - F.coalesce("whole", F.lit(0))))
-    run = Window.partitionBy("src").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    bins = sums.where("bin is not null").withColumn("before", F.coalesce(F.sum("extra").over(run), F.lit(0))).join(goal.select("src", "extra_goal"), "src")
-    edge = bins.where("before < extra_goal").groupBy("src").agg(F.max(F.struct("bin", "before")).alias("x")).select("src", F.col("x.bin").alias("edge"), F.col("x.before").alias("before"))
-    goal = stage(goal.join(edge, "src", "left"), "goals")
+    goal = stage(goal.withColumn("edge", F.lit(0).cast("long")).withColumn("before", F.lit(0).cast("long")), "goals")
+    run = Window.partitionBy("src").orderBy("next").rowsBetween(Window.unboundedPreceding, -1)
+    for level in range(1, LEVELS + 1):
+        shift = (LEVELS - level) * STEP_BITS
+        at = rows.select("src", "bin", "size").join(_small(goal.select("src", "edge", "before", "extra_goal")), "src").where(F.shiftright("bin", shift + STEP_BITS) == F.col("edge"))
+        sums = at.groupBy("src", F.shiftright("bin", shift).alias("next")).agg(F.sum("size").alias("extra"), F.first("before").alias("b"), F.first("extra_goal").alias("g"))
+        sums = sums.withColumn("b", F.col("b") + F.coalesce(F.sum("extra").over(run), F.lit(0))).where("b < g")  # 64 rows a source
+        best = sums.groupBy("src").agg(F.max(F.struct("next", "b")).alias("x")).select("src", F.col("x.next").alias("next"), F.col("x.b").alias("b"))
+        goal = goal.drop("before").join(best, "src", "left").withColumn("edge", F.col("next")).withColumn("before", F.col("b")).drop("next", "b")
+        goal = stage(goal, "goals")
     rows = rows.join(_small(goal.select("src", "edge", "before", "extra_goal")), "src")
-    last = rows.where("bin = edge")
+    last = rows.where("bin = edge").groupBy("src", "v", "doc_id", "size", "base", "source_size", "target", "edge", "before", "extra_goal").agg(F.count("*").alias("n"))
     inner = Window.partitionBy("src").orderBy("v", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    room = F.col("extra_goal") - F.col("before") - F.coalesce(F.sum("size").over(inner), F.lit(0))
-    last = last.withColumn("extra", F.greatest(F.lit(0), F.least(F.col("size"), room)))
+    room = F.col("extra_goal") - F.col("before") - F.coalesce(F.sum(F.col("size") * F.col("n")).over(inner), F.lit(0))
+    last = last.withColumn("room", room).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))  # repeated rows one after the other
+    last = last.withColumn("extra", F.greatest(F.lit(0), F.least(F.col("size"), F.col("room") - F.col("i") * F.col("size"))))
     rest = rows.where("bin is null or edge is null or bin != edge").withColumn("extra", F.when(F.col("bin") < F.col("edge"), F.col("size")).otherwise(0))
     cut = last.where("2 * extra >= size").groupBy("src").agg(F.max("v").alias("v_cut"))
-    params = goal.join(cut, "src", "left").withColumn("v_cut", F.coalesce("v_cut", F.when(F.col("edge").isNotNull(), F.col("edge") / (BINS / 2)).otherwise(-1.0)))
-    both = rest.unionByName(last)
+    below = F.when(F.col("edge").isNotNull(), F.col("edge") / (1 << LEVELS * STEP_BITS)).otherwise(-1.0)
+    params = goal.join(cut, "src", "left").withColumn("v_cut", F.coalesce("v_cut", below))
+    both = rest.unionByName(last, allowMissingColumns=True)
     taken = both.select("doc_id", "size", "source_size", "target", (F.col("base") * F.col("size") + F.col("extra")).cast("long").alias("taken"))
     return taken, params
 
@@ -137,22 +152,21 @@ def mix(docs: DataFrame) -> DataFrame:
     A source's taken words are its target but for the solver's tolerance: whole copies of all its documents, but
     for one that is taken in part. A null or empty text has size 0 and is not taken; a null source is a source of its
     own, the last; repeated rows are rows like others; sources without words have target 0; an empty table gives no
-    rows. Ties in the order go to the smaller doc_id. Other columns are ignored.
+    rows. Ties in the order go to the smaller doc_id, then to the shorter text. Other columns are ignored.
     """
     return rounded(docs)[0]
 
 
 def draw(docs: DataFrame) -> DataFrame:
     """Rows of ``docs``, all columns, as often as the mix holds them (0 to 2 times). The one document that the mix
-    takes in part is taken whole if that is the larger part, else not at all."""
+    takes in part is taken whole if that is the larger part, else not at all. Null and empty texts are not taken; rows that
+    repeat one of the last id and text that gets a copy more get one each; an empty table gives no rows."""
     _, params = rounded(docs)
-    p = params.select(F.struct("src", "source", "source_size", "cap", "target", "mean", "lam", "v_cut").alias("__p"))
-    size = word_count("text")
-    got = docs.join(_small(p), docs["source"].cast("string").eqNullSafe(F.col("__p.source")))
-    tilt = F.exp(F.least(F.col("__p.lam") * size / F.col("__p.mean"), F.log(F.lit(float(MOST)))))
-    r = F.when(F.col("__p.target") >= F.col("__p.cap"), float(MOST)).when(F.col("__p.target") <= 0, 0.0).otherwise(F.least(tilt, F.lit(float(MOST))))
-    u = F.pmod(F.xxhash64(F.lit("mix"), docs["doc_id"]), F.lit(1 << 53)).cast("double") / float(1 << 53)
-    extra = F.coalesce(((r > F.floor(r)) & (u / F.nullif(r - F.floor(r), F.lit(0.0)) <= F.col("__p.v_cut"))).cast("int"), F.lit(0))
-    copies = F.when(size > 0, F.coalesce(F.floor(r), F.lit(0)).cast("int") + extra).otherwise(0)
-    got = got.withColumn("__copies", copies).where("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
-    return got.select(*[docs[c] for c in docs.columns])
+    p = params.select(F.struct("source", "source_size", "cap", "target", "mean", "lam", "v_cut").alias("__p"))
+    # the words are counted below the join, once
+    sized = docs.select(F.struct(*docs.columns).alias("__row"), F.col("source").cast("string").alias("__s"), word_count("text").alias("size"), uniform().alias("u"))
+    got = sized.join(_small(p), F.col("__s").eqNullSafe(F.col("__p.source"))).select("__row", "size", "u", "__p.*")
+    got = _copies(got)
+    extra = F.coalesce((F.col("v") <= F.col("v_cut")).cast("int"), F.lit(0))
+    copies = F.when(F.col("size") > 0, F.coalesce(F.col("base"), F.lit(0)).cast("int") + extra).otherwise(0)
+    return got.select("__row", F.explode(F.array_repeat(F.lit(1), copies)).alias("__copy")).select("__row.*")
