@@ -8,7 +8,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType
+from pyspark.sql.types import ArrayType, BooleanType
 
 from ledgermark.functions import text as tx
 
@@ -71,10 +71,9 @@ def notes(df: DataFrame, text: str = "text") -> DataFrame:
     return df.withColumn("__notes", _mapped("split_notes", NOTE)(F.col(text).cast("string"))).select(*rest, F.inline("__notes"))
 
 
-@F.pandas_udf(BooleanType())
-def quoted(quote: pd.Series, source: pd.Series) -> pd.Series:
-    """Whether a quote stands in its source."""
-    return pd.Series([tx.quote_appears_in(q, s) for q, s in zip(quote, source, strict=True)])
+def note_index(text: str) -> Column:
+    """Number, heading and length of each note of a text."""
+    return F.transform(_mapped("split_notes", NOTE)(F.col(text)), lambda x: x.dropFields("text"))
 
 
 def matched_form(text: str) -> Column:
@@ -95,28 +94,51 @@ def malformed(findings: DataFrame) -> Column:
     return ~F.coalesce(known, F.lit(False)) | advises("implication", imperative=False)
 
 
+def with_sources(rows: DataFrame, sources: DataFrame, quote: str, accession: str, item: str, wanted: Column) -> DataFrame:
+    """Adds __sourced (the section that a row names is there) and __found (it holds the row's quote).
+
+    Only ``wanted`` rows are looked up. The different quotes from a section meet its text once, so no text is
+    copied to its findings, and a plain quote is first sought by ``contains``. ``sources`` holds one text for each
+    (accession_no, item)."""
+    _batched(rows)
+    asked = rows.where(wanted).select(F.col(accession).alias("accession_no"), F.col(item).alias("item"), F.col(quote).alias("__q")).distinct()
+    held = sources.select("accession_no", "item", F.col("text").alias("__t")).where("__t IS NOT NULL")
+    per = asked.groupBy("accession_no", "item").agg(F.collect_set("__q").alias("__qs"))
+    found = held.join(per, ["accession_no", "item"]).select("accession_no", "item", F.inline(F.arrays_zip(F.col("__qs").alias("__q"), _quotes_in("__qs", "__t").alias("__found"))))
+    there = held.join(asked.select("accession_no", "item").distinct(), ["accession_no", "item"]).select(F.col("accession_no").alias("__sa"), F.col("item").alias("__si"))
+    found = found.select(F.col("accession_no").alias("__fa"), F.col("item").alias("__fi"), F.col("__q").alias("__fq"), "__found")
+    out = rows.join(there, (F.col(accession) == F.col("__sa")) & (F.col(item) == F.col("__si")) & wanted, "left")
+    out = out.join(found, (F.col(accession) == F.col("__fa")) & (F.col(item) == F.col("__fi")) & (F.col(quote) == F.col("__fq")) & wanted, "left")
+    return out.select(*rows.columns, F.col("__sa").isNotNull().alias("__sourced"), F.coalesce("__found", F.lit(False)).alias("__found"))
+
+
+@F.pandas_udf(ArrayType(BooleanType()))
+def _quotes_in(quotes: pd.Series, source: pd.Series) -> pd.Series:
+    """Which of some quotes stand in their source."""
+    return pd.Series([[tx.quote_appears_in(q, s) for q in qs] for qs, s in zip(quotes, source, strict=True)])
+
+
 def validate_findings(findings: DataFrame, sources: DataFrame) -> DataFrame:
     """``findings`` with the reason each is dropped for (null: kept); the first that applies.
 
     ``sources`` holds one text for each (accession_no, item)."""
-    _batched(findings)
-    s = sources.select(F.col("accession_no").alias("__a"), F.col("item").alias("__i"), F.col("text").alias("__t"))
-    p = s.select(F.col("__a").alias("__pa"), F.col("__i").alias("__pi"), F.col("__t").alias("__pt"))
-    rows = findings.join(s, (F.col("accession_no") == F.col("__a")) & (F.col("item") == F.col("__i")), "left")
-    # source texts do not travel to the second join, and findings without a prior filing do not meet in one task there
-    rows = rows.withColumn("__found", quoted("quote", "__t")).withColumn("__sourced", F.col("__t").isNotNull()).drop("__a", "__i", "__t")
-    spread = F.coalesce("prior_accession_no", F.concat(F.lit("\0"), F.xxhash64("accession_no", "quote").cast("string")))
-    rows = rows.withColumn("__key", spread).join(p, (F.col("__key") == F.col("__pa")) & F.col("prior_accession_no").isNotNull() & (F.col("item") == F.col("__pi")), "left")
-    given = lambda c: F.col(c).isNotNull() & (F.trim(c) != "")
-    why = (
-        F.when(malformed(findings), "malformed")
-        .when(~given("quote"), "quote_missing")
-        .when(~F.col("__sourced"), "source_unavailable")
-        .when(~F.col("__found"), "quote_not_found")
-        .when(given("prior_quote") & F.col("__pt").isNull(), "prior_source_unavailable")
-        .when(given("prior_quote") & ~quoted("prior_quote", "__pt"), "prior_quote_not_found")
-    )
-    return rows.withColumn("drop_reason", why).drop("__found", "__sourced", "__key", "__pa", "__pi", "__pt")
+    blank = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) == ""
+    before = F.when(malformed(findings), "malformed").when(blank("quote"), "quote_missing")
+    rows = with_sources(findings.withColumn("__why", before), sources, "quote", "accession_no", "item", F.col("__why").isNull())
+    now = F.when(~F.col("__sourced"), "source_unavailable").when(~F.col("__found"), "quote_not_found")
+    rows = rows.withColumn("__why", F.coalesce("__why", now)).drop("__sourced", "__found")
+    rows = with_sources(rows, sources, "prior_quote", "prior_accession_no", "item", F.col("__why").isNull() & ~blank("prior_quote"))
+    prior = F.when(blank("prior_quote"), None).when(~F.col("__sourced"), "prior_source_unavailable").when(~F.col("__found"), "prior_quote_not_found")
+    return rows.select(*findings.columns, F.coalesce("__why", prior).alias("drop_reason"))
+
+
+def run_statistics(validated: DataFrame, *by: str) -> DataFrame:
+    """Of each run: findings kept and dropped, and how many each reason dropped, as JSON (reasons in order)."""
+    per = validated.groupBy(*by, "drop_reason").agg(F.count("*").alias("n"))
+    kept = F.coalesce(F.sum(F.when(F.col("drop_reason").isNull(), F.col("n"))), F.lit(0)).alias("findings_kept")
+    dropped = F.coalesce(F.sum(F.when(F.col("drop_reason").isNotNull(), F.col("n"))), F.lit(0)).alias("findings_dropped")
+    why = F.array_sort(F.collect_list(F.when(F.col("drop_reason").isNotNull(), F.struct("drop_reason", "n"))))
+    return per.groupBy(*by).agg(kept, dropped, F.to_json(F.map_from_entries(why)).alias("drop_reasons"))
 
 
 def drop_rate(validated: DataFrame, *by: str) -> DataFrame:

@@ -169,15 +169,15 @@ class Figures:
         recent = F.coalesce(F.col("last_10k") >= months_back(day, FILING_MONTHS), F.lit(False))
         terminal = F.col("status").isin("deregistered", "delisted_for_cause", "acquired")
         why = (
-            F.when(~recent, "no annual filing in 15 months")
-            .when(F.col("track") == "financial", "financial company")
-            .when(F.coalesce("fiscal_years", F.lit(0)) < LEAST_YEARS, "fewer than 5 fiscal years")
-            .when(F.col("price").isNull() & terminal, "survivorship gap: ended and unpriced")
-            .when(F.col("ticker").isNull(), "no ticker")
-            .when(~is_common_stock("ticker"), F.concat(F.lit("not common stock: "), F.col("ticker")))
-            .when(F.col("price").isNull(), "no price in 10 days")
+            F.when(~recent, "no 10-K filed in the 15 months to the as-of date")
+            .when(F.col("track") == "financial", "financial filer: bank, insurer or REIT screens are separate")
+            .when(F.coalesce("fiscal_years", F.lit(0)) < LEAST_YEARS, "fewer than 5 years of XBRL history")
+            .when(F.col("price").isNull() & terminal, "no price for a filer that later stopped filing: the survivorship gap")
+            .when(F.col("ticker").isNull(), "no ticker on file: not listed today, so it cannot be priced")
+            .when(~is_common_stock("ticker"), F.concat(F.lit("listed ticker is not common stock: "), F.col("ticker")))
+            .when(F.col("price").isNull(), "no price within 10 days of the as-of date")
             .when(F.col("shares").isNull(), "no share count on file")
-            .when(F.col("market_cap") < LEAST_MARKET_CAP, "market cap below 300M")
+            .when(F.col("market_cap") < LEAST_MARKET_CAP, "market cap below $300M")
         )
         return u.select(
             "cik", "name", "ticker", "sic", "track", "last_10k", F.coalesce("fiscal_years", F.lit(0)).alias("fiscal_years"), "latest_fy_end", "price", "price_date", "shares", "shares_date",

@@ -18,7 +18,7 @@ from . import candidates as cand
 from . import oracle, recheck, thesis, valuation
 from .asof import AsOfView
 from .figures import ANNUAL_TAGS, FIGURES, Figures, maintenance_capex, owner_earnings
-from .screens import SCREENS, TESTS, Screens
+from .screens import METRICS, SCREENS, TESTS, Screens
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -171,7 +171,30 @@ def coverage(s: Screens) -> DataFrame:
 
 
 on_screens("agg_flags", "op_snapshot_hist", sql=S("SELECT * FROM grouped"))(lambda s: cand.grouped_flags(s).select("cik", "n_flags", "best_rank", "screens"))
-on_screens("op_reason", "op_metrics_projection")(lambda s: s.flags().select("cik", "screen", "rank", "reason", F.to_json("metrics").alias("metrics")))
+
+REASON_SQL = S("""SELECT cik, 'magic_formula' AS screen, CAST(rank AS INTEGER) AS rank, 'Magic Formula rank ' || rank || ' of ' || of || ': earnings yield ' || printf('%.1f%%', earnings_yield * 100) || ', return on capital ' || printf('%.0f%%', return_on_capital * 100) AS reason FROM (SELECT *, count(rank) OVER () AS of FROM magic_formula) WHERE flagged
+UNION ALL SELECT cik, 'piotroski', CAST(rank AS INTEGER), 'Piotroski ' || score || '/9, rank ' || rank || ' of ' || of || CASE WHEN COALESCE(unusual_change, 0) <> 0 THEN '; tagged unusual items ' || CASE WHEN unusual_change > 0 THEN 'added' ELSE 'took' END || ' $' || format('{:,.1f}', abs(unusual_change) / 1e6) || 'M year on year' ELSE '' END FROM (SELECT *, count(rank) OVER () AS of FROM piotroski) WHERE flagged
+UNION ALL SELECT cik, 'net_net', CAST(rank AS INTEGER), 'Net-net: market cap ' || printf('%.2f', market_cap / ncav) || 'x net current assets' FROM net_net WHERE flagged
+UNION ALL SELECT cik, 'owner_earnings', CAST(rank AS INTEGER), 'Owner earnings yield ' || printf('%.1f%%', owner_earnings_yield * 100) || ', rank ' || rank || ' of ' || of FROM (SELECT *, count(rank) OVER () AS of FROM owner_earnings) WHERE flagged
+UNION ALL SELECT cik, 'quality_at_price', CAST(rank AS INTEGER), 'Quality at price: ROIC at least ' || printf('%.0f%%', min_roic * 100) || ' in each of 7 years, FCF yield ' || printf('%.1f%%', fcf_yield * 100) FROM quality_at_price WHERE flagged""")
+on_screens("op_reason", sql=REASON_SQL)(lambda s: s.flags().select("cik", "screen", "rank", "reason"))
+
+
+def _metrics_sql() -> str:
+    """A row for each figure that a screen reports, where it has a value."""
+    part = lambda names: ", ".join("{'metric': '%s', 'value': CAST(%s AS DOUBLE)}" % pair for pair in names)
+    own = {
+        "magic_formula": [(m, m) for m in METRICS["magic_formula"]],
+        "piotroski": [(m, {"roa": "net_income / NULLIF(assets1, 0)", "roa_1": "ni1 / NULLIF(assets2, 0)", "unusual_effect_1": "u1"}.get(m, m)) for m in METRICS["piotroski"]],
+        "net_net": [("net_current_assets", "ncav"), ("price_to_ncav", "market_cap / ncav")],
+        "owner_earnings": [("cfo", "cfo"), ("maintenance_capex", "mcx"), ("owner_earnings", "oe"), ("enterprise_value", "enterprise_value"), ("owner_earnings_yield", "owner_earnings_yield")],
+        "quality_at_price": [(m, m) for m in METRICS["quality_at_price"]],
+    }
+    rows = " UNION ALL ".join(f"SELECT cik, '{s}' AS screen, unnest([{part(names)}]) AS m FROM {s} WHERE flagged" for s, names in own.items())
+    return S(f"SELECT cik, screen, m.metric AS metric, round(m.value, 6) AS value FROM ({rows}) WHERE m.value IS NOT NULL")
+
+
+on_screens("op_metrics_projection", sql=_metrics_sql())(lambda s: s.flags().select("cik", "screen", F.explode("metrics").alias("metric", "value")).where("value IS NOT NULL").withColumn("value", F.round("value", 6)))
 
 HISTORY = ",".join(oracle.state(d, f"_{m}") for m, d in EARLIER)
 SNAPS = " UNION ALL ".join(f"SELECT u.cik, {m} AS months, g.cik IS NOT NULL AS hit FROM universe_screened_{m} u LEFT JOIN grouped_{m} g ON g.cik = u.cik" for m, _ in EARLIER)
@@ -208,14 +231,17 @@ def op_inputs(s: Screens) -> DataFrame:
 GROWTH = {"bear": "0e0", "base": "4e-2", "bull": "8e-2"}
 
 
+def _dcf(g: str) -> str:
+    return " + ".join(f"revenue * pow(1 + {g}, {y}) * margin / pow(11e-1, {y})" for y in range(1, 11)) + f" + revenue * pow(1 + {g}, 10) * margin * (1 + 25e-3) / (10e-2 - 25e-3) / pow(11e-1, 10)"
+
+
+_VIN = """oe AS (SELECT b.*, cfo - COALESCE(least(m.total, m.revenue_scaled), m.total) - COALESCE(stock_compensation, 0e0) - COALESCE(net_interest_income, 0e0) * (1 - 21e-2) AS oe FROM screen_base b JOIN maintenance m ON m.cik = b.cik),
+vin AS (SELECT cik, revenue, oe / NULLIF(revenue, 0) AS margin, shares, market_cap, (COALESCE(long_term_debt, 0e0) + COALESCE(current_debt, 0e0)) - (COALESCE(cash, 0e0) + COALESCE(short_term_investments, 0e0)) AS net_debt FROM oe WHERE oe IS NOT NULL AND revenue IS NOT NULL)"""
+
+
 def _value_sql() -> str:
-    part = lambda g, m: " + ".join(f"revenue * pow(1 + {g}, {y}) * {m} / pow(11e-1, {y})" for y in range(1, 11)) + f" + revenue * pow(1 + {g}, 10) * {m} * (1 + 25e-3) / (10e-2 - 25e-3) / pow(11e-1, 10)"
-    per = ", ".join(f"round(({part(g, 'margin')} - net_debt) / shares, 4) AS per_share_{c}" for c, g in GROWTH.items())
-    return S(
-        f"SELECT cik, round(margin, 8) AS owner_earnings_margin, round(net_debt, 2) AS net_debt, {per} FROM vin",
-        more="""oe AS (SELECT b.*, cfo - COALESCE(least(m.total, m.revenue_scaled), m.total) - COALESCE(stock_compensation, 0e0) - COALESCE(net_interest_income, 0e0) * (1 - 21e-2) AS oe FROM screen_base b JOIN maintenance m ON m.cik = b.cik),
-vin AS (SELECT cik, revenue, oe / NULLIF(revenue, 0) AS margin, shares, market_cap, (COALESCE(long_term_debt, 0e0) + COALESCE(current_debt, 0e0)) - (COALESCE(cash, 0e0) + COALESCE(short_term_investments, 0e0)) AS net_debt FROM oe WHERE oe IS NOT NULL AND revenue IS NOT NULL)""",
-    )
+    per = ", ".join(f"round(({_dcf(g)} - net_debt) / shares, 4) AS per_share_{c}" for c, g in GROWTH.items())
+    return S(f"SELECT cik, round(margin, 8) AS owner_earnings_margin, round(net_debt, 2) AS net_debt, {per} FROM vin", more=_VIN)
 
 
 def _valued(f: Figures) -> DataFrame:
@@ -228,7 +254,18 @@ def _valued(f: Figures) -> DataFrame:
 on_figures("op_value", "op_scenario_value", "op_valuation_inputs", "op_hist_inputs", sql=_value_sql())(
     lambda f: _valued(f).select("cik", F.round("owner_earnings_margin", 8).alias("owner_earnings_margin"), F.round("net_debt", 2).alias("net_debt"), *[F.round(f"per_share_{c}", 4).alias(f"per_share_{c}") for c in GROWTH])
 )
-on_figures("op_implied_growth", "op_load_valuation")(lambda f: _valued(f).select("cik", F.round("implied_growth", 6).alias("implied_growth"), F.round("buy_below", 4).alias("buy_below")))
+def _implied_sql() -> str:
+    """Two hundred halvings, each year added in turn as the plan does."""
+    return S(
+        """SELECT cik, CASE WHEN v > 0 AND revenue > 0 AND margin > 0 AND lo <= v AND hi >= v THEN round((x.lo + x.hi) / 2, 6) END AS implied_growth, round(per_bear * (1 - 3e-1), 4) AS buy_below FROM halved""",
+        more=_VIN + f""",
+worth AS (SELECT cik, revenue, margin, market_cap + net_debt AS v, {_dcf("-5e-1")} AS lo, {_dcf("5e-1")} AS hi, ({_dcf("0e0")} - net_debt) / shares AS per_bear FROM vin),
+halved AS (SELECT *, list_reduce(list_prepend({{'lo': -5e-1, 'hi': 5e-1}}, list_transform(range({valuation.BISECTIONS}), lambda i: {{'lo': 0e0, 'hi': 0e0}})),
+  lambda a, b: CASE WHEN {_dcf("((a.lo + a.hi) / 2)")} > v THEN {{'lo': a.lo, 'hi': (a.lo + a.hi) / 2}} ELSE {{'lo': (a.lo + a.hi) / 2, 'hi': a.hi}} END) AS x FROM worth)""",
+    )
+
+
+on_figures("op_implied_growth", "op_load_valuation", sql=_implied_sql())(lambda f: _valued(f).select("cik", F.round("implied_growth", 6).alias("implied_growth"), F.round("buy_below", 4).alias("buy_below")))
 
 
 @on_figures(
@@ -246,9 +283,8 @@ CONDITIONS = (("Consolidated operating margin", "below", 0.05, "two consecutive
 
 
 def _evaluated(f: Figures) -> DataFrame:
-    spark = f.view.store.fact.sparkSession
-    rules = spark.createDataFrame(CONDITIONS, "metric string, direction string, threshold double, window string")
-    theses = f.annual.select("cik").distinct().crossJoin(F.broadcast(rules))  # three conditions for each filer
+    rules = F.array(*[F.struct(F.lit(m).alias("metric"), F.lit(d).alias("direction"), F.lit(t).alias("threshold"), F.lit(w).alias("window")) for m, d, t, w in CONDITIONS])
+    theses = f.annual.select("cik").distinct().select("cik", F.inline(rules))
     return recheck.evaluate(theses, recheck.metric_series(f.annual))
 
 
@@ -274,7 +310,7 @@ def _split(spark: SparkSession, sf_dir: str) -> tuple[Store, DataFrame, DataFram
     return s, s.fact.where(F.col("filed_date") < F.lit(HALF)), s.fact.where((F.col("filed_date") >= F.lit(HALF)) | again)
 
 
-@query("sink_insert_facts", "sink_ingest_facts", "set_difference", sql=S(f"SELECT accession_no, count(*) AS facts FROM fact WHERE filed_date >= DATE '{HALF}' GROUP BY accession_no"))
+@query("sink_insert_facts", "set_difference", sql=S(f"SELECT accession_no, count(*) AS facts FROM fact WHERE filed_date >= DATE '{HALF}' GROUP BY accession_no"))
 def sink_insert_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, held, incoming = _split(spark, sf_dir)
     return sinks.new_rows(incoming, held, "fact").groupBy("accession_no").agg(F.count("*").alias("facts"))
@@ -339,7 +375,7 @@ def fn_ticker(spark: SparkSession, sf_dir: str) -> DataFrame:
     return star_store(spark, sf_dir).filer.select("cik", "ticker", cx.ticker_class("ticker").alias("kind"), cx.padded_cik("cik").alias("padded"))
 
 
-@query("fn_months", sql="SELECT o_orderkey, CAST(date_trunc('month', o_orderdate) - INTERVAL 15 MONTH AS DATE) + CAST(day(o_orderdate) - 1 AS INTEGER) AS overflowing, CAST(CAST(o_orderdate AS DATE) - INTERVAL 15 MONTH AS DATE) AS clamped FROM orders")
+@query("fn_months", "op_months_before", sql="SELECT o_orderkey, CAST(date_trunc('month', o_orderdate) - INTERVAL 15 MONTH AS DATE) + CAST(day(o_orderdate) - 1 AS INTEGER) AS overflowing, CAST(CAST(o_orderdate AS DATE) - INTERVAL 15 MONTH AS DATE) AS clamped FROM orders")
 def fn_months(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = F.col("o_orderdate").cast("date")
     return spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", cx.months_back(day, 15).alias("overflowing"), cx.months_before(day, 15).alias("clamped"))
@@ -353,43 +389,14 @@ def _sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("string").alias("accession_no"), F.lit("1A").alias("item"), "text")
 
 
-def _findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A finding for each benchmark item on each of ten documents, quoting the item's first 60 characters; one in seven
-    with an unknown severity, one in eleven without a quote."""
-    b = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    rows = b.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(9))))
-    return rows.select(
-        F.col("item_id"), ((F.col("item_id") * 7 + F.col("k") * 13) % 210).cast("string").alias("accession_no"), F.lit("1A").alias("item"), F.lit("added").alias("change_type"),
-        F.when(F.col("item_id") % 11 == 3, "").otherwise(F.substring("text", 1, 60)).alias("quote"), F.lit("worth a look").alias("implication"),
-        F.when(F.col("item_id") % 7 == 2, "grave").otherwise("low").alias("severity"), F.lit(None).cast("string").alias("prior_accession_no"), F.lit(None).cast("string").alias("prior_quote"),
-    )
-
-
-FINDING_SQL = r"""WITH f AS (SELECT item_id, CAST((item_id * 7 + k * 13) % 210 AS VARCHAR) AS accession_no, CASE WHEN item_id % 11 = 3 THEN '' ELSE substr(text, 1, 60) END AS quote, CASE WHEN item_id % 7 = 2 THEN 'grave' ELSE 'low' END AS severity
-  FROM benchmark, (SELECT unnest(range(0, 10)) AS k)),
-n AS (SELECT f.*, d.doc_id, trim(lower(regexp_replace(f.quote, '\s+', ' ', 'g'))) AS q, lower(regexp_replace(d.text, '\s+', ' ', 'g')) AS t FROM f LEFT JOIN documents d ON CAST(d.doc_id AS VARCHAR) = f.accession_no),
-v AS (SELECT item_id, accession_no, CASE WHEN severity = 'grave' THEN 'malformed' WHEN quote = '' THEN 'quote_missing' WHEN doc_id IS NULL THEN 'source_unavailable' WHEN NOT contains(t, q) THEN 'quote_not_found' END AS drop_reason FROM n)
-"""
-
-
-@query("op_validate_findings", "op_load_findings", "op_finding_schema", "jn_section", sql=FINDING_SQL + "SELECT item_id, accession_no, drop_reason FROM v")
-def op_validate_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documents.validate_findings(_findings(spark, sf_dir), _sections(spark, sf_dir)).select("item_id", "accession_no", "drop_reason")
-
-
-@query("agg_drop_reasons", "op_bear_pass", sql=FINDING_SQL + "SELECT drop_reason, count(*) AS n FROM v WHERE drop_reason IS NOT NULL GROUP BY drop_reason")
-def agg_drop_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documents.drop_reasons(op_validate_findings(spark, sf_dir))
-
-
 BEGINS = 5  # the words of an item, from its second, by which documents that may quote it are found
 
 
-def _whole_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A finding for each benchmark item, quoting all of it, on each document that holds the item's second to sixth word
     in a row (so on all that quote it), and on each whose id and the item's add up to a multiple of forty (so on every
-    document). Items too short for this, or with an ellipsis, are cited on every document. Severities and missing
-    quotes as in ``_findings``."""
+    document). Items too short for this, or with an ellipsis, are cited on every document. One in seven has an
+    unknown severity, one in eleven no quote."""
     b = spark.read.parquet(f"{sf_dir}/benchmark.parquet").withColumn("words", F.split(documents.matched_form("text"), " "))
     d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     every = (F.size("words") <= BEGINS + 1) | F.coalesce(F.col("text").rlike(tx.ELLIPSIS.pattern), F.lit(False))
@@ -408,41 +415,57 @@ def _whole_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("op_validate_findings_whole")
-def op_validate_findings_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documents.validate_findings(_whole_findings(spark, sf_dir), _sections(spark, sf_dir)).select("item_id", "accession_no", "drop_reason")
+_FROM, _TO = ("".join(x).replace("'", "''") for x in zip(*((chr(k), v) for k, v in tx.TYPOGRAPHY.items()), strict=True))
+#: The same in SQL: typography, white space and case made equal, a quote's only fragment sought in the text.
+FINDING_SQL = f"WITH form AS (SELECT '{_FROM}' AS a, '{_TO}' AS b),\n" + r"""
+b AS (SELECT item_id, text, trim(lower(regexp_replace(translate(coalesce(text, ''), a, b), '\s+', ' ', 'g'))) AS q FROM benchmark, form),
+i AS (SELECT *, string_split(q, ' ') AS w FROM b),
+d AS (SELECT doc_id, text, trim(lower(regexp_replace(translate(coalesce(text, ''), a, b), '\s+', ' ', 'g'))) AS t FROM documents, form),
+c AS (SELECT i.item_id, d.doc_id, d.text AS source, d.t, i.q FROM d JOIN i ON len(i.w) <= 6 OR (d.doc_id + i.item_id) % 40 = 0 OR contains(' ' || d.t || ' ', ' ' || array_to_string(i.w[2:6], ' ') || ' ')),
+v AS (SELECT item_id, CAST(doc_id AS VARCHAR) AS accession_no, CASE WHEN item_id % 7 = 2 THEN 'malformed' WHEN item_id % 11 = 3 OR q = '' THEN 'quote_missing' WHEN source IS NULL THEN 'source_unavailable'
+  WHEN length(q) < 24 OR NOT contains(t, q) THEN 'quote_not_found' END AS drop_reason FROM c)
+"""
 
 
-@query("agg_drop_reasons_whole")
-def agg_drop_reasons_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documents.drop_reasons(op_validate_findings_whole(spark, sf_dir))
+@query("op_validate_findings", "op_load_findings", "op_finding_schema", "jn_section", sql=FINDING_SQL + "SELECT item_id, accession_no, drop_reason FROM v")
+def op_validate_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents.validate_findings(_findings(spark, sf_dir), _sections(spark, sf_dir)).select("item_id", "accession_no", "drop_reason")
 
 
-@query("fn_filing_text", "src_document")
+@query("agg_drop_reasons", sql=FINDING_SQL + "SELECT drop_reason, count(*) AS n FROM v WHERE drop_reason IS NOT NULL GROUP BY drop_reason")
+def agg_drop_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents.drop_reasons(op_validate_findings(spark, sf_dir))
+
+
+#: Pages without feet, page numbers and tables: markup away, references decoded, lines trimmed, empty ones dropped.
+PAGE_SQL = r"""SELECT page_id, CAST(length(t) AS INTEGER) AS chars, md5(t) AS digest FROM (SELECT page_id, array_to_string(list_filter(list_transform(string_split(u, chr(10)), lambda x: trim(regexp_replace(x, '[ \t]+', ' ', 'g'))), lambda x: x <> ''), chr(10)) AS t
+FROM (SELECT page_id, replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<(script|style)\b[^>]*>.*?</(script|style)>', ' ', 'g'),
+  '(?i)</?(p|div|tr|br|h[1-6]|li|table|thead|tbody)(\s[^>]*)?/?>', chr(10), 'g'), '<[^>]+>', '', 'g'), '&middot;', '·'), '&copy;', '©'), '&quot;', '"'), '&amp;', '&'), chr(160), ' ') AS u FROM pages))"""
+
+
+@query("fn_filing_text", "src_document", sql=PAGE_SQL)
 def fn_filing_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.filing_text(spark.read.parquet(f"{sf_dir}/pages.parquet")).select("page_id", F.length("text").alias("chars"), F.md5("text").alias("digest"))
 
 
-@query("fn_recommendation", sql="SELECT doc_id, regexp_matches(text, '(?i)\\b(?:we|you|investors?|one)\\s+(?:should|ought\\s+to|must)\\s+(?:buy|sell|short|avoid|hold|own|purchase)\\b|\\bprice\\s+target\\b') AS advises FROM documents")
-def fn_recommendation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", documents.advises("text").alias("advises"))
+#: Something is advised in every fourth text, in one of these ways; the last is no advice.
+SAID = (" Investors should buy.", " we RECOMMEND to sell it", " with a price  target of 9", " They own it.")
 
 
-@query("jn_prior_section", "win_sections_pair", "op_prepare_a", sql="""WITH s AS (SELECT d.doc_id AS accession_no, o.o_custkey AS cik, CAST(o.o_orderdate AS DATE) AS filed_date FROM documents d JOIN orders o ON o.o_orderkey = d.doc_id),
-r AS (SELECT *, row_number() OVER (PARTITION BY cik ORDER BY filed_date DESC, lpad(CAST(accession_no AS VARCHAR), 10, '0') DESC) AS rn FROM s)
-SELECT cik, max(CASE WHEN rn = 1 THEN lpad(CAST(accession_no AS VARCHAR), 10, '0') END) AS current, max(CASE WHEN rn = 2 THEN lpad(CAST(accession_no AS VARCHAR), 10, '0') END) AS prior FROM r WHERE rn <= 2 GROUP BY cik""")
-def jn_prior_section(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.lpad(F.col("doc_id").cast("string"), 10, "0").alias("accession_no"), F.lit("1A").alias("item"), F.lit("").alias("text"), F.lit(1.0).alias("extraction_confidence"))
-    pairs = documents.section_pairs(docs, star_store(spark, sf_dir).filing, "1A")
-    return pairs.select("cik", F.col("current.accession_no").alias("current"), F.col("prior.accession_no").alias("prior"))
+@query("fn_recommendation", sql=f"""SELECT doc_id, coalesce(regexp_matches(said, '{tx.ADVICE_PATTERN}') OR regexp_matches(said, '{tx.IMPERATIVE_PATTERN}'), false) AS advises
+FROM (SELECT doc_id, CASE WHEN doc_id % 9 = 4 THEN 'Sell ' || text WHEN doc_id % 4 = 1 THEN text || {list(SAID)}[CAST(doc_id // 4 % {len(SAID)} AS INTEGER) + 1] ELSE text END AS said FROM documents)""")
+def fn_recommendation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    said = F.when(F.col("doc_id") % 9 == 4, F.concat(F.lit("Sell "), "text")).when(F.col("doc_id") % 4 == 1, F.concat("text", F.element_at(F.array(*map(F.lit, SAID)), (F.floor(F.col("doc_id") / 4) % len(SAID) + 1).cast("int"))))
+    return d.select("doc_id", said.alias("said"), "text").select("doc_id", documents.advises(F.coalesce("said", "text")).alias("advises"))
 
 
-@query("jn_prior_section_whole", sql="""WITH s AS (SELECT d.doc_id, d.text, lpad(CAST(d.doc_id AS VARCHAR), 10, '0') AS accession_no, o.o_custkey AS cik, CAST(o.o_orderdate AS DATE) AS filed_date FROM documents d JOIN orders o ON o.o_orderkey = d.doc_id),
+@query("jn_prior_section", "win_sections_pair", "op_prepare_a", sql="""WITH s AS (SELECT d.doc_id, d.text, lpad(CAST(d.doc_id AS VARCHAR), 10, '0') AS accession_no, o.o_custkey AS cik, CAST(o.o_orderdate AS DATE) AS filed_date FROM documents d JOIN orders o ON o.o_orderkey = d.doc_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY cik ORDER BY filed_date DESC, accession_no DESC) AS rn FROM s)
 SELECT cik, max(accession_no) FILTER (WHERE rn = 1) AS current, coalesce(max(length(text)) FILTER (WHERE rn = 1), 0) AS current_chars, max(md5(text)) FILTER (WHERE rn = 1) AS current_digest,
   max(accession_no) FILTER (WHERE rn = 2) AS prior, coalesce(max(length(text)) FILTER (WHERE rn = 2), 0) AS prior_chars, max(md5(text)) FILTER (WHERE rn = 2) AS prior_digest, bool_or(doc_id % 5 = 0) AS refused
 FROM r WHERE rn <= 2 GROUP BY cik""")
-def jn_prior_section_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def jn_prior_section(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs with the texts that are handed over; the tables have no confidence, so each fifth section gets a weak one."""
     confidence = F.when(F.col("doc_id") % 5 == 0, 0.5).otherwise(0.9)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.lpad(F.col("doc_id").cast("string"), 10, "0").alias("accession_no"), F.lit("1A").alias("item"), "text", confidence.alias("extraction_confidence"))
@@ -451,16 +474,8 @@ def jn_prior_section_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("cik", *said, "refused")
 
 
-@query("srt_severity", sql="SELECT doc_id, severity, CAST(row_number() OVER (ORDER BY CASE severity WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END, doc_id) AS INTEGER) AS place FROM (SELECT doc_id, CASE quality + toxic WHEN 2 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS severity FROM labels) ORDER BY place LIMIT 20")
+@query("srt_severity", sql="SELECT doc_id, severity, CAST(row_number() OVER (ORDER BY CASE severity WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END, doc_id) AS BIGINT) AS place FROM (SELECT doc_id, CASE quality + toxic WHEN 2 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS severity FROM labels)")
 def srt_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.element_at(F.array(F.lit("low"), F.lit("medium"), F.lit("high")), F.col("quality") + F.col("toxic") + 1).alias("severity"), F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("item"))
-    top = documents.by_severity(rows).limit(20)
-    rank = F.when(F.col("severity") == "high", 0).when(F.col("severity") == "medium", 1).otherwise(2)
-    return top.withColumn("place", F.row_number().over(Window.orderBy(rank, "item"))).select("doc_id", "severity", "place")
-
-
-@query("srt_severity_whole", sql="SELECT doc_id, severity, CAST(row_number() OVER (ORDER BY CASE severity WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END, doc_id) AS BIGINT) AS place FROM (SELECT doc_id, CASE quality + toxic WHEN 2 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS severity FROM labels)")
-def srt_severity_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All labels in order of severity. A place is the number of labels in earlier blocks of ids and the place in the block."""
     level = F.coalesce(F.element_at(F.array(F.lit("low"), F.lit("medium"), F.lit("high")), F.col("quality") + F.col("toxic") + 1), F.lit("low"))
     rows = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", level.alias("severity"))
@@ -479,7 +494,7 @@ def srt_severity_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
 FORM_LINE = "concat(rpad(form_type, 12, ' '), rpad(concat('CO ', cik), 30, ' '), lpad(CAST(cik AS STRING), 10, '0'), '  ', CAST(filed_date AS STRING), '  edgar/data/', cik, '/', accession_no, '.txt')"
 
 
-@query("src_formindex", "src_quarters", sql=S("SELECT form_type AS form, concat('CO ', cik) AS company_name, cik, filed_date, concat('edgar/data/', cik, '/', accession_no, '.txt') AS path FROM filing WHERE form_type NOT LIKE '% %'"))
+@query("src_formindex", sql=S("SELECT form_type AS form, concat('CO ', cik) AS company_name, cik, filed_date, concat('edgar/data/', cik, '/', accession_no, '.txt') AS path FROM filing WHERE form_type NOT LIKE '% %'"))
 def src_formindex(spark: SparkSession, sf_dir: str) -> DataFrame:
     return landing.index_rows(star_store(spark, sf_dir).filing.selectExpr(f"{FORM_LINE} AS value"))
 
@@ -491,7 +506,7 @@ def op_parse_terminal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return landing.unheld(landing.terminal_filings(landing.index_rows(lines)), s.filer.where("cik % 4 = 0")).select("cik", "filed_date", "status")
 
 
-@query("src_submissions", "sink_ingest", sql=S("SELECT accession_no, cik, form_type, filed_date, CASE WHEN CAST(accession_no AS BIGINT) % 3 <> 0 THEN period_end END AS period_end, concat('edgar/data/', cik, '/', accession_no, '/', primary_doc_url) AS primary_doc_url FROM filing"))
+@query("src_submissions", sql=S("SELECT accession_no, cik, form_type, filed_date, CASE WHEN CAST(accession_no AS BIGINT) % 3 <> 0 THEN period_end END AS period_end, concat('edgar/data/', cik, '/', accession_no, '/', primary_doc_url) AS primary_doc_url FROM filing"))
 def src_submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = star_store(spark, sf_dir)
     row = F.struct("accession_no", F.col("filed_date").cast("string").alias("filed"), F.when(F.col("accession_no").cast("long") % 3 == 0, "").otherwise(F.col("period_end").cast("string")).alias("ended"), "form_type", "primary_doc_url")
@@ -530,19 +545,9 @@ def src_chart(spark: SparkSession, sf_dir: str) -> DataFrame:
     "op_assumption_checks",
     sql=r"""SELECT doc_id, CASE WHEN name = 'discount_rate' THEN 'the discount rate is fixed' WHEN name = 'beta' THEN 'unknown assumption' WHEN NOT (bear <= base AND base <= bull) THEN 'cases out of order'
   WHEN trim(said) = '' OR NOT regexp_matches(said, '[0-9]') THEN 'justification cites nothing' END AS problem
-FROM (SELECT doc_id, ['revenue_growth', 'owner_earnings_margin', 'discount_rate', 'beta'][doc_id % 4 + 1] AS name, (doc_id % 5) / 1e1 AS bear, (doc_id % 7) / 1e1 AS base, 6e-1 AS bull, substr(text, 1, 60) AS said FROM documents)""",
-)
-def op_assumption_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _assumptions(spark, sf_dir, F.substring("text", 1, 60))
-
-
-@query(
-    "op_assumption_checks_whole",
-    sql=r"""SELECT doc_id, CASE WHEN name = 'discount_rate' THEN 'the discount rate is fixed' WHEN name = 'beta' THEN 'unknown assumption' WHEN NOT (bear <= base AND base <= bull) THEN 'cases out of order'
-  WHEN trim(said) = '' OR NOT regexp_matches(said, '[0-9]') THEN 'justification cites nothing' END AS problem
 FROM (SELECT doc_id, ['revenue_growth', 'owner_earnings_margin', 'discount_rate', 'beta'][doc_id % 4 + 1] AS name, (doc_id % 5) / 1e1 AS bear, (doc_id % 7) / 1e1 AS base, 6e-1 AS bull, coalesce(text, '') AS said FROM documents)""",
 )
-def op_assumption_checks_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def op_assumption_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _assumptions(spark, sf_dir, F.col("text"))
 
 
@@ -554,7 +559,7 @@ def _assumptions(spark: SparkSession, sf_dir: str, said: Column) -> DataFrame:
 
 
 @query(
-    "op_stored_thesis", "agg_max_version", "sink_thesis", "agg_open_theses", "agg_latest_as_of",
+    "op_stored_thesis", "agg_max_version",
     sql="SELECT o_custkey AS cik, as_of, version, points, next_version FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey, as_of ORDER BY version DESC) AS rn, max(version) OVER (PARTITION BY o_custkey, as_of) + 1 AS next_version FROM (SELECT o_custkey, make_date(CAST(year(o_orderdate) AS INTEGER), 1, 1) AS as_of, CAST(row_number() OVER (PARTITION BY o_custkey, year(o_orderdate) ORDER BY o_orderkey) AS INTEGER) AS version, CAST(o_orderkey % 3 AS INTEGER) AS points FROM orders)) WHERE rn = 1",
 )
 def op_stored_thesis(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgermark.operators.documents import advises
+from ledgermark.operators.documents import advises, drop_rate, with_sources
 
 # Sections of a thesis, conclusions that are no reasons, and least lengths.
 SECTIONS = ("business", "mispricing", "must_go_right", "falsification", "holding_period_years", "sell_early_if", "pre_mortem")
@@ -57,3 +57,24 @@ def with_points(theses: DataFrame, points: DataFrame) -> DataFrame:
     """Latest theses with the points raised against that version."""
     own = points.groupBy("cik", "as_of", F.col("thesis_version").alias("version")).agg(F.array_sort(F.collect_list(F.struct("attacks", "claim", "accession_no", "item", "quote"))).alias("points"))
     return latest(theses).join(own, ["cik", "as_of", "version"], "left")
+
+
+def open_theses(theses: DataFrame) -> DataFrame:
+    """Every filer with a thesis, and the day of its latest one."""
+    return theses.groupBy("cik").agg(F.max("as_of").alias("as_of"))
+
+
+def checked_points(points: DataFrame, sections: DataFrame) -> DataFrame:
+    """Points raised against theses (claim, quote, accession_no, item, ...) with the reason each is dropped for (null:
+    kept), the first that applies. Each section's text is read once, with all the quotes from it."""
+    blank = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) == ""
+    before = F.when(blank("claim") | blank("quote") | blank("accession_no"), "malformed").when(advises("claim"), "recommendation")
+    return with_sources(points.withColumn("__why", before), sections, "quote", "accession_no", "item", wanted=F.col("__why").isNull()).select(
+        *points.columns,
+        F.coalesce("__why", F.when(~F.col("__sourced"), "source_unavailable").when(~F.col("__found"), "quote_not_found")).alias("drop_reason"),
+    )
+
+
+def pass_summary(checked: DataFrame, *by: str) -> DataFrame:
+    """Of each pass: points kept and dropped, and the dropped share (null for none)."""
+    return drop_rate(checked, *by)

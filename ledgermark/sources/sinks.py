@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgermark.schemas import KEYS
@@ -19,12 +19,26 @@ def same(keys: list[str], a: str = "n", b: str = "h") -> Column:
 
 
 def new_rows(incoming: DataFrame, held: DataFrame, relation: str) -> DataFrame:
-    """Rows whose key the store does not hold, each key once (null starts count as equal)."""
+    """Rows whose key the store does not hold, each key once: of equal keys the row that sorts first (null starts count as equal)."""
     keys = KEYS[relation]
-    once = incoming.dropDuplicates(keys)
+    once = first_of(incoming, keys)
     return once.alias("n").join(held.select(*keys).alias("h"), same(keys), "left_anti")
 
 
+def first_of(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Of each key the row that sorts first by its other columns."""
+    rest = [c for c in rows.columns if c not in keys]
+    body = F.struct(*rest)
+    return rows.groupBy(*keys).agg(F.min(body).alias("__x")).select(*[F.col(c) if c in keys else F.col(f"__x.{c}").alias(c) for c in rows.columns])
+
+
+def replaced(held: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
+    """A relation after a result was stored again: rows of a key that comes in are superseded, all others stay."""
+    gone = incoming.select(*keys).distinct()
+    stay = held.alias("n").join(gone.alias("h"), same(keys), "left_anti")
+    return stay.unionByName(incoming, allowMissingColumns=True)
+
+
 def merged_filers(held: DataFrame, incoming: DataFrame) -> DataFrame:
     """Filers after an ingest: names and tickers are the new ones, the first day is the earlier, the last the later,
     and a status is never undone."""
@@ -39,7 +53,7 @@ def merged_filers(held: DataFrame, incoming: DataFrame) -> DataFrame:
 
 def merged_filings(held: DataFrame, incoming: DataFrame) -> DataFrame:
     """Filings after an ingest: what the store lacks is filled from the incoming rows."""
-    rows = held.alias("h").join(incoming.dropDuplicates(["accession_no"]).alias("n"), "accession_no", "full")
+    rows = held.alias("h").join(first_of(incoming, ["accession_no"]).alias("n"), "accession_no", "full")
     return rows.select("accession_no", *[F.coalesce(f"n.{c}", f"h.{c}").alias(c) for c in held.columns if c != "accession_no"])
 
 
@@ -62,6 +76,19 @@ def ingest(held_filer: DataFrame, held_filing: DataFrame, held_fact: DataFrame,
     return merged_filers(held_filer, seen), merged_filings(held_filing, all_filings), new_rows(facts, held_fact, "fact")
 
 
+def ingest_facts(held_filer: DataFrame, held_filing: DataFrame, held_fact: DataFrame, facts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Filers, filings and facts after facts alone came in: stubs for filings that no list has, a filer's first day no
+    later than its earliest fact, and facts that are new. Facts of a filer that the store does not hold stop the job."""
+    known = held_filer.select(F.col("cik").alias("__known")).distinct()
+    checked = facts.join(known, F.col("cik") == F.col("__known"), "left")
+    lost = F.raise_error(F.concat(F.lit("facts of a filer that is not held: "), F.coalesce(F.col("cik").cast("string"), F.lit("none"))))
+    facts = checked.withColumn("cik", F.when(F.col("__known").isNull(), lost.cast("long")).otherwise(F.col("cik"))).drop("__known")
+    stubs = stub_filings(facts, held_filing)
+    first = facts.groupBy("cik").agg(F.min("filed_date").alias("__first"))
+    filers = held_filer.join(first, "cik", "left").withColumn("first_seen", F.least("first_seen", "__first")).drop("__first").select(*held_filer.columns)
+    return filers, merged_filings(held_filing, stubs), new_rows(facts, held_fact, "fact")
+
+
 def mark_terminal(filer: DataFrame, filing: DataFrame, records: DataFrame) -> DataFrame:
     """Filers after terminal filings (cik, filed_date, status): the earliest that no later annual or quarterly report
     contradicts marks an active filer, or moves the day of one with that status back."""
@@ -79,6 +106,25 @@ def next_version(theses: DataFrame) -> DataFrame:
     return theses.groupBy("cik", "as_of").agg((F.coalesce(F.max("version"), F.lit(0)) + 1).alias("next_version"))
 
 
+def append_versions(held: DataFrame, incoming: DataFrame) -> DataFrame:
+    """Theses to append: each incoming one (cik, as_of, written_at, ...) gets the version after all that its filer and day have."""
+    now = next_version(held)
+    order = Window.partitionBy("cik", "as_of").orderBy("written_at")
+    rows = incoming.drop("version").withColumn("__n", F.row_number().over(order) - 1).join(now, ["cik", "as_of"], "left")
+    return rows.withColumn("version", F.coalesce("next_version", F.lit(1)) + F.col("__n")).drop("__n", "next_version")
+
+
+def to_payload(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows as stored results: their keys, and all of their columns as one JSON payload."""
+    return df.select(*keys, F.to_json(F.struct(*df.columns)).alias("payload"))
+
+
+def from_payload(df: DataFrame, schema: str) -> DataFrame:
+    """Rows of stored payloads; a payload that is no JSON of this shape gives nulls."""
+    rest = [c for c in df.columns if c != "payload"]
+    return df.withColumn("__p", F.from_json("payload", schema)).select(*rest, "__p.*")
+
+
 def write(df: DataFrame, path: str, how: str = "append", by: list[str] | None = None) -> None:
     """Append rows, or replace the partitions (``by``) that they lie in."""
     w = df.write.mode("append" if how == "append" else "overwrite")

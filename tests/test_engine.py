@@ -52,9 +52,9 @@ def test_healthy_filer(spark):
 @pytest.mark.parametrize(
     ("change", "reason"),
     [
-        ({"sic": "6021"}, "financial company"),
-        ({"ticker": None}, "no ticker"),
-        ({"ticker": "SCE-PG"}, "not common stock: SCE-PG"),
+        ({"sic": "6021"}, "financial filer: bank, insurer or REIT screens are separate"),
+        ({"ticker": None}, "no ticker on file: not listed today, so it cannot be priced"),
+        ({"ticker": "SCE-PG"}, "listed ticker is not common stock: SCE-PG"),
         ({"ticker": "BF-B"}, None),
     ],
 )

@@ -26,7 +26,9 @@ def test_form_index(spark, tmp_path):
     p.parent.mkdir(parents=True)
     p.write_text(INDEX)
     rows, report = landing.read_quarters(spark, str(tmp_path), 2020, 2020)
-    assert rows.count() == 4 and report[0]["rows"] == 4 and all("error" in r for r in report[1:])
+    assert rows.count() == 4 and {(r["year"], r["quarter"]): r["rows"] for r in report.collect()} == {(2020, 1): 4, (2020, 2): None, (2020, 3): None, (2020, 4): None}
+    empty, report = landing.read_quarters(spark, str(tmp_path / "none"), 2020, 2020)
+    assert empty.count() == 0 and report.count() == 4
     first = landing.annual_filers(rows).collect()
     assert [(r["cik"], r["filed_date"]) for r in first] == [(12, date(2020, 1, 3))]
     assert {(r["cik"], r["status"]) for r in landing.terminal_filings(rows).collect()} == {(13, "deregistered"), (14, None)}
@@ -73,6 +75,40 @@ def test_ingest_twice_is_ingest_once(spark):
     assert sinks.stub_filings(lost, s.filing).first()["form_type"] == "10-K"
 
 
+def test_facts_alone_need_their_filer(spark):
+    b = Builder(spark).filer(1, first_seen=date(2015, 1, 1)).annual(1, date(2011, 12, 31), date(2012, 2, 1), Assets=5)
+    s = b.store()
+    filer, filing, fact = sinks.ingest_facts(s.filer, s.filing.limit(0), s.fact.limit(0), s.fact)
+    assert filer.first()["first_seen"] == date(2012, 2, 1) and filing.count() == 1 and fact.count() == 1
+    with pytest.raises(Exception, match="not held"):
+        sinks.ingest_facts(s.filer.limit(0), s.filing, s.fact, s.fact)[2].collect()
+
+
+def test_stored_results_are_superseded(spark):
+    held = spark.createDataFrame([(1, None, "a"), (1, None, "b"), (2, 5, "c")], "k int, j int, v string")
+    new = spark.createDataFrame([(1, None, "z")], "k int, j int, v string")
+    assert sorted(r["v"] for r in sinks.replaced(held, new, ["k", "j"]).collect()) == ["c", "z"]
+    assert sinks.first_of(held, ["k", "j"]).where("k = 1").first()["v"] == "a"
+    back = sinks.from_payload(sinks.to_payload(held, "k").select("payload").union(spark.createDataFrame([("no json",)], "payload string")), "k int, j int, v string")
+    assert sorted(str(r["v"]) for r in back.collect()) == ["None", "a", "b", "c"]
+    theses = spark.createDataFrame([(1, date(2024, 1, 1), 2, 1)], "cik long, as_of date, version int, written_at long")
+    more = spark.createDataFrame([(1, date(2024, 1, 1), 9, 5), (1, date(2024, 1, 1), 9, 4), (2, date(2024, 1, 1), 9, 1)], theses.schema)
+    assert {(r["cik"], r["written_at"]): r["version"] for r in sinks.append_versions(theses, more).collect()} == {(1, 4): 3, (1, 5): 4, (2, 1): 1}
+
+
+def test_bulk_archive_is_read_from_the_landing_folder(spark, tmp_path):
+    import zipfile
+
+    with zipfile.ZipFile(tmp_path / "facts.zip", "w") as z:
+        for cik in (1, 2):
+            point = {"end": "2023-12-31", "val": cik, "accn": "x", "filed": "2024-02-01"}
+            z.writestr(zipfile.ZipInfo(f"CIK{cik:010}.json", (2024, 3, cik, 6, 0, 0)), json.dumps({"cik": cik, "facts": {"us-gaap": {"Assets": {"units": {"USD": [point]}}}}}))
+    rows = landing.bulk_company_facts(spark, str(tmp_path / "facts.zip"), str(tmp_path / "landing"), [2, 3])
+    assert [(r["wanted"], r["cik"]) for r in rows.collect()] == [(2, 2)] and landing.company_facts(rows).count() == 1
+    assert landing.bulk_version(str(tmp_path / "facts.zip")) == "2024-03-02T06:00:00"
+    assert landing.bulk_company_facts(spark, str(tmp_path / "facts.zip"), str(tmp_path / "none"), [9]).count() == 0
+
+
 def test_terminal_marks(spark):
     b = Builder(spark).filer(1).filer(2).filer(3, status="acquired", status_date=date(2020, 1, 1))
     b.annual(2, date(2023, 12, 31), date(2024, 2, 1), Assets=1)

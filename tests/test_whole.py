@@ -24,7 +24,7 @@ def tables(spark, tmp_path_factory):
 
 def test_findings_cite_every_document_and_quote_whole_items(spark, tables):
     sf, docs, items = tables
-    rows = registry.QUERIES["op_validate_findings_whole"](spark, sf).collect()
+    rows = registry.QUERIES["op_validate_findings"](spark, sf).collect()
     got = {(r["item_id"], int(r["accession_no"])): r["drop_reason"] for r in rows}
     assert len(got) == len(rows) and {a for _, a in got} == set(docs)
     for (i, a), why in got.items():
@@ -34,25 +34,25 @@ def test_findings_cite_every_document_and_quote_whole_items(spark, tables):
     quoting = {(i, a) for i, q in items.items() for a, t in docs.items() if tx.quote_appears_in(q, t)}
     assert {(0, 390), (5, 395), (6, 396), (7, 397), (8, 397)} <= quoting <= set(got)
     assert got[0, 390] is None and got[1, 391] == "quote_not_found"
-    counts = {r["drop_reason"]: r["n"] for r in registry.QUERIES["agg_drop_reasons_whole"](spark, sf).collect()}
+    counts = {r["drop_reason"]: r["n"] for r in registry.QUERIES["agg_drop_reasons"](spark, sf).collect()}
     assert counts == {w: list(got.values()).count(w) for w in set(got.values()) - {None}}
 
 
 def test_all_labels_have_a_place(spark, tables):
-    got = [(r["place"], r["severity"], r["doc_id"]) for r in registry.QUERIES["srt_severity_whole"](spark, tables[0]).collect()]
+    got = [(r["place"], r["severity"], r["doc_id"]) for r in registry.QUERIES["srt_severity"](spark, tables[0]).collect()]
     level = lambda i: 2 - i % 2 - i // 2 % 2
     want = sorted(range(400), key=lambda i: (level(i), i))
     assert got == [(k, ("high", "medium", "low")[level(i)], i * 37) for k, i in enumerate(want, 1)]
 
 
 def test_figures_late_in_a_justification_count(spark, tables):
-    got = {r["doc_id"]: r["problem"] for r in registry.QUERIES["op_assumption_checks_whole"](spark, tables[0]).collect()}
+    got = {r["doc_id"]: r["problem"] for r in registry.QUERIES["op_assumption_checks"](spark, tables[0]).collect()}
     assert got[380] is None and got[381] == "justification cites nothing"
 
 
 def test_prior_sections_hand_over_texts(spark):
     sf = "/root/testdata/sf0.001"
-    rows = registry.QUERIES["jn_prior_section_whole"](spark, sf).collect()
+    rows = registry.QUERIES["jn_prior_section"](spark, sf).collect()
     chars = {f"{r['doc_id']:010}": len(r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     assert rows and all(r[f"{w}_chars"] == chars[r[w]] for r in rows for w in ("current", "prior") if r[w])
     assert all(r["refused"] == any(int(r[w]) % 5 == 0 for w in ("current", "prior") if r[w]) for r in rows) and {r["refused"] for r in rows} == {True, False}
