@@ -2,32 +2,24 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Where intermediate tables go if the session names no shared folder (local tests only).
-LOCAL_WORK = "/tmp/ledgermark-work"
+from ledgermark.tables import materialise, shared_root
+
 #: Rows and bytes of an Arrow batch: texts are long, and a worker holds one batch at a time.
 ARROW_ROWS, ARROW_BYTES = "512", "16777216"
 
 
 def workdir(spark: SparkSession) -> str:
-    """The cluster's shared folder (``spark.checkpoint.dir``); a local one only where that is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = LOCAL_WORK
-        spark.sparkContext.setCheckpointDir(path)
-    return path.rstrip("/")
+    """The cluster's shared folder (``spark.checkpoint.dir``); a local one only where a session of one machine has none."""
+    return shared_root(spark)
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts the lineage, and a lost executor loses nothing."""
-    spark = df.sparkSession
-    path = f"{workdir(spark)}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """Write ``df`` to the shared folder and read it back: cuts the lineage, and a lost executor loses nothing.
+    ``ledgermark.tables.clear`` removes what was written, once nothing reads it any more."""
+    return materialise(df, name)
 
 
 def bound_batches(spark: SparkSession) -> None:

@@ -23,6 +23,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgermark.tables import folder as shared_folder
+
 from ._spark import bound_batches, stage, workdir
 
 WIDTH = 64
@@ -163,7 +165,7 @@ def write_shards(docs: DataFrame, folder: str) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # of the tasks that meet a payload the first stores it; the others find it in their list
     met = rows.select(digest().alias("digest"), F.spark_partition_id().alias("part")).groupBy("digest").agg(F.sort_array(F.collect_set("part")).alias("parts"))
-    others = f"{workdir(docs.sparkSession)}/tables/elsewhere-{uuid.uuid4().hex}"
+    others = shared_folder(docs.sparkSession, "elsewhere")
     met.where("size(parts) > 1").select("digest", F.explode(F.slice("parts", F.lit(2), F.size("parts"))).alias("part")).repartition("part").write.partitionBy("part").parquet(others)
     manifest = _write(rows, folder, others)
     found = manifest.where("shard is not null")
