@@ -1,20 +1,30 @@
 """Exact top-k inner products by dual-tree cover-tree search.
 
-Queries and data are dealt into blocks of bounded size; every query block meets every data block once. In each
-meeting a cover tree of the queries and one of the data are searched together: a pair of nodes is pruned when the
-largest inner product that their covering radii allow is below the worst k-th score of the query node's queries.
+The upper level of the tree is a net of centres, chosen far apart from a bounded sample: every vector belongs to the
+nearest centre's cell, and cells are cut into blocks of bounded size. Each query block first meets one block of its own
+cell, which gives each of its queries a k-th score. A query block then meets only those data blocks whose ball may hold
+a product as large as the worst of these scores. In each meeting a cover tree of the queries and one of the data are
+searched together: a pair of nodes is pruned when the largest inner product that their covering radii allow is
+below the worst k-th score of the query node's queries.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ._spark import bound_batches, sampled, stage
+
+#: Rows that centres are chosen from (about; by a hash of the id), and centres, at most.
+SAMPLE, MOST_CELLS = 4096, 256
+#: Data blocks whose balls are held against one query block at a time.
+CHUNK = 1 << 15
 DATA_BLOCK, QUERY_BLOCK = 8192, 2048
 LEAF_DATA, LEAF_QUERIES = 256, 64
 #: Relative slack of bounds against rounding.
@@ -53,25 +63,36 @@ def cover_tree(points: np.ndarray, rows: np.ndarray, leaf: int) -> Node:
     return node
 
 
-def dual_search(queries: np.ndarray, query_ids: np.ndarray, data: np.ndarray, data_ids: np.ndarray, k: int, prune: bool = True) -> list[tuple[int, int, int]]:
+def dual_search(queries: np.ndarray, query_ids: np.ndarray, data: np.ndarray, data_ids: np.ndarray, k: int, prune: bool = True, least: np.ndarray | None = None) -> list[tuple[int, int, int]]:
     """(query id, data id, score) of each query's k best rows of ``data`` with another id; ties to the smaller id.
-    Vectors hold integers in float64, exact while products stay below 2**53; beyond that use ``exact`` types."""
+
+    ``least`` names a score for each query that k other rows are known to reach: rows below it are left out. Vectors hold
+    integers. Products below 2**53 are exact in float64; larger ones are computed in 64-bit integers, and those that do not
+    fit into these are refused."""
     n = len(queries)
-    best = np.full((n, k), -np.inf)
+    size = float(np.sqrt((queries**2).sum(1).max(initial=0)) * np.sqrt((data**2).sum(1).max(initial=0)))
+    if size >= 2.0**63:
+        raise ValueError("inner products do not fit into 64 bits")
+    whole = size >= 2.0**53
+    kind = np.int64 if whole else np.float64
+    none = np.iinfo(np.int64).min if whole else -np.inf
+    best = np.full((n, k), none, kind)
+    floor = np.full(n, none, kind) if least is None else np.where(np.isnan(least), float(none), least).astype(kind)
     ids = np.full((n, k), np.iinfo(np.int64).max)
+    left, right = queries.astype(kind), data.astype(kind)
     order = np.argsort(data_ids, kind="stable")
-    data, data_ids = data[order], data_ids[order]
+    data, right, data_ids = data[order], right[order], data_ids[order]
 
     def base(q: Node, p: Node) -> None:
         rows = q.rows
-        s = (queries[rows] @ data[p.rows].T).astype(np.float64)
-        s[query_ids[rows][:, None] == data_ids[p.rows][None, :]] = -np.inf
-        hit = np.flatnonzero((s >= best[rows, -1:]).any(1) & (s > -np.inf).any(1))
-        for i in hit:
-            r = rows[i]
-            ok = np.flatnonzero((s[i] >= best[r, -1]) & (s[i] > -np.inf))
+        s = left[rows] @ right[p.rows].T
+        s[query_ids[rows][:, None] == data_ids[p.rows][None, :]] = none
+        enough = np.maximum(best[rows, -1], floor[rows])[:, None]
+        good = (s >= enough) & (s > none)
+        for i in np.flatnonzero(good.any(1)):
+            r, ok = rows[i], np.flatnonzero(good[i])
             score, name = np.append(best[r], s[i, ok]), np.append(ids[r], data_ids[p.rows[ok]])
-            top = np.lexsort((name, -score))[:k]
+            top = np.lexsort((name, -score if not whole else ~score))[:k]
             best[r], ids[r] = score[top], name[top]
 
     def bound(q: Node, p: Node) -> float:
@@ -80,7 +101,7 @@ def dual_search(queries: np.ndarray, query_ids: np.ndarray, data: np.ndarray, da
         return x + SLACK * (a + q.radius) * (b + p.radius)
 
     def visit(q: Node, p: Node, most: float) -> None:
-        if prune and most < best[q.rows, -1].min():
+        if prune and most < float(np.maximum(best[q.rows, -1], floor[q.rows]).min()):
             return
         if not q.children and not p.children:
             base(q, p)
@@ -94,7 +115,7 @@ def dual_search(queries: np.ndarray, query_ids: np.ndarray, data: np.ndarray, da
     if n and len(data):
         q, p = cover_tree(queries, np.arange(n), LEAF_QUERIES), cover_tree(data, np.arange(len(data)), LEAF_DATA)
         visit(q, p, bound(q, p))
-    return [(int(query_ids[i]), int(ids[i, j]), int(best[i, j])) for i in range(n) for j in range(k) if best[i, j] > -np.inf]
+    return [(int(query_ids[i]), int(ids[i, j]), int(best[i, j])) for i in range(n) for j in range(k) if best[i, j] > none]
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
@@ -105,32 +126,121 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return out
 
 
+def net(points: np.ndarray, most: int) -> np.ndarray:
+    """Up to ``most`` of the points, each the farthest from those before it."""
+    if not len(points):
+        return points
+    chosen = [0]
+    near = ((points - points[0]) ** 2).sum(1)
+    while len(chosen) < min(most, len(points)) and near.max() > 0:
+        chosen.append(int(near.argmax()))
+        near = np.minimum(near, ((points - points[chosen[-1]]) ** 2).sum(1))
+    return points[chosen]
+
+
+def _wide(vectors: np.ndarray, width: int) -> np.ndarray:
+    return np.pad(vectors, ((0, 0), (0, max(0, width - vectors.shape[1]))))
+
+
+def _celled(rows: DataFrame, centres: np.ndarray) -> DataFrame:
+    """Adds cell (the nearest centre) and dist (to it) to rows (vec_id, x, copies). Vectors and centres are continued with zeros."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = _matrix(batch.column(1).to_pandas())
+            width = max(x.shape[1], centres.shape[1])
+            x, c = _wide(x, width), _wide(centres, width)
+            cell, dist = np.zeros(len(x), np.int32), np.zeros(len(x))
+            for a in range(0, len(x), 1024):
+                near = ((x[a : a + 1024] ** 2).sum(1)[:, None] - 2 * x[a : a + 1024] @ c.T + (c**2).sum(1)).argmin(1)
+                cell[a : a + 1024] = near
+                dist[a : a + 1024] = np.sqrt(((x[a : a + 1024] - c[near]) ** 2).sum(1))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell), pa.array(dist)], [*batch.schema.names, "cell", "dist"])
+
+    return rows.mapInArrow(run, "vec_id long, x array<double>, copies int, cell int, dist double")
+
+
+def _blocked(rows: DataFrame, size: int, name: str, *by: str) -> DataFrame:
+    """Adds the number of each row's block: cells are cut by a hash into blocks of about ``size`` rows."""
+    per = sorted((r["cell"], -(-r["n"] // size)) for r in rows.groupBy("cell").agg(F.count("*").alias("n")).collect())  # a row a cell
+    first, table = 0, []
+    for cell, n in per:
+        table.append((cell, first, n))
+        first += n
+    starts = rows.sparkSession.createDataFrame(table, "cell int, first long, n long")
+    part = F.col("first") + F.pmod(F.xxhash64(F.lit("block"), *by), F.col("n"))
+    return rows.join(F.broadcast(starts), "cell").withColumn(name, part).drop("first", "n")
+
+
+def _pairs(queries: DataFrame, data: DataFrame, centres: np.ndarray) -> DataFrame:
+    """Blocks (qb, db) that must meet: the largest product that their balls allow is not below the worst k-th score of the
+    query block (least; null: unknown)."""
+    length, dots = np.sqrt((centres**2).sum(1)), centres @ centres.T
+    d = data.groupBy("db").agg(F.first("cell").alias("dcell"), F.max("dist").alias("dr")).withColumn("chunk", F.floor(F.col("db") / CHUNK))
+    d = d.groupBy("chunk").agg(F.collect_list(F.struct("db", "dcell", "dr")).alias("balls"))  # CHUNK of them at most
+    q = queries.groupBy("qb").agg(F.first("cell").alias("qcell"), F.max("dist").alias("qr"), F.when(F.count("least") == F.count("*"), F.min("least")).alias("least"))
+    chunks = d.count()
+    both = q.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(0, chunks - 1)).cast("long")))).join(d, "chunk").select("qb", "qcell", "qr", "least", "balls")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                qb, cell, qr, least = (batch.column(c)[i].as_py() for c in range(4))
+                balls = batch.column(4)[i].values
+                db, dcell, dr = (balls.field(f).to_numpy(zero_copy_only=False) for f in ("db", "dcell", "dr"))
+                most = dots[cell][dcell] + qr * length[dcell] + dr * length[cell] + qr * dr + SLACK * (length[cell] + qr) * (length[dcell] + dr)
+                ok = db if least is None else db[most >= least]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ok), qb)), pa.array(ok)], ["qb", "db"])
+
+    return both.mapInArrow(run, "qb long, db long")
+
+
 def search(vectors: DataFrame, is_query: Callable, k: int = 5, scale: int = 256) -> DataFrame:
     """query_id, rank, vec_id and score: the k rows with the largest integer inner products of floor(scale * x) for each
     row of ``vectors`` (vec_id, embedding) whose id meets ``is_query``.
 
     Fewer rows if there are fewer candidates; ties go to the smaller vec_id. Rows with a null id or vector, or with a
     null or non-finite component, take no part; all rows with the query's id count as its own; an id that is
-    repeated stands for one query, and its copies are candidates each. Shorter vectors are continued with zeros; an
-    empty table gives no rows. Other columns are ignored. Scores are exact while they are below 2**53.
+    repeated stands for one query (with its vector that sorts first), and its copies are candidates each. Shorter
+    vectors are continued with zeros; an empty table gives no rows. Other columns are ignored. Scores are exact;
+    products beyond 64 bits stop the job.
     """
+    spark = vectors.sparkSession
+    bound_batches(spark)
     x = F.transform("embedding", lambda v: v.cast("double"))
     good = F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("x")).where("vec_id is not null and x is not null").where(good)
     rows = rows.select("vec_id", F.transform("x", lambda v: F.floor(v * scale).cast("double")).alias("x"))
-    queries = rows.where(is_query(F.col("vec_id"))).dropDuplicates(["vec_id"])
-    d, q = (max(1, -(-t.count() // size)) for t, size in ((rows, DATA_BLOCK), (queries, QUERY_BLOCK)))
-    block = lambda n: F.pmod(F.xxhash64(F.lit("block"), F.col("vec_id")), F.lit(n)).cast("int")
-    left = queries.withColumn("qb", block(q)).withColumn("db", F.explode(F.sequence(F.lit(0), F.lit(d - 1))))
-    right = rows.withColumn("db", block(d)).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(q - 1))))
+    # of equal rows no more than k can be among a query's best
+    rows = stage(rows.groupBy("vec_id", "x").agg(F.least(F.count("*"), F.lit(k)).cast("int").alias("copies")), "vectors")
+    total = rows.count()
+    centres = net(_matrix(sampled(rows, "vec_id", SAMPLE).limit(2 * SAMPLE).toPandas()["x"]), min(MOST_CELLS, 4 * -(-total // DATA_BLOCK)))
+    if not len(centres):
+        centres = np.zeros((1, 1))
+    celled = stage(_celled(rows, centres), "cells")
+    data = stage(_blocked(celled, DATA_BLOCK, "db", "vec_id", "x"), "data")
+    one = celled.where(is_query(F.col("vec_id"))).groupBy("vec_id").agg(F.min(F.struct("x", "cell", "dist")).alias("q")).select("vec_id", "q.*")
+    queries = stage(_blocked(one, QUERY_BLOCK, "qb", "vec_id"), "queries")
 
     def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
+        b = b.loc[b.index.repeat(b["copies"])]
         both = _matrix(pd.concat([a["x"], b["x"]], ignore_index=True))
-        found = dual_search(both[: len(a)], a["vec_id"].to_numpy(), both[len(a) :], b["vec_id"].to_numpy(), k)
+        found = dual_search(both[: len(a)], a["vec_id"].to_numpy(), both[len(a) :], b["vec_id"].to_numpy(), k, least=a["least"].to_numpy(float))
         return pd.DataFrame(found, columns=["query_id", "vec_id", "score"]).astype("int64")
 
-    met = left.groupBy("qb", "db").cogroup(right.groupBy("qb", "db")).applyInPandas(meet, "query_id long, vec_id long, score long")
+    def met(queries: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
+        left, right = queries.join(pairs, "qb").select("qb", "db", "vec_id", "x", "least"), data.join(pairs, "db").select("qb", "db", "vec_id", "x", "copies")
+        return stage(left.groupBy("qb", "db").cogroup(right.groupBy("qb", "db")).applyInPandas(meet, "query_id long, vec_id long, score long"), name)
+
+    # each query block and one data block of its own cell
+    near = queries.groupBy("qb").agg(F.first("cell").alias("cell")).join(data.groupBy("cell").agg(F.min("db").alias("lo"), F.max("db").alias("hi")), "cell")
+    near = stage(near.select("qb", (F.col("lo") + F.pmod("qb", F.col("hi") - F.col("lo") + 1)).alias("db")), "near")
+    first = met(queries.withColumn("least", F.lit(None).cast("double")), near, "first")
+    kth = first.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score").cast("double")).alias("least")).withColumnRenamed("query_id", "vec_id")
+    known = stage(queries.join(kth, "vec_id", "left"), "known")
+    pairs = stage(_pairs(known, data, centres).join(near, ["qb", "db"], "left_anti"), "pairs")
+    found = first.union(met(known, pairs, "rest"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return met.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -409,6 +409,49 @@ def test_topk(spark):
     assert topk.search(df.limit(0), lambda i: i % 50 == 0).count() == 0
 
 
+def brute_top(rows, step, k=5):
+    """Top-k by all inner products in Python's whole numbers."""
+    q = [(i, [math.floor(256 * x) for x in v]) for i, v in rows]
+    out = []
+    for a in sorted({i for i, _ in q if i % step == 0}):
+        own = min(v for i, v in q if i == a)
+        best = sorted((-sum(x * y for x, y in zip(own, v, strict=True)), i) for i, v in q if i != a)[:k]
+        out += [(a, n + 1, i, -s) for n, (s, i) in enumerate(best)]
+    return out
+
+
+@pytest.mark.parametrize("far", [0.0, 4.0])
+def test_topk_over_many_blocks(spark, monkeypatch, far):
+    """Nine data blocks and four query blocks at least, with and without clusters; repeated ids and equal rows."""
+    monkeypatch.setattr(topk, "DATA_BLOCK", 60)
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 20)
+    r = np.random.default_rng(5)
+    v = r.normal(0, 0.3, (600, 6)) + far * np.repeat(r.normal(0, 1, (6, 6)), 100, 0)
+    rows = [(i, [float(x) for x in v[i]]) for i in range(600)] + [(7, [float(x) for x in v[8]])] * 9 + [(14, [float(x) for x in v[3]])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    got = sorted((x["query_id"], x["rank"], x["vec_id"], x["score"]) for x in topk.search(df, lambda i: i % 7 == 0).collect())
+    assert got == brute_top(rows, 7)
+
+
+def test_blocks_that_cannot_matter_do_not_meet(spark):
+    """Far clusters are left out, and what is left out holds no better row than the bound of the ball says."""
+    centres = np.array([[4000.0, 0, 0], [0, 4000.0, 0], [0, 0, 4000.0]])
+    data = spark.createDataFrame([(c, c, 10.0) for c in range(3)], "db long, cell int, dist double")
+    queries = spark.createDataFrame([(0, 0, 5.0, 1.5e7), (0, 0, 2.0, 1.4e7), (1, 1, 1.0, None)], "qb long, cell int, dist double, least double")
+    assert sorted(map(tuple, topk._pairs(queries, data, centres).collect())) == [(0, 0), (1, 0), (1, 1), (1, 2)]
+
+
+def test_large_products_are_exact():
+    r = random.Random(2)
+    v = [[r.randrange(-(1 << 29), 1 << 29) for _ in range(6)] for _ in range(300)]
+    a = np.array(v, float)
+    got = topk.dual_search(a[:40], np.arange(40), a, np.arange(300), 3)
+    want = [(i, j, -s) for i in range(40) for s, j in sorted((-sum(x * y for x, y in zip(v[i], v[j], strict=True)), j) for j in range(300) if j != i)[:3]]
+    assert got == want
+    with pytest.raises(ValueError):
+        topk.dual_search(a[:2] * 1e6, np.arange(2), a * 1e6, np.arange(300), 3)
+
+
 def test_cover_tree_prunes():
     r = np.random.default_rng(0)
     data = np.floor(r.normal(0, 1, (3000, 3)) * 50) + np.repeat(np.eye(3) * 2000, 1000, 0)
