@@ -46,28 +46,34 @@ class AsOfView:
         return self._scoped(self.store.price).where(F.col("price_date") <= self.day)
 
     def facts(self, cik: int | None = None, tag: str | None = None, period_end: date | None = None) -> DataFrame:
-        """All versions of facts known by then, oldest first within a period."""
+        """All versions of facts known by then, in no order (``in_order`` sorts them for show)."""
         df = self._facts
         for name, wanted in (("cik", cik), ("tag", tag), ("period_end", period_end)):
             if wanted is not None:
                 df = df.where(F.col(name) == F.lit(wanted))
-        return df.orderBy("period_end", "filed_date", "accession_no")
+        return df
+
+    @staticmethod
+    def in_order(facts: DataFrame) -> DataFrame:
+        """Oldest first within a period."""
+        return facts.orderBy("period_end", "filed_date", "accession_no")
 
     @cached_property
     def fact_asof(self) -> DataFrame:
-        """Latest version of each fact: one aggregate with a partial step, no sort."""
+        """Latest version of each fact. Facts are dealt out by filer and period end once; that serves this aggregate and every
+        later one by those two, without another shuffle or a sort."""
         latest = F.max_by(F.struct("value", "filed_date", "accession_no", "form_type"), F.struct("filed_date", "accession_no"))
-        return self._facts.groupBy(*FACT_KEY).agg(latest.alias("x")).select(*FACT_KEY, "x.*")
+        return self._facts.repartition("cik", "period_end").groupBy(*FACT_KEY).agg(latest.alias("x")).select(*FACT_KEY, "x.*")
 
     def latest_fact(self, cik: int, tag: str, period_end: date) -> DataFrame:
         """The version of one period's fact that was the latest by then (no row if there is none)."""
         return self.facts(cik, tag, period_end).orderBy(F.desc("filed_date"), F.desc("accession_no")).limit(1)
 
     def snapshot(self, tags: list[str] | None = None) -> DataFrame:
-        """Latest value of each tag and period end, whatever its unit and start, ordered by tag and period."""
+        """Latest value of each tag and period end, whatever its unit and start."""
         df = self._facts if tags is None else self._facts.where(F.col("tag").isin(tags))
         key = F.struct("filed_date", "accession_no", "unit", F.coalesce("period_start", F.lit("1800-01-01").cast("date")))
-        return df.groupBy("cik", "tag", "period_end").agg(F.max_by("value", key).alias("value")).orderBy("cik", "tag", "period_end")
+        return df.groupBy("cik", "tag", "period_end").agg(F.max_by("value", key).alias("value"))
 
     @cached_property
     def price_asof(self) -> DataFrame:
@@ -85,12 +91,12 @@ class AsOfView:
         return self._scoped(self.store.filing).where(F.col("filed_date") <= self.day)
 
     def filings(self, cik: int | None = None, form_type: str | None = None) -> DataFrame:
-        """Filings by then, newest first."""
+        """Filings by then."""
         df = self.filing_asof
         for name, wanted in (("cik", cik), ("form_type", form_type)):
             if wanted is not None:
                 df = df.where(F.col(name) == wanted)
-        return df.orderBy(F.desc("filed_date"), "accession_no")
+        return df
 
     @cached_property
     def universe_asof(self) -> DataFrame:
@@ -103,7 +109,7 @@ class AsOfView:
         df = self._scoped(self.store.filer).where(F.col("status").isin(*TERMINAL) & (F.col("status_date") <= self.day))
         if since is not None:
             df = df.where(F.col("status_date") >= F.lit(since))
-        return df.orderBy("status_date", "cik")
+        return df
 
     def fingerprint(self) -> DataFrame:
         """Visible rows of each relation: one row a relation."""

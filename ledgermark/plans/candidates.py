@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgermark.functions.columns import fiscal_length
+from ledgermark.tables import materialise
 
 from .asof import AsOfView
 from .figures import ANNUAL_TAGS, Figures
@@ -54,18 +55,19 @@ def trend(history: str | Column) -> Column:
     return F.when(F.size(h) > 0, word)
 
 
-def source_facts(figures: Figures, wanted: DataFrame) -> DataFrame:
-    """The facts behind the figures of ``wanted`` (cik, years): of each filer's newest years, with their filings."""
+def source_facts(figures: Figures, wanted: DataFrame, view: AsOfView | None = None) -> DataFrame:
+    """The facts behind the figures of ``wanted`` (cik, years): of each filer's newest years, with their filings. ``view`` is
+    the figures' own or one of the wanted filers alone."""
     w = Window.partitionBy("cik").orderBy(F.desc("fy_end"))
     ends = figures.annual.select("cik", "fy_end").join(wanted, "cik").withColumn("rn", F.row_number().over(w)).where("rn <= years")
-    f = figures.view.fact_asof.where(F.col("tag").isin(list(ANNUAL_TAGS)) & (F.col("period_start").isNull() | fiscal_length("period_start", "period_end")))
+    f = (view or figures.view).fact_asof.where(F.col("tag").isin(list(ANNUAL_TAGS)) & (F.col("period_start").isNull() | fiscal_length("period_start", "period_end")))
     return f.join(ends.select("cik", F.col("fy_end").alias("period_end")), ["cik", "period_end"])
 
 
 def candidates(view: AsOfView, limit: int = LIMIT, compare_months: tuple[int, ...] = ()) -> DataFrame:
     """The ``limit`` best flagged filers with price, shares, source facts, and their state at earlier dates."""
     figures = Figures(view).keep()
-    best = by_merit(grouped_flags(Screens(figures))).limit(limit)
+    best = materialise(by_merit(grouped_flags(Screens(figures))).limit(limit), "best")
     u = figures.universe_screened.select(
         "cik", "ticker", "name", "market_cap", F.col("latest_fy_end").alias("fiscal_year_end"),
         F.struct(F.col("shares").alias("value"), F.col("shares_tag").alias("tag"), F.col("shares_date").alias("period_end"), F.col("shares_filed").alias("filed_date"), F.col("shares_accession").alias("accession_no")).alias("shares"),
@@ -73,7 +75,9 @@ def candidates(view: AsOfView, limit: int = LIMIT, compare_months: tuple[int, ..
     price = view.price_asof.select("cik", F.struct("close", "price_date", "source").alias("price"))
     out = best.join(u, "cik").join(price, "cik", "left")
     years = best.select("cik", F.when(F.array_contains(F.split("screens", ","), "quality_at_price"), QUALITY_YEARS).otherwise(YEARS).alias("years"))
-    facts = source_facts(figures, years)
+    # the few filers are known now, and their facts are read alone: the scan sees the filter
+    ciks = tuple(r["cik"] for r in best.select("cik").collect())  # at most ``limit``
+    facts = source_facts(figures, years, AsOfView(view.store, view.as_of, ciks))
     item = F.struct(F.negative(F.datediff("period_end", F.lit("1900-01-01").cast("date"))).alias("o"), "tag", "unit", "period_start", "period_end", "value", "filed_date", "accession_no")
     facts = facts.groupBy("cik").agg(F.array_sort(F.collect_list(item)).alias("inputs"))
     out = out.join(facts, "cik", "left").withColumn("inputs", F.transform("inputs", lambda x: x.dropFields("o")))

@@ -107,6 +107,10 @@ def figure_columns() -> list[Column]:
     ]
 
 
+#: Stands for the tags and units that no figure is made of.
+OTHER = "other"
+
+
 @dataclass(frozen=True)
 class Figures:
     """All derived relations of one view; each is lazy and built once. A view of few filers stays small from the scan
@@ -118,15 +122,16 @@ class Figures:
     def annual_raw(self) -> DataFrame:
         """A row for each filer and fiscal year end, a column for each tag; of several fiscal-length values the largest.
 
-        A year end is the end of some fiscal-length duration; a window flag finds it without joining the facts to themselves."""
+        A year end is the end of some fiscal-length duration, whatever its tag: the pivot carries that beside the values."""
         f = self.view.fact_asof
         whole_year = F.coalesce(fiscal_length("period_start", "period_end"), F.lit(False))
         f = f.where(F.col("period_start").isNull() | whole_year)
-        is_end = F.max(F.col("period_start").isNotNull()).over(Window.partitionBy("cik", "period_end"))
         wanted = F.create_map(*[F.lit(x) for pair in ANNUAL_TAGS.items() for x in pair])
-        ends = f.withColumn("is_end", is_end).where("is_end")
-        tag = F.when(F.col("unit") == wanted[F.col("tag")], F.col("tag"))
-        return ends.withColumn("tag", tag).groupBy("cik", F.col("period_end").alias("fy_end")).pivot("tag", list(ANNUAL_TAGS)).agg(F.max("value"))
+        tag = F.when(F.col("unit") == wanted[F.col("tag")], F.col("tag")).otherwise(OTHER)
+        rows = f.select("cik", F.col("period_end").alias("fy_end"), tag.alias("tag"), "value", F.col("period_start").isNotNull().alias("year"))
+        wide = rows.groupBy("cik", "fy_end").pivot("tag", [*ANNUAL_TAGS, OTHER]).agg(F.max("value").alias("value"), F.max("year").alias("year"))
+        is_end = F.greatest(*[F.coalesce(F.col(f"{t}_year"), F.lit(False)) for t in (*ANNUAL_TAGS, OTHER)])
+        return wide.where(is_end).select("cik", "fy_end", *[F.col(f"{t}_value").alias(t) for t in ANNUAL_TAGS])
 
     @cached_property
     def annual(self) -> DataFrame:
