@@ -22,8 +22,8 @@ ORDERS = (1, 2, 3, 4)
 BUCKETS = 1 << 15
 #: Labelled documents that a model is fitted on, at most (about; chosen by a hash of the id).
 FIT_ROWS = 20_000
-#: Languages that a model knows, at most: those with most labelled documents (so the matrix has 64 MB at most).
-MOST_LANGS = 512
+#: Languages that a model knows, at most: those with most labelled documents (so the matrix has 16 MB at most).
+MOST_LANGS = 128
 SMOOTHING = 0.5
 UNDETERMINED = "und"
 #: Code points of a text that are worked on at once.
