@@ -4,7 +4,8 @@
    Documents with equal sets are one node from here on, so a group of exact copies costs one row.
 2. Nodes that share a band meet in a bucket. Each bucket first links its members to its smallest node only,
    so a bucket of n nodes makes n - 1 candidates. Candidates are compared by size and signature and then
-   confirmed on the full sets, recomputed from the texts of the nodes concerned.
+   confirmed on the full sets: the texts of the nodes concerned (a bit table of their keys keeps most others out of the
+   shuffle) are dealt to their smallest node's tasks, and each is compared with that node's set as it comes.
 3. Buckets that still hold several groups are searched again, in blocks of bounded size: members of different groups
    whose sizes and signatures allow a link (five deviations of margin) are marked, and the marked members of two
    blocks are compared on their full sets. What leaves a task are members or the links that join groups, never
@@ -20,7 +21,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _text as tx
@@ -146,20 +147,39 @@ def signatures(docs: DataFrame, k: int, similarity: float) -> DataFrame:
     )
 
 
-def _sets(docs: DataFrame, k: int) -> DataFrame:
-    """node and its sorted shingle hashes, of rows (want: digest that is looked for, text)."""
+#: Bits of the table for each wanted row, and of the whole table (8 MB as bits, less than 64 MB as it is broadcast).
+BITS_PER_ROW, MOST_BITS = 8, 1 << 26
+#: Nodes that are compared with their smallest node in one task (about).
+MEMBERS = 256
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for piece, texts in tx.blocks(batch, limit=tx.BLOCK):
-                h, owner = shingles(*tx.codes(texts), k)
-                order = np.argsort(owner, kind="stable")
-                parts = [np.unique(x) for x in np.split(h[order], np.searchsorted(owner[order], np.arange(1, len(texts))))]
-                want = piece.column(0).to_pylist()
-                found = [(w, x) for w, x in zip(want, parts, strict=True) if hashlib.blake2b(x.tobytes(), digest_size=16).digest() == w]
-                yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in found], pa.binary()), pa.array([x.view(np.int64) for _, x in found], pa.list_(pa.int64()))], ["node", "items"])
 
-    return docs.mapInArrow(run, "node binary, items array<long>")
+def _keyed(rows: DataFrame) -> DataFrame:
+    """Adds k1, k2 and k3, by which a row of documents is found again (doc_id, whether it is null, hash of its text)."""
+    return rows.withColumn("k1", F.coalesce("doc_id", F.lit(0))).withColumn("k2", F.col("doc_id").isNull()).withColumn("k3", F.col("text_key"))
+
+
+def _texts(wanted: DataFrame, docs: DataFrame) -> DataFrame:
+    """The text of each row of ``wanted`` (k1, k2, k3), once: k1, k2, k3, text. Rows whose key's bit is not set in the table of
+    wanted keys are left out before the shuffle (few others pass, and the join drops those)."""
+    wanted = stage(wanted.select("k1", "k2", "k3").distinct(), "wanted")
+    bits = 64
+    while bits < min(MOST_BITS, BITS_PER_ROW * wanted.count()):
+        bits *= 2
+    place = F.pmod(F.xxhash64("k1", "k2", "k3"), F.lit(bits))
+    word, bit = F.shiftright(place, 6), F.expr("shiftleft(1L, cast(place & 63 as int))")
+    table = wanted.withColumn("place", place).groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits"))
+    table = F.broadcast(stage(table, "bits"))  # at most MOST_BITS / 64 pairs of numbers
+    rows = _keyed(docs.selectExpr("cast(doc_id as long) doc_id", "xxhash64(text) text_key", "cast(text as string) text")).withColumn("place", place)
+    rows = rows.join(table, word == F.col("word")).where(F.expr("(bits & shiftleft(1L, cast(place & 63 as int))) != 0"))
+    return rows.groupBy("k1", "k2", "k3").agg(F.first("text").alias("text")).join(wanted, ["k1", "k2", "k3"])
+
+
+def _set_of(text: str | None, k: int) -> np.ndarray:
+    return np.unique(shingles(*tx.codes([text or ""]), k)[0])
+
+
+def _digest(items: np.ndarray) -> bytes:
+    return hashlib.blake2b(items.tobytes(), digest_size=16).digest()
 
 
 def _possible(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
@@ -178,20 +198,37 @@ def _possible(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFram
     return both.select("a", "b", "sa", "sb").mapInArrow(run, "a binary, b binary")
 
 
-def _sets_of(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """node and items of the nodes in ``wanted``, from the texts of one row of each."""
-    wanted = wanted.distinct().join(nodes.select("node", "doc_id", "text_key"), "node")
-    texts = docs.selectExpr("cast(doc_id as long) doc_id", "xxhash64(text) text_key", "cast(text as string) text")
-    texts = wanted.alias("w").join(texts.alias("d"), F.col("w.doc_id").eqNullSafe(F.col("d.doc_id")) & (F.col("w.text_key") == F.col("d.text_key")))
-    return stage(_sets(texts.select(F.col("w.node").alias("want"), "d.text"), k).dropDuplicates(["node"]), "sets")
-
-
 def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Pairs whose full sets are similar enough."""
-    sets = _sets_of(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))), nodes, docs, k)
-    a, b = (sets.select(F.col("node").alias(x), F.col("items").alias(f"i{x}")) for x in "ab")
-    both = F.size(F.array_intersect("ia", "ib"))
-    return pairs.join(a, "a").join(b, "b").where(100 * both >= percent * (F.size("ia") + F.size("ib") - both)).select("a", "b")
+    """Pairs whose full sets are similar enough. A node a with many pairs is dealt to several tasks, with its text for each;
+    a task holds one set of a and reads the others one by one."""
+    keys = _keyed(nodes.select("node", "doc_id", "text_key")).select("node", "k1", "k2", "k3")
+    per = pairs.groupBy("a").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("s"))
+    own = per.select("a", F.explode(F.sequence(F.lit(0), F.col("s") - 1)).alias("salt"), F.col("a").alias("node"), F.lit(0).alias("role"))
+    others = pairs.join(per, "a").select("a", F.pmod(F.xxhash64("b"), F.col("s")).cast("int").alias("salt"), F.col("b").alias("node"), F.lit(1).alias("role"))
+    roles = stage(own.unionByName(others).join(keys, "node"), "roles")
+    rows = roles.join(_texts(roles, docs), ["k1", "k2", "k3"]).select("a", "salt", "role", "node", "text")
+    rows = rows.repartition("a", "salt").sortWithinPartitions("a", "salt", "role")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, own = None, None
+        for batch in batches:
+            a, b = [], []
+            for hub, salt, role, node, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if role == 0 and at == (hub, salt):
+                    continue
+                items = _set_of(text, k)
+                if _digest(items) != node:  # another text with the same key
+                    continue
+                if role == 0:
+                    at, own = (hub, salt), items
+                elif at == (hub, salt):
+                    both = len(np.intersect1d(own, items, assume_unique=True))
+                    if 100 * both >= percent * (len(own) + len(items) - both):
+                        a.append(hub)
+                        b.append(node)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+
+    return rows.mapInArrow(run, "a binary, b binary")
 
 
 def _by_group(batches: Iterator[pa.RecordBatch], work: Callable[[pa.Table], pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,8 +258,17 @@ def _residual(buckets: DataFrame, label: DataFrame, nodes: DataFrame, similarity
     rows = buckets.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     open_ = rows.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("c"), F.sum("n").alias("s")).where("x != y")
     open_ = open_.select("key", F.ceil(F.greatest(F.col("c") / BLOCK, F.col("s") / BLOCK_ITEMS)).cast("int").alias("nb"))
-    dealt = rows.join(open_, "key").withColumn("i", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
-    dealt = dealt.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    # blocks hold members of like sizes (a bucket's size classes), so that block pairs whose sizes rule out a link are left out
+    dealt = rows.join(open_, "key").withColumn("size", F.when(F.col("nb") == 1, 0).otherwise(F.floor(F.log(F.col("n").cast("double")) / (math.log(1 / similarity) * (1 + 1e-9))).cast("int")))
+    split = dealt.groupBy("key", "size").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
+    split = split.select("key", "size", F.ceil(F.greatest(F.col("c") / BLOCK, F.col("s") / BLOCK_ITEMS)).cast("int").alias("parts"))
+    order = Window.partitionBy("key").orderBy("size").rowsBetween(Window.unboundedPreceding, -1)
+    split = split.withColumn("first", F.coalesce(F.sum("parts").over(order), F.lit(0)).cast("int"))  # a row for each class of a bucket
+    near = split.select("key", F.col("size").alias("other"), F.col("first").alias("from"), (F.col("first") + F.col("parts") - 1).alias("to"))
+    dealt = dealt.join(split, ["key", "size"]).withColumn("i", (F.col("first") + F.pmod(F.xxhash64("node"), F.col("parts"))).cast("int"))
+    # a link's sizes differ by less than the width of a class, so a member meets its own class and the two beside it
+    dealt = dealt.withColumn("other", F.explode(F.array(F.col("size") - 1, F.col("size"), F.col("size") + 1))).join(near, ["key", "other"])
+    dealt = dealt.withColumn("j", F.explode(F.sequence("from", "to")))
     dealt = dealt.join(nodes.select("node", "sig", "bands"), "node")
     dealt = dealt.select("key", F.least("i", "j").alias("p"), F.greatest("i", "j").alias("q"), "i", "band", "node", "label", "n", "sig", "bands")
     dealt = dealt.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
@@ -276,14 +322,22 @@ def common_items(sets: list[np.ndarray]) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def _linked(flagged: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _linked(flagged: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """Links between groups among the flagged members, on full sets: of each pair of blocks no more than join its groups."""
-    rows = flagged.join(sets, "node").repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
+    keys = _keyed(nodes.select("node", "doc_id", "text_key")).select("node", "k1", "k2", "k3")
+    flagged = stage(flagged.join(keys, "node"), "members")
+    rows = flagged.join(_texts(flagged, docs), ["k1", "k2", "k3"]).select("key", "p", "q", "i", "node", "label", "text")
+    rows = rows.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
 
     def exact(g: pa.Table) -> pa.RecordBatch:
+        sets = [_set_of(t, k) for t in g.column("text").to_pylist()]
+        good = pa.array([_digest(x) == node for x, node in zip(sets, g.column("node").to_pylist(), strict=True)])
+        sets = [x for x, ok in zip(sets, good.to_pylist(), strict=True) if ok]
+        g = g.filter(good)
+        if not sets:
+            return pa.RecordBatch.from_arrays([pa.array([], pa.binary()), pa.array([], pa.binary())], ["a", "b"])
         node, i = g.column("node").to_pylist(), g.column("i").to_numpy()
         _, lab = np.unique(np.array(g.column("label").to_pylist(), object), return_inverse=True)
-        sets = [x.values.to_numpy() for x in g.column("items")]
         n = np.array([len(x) for x in sets])
         both = common_items(sets)
         ok = np.triu(100 * both >= percent * (n[:, None] + n[None, :] - both), 1) & (lab[:, None] != lab[None, :])
@@ -363,7 +417,7 @@ def near_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     label = components(links)
     flagged = stage(_residual(buckets.select("key", "band", "node", "n"), label, nodes, similarity), "residual")
     if not flagged.isEmpty():
-        more = stage(_linked(flagged, _sets_of(flagged.select("node"), nodes, docs, k), percent), "more")
+        more = stage(_linked(flagged, nodes, docs, k, percent), "more")
         if not more.isEmpty():
             label = components(links.union(more))
     label = nodes.select("node", "doc_id").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
