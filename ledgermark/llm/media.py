@@ -177,7 +177,10 @@ def write_shards(docs: DataFrame, folder: str) -> DataFrame:
         again = rows.withColumn("digest", digest()).join(none, "digest").dropDuplicates(["digest"]).select("doc_id", "text")
         found = found.union(_write(again, folder, None).where("shard is not null"))
     place = found.join(wanted, "digest").groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("x")).select("digest", "x.*")
-    return manifest.where("shard is not null").unionByName(lost.select("doc_id", "n_bytes", "digest").join(place, "digest"))
+    # a payload with many copies is joined in so many tasks
+    place = place.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    lost = lost.select("doc_id", "n_bytes", "digest", F.pmod(F.xxhash64("doc_id", "n_bytes"), F.lit(SPREAD)).cast("int").alias("part"))
+    return manifest.where("shard is not null").unionByName(lost.join(place, ["digest", "part"]).drop("part"))
 
 
 def read_columns(manifest: DataFrame, folder: str) -> DataFrame:
