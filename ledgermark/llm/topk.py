@@ -213,14 +213,15 @@ def search(vectors: DataFrame, is_query: Callable, k: int = 5, scale: int = 256)
     rows = rows.select("vec_id", F.transform("x", lambda v: F.floor(v * scale).cast("double")).alias("x"))
     # of equal rows no more than k can be among a query's best
     rows = stage(rows.groupBy("vec_id", "x").agg(F.least(F.count("*"), F.lit(k)).cast("int").alias("copies")), "vectors")
-    total = rows.count()
-    centres = net(_matrix(sampled(rows, "vec_id", SAMPLE).limit(2 * SAMPLE).toPandas()["x"]), min(MOST_CELLS, 4 * -(-total // DATA_BLOCK)))
+    wanted = rows.where(is_query(F.col("vec_id"))).groupBy("vec_id").agg(F.min("x").alias("x"), F.lit(1).alias("copies"))
+    cells = min(MOST_CELLS, max(1, -(-rows.count() // DATA_BLOCK)))
+    # as few query blocks as their size allows, since each of them may need every data block; the first centres are a net, too
+    fewer = min(cells, max(1, -(-wanted.count() // QUERY_BLOCK)))
+    centres = net(_matrix(sampled(rows, "vec_id", SAMPLE).limit(2 * SAMPLE).toPandas()["x"]), cells)
     if not len(centres):
         centres = np.zeros((1, 1))
-    celled = stage(_celled(rows, centres), "cells")
-    data = stage(_blocked(celled, DATA_BLOCK, "db", "vec_id", "x"), "data")
-    one = celled.where(is_query(F.col("vec_id"))).groupBy("vec_id").agg(F.min(F.struct("x", "cell", "dist")).alias("q")).select("vec_id", "q.*")
-    queries = stage(_blocked(one, QUERY_BLOCK, "qb", "vec_id"), "queries")
+    data = stage(_blocked(stage(_celled(rows, centres), "cells"), DATA_BLOCK, "db", "vec_id", "x"), "data")
+    queries = stage(_blocked(stage(_celled(wanted, centres[:fewer]), "cells"), QUERY_BLOCK, "qb", "vec_id"), "queries")
 
     def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
