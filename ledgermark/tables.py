@@ -17,7 +17,7 @@ def shared_root(spark: SparkSession) -> str:
     machine is lost with it, so its absence is an error there."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("spark.checkpoint.dir names no shared folder")
         path = LOCAL_WORK
     return path.rstrip("/")

@@ -50,3 +50,18 @@ def test_command_line(spark, catalog, monkeypatch, capsys, tmp_path):
     assert spark.read.parquet(str(tmp_path / "f")).where(f"filed_date > DATE '{date(2024, 1, 1)}'").count() == 0
     with pytest.raises(SystemExit):
         main(["screen", catalog], spark)
+
+
+def test_a_cluster_needs_its_shared_folder(monkeypatch):
+    from types import SimpleNamespace
+
+    from ledgermark import tables
+
+    def session(master, path=None):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda *_: path), sparkContext=SimpleNamespace(master=master))
+
+    assert tables.shared_root(session("local")) == tables.shared_root(session("local[4]")) == tables.LOCAL_WORK
+    assert tables.shared_root(session("yarn", "hdfs://shared/")) == "hdfs://shared"
+    for master in ("yarn", "spark://host:7077", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError, match="shared folder"):
+            tables.shared_root(session(master))
