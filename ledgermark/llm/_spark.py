@@ -61,3 +61,23 @@ def union_find(parent: dict, a, b) -> bool:
         return False
     parent[max(a, b)] = min(a, b)
     return True
+
+
+#: A key that holds more than one of so many rows is joined by broadcast: there are fewer such keys than this.
+HOT = 1000
+
+
+def with_values(rows: DataFrame, values: DataFrame, key: str) -> DataFrame:
+    """Left join of ``rows`` with ``values`` (one row for each ``key``). Keys with more than a ``HOT``-th of the rows, fewer
+    than ``HOT`` of them, are broadcast, and rows without a key are not joined, so no task gets the rows of one large key.
+    ``rows`` is read several times: it should be a written table."""
+    more = [F.lit(None).cast(f.dataType).alias(f.name) for f in values.schema if f.name != key]
+    known = rows.where(F.col(key).isNotNull())
+    per_key = known.groupBy(key).agg(F.count("*").alias("__n"))
+    least = known.count() / HOT
+    hot = F.broadcast(stage(per_key.where(F.col("__n") > least).select(key), "hot"))
+    hot_values = F.broadcast(stage(values.join(hot, key), "hot"))
+    cold = known.join(hot, key, "left_anti").join(values, key, "left")
+    warm = known.join(hot, key, "left_semi").join(hot_values, key, "left")
+    none = rows.where(F.col(key).isNull()).select("*", *more)
+    return cold.unionByName(warm).unionByName(none)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_blocks, lang_id, licenses, media, mixing, near_dedup, packing, sharding, topk, toxicity
+from . import html_blocks, importance, lang_id, licenses, media, mixing, near_dedup, packing, sharding, token_counts, topk, toxicity, whitening
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,11 +53,24 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(_docs(spark, sf_dir)).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "bit_depth")
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(_docs(spark, sf_dir))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_language_id, op2_html_main_text, op3_toxicity, op4_entropy_mix, op5_near_dedup, op6_packing,
-        op7_license_scan, op8_exact_topk, op9_sharding, op10_media_columns,
+        op7_license_scan, op8_exact_topk, op9_sharding, op10_media_columns, op11_token_counts,
+        op12_embedding_whitening, op13_importance_resampling,
     )
 }
 
@@ -85,4 +98,27 @@ s AS (
   FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
+    # crc32 is folded over a word's bytes, once for each distinct word
+    "op13_importance_resampling": r"""
+WITH w AS (
+  SELECT row_number() OVER () AS r, doc_id, from_target,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+  FROM (SELECT doc_id, text, false AS from_target FROM documents UNION ALL SELECT NULL, text, true FROM benchmark)),
+f AS (SELECT r, from_target, unnest(ws) AS word FROM w),
+v AS (SELECT DISTINCT word, hex(encode(word)) AS h FROM f),
+c AS (
+  SELECT word, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, len(h)::BIGINT + 1, 2), lambda i: ('0x' || substr(h, i, 2))::BIGINT)),
+    lambda a, b: list_reduce(list_prepend(xor(a, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, y: xor(x >> 1, (x & 1) * 3988292384))), 4294967295) % 10000 AS bucket
+  FROM v),
+n AS (SELECT bucket, count(*) FILTER (NOT from_target) AS s, count(*) FILTER (from_target) AS t FROM f JOIN c USING (word) GROUP BY bucket),
+g AS (
+  SELECT bucket, CAST(floor(1000 * ln(CAST(t + 1 AS DOUBLE) * CAST(sum(s) OVER () + 10000 AS DOUBLE) / (CAST(s + 1 AS DOUBLE) * CAST(sum(t) OVER () + 10000 AS DOUBLE)))) AS BIGINT) AS gain FROM n),
+k AS (SELECT r, sum(gain) AS weight FROM f JOIN c USING (word) JOIN g USING (bucket) WHERE NOT from_target GROUP BY r),
+h AS (
+  SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+    (CAST(('0x' || substr(sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8))::BIGINT AS DOUBLE) + 0.5) / 4294967296.0 AS u
+  FROM w LEFT JOIN k USING (r) WHERE NOT from_target),
+z AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln(u))) AS BIGINT) AS score FROM h),
+p AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id NULLS LAST) AS place, count(*) FILTER (n_features >= 20) OVER () AS able FROM z)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= 10 * able // 100 THEN place END AS rank FROM p""",
 }

@@ -11,9 +11,9 @@ SF = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_query_matches_sql(spark, name):
     c = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "benchmark"):
         c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
-    got, want = QUERIES[name](spark, SF).toPandas(), c.sql(ORACLE_SQL[name]).df()
+    got, want = QUERIES[name](spark, SF), c.sql(ORACLE_SQL[name])
     cols = sorted(got.columns)
     assert cols == sorted(want.columns)
-    assert sorted(map(tuple, got[cols].astype(str).values)) == sorted(map(tuple, want[cols].astype(str).values))
+    assert sorted(map(repr, map(tuple, got.select(cols).collect()))) == sorted(map(repr, want.select(*cols).fetchall()))
