@@ -39,12 +39,14 @@ def held_out(doc_id: str | Column = "doc_id") -> Column:
     return F.coalesce(remainder(doc_id) == 2, F.lit(False))
 
 
-def sampled(df: DataFrame, key: str, bound: int) -> DataFrame:
-    """About ``bound`` rows of ``df`` chosen by a hash of ``key``; all rows if there are no more than that."""
-    n = df.select(key).count()
+def sampled(df: DataFrame, bound: int, *keys: str) -> DataFrame:
+    """All rows of ``df`` if there are no more than ``bound``; else about ``bound`` of them, chosen by a hash of ``keys``, and of
+    rows with equal keys one, so that many copies of a row neither fill the sample nor are missed by it."""
+    h = F.xxhash64(F.lit("sample"), *keys)
+    n, different = df.agg(F.count("*"), F.approx_count_distinct(h, 0.02)).first()
     if n <= bound:
         return df
-    return df.where(F.pmod(F.xxhash64(F.lit("sample"), F.col(key)), F.lit(1 << 30)) < int((1 << 30) * (bound / n)))
+    return df.where(F.pmod(h, F.lit(1 << 30)) < int((1 << 30) * min(1.0, bound / different))).dropDuplicates(list(keys))
 
 
 def union_find(parent: dict, a, b) -> bool:

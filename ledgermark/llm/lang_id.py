@@ -1,8 +1,9 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
-Counts are gathered on the executors (one row for each language and bucket, whatever the corpus), the matrix of
-log probabilities is built on the driver and broadcast, and a text is scored in numpy as a sparse vector: the
-counts of the buckets that it holds, times their rows of the matrix.
+Counts are gathered on the executors, a row for each language. The matrix of log probabilities is sparse: a bucket that
+a language was not seen with has that language's floor. It is broadcast in slices of languages, and a text is scored
+slice by slice in numpy as a sparse vector (the counts of the buckets that it holds, times their rows of the matrix);
+the best language and the sum of all probabilities are carried along, so any number of languages can be learned.
 """
 
 from __future__ import annotations
@@ -22,8 +23,8 @@ ORDERS = (1, 2, 3, 4)
 BUCKETS = 1 << 15
 #: Labelled documents that a model is fitted on, at most (about; chosen by a hash of the id).
 FIT_ROWS = 20_000
-#: Languages that a model knows, at most: those with most labelled documents (so the matrix has 16 MB at most).
-MOST_LANGS = 128
+#: Languages in a slice (16 MB when it is unfolded), unfolded slices that a worker keeps, and languages that a task counts at once.
+SLICE, KEPT, COUNTED = 128, 8, 256
 SMOOTHING = 0.5
 UNDETERMINED = "und"
 #: Code points of a text that are worked on at once.
@@ -32,12 +33,47 @@ _MUL = np.uint32(0x9E3779B1)
 
 
 @dataclass
-class Model:
-    """Languages, priors (log) and log probabilities (buckets, languages)."""
+class Slice:
+    """Some languages: log priors, floors (log probability of a bucket that was not seen), and what seen buckets have above
+    these, language by language: ``ends`` of each one's entries in ``bucket`` and ``above``."""
 
     langs: list[str]
     prior: np.ndarray
-    logp: np.ndarray
+    floor: np.ndarray
+    ends: np.ndarray
+    bucket: np.ndarray
+    above: np.ndarray
+
+    def matrix(self) -> np.ndarray:
+        """Log probabilities (buckets, languages)."""
+        out = np.tile(self.floor.astype(np.float32), (BUCKETS, 1))
+        out[self.bucket, np.repeat(np.arange(len(self.langs)), np.diff(self.ends, prepend=0))] += self.above
+        return out
+
+
+@dataclass
+class Model:
+    """Slices of the learned languages, which are in order."""
+
+    slices: list[Slice]
+
+    def __post_init__(self) -> None:
+        self._kept: dict[int, np.ndarray] = {}
+
+    def __getstate__(self) -> dict:
+        return {"slices": self.slices, "_kept": {}}
+
+    @property
+    def langs(self) -> list[str]:
+        return [x for s in self.slices for x in s.langs]
+
+    def matrix(self, i: int) -> np.ndarray:
+        if i in self._kept:
+            return self._kept[i]
+        m = self.slices[i].matrix()
+        if len(self._kept) < KEPT:
+            self._kept[i] = m
+        return m
 
 
 def _letters(texts: list[str]) -> np.ndarray:
@@ -76,62 +112,77 @@ def counted(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fit(rows: DataFrame) -> Model:
-    """Model of rows (lang, text); rows with a null language or text teach nothing, and without rows there is none to
-    predict. Of more than ``MOST_LANGS`` languages those with most rows are learned (ties: those that sort first)."""
+    """Model of rows (lang, text), of all their languages; rows with a null language or text teach nothing, and without rows
+    there is none to predict."""
     bound_batches(rows.sparkSession)
     rows = rows.where("lang is not null and text is not null").select(F.col("lang").cast("string"), F.col("text").cast("string"))
-    most = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGS)
-    rows = rows.join(F.broadcast(most.select("lang")), "lang")  # at most MOST_LANGS names
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[str, np.ndarray] = {}
-        docs: dict[str, int] = {}
+        seen: dict[str, np.ndarray] = {}  # counts of buckets; at the end of documents
+
+        def told() -> Iterator[pa.RecordBatch]:
+            for lang, c in seen.items():
+                at = np.flatnonzero(c)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at), pa.array(c[at])], ["lang", "bucket", "n"])
+            seen.clear()
+
         for batch in batches:
             for piece, texts in tx.blocks(batch):
                 for lang, t in zip(piece.column(0).to_pylist(), texts, strict=True):
-                    c = seen.setdefault(lang, np.zeros(BUCKETS, np.int64))
-                    docs[lang] = docs.get(lang, 0) + 1
+                    if lang not in seen:
+                        if len(seen) >= COUNTED:
+                            yield from told()
+                        seen[lang] = np.zeros(BUCKETS + 1, np.int64)
                     at, n = counted(t)
-                    c[at] += n
-        for lang, c in seen.items():
-            at = np.flatnonzero(c)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * (len(at) + 1), pa.string()), pa.array(np.append(at, -1)), pa.array(np.append(c[at], docs[lang]))], ["lang", "bucket", "n"]
-            )
-
-    table = rows.mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
-    langs = sorted(table["lang"].unique())
-    counts, prior = np.zeros((BUCKETS, len(langs))), np.zeros(len(langs))
-    for j, lang in enumerate(langs):
-        own = table[table["lang"] == lang]
-        bucket, n = own["bucket"].to_numpy(), own["n"].to_numpy()
-        counts[bucket[bucket >= 0], j] = n[bucket >= 0]
-        prior[j] = n[bucket < 0].sum()
-    logp = np.log((counts + SMOOTHING) / (counts.sum(0) + SMOOTHING * BUCKETS)) if langs else counts
-    return Model(langs, np.log(prior / prior.sum()) if langs else prior, logp.astype(np.float32))
+                    seen[lang][at] += n
+                    seen[lang][BUCKETS] += 1
+        yield from told()
+
+    table = rows.mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    per = table.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("bucket", "n"))).alias("x"))  # no more than BUCKETS + 1 entries each
+    known: list[tuple] = []  # the fitting rows bound what the driver holds: the buckets that some document of a language holds
+    for r in per.orderBy("lang").select("lang", F.transform("x", lambda x: x["bucket"].cast("int")), F.transform("x", lambda x: x["n"])).toLocalIterator():
+        bucket, n = np.array(r[1], np.int32), np.array(r[2], np.int64)
+        docs, bucket, n = int(n[-1]), bucket[:-1], n[:-1]
+        total = n.sum() + SMOOTHING * BUCKETS
+        known.append((r[0], docs, np.log(SMOOTHING / total), bucket, np.log((n + SMOOTHING) / SMOOTHING).astype(np.float32)))
+    known.sort(key=lambda k: k[0])
+    every = sum(k[1] for k in known)
+    slices = []
+    for i in range(0, len(known), SLICE):
+        langs, docs, floor, bucket, above = map(list, zip(*known[i : i + SLICE], strict=True))
+        slices.append(Slice(langs, np.log(np.array(docs) / every), np.array(floor), np.cumsum([len(x) for x in bucket]), np.concatenate(bucket), np.concatenate(above)))
+    return Model(slices)
 
 
 def score(model: Model, texts: list[str]) -> tuple[list[str], np.ndarray]:
     """Language of each text and its posterior probability; ``und`` and 0 for texts without a letter, or without a model."""
-    n, k = len(texts), len(model.langs)
-    known = _letters(texts) if k else np.zeros(n, bool)
+    n = len(texts)
+    known = _letters(texts) if model.slices else np.zeros(n, bool)
     if not known.any():
         return [UNDETERMINED] * n, np.zeros(n)
-    log = np.tile(model.prior, (n, 1))
-    for i in np.flatnonzero(known).tolist():
-        at, count = counted(texts[i])
-        for a in range(0, len(at), 4096):
-            log[i] += count[a : a + 4096].astype(np.float64) @ model.logp[at[a : a + 4096]]
-    best = log.argmax(1)
-    p = np.exp(log - log.max(1, keepdims=True))
-    p = p[np.arange(n), best] / p.sum(1)
-    return [model.langs[b] if x else UNDETERMINED for b, x in zip(best, known, strict=True)], np.where(known, p, 0.0)
+    vectors = [counted(texts[i]) for i in np.flatnonzero(known).tolist()]
+    best, lang, total = np.full(len(vectors), -np.inf), [""] * len(vectors), np.full(len(vectors), -np.inf)
+    for j, part in enumerate(model.slices):
+        matrix = model.matrix(j)
+        for v, (at, count) in enumerate(vectors):
+            log = part.prior.copy()
+            for a in range(0, len(at), 4096):
+                log += count[a : a + 4096].astype(np.float64) @ matrix[at[a : a + 4096]]
+            top = int(log.argmax())
+            total[v] = np.logaddexp(total[v], log[top] + np.log(np.exp(log - log[top]).sum()))
+            if log[top] > best[v]:  # a tie goes to the language that sorts first
+                best[v], lang[v] = log[top], part.langs[top]
+    names, p = [UNDETERMINED] * n, np.zeros(n)
+    for v, i in enumerate(np.flatnonzero(known).tolist()):
+        names[i], p[i] = lang[v], min(1.0, float(np.exp(best[v] - total[v])))
+    return names, p
 
 
 def learn(docs: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
-    """Model of the rows of ``docs`` (doc_id, text, lang) that may be learned from, or about ``fit_rows`` of them."""
+    """Model of the rows of ``docs`` (doc_id, text, lang) that may be learned from, or about ``fit_rows`` different ones of them."""
     rows = docs.select("doc_id", "lang", "text").where(remainder("doc_id") != 2).where("lang is not null")
-    return fit(sampled(rows, "doc_id", fit_rows))
+    return fit(sampled(rows, fit_rows, "doc_id", "lang", "text"))
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:

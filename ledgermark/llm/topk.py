@@ -217,7 +217,7 @@ def search(vectors: DataFrame, is_query: Callable, k: int = 5, scale: int = 256)
     cells = min(MOST_CELLS, max(1, -(-rows.count() // DATA_BLOCK)))
     # as few query blocks as their size allows, since each of them may need every data block; the first centres are a net, too
     fewer = min(cells, max(1, -(-wanted.count() // QUERY_BLOCK)))
-    centres = net(_matrix(sampled(rows, "vec_id", SAMPLE).limit(2 * SAMPLE).toPandas()["x"]), cells)
+    centres = net(_matrix(sampled(rows, SAMPLE, "vec_id", "x").limit(2 * SAMPLE).toPandas()["x"]), cells)
     if not len(centres):
         centres = np.zeros((1, 1))
     data = stage(_blocked(stage(_celled(rows, centres), "cells"), DATA_BLOCK, "db", "vec_id", "x"), "data")

@@ -155,12 +155,13 @@ def learn(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model
     document weighs the mean, over its sentences, of one by the number of documents that hold the sentence."""
     bound_batches(docs.sparkSession)
     known = labels.select(F.col("doc_id"), F.col("toxic").cast("int").alias("y")).where("y is not null").where(remainder("doc_id") != 2)
-    known = sampled(known.groupBy("doc_id").agg(F.max("y").alias("y")), "doc_id", fit_rows)
+    known = sampled(known.groupBy("doc_id").agg(F.max("y").alias("y")), fit_rows, "doc_id")
 
     text = docs.select("doc_id", F.col("text").cast("string").alias("text")).where("text is not null")
     rows = text.join(F.broadcast(known), "doc_id")  # known: at most about fit_rows pairs of numbers
     # numbered by id and text, so that repeated ids are documents of their own
     rows = stage(rows.select(F.xxhash64("doc_id", "text").alias("id"), "y", "text").dropDuplicates(["id"]), "labelled")
+    rows = sampled(rows, fit_rows, "id")  # an id that is repeated with other texts counts as often
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece, texts in _pieces(batches):

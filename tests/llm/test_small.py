@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ledgermark.llm import html_blocks, lang_id, licenses, media, mixing, near_dedup, packing, sharding, topk, toxicity
+from ledgermark.llm import _spark, html_blocks, lang_id, licenses, media, mixing, near_dedup, packing, sharding, topk, toxicity
 
 WORDS = "the of and to in that is was he for it with as his on be at by had not are but from or have an they which one".split()
 
@@ -88,8 +88,10 @@ def test_language_posteriors_match_a_loop(spark):
         log = {x: prior[x] + sum(n * math.log((counts[x].get(b, 0) + 0.5) / total[x]) for b, n in own.items()) for x in "xy"}
         best = max("xy", key=lambda x: log[x])
         assert row["lang_pred"] == best and row["score"] == pytest.approx(1 / sum(math.exp(v - log[best]) for v in log.values()), rel=1e-3)
-    even = lang_id.Model(["p", "q"], np.log([0.5, 0.5]), np.zeros((lang_id.BUCKETS, 2), np.float32))
-    assert lang_id.score(even, ["tie"])[0] == ["p"]
+    none = np.zeros(0, np.int32)
+    even = lang_id.Model([lang_id.Slice([x], np.log([0.5]), np.zeros(1), np.zeros(1, np.int64), none, none.astype(np.float32)) for x in "pq"])
+    names, p = lang_id.score(even, ["tie"])
+    assert names == ["p"] and p[0] == pytest.approx(0.5)
 
 
 def test_language_of_a_very_long_text():
@@ -101,10 +103,40 @@ def test_language_of_a_very_long_text():
     assert n.sum() == grams and set(brute_buckets(some)) <= set(at.tolist())
 
 
-def test_language_count_is_bounded(spark, monkeypatch):
-    monkeypatch.setattr(lang_id, "MOST_LANGS", 2)
-    rows = [(x, f"text in {x}") for x in "aabbbcdd"]
-    assert lang_id.fit(spark.createDataFrame(rows, "lang string, text string")).langs == ["a", "b"]
+def test_every_language_is_learned(spark, monkeypatch):
+    """Two hundred languages, in slices, of which a worker keeps two: the same answers as from one slice."""
+    r = random.Random(8)
+    letters = "abcdefghijklmnopqrstuvwxyzäöüéèñçøåß"
+    rows = []
+    for lang in range(200):
+        own = ["".join(r.choice(letters) for _ in range(r.randint(3, 7))) for _ in range(12)]
+        rows += [(f"l{lang:03d}", " ".join(r.choice(own) for _ in range(15))) for _ in range(10)]
+    df = spark.createDataFrame(rows, "lang string, text string")
+    monkeypatch.setattr(lang_id, "COUNTED", 16)
+    texts = [t for _, t in rows]
+    whole = lang_id.score(lang_id.fit(df), texts)
+    monkeypatch.setattr(lang_id, "SLICE", 13)
+    monkeypatch.setattr(lang_id, "KEPT", 2)
+    model = lang_id.fit(df)
+    assert len(model.langs) == 200 and len(model.slices) == 16 and model.langs == sorted(model.langs)
+    names, p = lang_id.score(model, texts)
+    assert names == whole[0] and np.allclose(p, whole[1], atol=1e-6) and len(model._kept) == 2
+    assert sum(a == b for (a, _), b in zip(rows, names, strict=True)) >= 1990
+
+
+def test_many_rows_of_one_id_neither_fill_nor_empty_a_sample(spark):
+    """Fitting rows are bounded though one id is repeated, with one text or with many."""
+    one = spark.range(50_000).selectExpr("1L AS doc_id", "'the same text' AS text", "'en' AS lang")
+    many = spark.range(50_000).selectExpr("1L AS doc_id", "concat('text ', id) AS text", "'en' AS lang")
+    rest = spark.range(300).selectExpr("id + 100 AS doc_id", "concat('ein Text ', id) AS text", "'de' AS lang")
+    n = _spark.sampled(one.union(rest), 1000, "doc_id", "lang", "text").count()
+    assert 250 < n <= 301
+    n = _spark.sampled(many.union(rest), 1000, "doc_id", "lang", "text").count()
+    assert 800 < n < 1200
+    assert set(lang_id.learn(one.union(rest), 1000).langs) == {"en", "de"}
+    labels = spark.createDataFrame([(1, 0)] + [(100 + i, 1) for i in range(300)], "doc_id long, toxic int")
+    model = toxicity.learn(many.union(rest), labels, 1000)
+    assert len(model.keys)
 
 
 def test_toxicity(spark, docs, rows):
@@ -500,19 +532,25 @@ def walked(hashes, shards):
     return out
 
 
-@pytest.mark.parametrize("cell", [1 << 16, 3])
+@pytest.mark.parametrize("cell", [1, 3, 40])
 def test_shards_are_those_of_a_walk_around_the_ring(spark, monkeypatch, cell):
     """Every row's shard against a walk; a third of all rows have one id, a third no id, some are repeated."""
-    monkeypatch.setattr(sharding, "CELL", cell)
     r = random.Random(7)
     rows = [(i, f"t{i}") for i in range(60)] + [(7, f"hot {r.randrange(40)}") for _ in range(60)] + [(None, f"none {r.randrange(9)}") for _ in range(60)] + [(3, None)] * 5
     df = spark.createDataFrame(rows, "doc_id long, text string")
+    usual = sorted(map(str, sharding.assign(df, 5).collect()))
+    monkeypatch.setattr(sharding, "CELL", cell)
     got = sharding.assign(df, 5).collect()
-    bucket = F.shiftrightunsigned(F.xxhash64(F.lit("ring"), F.col("doc_id")), 64 - (sharding.BUCKETS.bit_length() - 1)).cast("int")
-    want = walked([(x["b"], (str(x["doc_id"]),)) for x in df.select("doc_id", bucket.alias("b")).collect()], 5)
+    assert sorted(map(str, got)) == usual  # cells change no row's shard or slot
+    place = F.xxhash64(F.lit("ring"), F.col("doc_id"))
+    bucket = F.shiftrightunsigned(place, 64 - (sharding.BUCKETS.bit_length() - 1)).cast("int")
+    data = F.coalesce("text", F.lit("")).cast("binary")
+    h = F.xxhash64(F.lit("cell"), place, F.col("doc_id"), (F.octet_length(data) + 1).cast("long"), F.crc32(data))
+    want = walked([(x["b"], (x["h"], str(x["doc_id"]), x["c"])) for x in df.select("doc_id", bucket.alias("b"), h.alias("h"), F.crc32(data).alias("c")).collect()], 5)
+    want = {k[1:]: v for k, v in want.items()}
     own, slots = {}, {}
     for x in got:
-        own.setdefault((str(x["doc_id"]),), []).append(x["shard"])
+        own.setdefault((str(x["doc_id"]), x["text_crc32"]), []).append(x["shard"])
         slots.setdefault(x["shard"], []).append(x["slot"])
     assert {k: sorted(v) for k, v in own.items()} == {k: sorted(v) for k, v in want.items()}
     assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and max(map(len, slots.values())) - min(map(len, slots.values())) <= 1
