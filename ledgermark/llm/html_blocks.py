@@ -13,6 +13,7 @@ import math
 import random
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,7 +45,7 @@ _ATTRIBUTE = rf"(?:[^\s/>=]|=)[^\s/>=]*+(?:\s*+=\s*+{_VALUE}?+)?+"
 _TOKEN = re.compile(rf"<!--(?:-?>|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|{_ATTRIBUTE})*+)(?:>|\Z)|<[!?/][^>]*+(?:>|\Z)", re.S)
 _ATTR = re.compile(rf"((?:[^\s/>=]|=)[^\s/>=]*+)(?:\s*+=\s*+({_VALUE})?+)?+")
 _NAME = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[^\W\d_A-Za-z]+")
-#: Levels that elements may be nested; deeper ones count as parts of the last level, as in browsers.
+#: Levels of nesting that names are noted of; an element below them has the path of the last such level.
 DEPTH = 512
 #: Blocks of a page that the network reads at a time; states are carried from stretch to stretch.
 STRETCH = 4096
@@ -76,6 +77,7 @@ def leaf_blocks(page: str) -> list[Block]:
     is no text are left out; elements that are never closed end with what holds them. Blocks share their paths."""
     out: list[Block] = []
     stack: list[tuple[str, tuple[str, ...]]] = []  # open elements: tag, and the names on the path down to it
+    open_: Counter[str] = Counter()  # how many of each tag are open
     known: dict[tuple[str, ...], tuple[str, ...]] = {}
     parts: list[str] = []
     linked = 0
@@ -95,14 +97,22 @@ def leaf_blocks(page: str) -> list[Block]:
         nonlocal linked
         if text:
             parts.append(text)
-            if any(tag == "a" for tag, _ in stack):
+            if open_["a"]:
                 linked += len(text.strip())
 
+    def end(i: int) -> None:
+        """End the open elements from number ``i`` on."""
+        for tag, _ in stack[i:]:
+            open_[tag] -= 1
+        del stack[i:]
+
     def close(tags: frozenset[str] | set[str]) -> None:
         """End the innermost open element of these, with all in it, unless a list, table or part of the page stands between."""
+        if not any(open_[t] for t in tags):
+            return
         for i in range(len(stack) - 1, -1, -1):
             if stack[i][0] in tags:
-                del stack[i:]
+                end(i)
                 return
             if stack[i][0] in SCOPES:
                 return
@@ -118,9 +128,9 @@ def leaf_blocks(page: str) -> list[Block]:
         if m[1]:
             if tag not in INLINE:
                 flush()
-            for i in range(len(stack) - 1, -1, -1):
+            for i in range(len(stack) - 1, -1, -1) if open_[tag] else ():
                 if stack[i][0] == tag:
-                    del stack[i:]
+                    end(i)
                     break
                 if tag in INLINE and stack[i][0] not in INLINE:
                     break
@@ -129,8 +139,8 @@ def leaf_blocks(page: str) -> list[Block]:
             if tag not in INLINE:
                 flush()
             if tag not in ("svg", "math") or not m[3].endswith("/"):
-                end = re.compile(rf"</{tag}(?![^\s/>])[^>]*+(?:>|\Z)", re.I).search(page, at)
-                at = end.end() if end else n
+                closing = re.compile(rf"</{tag}(?![^\s/>])[^>]*+(?:>|\Z)", re.I).search(page, at)
+                at = closing.end() if closing else n
             continue
         if tag == "br":
             parts.append(" ")
@@ -140,10 +150,12 @@ def leaf_blocks(page: str) -> list[Block]:
             close(_PARAGRAPH)  # a block ends an open paragraph
             close(CLOSES.get(tag, frozenset()))
             while stack and stack[-1][0] in INLINE and stack[-1][0] != "a":
-                stack.pop()
-        if tag not in VOID and len(stack) < DEPTH:
-            path = (*(stack[-1][1] if stack else ()), tag, *_names(m[3]))
+                end(len(stack) - 1)
+        if tag not in VOID:
+            above = stack[-1][1] if stack else ()
+            path = (*above, tag, *_names(m[3])) if len(stack) < DEPTH else above
             stack.append((tag, known.setdefault(path, path)))
+            open_[tag] += 1
     if at < n:
         add(page[at:])
     flush()

@@ -85,3 +85,14 @@ def test_a_long_page_is_read_in_stretches():
 def test_blocks_of_a_huge_page_share_their_paths():
     blocks = html_blocks.leaf_blocks("<div id=a><div class=b>" + "<p class='c d'>word</p>" * 300_000)
     assert len(blocks) == 300_000 and len({id(b.path) for b in blocks}) == 1
+
+
+def test_a_deep_sidebar_stays_one():
+    """Elements below the last noted level end as others do: what they are in goes on after them."""
+    n = 2000
+    page = f"<article><p>One.</p><aside>{'<div>' * n}deep{'</div>' * n}<p>Still aside.</p></aside><p>Two.</p></article>"
+    by = {b.text: b.path for b in html_blocks.leaf_blocks(page)}
+    assert "aside" in by["deep"] and by["Still aside."] == ("article", "aside", "p") and by["Two."] == by["One."] == ("article", "p")
+    began = time.time()
+    odd = html_blocks.leaf_blocks("<div>" * 50_000 + "</span></table>" * 50_000 + "x")  # ends of what is not open cost nothing
+    assert len(odd) == 1 and time.time() - began < 30
