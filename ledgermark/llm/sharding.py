@@ -1,9 +1,10 @@
 """Sharding by a consistent-hash ring with virtual nodes and bounded loads, in DataFrame operations only.
 
-The ring is cut into ``BUCKETS`` arcs of equal length, and an arc with many rows (one id may hold a third of them) into
-cells by its rows' contents. Counting the rows of each cell needs no text; from these counts the driver lays out
-which rows of an arc go to which shard: the shard of the next virtual node clockwise takes them up to its
-capacity, and what overflows continues clockwise to the next shard with room.
+The ring is cut into ``BUCKETS`` arcs of equal length. Within an arc rows are ordered by a hash of their contents, at
+every size; an arc with many rows (one id may hold a third of them) is cut into cells, ranges of that hash, which are
+numbered apart and change no order. From the arcs' counts the driver lays out which rows of an arc go to which shard:
+the shard of the next virtual node clockwise takes them up to its capacity, and what overflows continues clockwise to
+the next shard with room. What the driver sees and what is broadcast has a row for each arc, whatever the corpus.
 """
 
 from __future__ import annotations
@@ -16,8 +17,8 @@ from pyspark.sql import functions as F
 
 BUCKETS = 1 << 14
 VIRTUAL_NODES = 128
-#: Rows of a cell (about), and cells of an arc, at most.
-CELL, MOST_CELLS = 1 << 16, 1 << 10
+#: Rows of a cell (about).
+CELL = 1 << 16
 LAW = "rows"
 
 
@@ -71,37 +72,31 @@ def assign(docs: DataFrame, shards: int = 16, slack: float = 0.0) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot and grown_shard of every row of ``docs`` (doc_id, text).
 
     Without slack the law is ``rows``: counts of shards are at most one apart. slot numbers a shard's rows from 0
-    without gaps. size is the text's UTF-8 bytes plus 1 (null: 1). Rows of an arc are ordered by cell, ring hash, doc_id,
-    size and crc32; repeated rows are rows like others, and a null doc_id has a place on the ring too; an empty
+    without gaps. size is the text's UTF-8 bytes plus 1 (null: 1). Rows of an arc are ordered by a hash of place,
+    doc_id, size and crc32; repeated rows are rows like others, and a null doc_id has a place on the ring too; an empty
     table gives no rows. grown_shard is null, since the capacities, not the id alone, decide. Other columns are ignored.
     """
     spark = docs.sparkSession
     place = F.xxhash64(F.lit("ring"), F.col("doc_id"))
     bucket = F.shiftrightunsigned(place, 64 - (BUCKETS.bit_length() - 1)).cast("int")
-    per_arc = docs.select(bucket.alias("b")).groupBy("b").agg(F.count("*").alias("n"))
-    cells = {r["b"]: min(MOST_CELLS, -(-r["n"] // CELL)) for r in per_arc.where(F.col("n") > CELL).collect()}  # at most BUCKETS rows
     data = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
+    own = ("place", "doc_id", "size", "text_crc32")
     rows = docs.select("doc_id", place.alias("place"), bucket.alias("b"), (F.octet_length(data) + 1).cast("long").alias("size"), F.crc32(data).alias("text_crc32"))
-    if cells:  # an arc of one cell needs no look at the contents
-        wide = F.create_map(*[F.lit(x) for pair in sorted(cells.items()) for x in pair])
-        rows = rows.withColumn("cell", F.pmod(F.xxhash64("place", "size", "text_crc32"), F.coalesce(wide[F.col("b")], F.lit(1)).cast("long")).cast("int"))
-    else:
-        rows = rows.withColumn("cell", F.lit(0))
-    # copies of one row are alike in all that is returned: they are counted, and dealt out again behind their places
-    kinds = rows.groupBy("b", "cell", "place", "doc_id", "size", "text_crc32").agg(F.count("*").alias("n"))
-    counts = (per_arc.withColumn("cell", F.lit(0)) if not cells else rows.groupBy("b", "cell").agg(F.count("*").alias("n"))).collect()  # at most BUCKETS rows, and one for each CELL rows
-    arcs: dict[int, int] = {}
-    first: list[tuple[int, int, int]] = []
-    for r in sorted(counts, key=lambda r: (r["b"], r["cell"])):
-        first.append((r["b"], r["cell"], arcs.get(r["b"], 0)))
-        arcs[r["b"]] = arcs.get(r["b"], 0) + r["n"]
+    per_arc = docs.groupBy(bucket.alias("b")).agg(F.count("*").alias("n")).collect()  # at most BUCKETS rows
+    arcs = {r["b"]: r["n"] for r in per_arc}
     plan = layout(arcs, shards, capacities(sum(arcs.values()), shards, slack))
-    segments = spark.createDataFrame(plan, "b int, first long, stop long, shard int, slot0 long")
-    starts = spark.createDataFrame(first, "b int, cell int, at long")
-    before = Window.partitionBy("b", "cell").orderBy("place", "doc_id", "size", "text_crc32").rowsBetween(Window.unboundedPreceding, -1)
-    kinds = kinds.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).join(F.broadcast(starts), ["b", "cell"])  # starts: as many as counts
+    segments = F.broadcast(spark.createDataFrame(plan, "b int, first long, stop long, shard int, slot0 long"))  # arcs, and one more for each capacity met
+    wide = F.broadcast(spark.createDataFrame([(b, (-(-n // CELL) - 1).bit_length()) for b, n in sorted(arcs.items())], "b int, bits int"))  # arcs
+    # copies of one row are alike in all that is returned: they are counted, and dealt out again behind their places
+    kinds = rows.groupBy("b", *own).agg(F.count("*").alias("n")).join(wide, "b").withColumn("h", F.xxhash64(F.lit("cell"), *own))
+    kinds = kinds.withColumn("cell", F.expr("CASE WHEN bits = 0 THEN 0 ELSE shiftright(h, 64 - bits) END"))
+    before = Window.partitionBy("b", "cell").orderBy("h", *own).rowsBetween(Window.unboundedPreceding, -1)
+    cells = kinds.groupBy("b", "cell").agg(F.sum("n").alias("n"))
+    earlier = Window.partitionBy("b").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    starts = cells.select("b", "cell", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("at"))
+    kinds = kinds.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).join(starts, ["b", "cell"])
     kinds = kinds.withColumn("from", F.col("at") + F.col("before"))
-    hit = kinds.join(F.broadcast(segments), "b").where("from < stop and from + n > first")  # segments: arcs, and one more for each capacity met
+    hit = kinds.join(segments, "b").where("from < stop and from + n > first")
     hit = hit.withColumn("rank", F.explode(F.sequence(F.greatest("from", "first"), F.least(F.col("from") + F.col("n"), "stop") - 1)))
     return hit.select(
         "doc_id", "size", "text_crc32", F.lit(LAW if not slack else "bounded").alias("law"), "shard",
