@@ -11,7 +11,6 @@ from __future__ import annotations
 import hashlib
 import struct
 import tarfile
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -25,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ledgermark.tables import folder as shared_folder
 
-from ._spark import bound_batches, stage, workdir
+from ._spark import bound_batches, stage
 
 WIDTH = 64
 #: Bytes after which a shard is closed.
@@ -224,11 +223,12 @@ def read_columns(manifest: DataFrame, folder: str) -> DataFrame:
 
 
 def media_columns(docs: DataFrame, folder: str | None = None) -> DataFrame:
-    """Metadata and features of every row of ``docs`` (doc_id, text), stored in tar shards of ``folder`` and read back.
+    """Metadata and features of every row of ``docs`` (doc_id, text), stored in tar shards of ``folder`` and read back, with each
+    payload's shard, offset and length. Without a folder the shards go where other tables go and are removed with them.
 
     Equal payloads have equal values, and one member of one shard holds each. A null or empty text is one row of zeros; a long one is a
     tall image; repeated rows and null ids are rows like others; an empty table writes nothing and gives no
     rows. Other columns are ignored.
     """
-    folder = folder or f"{workdir(docs.sparkSession)}/media-{uuid.uuid4().hex}"
+    folder = folder or shared_folder(docs.sparkSession, "media")
     return read_columns(write_shards(docs, folder), folder)
