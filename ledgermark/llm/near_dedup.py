@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _text as tx
-from ._spark import bound_batches, stage, union_find
+from ._spark import bound_batches, stage, union_find, with_values
 
 SLOTS_PER_BAND = 5
 #: Chance that a pair at the threshold meets in no band.
@@ -423,7 +423,7 @@ def near_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     label = nodes.select("node", "doc_id").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = label.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     found = label.join(least, "label").select(F.col("node").alias("digest"), "component_id")
-    out = rows.select("doc_id", "text_key", "n_shingles", "digest").join(found, "digest", "left")
+    out = with_values(rows.select("doc_id", "text_key", "n_shingles", "digest"), found, "digest")  # many copies are one key, wordless texts none
     component = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "text_key", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
