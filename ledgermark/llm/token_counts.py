@@ -8,6 +8,7 @@ are not shuffled. New counts are appended to the cache, which later calls join f
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
 import re
@@ -26,7 +27,7 @@ from ._spark import bound_batches, stage, with_values
 
 LIMIT = 2048
 #: Misses up to which their digests are broadcast (32 bytes each), so that other rows stay in the JVM.
-FEW = 1 << 18
+FEW = 1 << 16
 #: Tasks whose lists are in one file.
 LISTS = 256
 #: Bytes of a text that are split into words at once; words that a worker remembers, at most, and the longest of them.
@@ -78,6 +79,7 @@ def normalised(text: Column, special: list[str] | None) -> Column:
     return F.when(text.rlike(pattern), level).otherwise(F.translate(level, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
 
 
+@functools.lru_cache(2)  # tasks of one worker share what it has read and remembers
 def counter(path: str) -> Callable[[str], int]:
     """Function that counts a text's tokens as the library does. A vocabulary that drops white space is asked for
     each distinct word once, since no token reaches across; a word's count is remembered."""
