@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,7 +48,7 @@ def integers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Rows that take part (no null, no null or non-finite entry, some entry), and their vectors as floor(64 c) + 1000000."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    lengths = np.array(pa.compute.list_value_length(column).fill_null(0), np.int64)
+    lengths = np.array(pc.list_value_length(column).fill_null(0), np.int64)
     flat = column.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)  # null entries become NaN
     ends = np.cumsum(lengths)
     bad = np.append(0, np.cumsum(~np.isfinite(flat)))
