@@ -58,8 +58,9 @@ def _same(a: Sequence, b: Sequence) -> bool:
     return all(x == y or (nan(x) and nan(y)) for x, y in zip(a, b, strict=True))
 
 
-def ranked(rows: DataFrame, name: str, *by: tuple[str | Column, bool], among: Column | None = None) -> DataFrame:
-    """``rows`` with ``name``: one more than the number of rows that come before (int), so rows that tie share a rank.
+def ranked(rows: DataFrame, name: str, *by: tuple[str | Column, bool], among: Column | None = None, within: Sequence[str] = ()) -> DataFrame:
+    """``rows`` with ``name``: one more than the number of rows that come before (int), so rows that tie share a rank. With
+    ``within`` (columns without nulls, of few values) only rows that are equal in these count.
 
     ``by`` names the values of the order, each with whether the largest come first (nulls then last, else first). With
     ``among`` only rows that it holds for are counted and ranked; the others' rank is null. Many rows that tie may
@@ -73,10 +74,10 @@ def ranked(rows: DataFrame, name: str, *by: tuple[str | Column, bool], among: Co
     values = [F.col(v) if isinstance(v, str) else v for v, _ in by]
     wide = rows.withColumns({taken: held, tie: F.xxhash64(*hashable)} | dict(zip(keys, values, strict=True)))
     # rows that are ranked come first; the others follow them and change no rank
-    order = [F.col(taken).desc(), *[F.col(k).desc() if down else F.col(k).asc() for k, (_, down) in zip(keys, by, strict=True)]]
+    order = [F.col(taken).desc(), *map(F.col, within), *[F.col(k).desc() if down else F.col(k).asc() for k, (_, down) in zip(keys, by, strict=True)]]
     placed = _placed(wide, [*order, F.col(tie)], at).withColumn(part, F.shiftright(at, _BITS))
     placed = placed.withColumn(own, F.rank().over(Window.partitionBy(part).orderBy(*order)))
-    key = F.struct(taken, *keys)
+    key = F.struct(taken, *within, *keys)
     ends = placed.groupBy(F.col(part).alias("part")).agg(F.count("*").alias("n"), F.min_by(key, at).alias("first"), F.max_by(key, at).alias("last"), F.max(own).alias("own"))
     starts: dict[int, int] = {}
     firsts: dict[int, int] = {}  # the rank of a range's first rows
@@ -87,4 +88,8 @@ def ranked(rows: DataFrame, name: str, *by: tuple[str | Column, bool], among: Co
         last, rank = e["last"], firsts[e["part"]] if e["own"] == 1 else before + e["own"]
         before += e["n"]
     place = F.when(F.col(own) == 1, _by_range(firsts, F.col(part))).otherwise(_by_range(starts, F.col(part)) + F.col(own))
-    return placed.withColumn(name, F.when(F.col(taken), place).cast("int")).select(*[F.col(f"`{c}`") for c in rows.columns if c != name], name)
+    placed = placed.withColumn(own, place)
+    if within:
+        least = placed.where(taken).groupBy(*within).agg(F.min(own).alias(at))
+        placed = placed.drop(at).join(least, list(within), "left").withColumn(own, F.col(own) - F.col(at) + 1)
+    return placed.withColumn(name, F.when(F.col(taken), F.col(own)).cast("int")).select(*[F.col(f"`{c}`") for c in rows.columns if c != name], name)

@@ -151,9 +151,13 @@ def drop_reasons(validated: DataFrame) -> DataFrame:
     return validated.where("drop_reason IS NOT NULL").groupBy("drop_reason").agg(F.count("*").alias("n"))
 
 
+def severity_rank() -> Column:
+    """0 for the gravest; names outside the vocabulary come last."""
+    return F.when(F.col("severity") == "high", 0).when(F.col("severity") == "medium", 1).otherwise(2)
+
+
 def by_severity(findings: DataFrame) -> DataFrame:
-    rank = F.when(F.col("severity") == "high", 0).when(F.col("severity") == "medium", 1).otherwise(2)
-    return findings.orderBy(rank, "item")
+    return findings.orderBy(severity_rank(), "item")
 
 
 def section_pairs(section: DataFrame, filing: DataFrame, item: str) -> DataFrame:

@@ -5,11 +5,12 @@ No other plan reads ``store.fact`` or ``store.price``; a test holds to that.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import date
 from functools import cached_property
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgermark.schemas import TERMINAL
@@ -18,6 +19,13 @@ from ledgermark.sources.adapter import Store
 FACT_KEY = ["cik", "tag", "unit", "period_start", "period_end"]
 
 
+def intervals(versions: DataFrame, key: list[str], since: str, *ties: str) -> DataFrame:
+    """``versions`` with ``valid_from`` and ``valid_to``: each holds from the day in ``since`` until the next version of its
+    ``key`` comes (null: until now). Of several versions of one day the last by ``ties`` holds; the others' time is empty."""
+    following = F.lead(since).over(Window.partitionBy(*key).orderBy(since, *ties))
+    return versions.withColumn("valid_from", F.col(since)).withColumn("valid_to", following)
+
+
 @dataclass(frozen=True)
 class AsOfView:
     """Base relations as they stood on ``as_of`` (inclusive), for all filers or for ``ciks``."""
@@ -25,6 +33,7 @@ class AsOfView:
     store: Store
     as_of: date
     ciks: tuple[int, ...] | None = None
+    key = ("cik",)  # what tells the rows of one filer's state apart
 
     def __post_init__(self) -> None:
         if isinstance(self.as_of, str):
@@ -126,7 +135,64 @@ class AsOfView:
         return df.groupBy("cik", "period_end").agg(F.min_by(F.struct("accession_no", "filed_date"), F.struct("filed_date", "accession_no")).alias("x")).select("cik", "period_end", "x.*")
 
 
-def newest(df: DataFrame, by: str, n: int, *, key: str = "cik") -> DataFrame:
+@dataclass(frozen=True)
+class ManyDates:
+    """Base relations as they stood on each of some ``dates``, with the date in ``as_of``: a row for each date on which it
+    held. Facts and prices are read once, whatever the number of dates: their versions' intervals are laid out and meet
+    the dates, which are few and stand in the plan."""
+
+    store: Store
+    dates: tuple[date, ...]
+    ciks: tuple[int, ...] | None = None
+    key = ("as_of", "cik")
+
+    @property
+    def day(self):
+        return F.col("as_of")
+
+    @cached_property
+    def _last(self) -> AsOfView:
+        return AsOfView(self.store, max(self.dates), self.ciks)
+
+    def _held(self, df: DataFrame, when: Callable[[Column], Column]) -> DataFrame:
+        """A row for each date that ``when`` is true of."""
+        days = F.array(*[F.lit(d) for d in sorted(set(self.dates))])
+        return df.withColumn("as_of", F.explode(F.filter(days, when)))
+
+    def _within(self, df: DataFrame) -> DataFrame:
+        return self._held(df, lambda d: (d >= F.col("valid_from")) & (F.col("valid_to").isNull() | (d < F.col("valid_to")))).drop("valid_from", "valid_to")
+
+    @cached_property
+    def fact_intervals(self) -> DataFrame:
+        """Every version of a fact with the time in which it was the latest. Dealt out by filer and period end, as all that
+        follows needs it."""
+        facts = self._last.facts().select(*FACT_KEY, "value", "filed_date", "accession_no", "form_type").repartition("cik", "period_end")
+        return intervals(facts, FACT_KEY, "filed_date", "accession_no")
+
+    @cached_property
+    def fact_asof(self) -> DataFrame:
+        """Latest version of each fact on each date."""
+        return self._within(self.fact_intervals)
+
+    @cached_property
+    def price_asof(self) -> DataFrame:
+        """Latest close of each filer on each date; of several sources on a day as for one date."""
+        best = F.min_by(F.struct("ticker", "close", "source"), F.struct("source", "close"))
+        days = self._last._prices.groupBy("cik", "price_date").agg(best.alias("x")).select("cik", "x.ticker", "price_date", "x.close", "x.source")
+        return self._within(intervals(days, ["cik"], "price_date"))
+
+    @cached_property
+    def filing_asof(self) -> DataFrame:
+        return self._held(self._last.filing_asof, lambda d: d >= F.col("filed_date"))
+
+    @cached_property
+    def universe_asof(self) -> DataFrame:
+        seen = lambda d: F.col("first_seen").isNull() | (F.col("first_seen") <= d)
+        ended = F.coalesce(F.col("status").isin(*TERMINAL), F.lit(False)) & F.col("status_date").isNotNull()
+        return self._held(self._last._scoped(self.store.filer), lambda d: seen(d) & ~F.coalesce(ended & (F.col("status_date") <= d), F.lit(False)))
+
+
+def newest(df: DataFrame, by: str, n: int, *, key: tuple[str, ...] = ("cik",)) -> DataFrame:
     """The n newest rows of each key (Spark limits the rows before the shuffle)."""
-    w = Window.partitionBy(key).orderBy(F.desc(by))
+    w = Window.partitionBy(*key).orderBy(F.desc(by))
     return df.withColumn("recency", F.row_number().over(w)).where(F.col("recency") <= n)

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+from calendar import monthrange
 from datetime import date
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ledgermark.functions.columns import fiscal_length
 from ledgermark.tables import materialise
 
-from .asof import AsOfView
+from .asof import AsOfView, ManyDates
 from .figures import ANNUAL_TAGS, Figures
 from .screens import QUALITY_YEARS, Screens
 
@@ -20,31 +20,41 @@ YEARS = 3
 
 
 def grouped_flags(screens: Screens) -> DataFrame:
-    """A row for each flagged filer, most screens first, then best rank."""
+    """A row for each flagged filer (and date)."""
+    key = screens.key
     flag = F.struct("ord", "screen", "rank", "reason", "metrics")
-    rows = screens.flags().select("cik", flag.alias("f"), "rank")
+    rows = screens.flags().select(*key, flag.alias("f"), "rank")
     # maps cannot be sorted: order by position, then look the flags up
-    got = rows.groupBy("cik").agg(F.collect_list("f").alias("fs"), F.count("*").alias("n_flags"), F.min("rank").alias("best_rank"))
+    got = rows.groupBy(*key).agg(F.collect_list("f").alias("fs"), F.count("*").alias("n_flags"), F.min("rank").alias("best_rank"))
     order = F.array_sort(F.transform("fs", lambda x: x["ord"]))
     flags = F.transform(order, lambda o: F.element_at(F.filter("fs", lambda x: x["ord"] == o), 1))
-    return got.select("cik", "n_flags", "best_rank", flags.alias("flagged_by"), F.array_join(F.transform(flags, lambda x: x["screen"]), ",").alias("screens"), F.array_join(F.transform(flags, lambda x: x["reason"]), "; ").alias("flag_reason"))
+    return got.select(*key, "n_flags", "best_rank", flags.alias("flagged_by"), F.array_join(F.transform(flags, lambda x: x["screen"]), ",").alias("screens"), F.array_join(F.transform(flags, lambda x: x["reason"]), "; ").alias("flag_reason"))
 
 
 def by_merit(df: DataFrame) -> DataFrame:
     return df.orderBy(F.desc("n_flags"), F.col("best_rank").asc_nulls_last(), "cik")
 
 
-def snapshot(view: AsOfView, months: int) -> DataFrame:
-    """State of every filer of the universe so many months before: flagged by which screens, and why it was excluded."""
-    day = view.as_of
+def earlier(day: date, months: int) -> date:
+    """The day so many months before, or the last of its month."""
     year, month = divmod(day.year * 12 + day.month - 1 - months, 12)
-    last = [31, 29 if year % 4 == 0 and (year % 100 or year % 400 == 0) else 28, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31][month]
-    then = AsOfView(view.store, date(year, month + 1, min(day.day, last)), view.ciks)
-    figures = Figures(then).keep()
-    flags = grouped_flags(Screens(figures)).select("cik", "screens")
-    return figures.universe_screened.join(flags, "cik", "left").select(
-        "cik", F.lit(then.as_of).alias("as_of"), F.lit(months).alias("months"), F.col("screens").isNotNull().alias("was_flagged"), F.coalesce("screens", F.lit("")).alias("screens"), "excluded_because"
-    )
+    return date(year, month + 1, min(day.day, monthrange(year, month + 1)[1]))
+
+
+def snapshots(view: AsOfView, months: tuple[int, ...]) -> DataFrame:
+    """State of every filer of the universe so many months before: as_of, months, flagged by which screens, and why it was
+    excluded. All dates come from one scan of the facts."""
+    past = ManyDates(view.store, tuple(earlier(view.as_of, m) for m in months), view.ciks)
+    figures = Figures(past).keep()
+    return history(figures, grouped_flags(Screens(figures)), view.as_of, months)
+
+
+def history(figures: Figures, flags: DataFrame, day: date, months: tuple[int, ...]) -> DataFrame:
+    """Of figures of several dates and their grouped flags the state at those that lie so many months before ``day``."""
+    when = F.inline(F.array(*[F.struct(F.lit(earlier(day, m)).alias("as_of"), F.lit(m).alias("months")) for m in months]))
+    rows = figures.universe_screened.select("as_of", "cik", "excluded_because").join(flags.select("as_of", "cik", "screens"), ["as_of", "cik"], "left")
+    dates = F.broadcast(figures.view.store.filer.sparkSession.range(1).select(when))  # a row for each of the months
+    return rows.join(dates, "as_of").select("cik", "as_of", "months", F.col("screens").isNotNull().alias("was_flagged"), F.coalesce("screens", F.lit("")).alias("screens"), "excluded_because")
 
 
 def trend(history: str | Column) -> Column:
@@ -65,9 +75,13 @@ def source_facts(figures: Figures, wanted: DataFrame, view: AsOfView | None = No
 
 
 def candidates(view: AsOfView, limit: int = LIMIT, compare_months: tuple[int, ...] = ()) -> DataFrame:
-    """The ``limit`` best flagged filers with price, shares, source facts, and their state at earlier dates."""
-    figures = Figures(view).keep()
-    best = materialise(by_merit(grouped_flags(Screens(figures))).limit(limit), "best")
+    """The ``limit`` best flagged filers with price, shares, source facts, and their state at earlier dates, for which the
+    facts are not read again."""
+    compare_months = tuple(sorted(compare_months))
+    every = Figures(ManyDates(view.store, (view.as_of, *[earlier(view.as_of, m) for m in compare_months]), view.ciks)).keep()
+    flags = materialise(grouped_flags(Screens(every)), "flags")
+    figures = every.on(view)
+    best = materialise(by_merit(flags.where(F.col("as_of") == view.day).drop("as_of")).limit(limit), "best")
     u = figures.universe_screened.select(
         "cik", "ticker", "name", "market_cap", F.col("latest_fy_end").alias("fiscal_year_end"),
         F.struct(F.col("shares").alias("value"), F.col("shares_tag").alias("tag"), F.col("shares_date").alias("period_end"), F.col("shares_filed").alias("filed_date"), F.col("shares_accession").alias("accession_no")).alias("shares"),
@@ -82,7 +96,7 @@ def candidates(view: AsOfView, limit: int = LIMIT, compare_months: tuple[int, ..
     facts = facts.groupBy("cik").agg(F.array_sort(F.collect_list(item)).alias("inputs"))
     out = out.join(facts, "cik", "left").withColumn("inputs", F.transform("inputs", lambda x: x.dropFields("o")))
     if compare_months:
-        past = reduce(DataFrame.unionByName, [snapshot(view, m) for m in sorted(compare_months)])
+        past = history(every, flags, view.as_of, compare_months).join(F.broadcast(best.select("cik")), "cik")  # at most ``limit``
         past = past.groupBy("cik").agg(F.array_sort(F.collect_list(F.struct("months", "as_of", "was_flagged", "screens", "excluded_because"))).alias("history"))
         out = out.join(past, "cik", "left").withColumn("history", F.coalesce("history", F.array().cast("array<struct<months:int,as_of:date,was_flagged:boolean,screens:string,excluded_because:string>>")))
         out = out.withColumn("trend", trend("history"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ledgermark.functions.columns import fiscal_length, is_common_stock, leading_int, months_back, or_zero, ratio, sum_or_null
 from ledgermark.tables import materialise
 
-from .asof import AsOfView, newest
+from .asof import AsOfView, ManyDates, newest
 
 # The reporting tags behind each figure, in order of preference.
 REVENUE = ("Revenues", "RevenueFromContractWithCustomerExcludingAssessedTax", "RevenueFromContractWithCustomerIncludingAssessedTax", "SalesRevenueNet")
@@ -114,9 +114,13 @@ OTHER = "other"
 @dataclass(frozen=True)
 class Figures:
     """All derived relations of one view; each is lazy and built once. A view of few filers stays small from the scan
-    on, since the filer is a key of every grouping below."""
+    on, since the filer is a key of every grouping below; so is the date, if the view has several."""
 
-    view: AsOfView
+    view: AsOfView | ManyDates
+
+    @property
+    def key(self) -> tuple[str, ...]:
+        return self.view.key
 
     @cached_property
     def annual_raw(self) -> DataFrame:
@@ -128,19 +132,19 @@ class Figures:
         f = f.where(F.col("period_start").isNull() | whole_year)
         wanted = F.create_map(*[F.lit(x) for pair in ANNUAL_TAGS.items() for x in pair])
         tag = F.when(F.col("unit") == wanted[F.col("tag")], F.col("tag")).otherwise(OTHER)
-        rows = f.select("cik", F.col("period_end").alias("fy_end"), tag.alias("tag"), "value", F.col("period_start").isNotNull().alias("year"))
-        wide = rows.groupBy("cik", "fy_end").pivot("tag", [*ANNUAL_TAGS, OTHER]).agg(F.max("value").alias("value"), F.max("year").alias("year"))
+        rows = f.select(*self.key, F.col("period_end").alias("fy_end"), tag.alias("tag"), "value", F.col("period_start").isNotNull().alias("year"))
+        wide = rows.groupBy(*self.key, "fy_end").pivot("tag", [*ANNUAL_TAGS, OTHER]).agg(F.max("value").alias("value"), F.max("year").alias("year"))
         is_end = F.greatest(*[F.coalesce(F.col(f"{t}_year"), F.lit(False)) for t in (*ANNUAL_TAGS, OTHER)])
-        return wide.where(is_end).select("cik", "fy_end", *[F.col(f"{t}_value").alias(t) for t in ANNUAL_TAGS])
+        return wide.where(is_end).select(*self.key, "fy_end", *[F.col(f"{t}_value").alias(t) for t in ANNUAL_TAGS])
 
     @cached_property
     def annual(self) -> DataFrame:
-        return self.annual_raw.select("cik", "fy_end", *figure_columns())
+        return self.annual_raw.select(*self.key, "fy_end", *figure_columns())
 
     @cached_property
     def shares_latest(self) -> DataFrame:
         """Share count of each filer: the count at a point in time if it is recent and not far below the weighted one."""
-        day = self.view.day
+        day, key = self.view.day, list(self.key)
         shares = self.view.fact_asof.where("unit = 'shares'")
         point = shares.where(F.col("period_start").isNull() & F.col("tag").isin(*POINT_SHARES) & (F.col("period_end") >= months_back(day, SHARE_MONTHS)))
         weighted = shares.where(fiscal_length("period_start", "period_end") & F.col("tag").isin(*WEIGHTED_SHARES))
@@ -148,31 +152,32 @@ class Figures:
 
         def best(df: DataFrame, preferred: str, name: str) -> DataFrame:
             order = F.struct("period_end", (F.col("tag") == preferred).cast("int"), F.coalesce("period_start", "period_end"))
-            return df.groupBy("cik").agg(F.max_by(body, order).alias(name))
+            return df.groupBy(*key).agg(F.max_by(body, order).alias(name))
 
-        recent = shares.where((F.col("period_end") >= months_back(day, SHARE_HISTORY_MONTHS)) & (F.col("value") > 0)).groupBy("cik").agg(F.max("value").alias("shares_recent_max"))
-        both = best(point, POINT_SHARES[0], "p").join(best(weighted, WEIGHTED_SHARES[0], "w"), "cik", "full").join(recent, "cik", "left")
+        recent = shares.where((F.col("period_end") >= months_back(day, SHARE_HISTORY_MONTHS)) & (F.col("value") > 0)).groupBy(*key).agg(F.max("value").alias("shares_recent_max"))
+        both = best(point, POINT_SHARES[0], "p").join(best(weighted, WEIGHTED_SHARES[0], "w"), key, "full").join(recent, key, "left")
         use_point = F.col("p.value").isNotNull() & (F.col("w.value").isNull() | (F.col("p.value") >= WEIGHTED_FLOOR * F.col("w.value")))
         both = both.withColumn("x", F.when(use_point, F.col("p")).otherwise(F.col("w")))
         bad = F.col("x.value").isNull() | (F.col("x.value") <= 0) | F.coalesce(F.col("x.value") * UNITS_ERROR < F.col("shares_recent_max"), F.lit(False))
         return both.select(
-            "cik", F.when(~bad, F.col("x.value")).alias("shares"), F.col("x.period_end").alias("shares_date"), F.col("x.tag").alias("shares_tag"),
+            *key, F.when(~bad, F.col("x.value")).alias("shares"), F.col("x.period_end").alias("shares_date"), F.col("x.tag").alias("shares_tag"),
             F.col("x.accession_no").alias("shares_accession"), F.col("x.filed_date").alias("shares_filed"), F.col("x.value").alias("shares_reported"), "shares_recent_max",
         )
 
     @cached_property
     def universe_screened(self) -> DataFrame:
         """Every filer of the universe with its figures and the first reason it is excluded for (null: eligible)."""
-        day = self.view.day
-        years = self.annual.groupBy("cik").agg(F.count("*").alias("fiscal_years"), F.max("fy_end").alias("latest_fy_end"))
-        tenk = self.view.filing_asof.where(F.col("form_type").isin(*ANNUAL_FORMS)).groupBy("cik").agg(F.max("filed_date").alias("last_10k"))
-        u = self.view.universe_asof.join(tenk, "cik", "left").join(years, "cik", "left")
-        u = u.join(self.view.price_asof.select("cik", "price_date", F.col("close").alias("last_close")), "cik", "left").join(self.shares_latest, "cik", "left")
+        day, key = self.view.day, list(self.key)
+        years = self.annual.groupBy(*key).agg(F.count("*").alias("fiscal_years"), F.max("fy_end").alias("latest_fy_end"))
+        tenk = self.view.filing_asof.where(F.col("form_type").isin(*ANNUAL_FORMS)).groupBy(*key).agg(F.max("filed_date").alias("last_10k"))
+        u = self.view.universe_asof.join(tenk, key, "left").join(years, key, "left")
+        u = u.join(self.view.price_asof.select(*key, "price_date", F.col("close").alias("last_close")), key, "left").join(self.shares_latest, key, "left")
         sic = leading_int("sic")
         u = u.withColumn("price", F.when(F.col("price_date") >= F.date_sub(day, PRICE_DAYS), F.col("last_close"))).withColumn("market_cap", F.col("price") * F.col("shares"))
         u = u.withColumn("track", F.when(sic.between(*FINANCIAL), "financial").otherwise("general"))
         recent = F.coalesce(F.col("last_10k") >= months_back(day, FILING_MONTHS), F.lit(False))
         terminal = F.col("status").isin("deregistered", "delisted_for_cause", "acquired")
+        # fixed values: the reasons, which results carry
         why = (
             F.when(~recent, "no 10-K filed in the 15 months to the as-of date")
             .when(F.col("track") == "financial", "financial filer: bank, insurer or REIT screens are separate")
@@ -185,16 +190,16 @@ class Figures:
             .when(F.col("market_cap") < LEAST_MARKET_CAP, "market cap below $300M")
         )
         return u.select(
-            "cik", "name", "ticker", "sic", "track", "last_10k", F.coalesce("fiscal_years", F.lit(0)).alias("fiscal_years"), "latest_fy_end", "price", "price_date", "shares", "shares_date",
+            *key, "name", "ticker", "sic", "track", "last_10k", F.coalesce("fiscal_years", F.lit(0)).alias("fiscal_years"), "latest_fy_end", "price", "price_date", "shares", "shares_date",
             "shares_tag", "shares_accession", "shares_filed", "shares_reported", "shares_recent_max", "market_cap", why.alias("excluded_because"),
         )
 
     @cached_property
     def screen_base(self) -> DataFrame:
         """Latest fiscal year of every eligible filer with its debt and enterprise value."""
-        eligible = self.universe_screened.where("excluded_because IS NULL").select("cik", "name", "ticker", "market_cap", "price", "price_date", "shares", "shares_date")
+        eligible = self.universe_screened.where("excluded_because IS NULL").select(*self.key, "name", "ticker", "market_cap", "price", "price_date", "shares", "shares_date")
         debt = or_zero("long_term_debt") + or_zero("current_debt")
-        base = newest(self.annual, "fy_end", 1).join(eligible, "cik").withColumn("total_debt", debt)
+        base = newest(self.annual, "fy_end", 1, key=self.key).join(eligible, list(self.key)).withColumn("total_debt", debt)
         return base.withColumn("enterprise_value", F.col("market_cap") + F.col("total_debt") - or_zero("cash"))
 
     def keep(self) -> Figures:
@@ -203,6 +208,13 @@ class Figures:
             self.__dict__[name] = materialise(getattr(self, name), name)
         return self
 
+    def on(self, view: AsOfView) -> Figures:
+        """Figures of one of the dates that were kept together."""
+        one = Figures(view)
+        for name in ("annual", "universe_screened", "screen_base"):
+            one.__dict__[name] = getattr(self, name).where(F.col("as_of") == view.day).drop("as_of")
+        return one
+
 
 def owner_earnings(capex_used: str | Column = "capex") -> Column:
     """Cash from operations less capital spending, stock compensation and net interest after tax; missing deductions are none."""

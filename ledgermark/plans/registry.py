@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ledgermark.functions import columns as cx
 from ledgermark.functions import text as tx
+from ledgermark.functions.ranks import numbered
 from ledgermark.operators import documents
 from ledgermark.sources import landing, sinks
 from ledgermark.sources.adapter import AS_OF, Store, star_store
@@ -170,7 +171,7 @@ def coverage(s: Screens) -> DataFrame:
     return out
 
 
-on_screens("agg_flags", "op_snapshot_hist", sql=S("SELECT * FROM grouped"))(lambda s: cand.grouped_flags(s).select("cik", "n_flags", "best_rank", "screens"))
+on_screens("agg_flags", sql=S("SELECT * FROM grouped"))(lambda s: cand.grouped_flags(s).select("cik", "n_flags", "best_rank", "screens"))
 
 REASON_SQL = S("""SELECT cik, 'magic_formula' AS screen, CAST(rank AS INTEGER) AS rank, 'Magic Formula rank ' || rank || ' of ' || of || ': earnings yield ' || printf('%.1f%%', earnings_yield * 100) || ', return on capital ' || printf('%.0f%%', return_on_capital * 100) AS reason FROM (SELECT *, count(rank) OVER () AS of FROM magic_formula) WHERE flagged
 UNION ALL SELECT cik, 'piotroski', CAST(rank AS INTEGER), 'Piotroski ' || score || '/9, rank ' || rank || ' of ' || of || CASE WHEN COALESCE(unusual_change, 0) <> 0 THEN '; tagged unusual items ' || CASE WHEN unusual_change > 0 THEN 'added' ELSE 'took' END || ' $' || format('{:,.1f}', abs(unusual_change) / 1e6) || 'M year on year' ELSE '' END FROM (SELECT *, count(rank) OVER () AS of FROM piotroski) WHERE flagged
@@ -185,7 +186,7 @@ def _metrics_sql() -> str:
     part = lambda names: ", ".join("{'metric': '%s', 'value': CAST(%s AS DOUBLE)}" % pair for pair in names)
     own = {
         "magic_formula": [(m, m) for m in METRICS["magic_formula"]],
-        "piotroski": [(m, {"roa": "net_income / NULLIF(assets1, 0)", "roa_1": "ni1 / NULLIF(assets2, 0)", "unusual_effect_1": "u1"}.get(m, m)) for m in METRICS["piotroski"]],
+        "piotroski": [(m, m) for m in METRICS["piotroski"]],
         "net_net": [("net_current_assets", "ncav"), ("price_to_ncav", "market_cap / ncav")],
         "owner_earnings": [("cfo", "cfo"), ("maintenance_capex", "mcx"), ("owner_earnings", "oe"), ("enterprise_value", "enterprise_value"), ("owner_earnings_yield", "owner_earnings_yield")],
         "quality_at_price": [(m, m) for m in METRICS["quality_at_price"]],
@@ -200,6 +201,16 @@ HISTORY = ",".join(oracle.state(d, f"_{m}") for m, d in EARLIER)
 SNAPS = " UNION ALL ".join(f"SELECT u.cik, {m} AS months, g.cik IS NOT NULL AS hit FROM universe_screened_{m} u LEFT JOIN grouped_{m} g ON g.cik = u.cik" for m, _ in EARLIER)
 
 
+PAST = " UNION ALL ".join(
+    f"SELECT u.cik, DATE '{d}' AS as_of, {m} AS months, g.cik IS NOT NULL AS was_flagged, coalesce(g.screens, '') AS screens, u.excluded_because FROM universe_screened_{m} u LEFT JOIN grouped_{m} g ON g.cik = u.cik" for m, d in EARLIER
+)
+
+
+@query("op_snapshot_hist", sql=S(PAST, more=HISTORY))
+def op_snapshot_hist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cand.snapshots(view(spark, sf_dir), tuple(m for m, _ in EARLIER))
+
+
 @query(
     "op_candidates", "op_trend", "op_complete", "srt_candidates",
     sql=S(
@@ -476,17 +487,10 @@ def jn_prior_section(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("srt_severity", sql="SELECT doc_id, severity, CAST(row_number() OVER (ORDER BY CASE severity WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END, doc_id) AS BIGINT) AS place FROM (SELECT doc_id, CASE quality + toxic WHEN 2 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS severity FROM labels)")
 def srt_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All labels in order of severity. A place is the number of labels in earlier blocks of ids and the place in the block."""
+    """All labels with their places in the order of severity."""
     level = F.coalesce(F.element_at(F.array(F.lit("low"), F.lit("medium"), F.lit("high")), F.col("quality") + F.col("toxic") + 1), F.lit("low"))
     rows = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", level.alias("severity"))
-    rank = F.when(F.col("severity") == "high", 0).when(F.col("severity") == "medium", 1).otherwise(2)
-    rows = rows.withColumn("rank", rank).withColumn("block", F.floor(F.col("doc_id") / 4096))
-    counts = rows.groupBy("rank", "block").agg(F.count("*").alias("n"))
-    before = Window.orderBy("rank", "block").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select(F.col("rank").alias("r"), F.col("block").alias("b"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    rows = rows.withColumn("within", F.row_number().over(Window.partitionBy("rank", "block").orderBy("doc_id")))
-    placed = rows.join(F.broadcast(counts), F.col("rank").eqNullSafe(F.col("r")) & F.col("block").eqNullSafe(F.col("b")))
-    return placed.select("doc_id", "severity", (F.col("before") + F.col("within")).alias("place")).orderBy("place")
+    return numbered(rows, [documents.severity_rank(), F.col("doc_id")], "place")
 
 
 # sources: the published shapes are built from the tables and read back

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgermark.functions.columns import fiscal_length, money_millions, or_zero, percent, ratio
+from ledgermark.functions.ranks import ranked
 
 from .figures import Figures
 
@@ -42,12 +43,6 @@ REQUIRED = {
 }
 
 
-def global_rank(df: DataFrame, name: str, *order: Column) -> DataFrame:
-    """Adds the rank over all rows. The window has no partition: its input is a row for each eligible filer, at most
-    some thousands, whatever the facts' size."""
-    return df.withColumn(name, F.rank().over(Window.orderBy(*order)))
-
-
 def _test(passed: Column) -> Column:
     """1 or 0, and null where the comparison cannot be made."""
     return passed.cast("int")
@@ -55,27 +50,39 @@ def _test(passed: Column) -> Column:
 
 @dataclass(frozen=True)
 class Screens:
-    """The five screens of one set of figures."""
+    """The five screens of one set of figures, for each of its dates. Ranks are found by ranges of the ranked values."""
 
     figures: Figures
 
+    @property
+    def key(self) -> list[str]:
+        return list(self.figures.key)
+
+    @property
+    def dates(self) -> list[str]:
+        """What ranks are within, besides the whole."""
+        return self.key[:-1]
+
+    def _ranked(self, df: DataFrame, name: str, *by: tuple[str | Column, bool], among: Column | None = None) -> DataFrame:
+        return ranked(df, name, *by, among=among, within=self.dates)
+
     @cached_property
     def magic_formula(self) -> DataFrame:
         base = self.figures.screen_base.where("ebit IS NOT NULL AND current_assets IS NOT NULL AND current_liabilities IS NOT NULL AND ppe IS NOT NULL AND enterprise_value > 0")
         capital = (F.col("current_assets") - or_zero("cash")) - (F.col("current_liabilities") - or_zero("current_debt")) + F.col("ppe")
         base = base.withColumn("tangible_capital", capital).where("tangible_capital > 0")
         base = base.withColumn("earnings_yield", ratio("ebit", "enterprise_value")).withColumn("return_on_capital", ratio("ebit", "tangible_capital"))
-        ranked = global_rank(global_rank(base, "ey_rank", F.desc("earnings_yield")), "roc_rank", F.desc("return_on_capital"))
-        ranked = global_rank(ranked, "rank", F.col("ey_rank") + F.col("roc_rank"), F.desc("earnings_yield"))
-        return ranked.withColumn("flagged", (F.col("rank") <= TOP) & (F.col("ebit") > 0))
+        base = self._ranked(self._ranked(base, "ey_rank", ("earnings_yield", True)), "roc_rank", ("return_on_capital", True))
+        base = self._ranked(base, "rank", (F.col("ey_rank") + F.col("roc_rank"), False), ("earnings_yield", True))
+        return base.withColumn("flagged", (F.col("rank") <= TOP) & (F.col("ebit") > 0))
 
     @cached_property
     def piotroski(self) -> DataFrame:
-        w = Window.partitionBy("cik").orderBy("fy_end")
+        w = Window.partitionBy(*self.key).orderBy("fy_end")
         a = self.figures.annual
         back = [("fy_end", 1), ("fy_end", 2), ("assets", 1), ("assets", 2)]
         back += [(c, 1) for c in ("ebit", "net_income", "long_term_debt", "current_assets", "current_liabilities", "shares_weighted", "gross_profit", "revenue", "unusual_effect")]
-        a = a.select("*", *[F.lag(c, n).over(w).alias(f"{c}_{n}") for c, n in back], F.row_number().over(Window.partitionBy("cik").orderBy(F.desc("fy_end"))).alias("recency"))
+        a = a.select("*", *[F.lag(c, n).over(w).alias(f"{c}_{n}") for c, n in back], F.row_number().over(Window.partitionBy(*self.key).orderBy(F.desc("fy_end"))).alias("recency"))
         a = a.where((F.col("recency") == 1) & fiscal_length("fy_end_1", "fy_end") & fiscal_length("fy_end_2", "fy_end_1"))
         a = a.withColumn("operating_roa", ratio("ebit", "assets_1")).withColumn("operating_roa_1", ratio("ebit_1", "assets_2"))
         a = a.withColumn("roa", ratio("net_income", "assets_1")).withColumn("roa_1", ratio("net_income_1", "assets_2"))
@@ -96,40 +103,38 @@ class Screens:
         }
         a = a.select("*", *[c.alias(n) for n, c in tests.items()])
         a = a.withColumn("score", reduce(Column.__add__, [F.coalesce(t, F.lit(0)) for t in TESTS])).withColumn("tests_scored", reduce(Column.__add__, [F.col(t).isNotNull().cast("int") for t in TESTS]))
-        u = self.figures.universe_screened.where("excluded_because IS NULL").select("cik", "name", "ticker", "market_cap")
-        a = a.join(u, "cik")
-        rank = F.rank().over(Window.partitionBy(F.col("tests_scored") == len(TESTS)).orderBy(F.desc("score"), F.desc("operating_roa")))
+        u = self.figures.universe_screened.where("excluded_because IS NULL").select(*self.key, "name", "ticker", "market_cap")
         whole = F.col("tests_scored") == len(TESTS)
-        return a.withColumn("rank", F.when(whole, rank)).withColumn("flagged", whole & (F.col("score") >= STRONG_SCORE))
+        a = self._ranked(a.join(u, self.key), "rank", ("score", True), ("operating_roa", True), among=whole)
+        return a.withColumn("flagged", whole & (F.col("score") >= STRONG_SCORE))
 
     @cached_property
     def net_net(self) -> DataFrame:
         base = self.figures.screen_base.where("current_assets IS NOT NULL AND liabilities IS NOT NULL").withColumn("net_current_assets", F.col("current_assets") - F.col("liabilities"))
         base = base.where("net_current_assets > 0").withColumn("price_to_ncav", ratio("market_cap", "net_current_assets"))
-        return global_rank(base, "rank", F.asc("price_to_ncav")).withColumn("flagged", F.col("market_cap") < F.col("net_current_assets"))
+        return self._ranked(base, "rank", ("price_to_ncav", False)).withColumn("flagged", F.col("market_cap") < F.col("net_current_assets"))
 
     @cached_property
     def owner_earnings(self) -> DataFrame:
         base = self.figures.screen_base.where("cfo IS NOT NULL AND capex IS NOT NULL AND enterprise_value > 0")
         base = base.withColumn("maintenance_capex", F.least("capex", "depreciation")).withColumn("owner_earnings", F.col("cfo") - F.col("maintenance_capex"))
         base = base.withColumn("owner_earnings_yield", ratio("owner_earnings", "enterprise_value"))
-        return global_rank(base, "rank", F.desc("owner_earnings_yield")).withColumn("flagged", (F.col("rank") <= TOP) & (F.col("owner_earnings") > 0))
+        return self._ranked(base, "rank", ("owner_earnings_yield", True)).withColumn("flagged", (F.col("rank") <= TOP) & (F.col("owner_earnings") > 0))
 
     @cached_property
     def quality_at_price(self) -> DataFrame:
         invested = or_zero("equity") + or_zero("long_term_debt") + or_zero("current_debt") - or_zero("cash")
         years = self.figures.annual.withColumn("roic", ratio(F.col("ebit") * AFTER_TAX, invested))
-        years = years.withColumn("rn", F.row_number().over(Window.partitionBy("cik").orderBy(F.desc("fy_end")))).where(F.col("rn") <= QUALITY_YEARS)
-        streak = years.groupBy("cik").agg(
+        years = years.withColumn("rn", F.row_number().over(Window.partitionBy(*self.key).orderBy(F.desc("fy_end")))).where(F.col("rn") <= QUALITY_YEARS)
+        streak = years.groupBy(*self.key).agg(
             F.count("*").alias("years_counted"), F.count("roic").alias("roics"), F.min("roic").alias("min_roic"), F.datediff(F.max("fy_end"), F.min("fy_end")).alias("span")
         )
         base = self.figures.screen_base.where("cfo IS NOT NULL AND capex IS NOT NULL").withColumn("free_cash_flow", F.col("cfo") - F.col("capex"))
-        base = base.withColumn("fcf_yield", ratio("free_cash_flow", "market_cap")).join(streak, "cik")
+        base = base.withColumn("fcf_yield", ratio("free_cash_flow", "market_cap")).join(streak, self.key)
         n = QUALITY_YEARS
         good = (F.col("years_counted") == n) & (F.col("roics") == n) & F.col("span").between(350 * (n - 1), 380 * (n - 1)) & (F.col("min_roic") > LEAST_ROIC) & (F.col("fcf_yield") > LEAST_FCF_YIELD)
         base = base.withColumn("flagged", F.coalesce(good, F.lit(False)))
-        rank = F.rank().over(Window.partitionBy("flagged").orderBy(F.desc("fcf_yield")))
-        return base.withColumn("rank", F.when(F.col("flagged"), rank))
+        return self._ranked(base, "rank", ("fcf_yield", True), among=F.col("flagged"))
 
     def table(self, screen: str) -> DataFrame:
         if screen not in SCREENS:
@@ -151,13 +156,14 @@ class Screens:
         return self.figures.screen_base.select(missing.alias("reason")).where("reason IS NOT NULL").groupBy("reason").agg(F.count("*").alias("filers")).withColumn("screen", F.lit(screen))
 
     def flags(self) -> DataFrame:
-        """A row for each filer and screen that flags it: rank, a sentence, and the figures behind it."""
+        """A row for each filer (and date) and screen that flags it: rank, a sentence, and the figures behind it."""
         out = []
         for i, s in enumerate(SCREENS):
             t = self.table(s)
-            t = t.withColumn("ranked", F.count("rank").over(Window.partitionBy()))  # as small as the ranks' own window
+            n = t.groupBy(*self.dates).agg(F.count("rank").alias("ranked"))  # a row for each date
+            t = t.join(F.broadcast(n), self.dates) if self.dates else t.crossJoin(F.broadcast(n))
             metrics = F.map_from_arrays(F.array(*[F.lit(m) for m in METRICS[s]]), F.array(*[F.col(m).cast("double") for m in METRICS[s]]))
-            out.append(t.where("flagged").select("cik", F.lit(i).alias("ord"), F.lit(s).alias("screen"), F.col("rank").cast("int").alias("rank"), reason(s).alias("reason"), metrics.alias("metrics")))
+            out.append(t.where("flagged").select(*self.key, F.lit(i).alias("ord"), F.lit(s).alias("screen"), F.col("rank").cast("int").alias("rank"), reason(s).alias("reason"), metrics.alias("metrics")))
         return reduce(DataFrame.unionByName, out)
 
 

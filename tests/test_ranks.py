@@ -30,6 +30,12 @@ def test_rank_equals_the_window(spark, rows, down):
     assert both == {i: want.get(i) for i in range(600)}
 
 
+def test_rank_within_groups(rows):
+    got = {r["id"]: r["place"] for r in ranked(rows, "place", ("x", True), among=F.col("id") > 50, within=("g",)).collect()}
+    want = rows.where("id > 50").withColumn("w", F.rank().over(Window.partitionBy("g").orderBy(F.desc("x")))).collect()
+    assert {i: p for i, p in got.items() if i > 50} == {r["id"]: r["w"] for r in want} and {p for i, p in got.items() if i <= 50} == {None}
+
+
 def test_numbers_follow_the_order(spark, rows):
     got = numbered(rows, [F.col("x").desc_nulls_last(), F.col("id")], "n")
     assert [r["id"] for r in got.orderBy("n").collect()] == [r["id"] for r in rows.orderBy(F.col("x").desc_nulls_last(), "id").collect()]
