@@ -3,17 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BooleanType
 
 from ledgermark.functions import text as tx
+from ledgermark.tables import materialise
+
+from . import quotes
 
-#: Rows of an Arrow batch: documents are long.
-BATCH_ROWS = "64"
 SECTION = "array<struct<item:string,text:string,confidence:double,ended_at:string,heading:string>>"
 NOTE = "array<struct<number:string,heading:string,text:string,char_count:int>>"
 USABLE = 0.6
@@ -25,10 +26,6 @@ INCENTIVE_FLAGS = ("metric_mix", "metric_change", "target_change", "adjustment",
 SEVERITIES = ("high", "medium", "low")
 
 
-def _batched(df: DataFrame) -> None:
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-
-
 def _mapped(name: str, returns: str) -> Callable:
     f = getattr(tx, name)
 
@@ -41,13 +38,13 @@ def _mapped(name: str, returns: str) -> Callable:
 
 def filing_text(df: DataFrame, html: str = "html") -> DataFrame:
     """Adds ``text``, the lines of each page's text (null: empty)."""
-    _batched(df)
+    quotes.batched(df)
     return df.withColumn("text", _mapped("filing_text", "string")(F.col(html).cast("string")))
 
 
 def sections(filings: DataFrame, html: str = "html", form: str = "form_type") -> DataFrame:
     """A row for each section of each filing; proxy statements by name, all others by item number."""
-    _batched(filings)
+    quotes.batched(filings)
     proxy = F.coalesce(F.startswith(F.upper(form), F.lit("DEF 14A")), F.lit(False))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -66,7 +63,7 @@ def sections(filings: DataFrame, html: str = "html", form: str = "form_type") ->
 
 def notes(df: DataFrame, text: str = "text") -> DataFrame:
     """A row for each numbered note of each row's text."""
-    _batched(df)
+    quotes.batched(df)
     rest = [c for c in df.columns if c != text]
     return df.withColumn("__notes", _mapped("split_notes", NOTE)(F.col(text).cast("string"))).select(*rest, F.inline("__notes"))
 
@@ -76,16 +73,32 @@ def note_index(text: str) -> Column:
     return F.transform(_mapped("split_notes", NOTE)(F.col(text)), lambda x: x.dropFields("text"))
 
 
-def matched_form(text: str) -> Column:
-    """A text as quotes are matched against it (null: empty)."""
-    return _mapped("for_match", "string")(F.coalesce(F.col(text), F.lit("")))
+def spoken(text: str | Column) -> Column:
+    """Words of a text in lower case, and its other signs, each by itself: what only white space parts is next to each other."""
+    c = F.lower(F.col(text) if isinstance(text, str) else text)
+    apart = F.regexp_replace(c, r"(?U)([^\w\s])", " $1 ")
+    return F.filter(F.split(apart, r"(?U)\s+"), lambda w: w != "")
+
+
+def _phrase(words: Column, at: Column, phrase: tuple[tuple[str, ...], ...], goes_on: bool = False) -> Column:
+    """Whether a phrase stands at a place: at each next place one of the words that may stand there."""
+    *first, last = [F.get(words, at + j) for j in range(len(phrase))]
+    fits = [w.isin(*may) for w, may in zip(first, phrase[:-1], strict=True)]
+    ends = reduce(Column.__or__, [last.startswith(w) for w in phrase[-1]]) if goes_on else last.isin(*phrase[-1])
+    return F.coalesce(reduce(Column.__and__, [*fits, ends]), F.lit(False))
 
 
 def advises(text: str | Column, imperative: bool = True) -> Column:
-    """Whether a text says what to do with the shares."""
-    c = F.col(text) if isinstance(text, str) else text
-    hit = c.rlike(tx.ADVICE_PATTERN)
-    return F.coalesce(hit | c.rlike(tx.IMPERATIVE_PATTERN) if imperative else hit, F.lit(False))
+    """Whether a text says what to do with the shares: in a phrase anywhere, or (``imperative``) by the word it begins with."""
+    words = spoken(text)
+    begins = sorted({w for p in (*tx.ADVICE, *tx.URGING) for w in p[0]})
+    anywhere = lambda i: reduce(Column.__or__, [_phrase(words, i, p) for p in tx.ADVICE] + [_phrase(words, i, p, True) for p in tx.URGING])
+    places = F.filter(F.transform(words, lambda w, i: F.when(w.isin(*begins), i)), lambda i: i.isNotNull())
+    hit = F.exists(places, anywhere)
+    if imperative:
+        first = F.array_position(F.transform(words, lambda w: w.rlike(r"(?U)^\w")), True).cast("int") - 1
+        hit = hit | ((first >= 0) & reduce(Column.__or__, [_phrase(words, first, p) for p in tx.ORDERS]))
+    return F.coalesce(hit, F.lit(False))
 
 
 def malformed(findings: DataFrame) -> Column:
@@ -94,28 +107,20 @@ def malformed(findings: DataFrame) -> Column:
     return ~F.coalesce(known, F.lit(False)) | advises("implication", imperative=False)
 
 
-def with_sources(rows: DataFrame, sources: DataFrame, quote: str, accession: str, item: str, wanted: Column) -> DataFrame:
-    """Adds __sourced (the section that a row names is there) and __found (it holds the row's quote).
-
-    Only ``wanted`` rows are looked up. The different quotes from a section meet its text once, so no text is
-    copied to its findings, and a plain quote is first sought by ``contains``. ``sources`` holds one text for each
-    (accession_no, item)."""
-    _batched(rows)
-    asked = rows.where(wanted).select(F.col(accession).alias("accession_no"), F.col(item).alias("item"), F.col(quote).alias("__q")).distinct()
-    held = sources.select("accession_no", "item", F.col("text").alias("__t")).where("__t IS NOT NULL")
-    per = asked.groupBy("accession_no", "item").agg(F.collect_set("__q").alias("__qs"))
-    found = held.join(per, ["accession_no", "item"]).select("accession_no", "item", F.inline(F.arrays_zip(F.col("__qs").alias("__q"), _quotes_in("__qs", "__t").alias("__found"))))
-    there = held.join(asked.select("accession_no", "item").distinct(), ["accession_no", "item"]).select(F.col("accession_no").alias("__sa"), F.col("item").alias("__si"))
-    found = found.select(F.col("accession_no").alias("__fa"), F.col("item").alias("__fi"), F.col("__q").alias("__fq"), "__found")
-    out = rows.join(there, (F.col(accession) == F.col("__sa")) & (F.col(item) == F.col("__si")) & wanted, "left")
-    out = out.join(found, (F.col(accession) == F.col("__fa")) & (F.col(item) == F.col("__fi")) & (F.col(quote) == F.col("__fq")) & wanted, "left")
-    return out.select(*rows.columns, F.col("__sa").isNotNull().alias("__sourced"), F.coalesce("__found", F.lit(False)).alias("__found"))
-
+def with_sources(rows: DataFrame, sources: DataFrame, wanted: Column, *names: tuple[str, str, str, str]) -> DataFrame:
+    """Adds, for each of ``names`` (prefix, quote, accession and item column), <prefix>sourced (the section that a row names is
+    there) and <prefix>found (it holds the row's quote).
 
-@F.pandas_udf(ArrayType(BooleanType()))
-def _quotes_in(quotes: pd.Series, source: pd.Series) -> pd.Series:
-    """Which of some quotes stand in their source."""
-    return pd.Series([[tx.quote_appears_in(q, s) for q in qs] for qs, s in zip(quotes, source, strict=True)])
+    Only ``wanted`` rows are looked up. All quotes, of whatever column, meet their sections together, so that a text is
+    shuffled once. ``sources`` holds one text for each (accession_no, item)."""
+    ask = reduce(DataFrame.unionByName, [rows.where(wanted).select(F.col(a).alias("accession_no"), F.col(i).alias("item"), F.col(q).alias("quote")) for _, q, a, i in names])
+    got = materialise(quotes.asked(ask.dropna().distinct(), sources), "quotes")  # each name's join reads it
+    for prefix, q, a, i in names:
+        own = got.select(F.col("accession_no").alias("__a"), F.col("item").alias("__i"), F.col("quote").alias("__q"), F.col("found").alias(f"{prefix}found"))
+        same = (F.col(a) == F.col("__a")) & (F.col(i) == F.col("__i")) & (F.col(q) == F.col("__q")) & wanted
+        rows = rows.join(own, same, "left").withColumn(f"{prefix}sourced", F.col("__a").isNotNull()).withColumn(f"{prefix}found", F.coalesce(f"{prefix}found", F.lit(False)))
+        rows = rows.drop("__a", "__i", "__q")
+    return rows
 
 
 def validate_findings(findings: DataFrame, sources: DataFrame) -> DataFrame:
@@ -124,12 +129,11 @@ def validate_findings(findings: DataFrame, sources: DataFrame) -> DataFrame:
     ``sources`` holds one text for each (accession_no, item)."""
     blank = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) == ""
     before = F.when(malformed(findings), "malformed").when(blank("quote"), "quote_missing")
-    rows = with_sources(findings.withColumn("__why", before), sources, "quote", "accession_no", "item", F.col("__why").isNull())
+    rows = findings.withColumn("__why", before)
+    rows = with_sources(rows, sources, F.col("__why").isNull(), ("__", "quote", "accession_no", "item"), ("__prior_", "prior_quote", "prior_accession_no", "item"))
     now = F.when(~F.col("__sourced"), "source_unavailable").when(~F.col("__found"), "quote_not_found")
-    rows = rows.withColumn("__why", F.coalesce("__why", now)).drop("__sourced", "__found")
-    rows = with_sources(rows, sources, "prior_quote", "prior_accession_no", "item", F.col("__why").isNull() & ~blank("prior_quote"))
-    prior = F.when(blank("prior_quote"), None).when(~F.col("__sourced"), "prior_source_unavailable").when(~F.col("__found"), "prior_quote_not_found")
-    return rows.select(*findings.columns, F.coalesce("__why", prior).alias("drop_reason"))
+    prior = F.when(blank("prior_quote"), None).when(~F.col("__prior_sourced"), "prior_source_unavailable").when(~F.col("__prior_found"), "prior_quote_not_found")
+    return rows.select(*findings.columns, F.coalesce("__why", now, prior).alias("drop_reason"))
 
 
 def run_statistics(validated: DataFrame, *by: str) -> DataFrame:

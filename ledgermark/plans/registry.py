@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import date
+from itertools import product
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -11,9 +12,10 @@ from pyspark.sql import functions as F
 from ledgermark.functions import columns as cx
 from ledgermark.functions import text as tx
 from ledgermark.functions.ranks import numbered
-from ledgermark.operators import documents
+from ledgermark.operators import documents, quotes
 from ledgermark.sources import landing, sinks
 from ledgermark.sources.adapter import AS_OF, Store, star_store
+from ledgermark.tables import materialise
 
 from . import candidates as cand
 from . import oracle, recheck, thesis, valuation
@@ -400,25 +402,17 @@ def _sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("string").alias("accession_no"), F.lit("1A").alias("item"), "text")
 
 
-BEGINS = 5  # the words of an item, from its second, by which documents that may quote it are found
-
-
 def _findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A finding for each benchmark item, quoting all of it, on each document that holds the item's second to sixth word
-    in a row (so on all that quote it), and on each whose id and the item's add up to a multiple of forty (so on every
-    document). Items too short for this, or with an ellipsis, are cited on every document. One in seven has an
+    """A finding for each benchmark item, quoting all of it, on every document in which it stands, and one on each document
+    whose id leaves the same remainder as the item's by the number of items (so on every document). One in seven has an
     unknown severity, one in eleven no quote."""
-    b = spark.read.parquet(f"{sf_dir}/benchmark.parquet").withColumn("words", F.split(documents.matched_form("text"), " "))
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    every = (F.size("words") <= BEGINS + 1) | F.coalesce(F.col("text").rlike(tx.ELLIPSIS.pattern), F.lit(False))
-    some = b.select("item_id", every.alias("every"))
-    cited = d.select("doc_id").join(F.broadcast(some), F.col("every") | ((F.col("doc_id") + F.col("item_id")) % 40 == 0)).select("item_id", "doc_id")
-    words = d.select("doc_id", F.split(documents.matched_form("text"), " ").alias("words"))
-    runs = F.transform(F.sequence(F.lit(1), F.size("words") - BEGINS + 1), lambda i: F.array_join(F.slice("words", i, BEGINS), " "))
-    runs = words.where(F.size("words") >= BEGINS).select("doc_id", F.explode(F.array_distinct(runs)).alias("run"))
-    keys = b.where(~every).select("item_id", F.array_join(F.slice("words", 2, BEGINS), " ").alias("run"))
-    held = runs.join(F.broadcast(keys), "run").select("item_id", "doc_id")
-    rows = cited.union(held).distinct().join(F.broadcast(b.select("item_id", "text")), "item_id")
+    b = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
+    n = F.lit(max(1, b.count()))
+    cited = d.select("doc_id", (F.col("doc_id") % n).alias("k")).join(b.select("item_id", (F.col("item_id") % n).alias("k")), "k").select("item_id", "doc_id")
+    places = quotes.occurrences(b.select(F.col("text").alias("quote")), _sections(spark, sf_dir))
+    held = places.join(b.withColumnRenamed("text", "quote"), "quote").select("item_id", F.col("accession_no").cast("long").alias("doc_id"))
+    rows = materialise(cited.union(held).distinct(), "cited").join(b, "item_id")
     return rows.select(
         "item_id", F.col("doc_id").cast("string").alias("accession_no"), F.lit("1A").alias("item"), F.lit("added").alias("change_type"),
         F.when(F.col("item_id") % 11 == 3, "").otherwise(F.col("text")).alias("quote"), F.lit("worth a look").alias("implication"),
@@ -427,17 +421,40 @@ def _findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _FROM, _TO = ("".join(x).replace("'", "''") for x in zip(*((chr(k), v) for k, v in tx.TYPOGRAPHY.items()), strict=True))
-#: The same in SQL: typography, white space and case made equal, a quote's only fragment sought in the text.
-FINDING_SQL = f"WITH form AS (SELECT '{_FROM}' AS a, '{_TO}' AS b),\n" + r"""
-b AS (SELECT item_id, text, trim(lower(regexp_replace(translate(coalesce(text, ''), a, b), '\s+', ' ', 'g'))) AS q FROM benchmark, form),
-i AS (SELECT *, string_split(q, ' ') AS w FROM b),
-d AS (SELECT doc_id, text, trim(lower(regexp_replace(translate(coalesce(text, ''), a, b), '\s+', ' ', 'g'))) AS t FROM documents, form),
-c AS (SELECT i.item_id, d.doc_id, d.text AS source, d.t, i.q FROM d JOIN i ON len(i.w) <= 6 OR (d.doc_id + i.item_id) % 40 = 0 OR contains(' ' || d.t || ' ', ' ' || array_to_string(i.w[2:6], ' ') || ' ')),
-v AS (SELECT item_id, CAST(doc_id AS VARCHAR) AS accession_no, CASE WHEN item_id % 7 = 2 THEN 'malformed' WHEN item_id % 11 = 3 OR q = '' THEN 'quote_missing' WHEN source IS NULL THEN 'source_unavailable'
-  WHEN length(q) < 24 OR NOT contains(t, q) THEN 'quote_not_found' END AS drop_reason FROM c)
+
+
+def matched_sql(x: str) -> str:
+    """Typography, white space and case made equal."""
+    return f"trim(lower(regexp_replace(translate(coalesce({x}, ''), '{_FROM}', '{_TO}'), '\\s+', ' ', 'g')))"
+
+
+def parts_sql(x: str) -> str:
+    """Fragments of a quote; an empty list if they are too short."""
+    every = rf"list_transform(list_filter(string_split_regex(coalesce({x}, ''), '\s*(\.{{3}}|…)\s*'), lambda f: NOT regexp_full_match(f, '\s*')), lambda f: {matched_sql('f')})"
+    return f"list_transform([{every}], lambda q: CASE WHEN list_sum(list_transform(q, lambda f: length(f))) >= 24 AND (len(q) = 1 OR list_min(list_transform(q, lambda f: length(f))) >= 12) THEN q ELSE [] END)[1]"
+
+
+def stands_sql(form: str, parts: str) -> str:
+    """Whether the fragments stand in a text one after the other."""
+    return f"(len({parts}) > 0 AND list_reduce(list_prepend({form}, {parts}), lambda rest, p: CASE WHEN contains(rest, p) THEN substr(rest, strpos(rest, p) + length(p)) END) IS NOT NULL)"
+
+
+FINDING_SQL = f"""WITH i AS (SELECT item_id, text, {parts_sql('text')} AS q FROM benchmark),
+d AS (SELECT doc_id, text, {matched_sql('text')} AS t, doc_id % (SELECT count(*) FROM benchmark) AS k FROM documents),
+c AS (SELECT i.item_id, i.text, d.doc_id, d.text AS source, d.text IS NOT NULL AND {stands_sql('d.t', 'i.q')} AS stands, k = item_id % (SELECT count(*) FROM benchmark) AS cited FROM d, i),
+v AS (SELECT item_id, CAST(doc_id AS VARCHAR) AS accession_no, CASE WHEN item_id % 7 = 2 THEN 'malformed' WHEN item_id % 11 = 3 OR trim(coalesce(text, '')) = '' THEN 'quote_missing' WHEN source IS NULL THEN 'source_unavailable'
+  WHEN NOT stands THEN 'quote_not_found' END AS drop_reason FROM c WHERE stands OR cited)
 """
 
 
+@query("op_quote_index", sql=FINDING_SQL + "SELECT item_id, doc_id FROM c WHERE stands")
+def op_quote_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every place where a benchmark item stands."""
+    b = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", F.col("text").alias("quote"))
+    places = quotes.occurrences(b, _sections(spark, sf_dir))
+    return places.join(b, "quote").select("item_id", F.col("accession_no").cast("long").alias("doc_id"))
+
+
 @query("op_validate_findings", "op_load_findings", "op_finding_schema", "jn_section", sql=FINDING_SQL + "SELECT item_id, accession_no, drop_reason FROM v")
 def op_validate_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.validate_findings(_findings(spark, sf_dir), _sections(spark, sf_dir)).select("item_id", "accession_no", "drop_reason")
@@ -463,8 +480,17 @@ def fn_filing_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 SAID = (" Investors should buy.", " we RECOMMEND to sell it", " with a price  target of 9", " They own it.")
 
 
-@query("fn_recommendation", sql=f"""SELECT doc_id, coalesce(regexp_matches(said, '{tx.ADVICE_PATTERN}') OR regexp_matches(said, '{tx.IMPERATIVE_PATTERN}'), false) AS advises
-FROM (SELECT doc_id, CASE WHEN doc_id % 9 = 4 THEN 'Sell ' || text WHEN doc_id % 4 = 1 THEN text || {list(SAID)}[CAST(doc_id // 4 % {len(SAID)} AS INTEGER) + 1] ELSE text END AS said FROM documents)""")
+def _advice_sql() -> str:
+    """All phrases written out, sought among words that are parted by one blank (``w``)."""
+    written = lambda p: [" ".join(w) for w in product(*p)]
+    phrases = [f" {w} " for p in tx.ADVICE for w in written(p)] + [f" {w}" for p in tx.URGING for w in written(p)]
+    orders = "|".join(w for p in tx.ORDERS for w in written(p))
+    return f"len(list_filter({phrases}, lambda p: contains(w, p))) > 0 OR regexp_matches(w, '^( [^\\p{{L}}\\p{{N}}_])* ({orders}) ')"
+
+
+@query("fn_recommendation", sql=rf"""WITH s AS (SELECT doc_id, CASE WHEN doc_id % 9 = 4 THEN 'Sell ' || text WHEN doc_id % 4 = 1 THEN text || {list(SAID)}[CAST(doc_id // 4 % {len(SAID)} AS INTEGER) + 1] ELSE text END AS said FROM documents),
+n AS MATERIALIZED (SELECT doc_id, ' ' || trim(regexp_replace(regexp_replace(lower(said), '([^\p{{L}}\p{{N}}_\s])', ' \1 ', 'g'), '\s+', ' ', 'g')) || ' ' AS w FROM s)
+SELECT doc_id, coalesce({_advice_sql()}, false) AS advises FROM n""")
 def fn_recommendation(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = spark.read.parquet(f"{sf_dir}/documents.parquet")
     said = F.when(F.col("doc_id") % 9 == 4, F.concat(F.lit("Sell "), "text")).when(F.col("doc_id") % 4 == 1, F.concat("text", F.element_at(F.array(*map(F.lit, SAID)), (F.floor(F.col("doc_id") / 4) % len(SAID) + 1).cast("int"))))

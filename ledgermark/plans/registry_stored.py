@@ -21,7 +21,7 @@ from ledgermark.tables import folder, materialise
 
 from . import prepare, thesis, valuation
 from .figures import Figures, maintenance_capex
-from .registry import FORM_LINE, S, query, view
+from .registry import FORM_LINE, S, matched_sql, parts_sql, query, stands_sql, view
 
 FILERS = 97
 CLEAN = "trim(regexp_replace(lower(coalesce(text, '')), '[^a-z]+', ' '))"
@@ -262,13 +262,15 @@ def sink_recheck(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.replaced(rows, again, ["cik", "run_date"]).groupBy("cik", "run_date", "status").agg(F.count("*").alias("n"))
 
 
-@query("sink_findings", "agg_run_statistics", sql="""WITH v AS (SELECT doc_id % 50 AS run_key, CASE WHEN doc_id % 7 = 2 THEN 'malformed' WHEN doc_id % 11 = 3 OR coalesce(text, '') = '' THEN 'quote_missing' WHEN length(trim(regexp_replace(text, '\\s+', ' ', 'g'))) < 24 THEN 'quote_not_found' END AS why FROM documents WHERE text IS NULL OR NOT regexp_matches(text, '\\.\\.\\.|…')),
+@query("sink_findings", "agg_run_statistics", sql=f"""WITH d AS (SELECT doc_id, text, {matched_sql('text')} AS t, {parts_sql('text')} AS q FROM documents),
+v AS (SELECT doc_id % 50 AS run_key, CASE WHEN doc_id % 7 = 2 THEN 'malformed' WHEN doc_id % 11 = 3 OR trim(coalesce(text, '')) = '' THEN 'quote_missing' WHEN NOT {stands_sql('t', 'q')} THEN 'quote_not_found' END AS why FROM d),
 p AS (SELECT run_key, why, count(*) AS n FROM v GROUP BY ALL)
 SELECT run_key, CAST(sum(CASE WHEN why IS NULL THEN n ELSE 0 END) AS BIGINT) AS findings_kept, CAST(sum(CASE WHEN why IS NOT NULL THEN n ELSE 0 END) AS BIGINT) AS findings_dropped,
-  '{' || coalesce(string_agg('"' || why || '":' || n, ',' ORDER BY why) FILTER (WHERE why IS NOT NULL), '') || '}' AS drop_reasons FROM p GROUP BY run_key""")
+  '{{' || coalesce(string_agg('"' || why || '":' || n, ',' ORDER BY why) FILTER (WHERE why IS NOT NULL), '') || '}}' AS drop_reasons FROM p GROUP BY run_key""")
 def sink_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document's whole text quoted from itself, in fifty runs; kept and dropped findings of each run."""
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text IS NULL OR NOT text RLIKE '[.]{3}|…'")
+    """Each document's whole text quoted from itself, in fifty runs; kept and dropped findings of each run. A text with
+    ellipses is a quote of several fragments."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
     f = d.select(
         (F.col("doc_id") % 50).alias("run_key"), F.col("doc_id").cast("string").alias("accession_no"), F.lit("1A").alias("item"), F.lit("added").alias("change_type"), F.when(F.col("doc_id") % 11 == 3, "").otherwise(F.col("text")).alias("quote"),
         F.lit("worth a look").alias("implication"), F.when(F.col("doc_id") % 7 == 2, "grave").otherwise("low").alias("severity"), F.lit(None).cast("string").alias("prior_accession_no"), F.lit(None).cast("string").alias("prior_quote"),

@@ -69,10 +69,8 @@ def checked_points(points: DataFrame, sections: DataFrame) -> DataFrame:
     kept), the first that applies. Each section's text is read once, with all the quotes from it."""
     blank = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) == ""
     before = F.when(blank("claim") | blank("quote") | blank("accession_no"), "malformed").when(advises("claim"), "recommendation")
-    return with_sources(points.withColumn("__why", before), sections, "quote", "accession_no", "item", wanted=F.col("__why").isNull()).select(
-        *points.columns,
-        F.coalesce("__why", F.when(~F.col("__sourced"), "source_unavailable").when(~F.col("__found"), "quote_not_found")).alias("drop_reason"),
-    )
+    rows = with_sources(points.withColumn("__why", before), sections, F.col("__why").isNull(), ("__", "quote", "accession_no", "item"))
+    return rows.select(*points.columns, F.coalesce("__why", F.when(~F.col("__sourced"), "source_unavailable").when(~F.col("__found"), "quote_not_found")).alias("drop_reason"))
 
 
 def pass_summary(checked: DataFrame, *by: str) -> DataFrame:
