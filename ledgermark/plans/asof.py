@@ -67,12 +67,17 @@ class AsOfView:
         """Oldest first within a period."""
         return facts.orderBy("period_end", "filed_date", "accession_no")
 
+    @cached_property
+    def _dealt(self) -> DataFrame:
+        """Facts as they are dealt out for all that follows: stored by filer, or else shuffled once, raw, by filer and period end.
+        (A period has few versions, so adding them up before the shuffle would save little.)"""
+        return self._facts if self.store.by_filer else self._facts.repartition("cik", "period_end")
+
     @cached_property
     def fact_asof(self) -> DataFrame:
-        """Latest version of each fact. Facts are dealt out by filer and period end once; that serves this aggregate and every
-        later one by those two, without another shuffle or a sort."""
+        """Latest version of each fact. What is grouped by filer and period end later on needs no other shuffle."""
         latest = F.max_by(F.struct("value", "filed_date", "accession_no", "form_type"), F.struct("filed_date", "accession_no"))
-        return self._facts.repartition("cik", "period_end").groupBy(*FACT_KEY).agg(latest.alias("x")).select(*FACT_KEY, "x.*")
+        return self._dealt.groupBy(*FACT_KEY).agg(latest.alias("x")).select(*FACT_KEY, "x.*")
 
     def latest_fact(self, cik: int, tag: str, period_end: date) -> DataFrame:
         """The version of one period's fact that was the latest by then (no row if there is none)."""
@@ -166,7 +171,7 @@ class ManyDates:
     def fact_intervals(self) -> DataFrame:
         """Every version of a fact with the time in which it was the latest. Dealt out by filer and period end, as all that
         follows needs it."""
-        facts = self._last.facts().select(*FACT_KEY, "value", "filed_date", "accession_no", "form_type").repartition("cik", "period_end")
+        facts = self._last._dealt.select(*FACT_KEY, "value", "filed_date", "accession_no", "form_type")
         return intervals(facts, FACT_KEY, "filed_date", "accession_no")
 
     @cached_property

@@ -268,12 +268,12 @@ on_figures("op_value", "op_scenario_value", "op_valuation_inputs", "op_hist_inpu
     lambda f: _valued(f).select("cik", F.round("owner_earnings_margin", 8).alias("owner_earnings_margin"), F.round("net_debt", 2).alias("net_debt"), *[F.round(f"per_share_{c}", 4).alias(f"per_share_{c}") for c in GROWTH])
 )
 def _implied_sql() -> str:
-    """Two hundred halvings, each year added in turn as the plan does."""
+    """Two hundred halvings, each year added in turn."""
     return S(
         """SELECT cik, CASE WHEN v > 0 AND revenue > 0 AND margin > 0 AND lo <= v AND hi >= v THEN round((x.lo + x.hi) / 2, 6) END AS implied_growth, round(per_bear * (1 - 3e-1), 4) AS buy_below FROM halved""",
         more=_VIN + f""",
 worth AS (SELECT cik, revenue, margin, market_cap + net_debt AS v, {_dcf("-5e-1")} AS lo, {_dcf("5e-1")} AS hi, ({_dcf("0e0")} - net_debt) / shares AS per_bear FROM vin),
-halved AS (SELECT *, list_reduce(list_prepend({{'lo': -5e-1, 'hi': 5e-1}}, list_transform(range({valuation.BISECTIONS}), lambda i: {{'lo': 0e0, 'hi': 0e0}})),
+halved AS (SELECT *, list_reduce(list_prepend({{'lo': -5e-1, 'hi': 5e-1}}, list_transform(range(200), lambda i: {{'lo': 0e0, 'hi': 0e0}})),
   lambda a, b: CASE WHEN {_dcf("((a.lo + a.hi) / 2)")} > v THEN {{'lo': a.lo, 'hi': (a.lo + a.hi) / 2}} ELSE {{'lo': (a.lo + a.hi) / 2, 'hi': a.hi}} END) AS x FROM worth)""",
     )
 
@@ -560,7 +560,7 @@ def src_companyfacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return landing.company_facts(docs).select("accession_no", "cik", "tag", "unit", "period_start", "period_end", "value", "filed_date")
 
 
-@query("src_chart", "jn_split_range", sql="SELECT user_id, CAST(ts - INTERVAL 4 HOUR AS DATE) AS price_date, round_even(value * CASE WHEN 1705000000 > CAST(floor(epoch(ts)) AS BIGINT) THEN 4e0 ELSE 1e0 END, 4) AS close FROM events WHERE value IS NOT NULL")
+@query("src_chart", sql="SELECT user_id, CAST(ts - INTERVAL 4 HOUR AS DATE) AS price_date, round_even(value * CASE WHEN 1705000000 > CAST(floor(epoch(ts)) AS BIGINT) THEN 4e0 ELSE 1e0 END, 4) AS close FROM events WHERE value IS NOT NULL")
 def src_chart(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
     per = e.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct(F.unix_seconds(F.col("ts").cast("timestamp")).alias("t"), "event_id", "value"))).alias("r"))
@@ -571,6 +571,22 @@ def src_chart(spark: SparkSession, sf_dir: str) -> DataFrame:
     return landing.chart_closes(per.select("user_id", F.struct(F.array(result).alias("result"), error.alias("error")).alias("chart")))
 
 
+SPLIT_DAYS = "o_orderkey % 50 = 0"
+
+
+@query("jn_split_range", sql=f"""WITH s AS (SELECT o_custkey AS cik, CAST(o_orderdate AS DATE) AS day, CAST(2 + o_orderkey % 3 AS DOUBLE) AS ratio FROM orders WHERE {SPLIT_DAYS}),
+p AS (SELECT l_orderkey, l_linenumber, l_partkey, o_custkey AS cik, CAST(l_shipdate AS DATE) AS day, l_extendedprice AS close FROM lineitem JOIN orders ON o_orderkey = l_orderkey)
+SELECT l_orderkey, l_linenumber, l_partkey, p.day AS price_date, round_even(close * coalesce((SELECT product(ratio) FROM s WHERE s.cik = p.cik AND s.day > p.day), 1e0), 4) AS close FROM p""")
+def jn_split_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Adjusted closes and splits from tables of their own: shipments are a filer's closes, some of its orders are splits."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    splits = o.where(SPLIT_DAYS).select(F.col("o_custkey").alias("cik"), F.unix_date(F.col("o_orderdate").cast("date")).cast("long").alias("at"), (2 + F.col("o_orderkey") % 3).cast("double").alias("ratio"))
+    closes = spark.read.parquet(f"{sf_dir}/lineitem.parquet").join(o.select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("cik")), "l_orderkey")
+    closes = closes.select("l_orderkey", "l_linenumber", "l_partkey", "cik", F.col("l_shipdate").cast("date").alias("price_date"), F.col("l_extendedprice").alias("close"))
+    rows = landing.as_traded(closes.withColumn("stamp", F.unix_date("price_date").cast("long")), splits, "cik")
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", "price_date", "close")
+
+
 @query(
     "op_assumption_checks",
     sql=r"""SELECT doc_id, CASE WHEN name = 'discount_rate' THEN 'the discount rate is fixed' WHEN name = 'beta' THEN 'unknown assumption' WHEN NOT (bear <= base AND base <= bull) THEN 'cases out of order'

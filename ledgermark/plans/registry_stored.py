@@ -6,22 +6,20 @@ report or (odd numbers) a proxy statement. Their words, lower-case a-z, fill pag
 
 from __future__ import annotations
 
-import io
-import zipfile
-
-from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgermark.functions import columns as cx
 from ledgermark.operators import documents
-from ledgermark.sources import landing, sinks
-from ledgermark.sources.adapter import star_store
+from ledgermark.sources import archives, landing, sinks, store
+from ledgermark.sources.adapter import AS_OF, star_store
+from ledgermark.streaming import arrivals
 from ledgermark.tables import folder, materialise
 
 from . import prepare, thesis, valuation
+from .asof import AsOfView
 from .figures import Figures, maintenance_capex
-from .registry import FORM_LINE, S, matched_sql, parts_sql, query, stands_sql, view
+from .registry import FACT_COLUMNS, FACT_LIST, FORM_LINE, S, matched_sql, parts_sql, query, stands_sql, view
 
 FILERS = 97
 CLEAN = "trim(regexp_replace(lower(coalesce(text, '')), '[^a-z]+', ' '))"
@@ -309,29 +307,26 @@ def sink_ingest_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("src_quarters", "src_index_url", sql=S("SELECT CAST(y AS INTEGER) AS year, CAST(q AS INTEGER) AS quarter, coalesce(n.n, 0) AS rows FROM (SELECT unnest(range(1994, 2003)) AS y), (SELECT unnest(range(1, 5)) AS q) LEFT JOIN (SELECT year(filed_date) AS y1, quarter(filed_date) AS q1, count(*) AS n FROM filing WHERE form_type NOT LIKE '% %' GROUP BY ALL) n ON n.y1 = y AND n.q1 = q"))
 def src_quarters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The filings' index, laid down one file a quarter and read back; quarters without a file have no rows."""
+    """The filings' index, laid down quarter by quarter and read back; quarters without a file have no rows."""
     root = folder(spark, "index")
     f = star_store(spark, sf_dir).filing
-    landing.write_quarters(f.selectExpr("year(filed_date) AS year", "quarter(filed_date) AS quarter", f"{FORM_LINE} AS value"), root).count()
-    return landing.read_quarters(spark, root, 1994, 2002)[1].fillna(0, ["rows"])
-
+    parts = materialise(landing.write_quarters(f.selectExpr("year(filed_date) AS year", "quarter(filed_date) AS quarter", f"{FORM_LINE} AS value"), root), "parts")
+    return landing.read_quarters(spark, root, 1994, 2002, parts)[1].fillna(0, ["rows"])
 
-BULK = 400
 
-
-@query("src_bulk_zip", "src_bulk_version", sql=f"SELECT o_custkey AS cik, count(*) AS facts, '2024-03-01T06:00:00' AS version FROM orders WHERE o_custkey <= {BULK} AND o_custkey % 2 = 0 GROUP BY o_custkey")
+@query("src_bulk_zip", "src_bulk_version", sql="SELECT o_custkey AS cik, count(*) AS facts, '2024-03-01T06:00:00' AS version FROM orders WHERE o_custkey % 2 = 0 GROUP BY o_custkey")
 def src_bulk_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A bulk archive of some filers' fact documents (one fact an order), of which every second filer's is wanted."""
-    o = spark.read.parquet(f"{sf_dir}/orders.parquet").where(F.col("o_custkey") <= BULK)  # an archive is one file, made here on the driver
+    """Bulk archives of all filers' fact documents (one fact an order), of which every second filer's is wanted."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
     point = F.struct(F.lit("2023-12-31").alias("end"), F.col("o_totalprice").alias("val"), F.col("o_orderkey").cast("string").alias("accn"), F.lit("2024-02-01").alias("filed"))
-    docs = o.groupBy("o_custkey").agg(F.collect_list(point).alias("USD")).select("o_custkey", F.to_json(F.struct(F.col("o_custkey").alias("cik"), F.struct(F.struct(F.struct(F.struct("USD").alias("units")).alias("Assets")).alias("us-gaap")).getField("us-gaap").alias("x"))).alias("json"))
-    held = io.BytesIO()
-    with zipfile.ZipFile(held, "w") as z:
-        for r in docs.orderBy("o_custkey").collect():
-            z.writestr(zipfile.ZipInfo(f"CIK{r['o_custkey']:010}.json", (2024, 3, 1, 6, 0, 0)), r["json"].replace('"x":', '"facts":{"us-gaap":')[:-1] + "}}")
-    held.seek(0)
-    rows = landing.bulk_company_facts(spark, held, folder(spark, "bulk"), range(0, BULK + 100, 2))
-    return landing.company_facts(rows).groupBy("cik").agg(F.count("*").alias("facts")).withColumn("version", F.lit(landing.bulk_version(held)))
+    per = o.groupBy(F.col("o_custkey").alias("cik")).agg(F.collect_list(point).alias("points"))
+    facts = F.create_map(F.lit("us-gaap"), F.create_map(F.lit("Assets"), F.struct(F.create_map(F.lit("USD"), F.col("points")).alias("units"))))
+    docs = per.select(F.concat(F.lit("CIK"), cx.padded_cik("cik"), F.lit(".json")).alias("name"), F.to_json(F.struct("cik", facts.alias("facts"))).alias("content"))
+    made = materialise(archives.write(docs, folder(spark, "bulk"), (2024, 3, 1, 6, 0, 0)), "archives")
+    held = materialise(archives.entries(spark, [r["archive"] for r in made.where("members > 0").collect()]), "entries")  # a row for each archive
+    wanted = o.select(F.col("o_custkey").alias("cik")).where("cik % 2 = 0")
+    rows = landing.company_facts(landing.bulk_company_facts(held, wanted), expected_cik=F.col("wanted"))
+    return rows.groupBy("cik").agg(F.count("*").alias("facts")).crossJoin(F.broadcast(landing.bulk_version(held)))  # one row
 
 
 @query("op_price_class", sql=S("SELECT cik, upper(trim(replace(ticker, '.', '-'))) AS symbol, CASE WHEN ticker IS NULL THEN 'unpriceable' WHEN ticker LIKE '%-PB' OR ticker LIKE '%-WS' THEN 'not common stock' ELSE 'priceable' END AS class FROM filer"))
@@ -339,3 +334,48 @@ def op_price_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = star_store(spark, sf_dir).filer
     kind = F.when(F.col("ticker").isNull(), "unpriceable").when(cx.is_common_stock("ticker"), "priceable").otherwise("not common stock")
     return f.select("cik", cx.price_symbol("ticker").alias("symbol"), kind.alias("class"))
+
+
+# the catalog's layout, its versions, and facts that arrive
+
+
+@query("op_asof_settled", "src_sqlite", sql=S(f"SELECT {FACT_LIST} FROM fact_asof"))
+def op_asof_settled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Latest versions from facts that are stored in buckets of filers."""
+    path = folder(spark, "settled")
+    s = star_store(spark, sf_dir)
+    store.settle(spark, s, path, 16)
+    return AsOfView(store.settled(spark, s, path, 16), AS_OF).fact_asof.select(*FACT_COLUMNS)
+
+
+#: Versions that the catalog's filings might go through.
+LATER = (store.Step(2, "filing", "amends", "boolean", False), store.Step(3, "filing", "pages", "int", 1))
+
+
+@query("src_migrate", sql=S("""SELECT accession_no, CASE k % 3 WHEN 0 THEN false WHEN 1 THEN k % 2 = 0 ELSE CASE WHEN k % 4 <> 0 THEN form_type LIKE '%/A' END END AS amends, CAST(CASE WHEN k % 3 = 2 THEN k % 7 ELSE 1 END AS INTEGER) AS pages
+FROM (SELECT *, CAST(accession_no AS BIGINT) AS k FROM filing)"""))
+def src_migrate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Filings that three versions of the catalog wrote, a third each, read with the last one's columns."""
+    path = folder(spark, "catalog")
+    store.create(spark, path)
+    k = F.col("accession_no").cast("long")
+    f = star_store(spark, sf_dir).filing
+    store.append(spark, path, "filing", f.where(k % 3 == 0))
+    store.migrate(spark, path, LATER[:1])
+    store.append(spark, path, "filing", f.where(k % 3 == 1).withColumn("amends", k % 2 == 0), LATER)
+    store.migrate(spark, path, LATER)
+    store.append(spark, path, "filing", f.where(k % 3 == 2).withColumn("amends", F.when(k % 4 != 0, F.endswith("form_type", F.lit("/A")))).withColumn("pages", k % 7), LATER)
+    return store.open_store(spark, path, LATER).filing.select("accession_no", "amends", "pages")
+
+
+@query("stream_latest_facts", sql=S(f"SELECT {FACT_LIST} FROM fact_asof"))
+def stream_latest_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts that arrive in three files, the last filed first, through a stream that is started twice."""
+    root = folder(spark, "arrivals")
+    facts = star_store(spark, sf_dir).fact
+    for n, day in enumerate(("filed_date >= DATE '1999-01-01'", "filed_date < DATE '1997-01-01'", "filed_date >= DATE '1997-01-01' AND filed_date < DATE '1999-01-01'")):
+        facts.where(day).coalesce(1).write.mode("append").parquet(f"{root}/in")
+        if n:  # the second start finds the last file
+            latest = arrivals.latest_versions(arrivals.arrived(spark, f"{root}/in", 1), AS_OF)
+            arrivals.keep_latest(latest, f"{root}/out", f"{root}/state").awaitTermination()
+    return arrivals.current(spark, f"{root}/out").select(*FACT_COLUMNS)

@@ -59,12 +59,14 @@ FORMS = {"1": "10-K", "2": "10-K/A", "3": "10-Q", "4": "8-K", "5": "DEF 14A"}
 
 @dataclass(frozen=True)
 class Store:
-    """The base relations."""
+    """The base relations. ``by_filer`` says that facts are stored in buckets of filers, so that what is grouped by filer needs no
+    shuffle."""
 
     filer: DataFrame
     filing: DataFrame
     fact: DataFrame
     price: DataFrame
+    by_filer: bool = False
 
 
 def star_store(spark: SparkSession, sf_dir: str) -> Store:

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import shutil
-import zipfile
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +14,8 @@ from ledgermark.functions.columns import archive_url
 from ledgermark.plans.figures import ANNUAL_TAGS, POINT_SHARES
 from ledgermark.schemas import FACT
 
+from . import archives
+
 SUBMISSIONS = (
     "cik string, name string, entityName string, sic string, tickers array<string>, exchanges array<string>, filings struct<recent: struct<accessionNumber: array<string>, "
     "filingDate: array<string>, reportDate: array<string>, form: array<string>, primaryDocument: array<string>>>"
@@ -79,38 +80,19 @@ def company_facts(docs: DataFrame, tags: Iterable[str] = TAGS, expected_cik: Col
     ).select(*FACT.fieldNames())
 
 
-def bulk_version(path: str) -> str:
-    """Newest time stamp of a bulk archive's entries."""
-    with zipfile.ZipFile(path) as z:
-        newest = max((i.date_time for i in z.infolist()), default=None)
-    if newest is None:
-        raise ValueError(f"{path} has no entries")
-    return "{:04}-{:02}-{:02}T{:02}:{:02}:{:02}".format(*newest)
-
-
-def unpack(archive: str, folder: str, ciks: Iterable[int]) -> int:
-    """Put the wanted filers' documents of a bulk archive below the landing folder, where every executor reads them; the
-    number of documents. Filers that the archive does not hold have none."""
-    store, base = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
-    store.create_dir(base, recursive=True)
-    n = 0
-    with zipfile.ZipFile(archive) as z:
-        held = set(z.namelist())
-        for name in (f"CIK{c:010}.json" for c in sorted(set(ciks))):
-            if name in held:
-                with z.open(name) as src, store.open_output_stream(f"{base}/{name}") as out:
-                    shutil.copyfileobj(src, out)
-                n += 1
-    return n
-
-
-def bulk_company_facts(spark: SparkSession, archive: str, folder: str, ciks: Iterable[int]) -> DataFrame:
-    """Documents of the filers that a bulk archive holds, unpacked into the landing folder and read from there."""
-    if not unpack(archive, folder, ciks):
-        return spark.createDataFrame([], f"wanted long, {COMPANY_FACTS}")
-    docs = read_documents(spark, folder, COMPANY_FACTS)
-    wanted = F.regexp_extract(F.col("_metadata.file_path"), "CIK([0-9]+)[.]json", 1).cast("long")
-    return docs.select(wanted.alias("wanted"), *docs.columns)
+def bulk_version(entries: DataFrame) -> DataFrame:
+    """Newest time stamp of bulk archives' entries (null without any)."""
+    return entries.agg(F.max("modified").alias("version"))
+
+
+def bulk_company_facts(entries: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Fact documents of the ``wanted`` filers (cik) that bulk archives hold (rows of ``archives.entries``), with the filer of the
+    member's name in ``wanted``; only these members are inflated, by the executors."""
+    cik = F.regexp_extract("name", "CIK([0-9]+)[.]json$", 1).try_cast("long")
+    named = entries.withColumn("wanted", cik).join(wanted.select(F.col("cik").alias("wanted")).distinct(), "wanted", "left_semi")
+    docs = archives.members(named)
+    doc = F.from_json("content", COMPANY_FACTS, {"mode": "FAILFAST"})
+    return docs.select(cik.alias("wanted"), doc.alias("doc")).select("wanted", "doc.*")
 
 
 def index_rows(lines: DataFrame) -> DataFrame:
@@ -133,34 +115,52 @@ def index_url(year: int, quarter: int) -> str:
     return f"edgar/full-index/{year}/QTR{quarter}/form.idx"
 
 
-def read_quarters(spark: SparkSession, root: str, from_year: int, to_year: int) -> tuple[DataFrame, DataFrame]:
+def read_quarters(spark: SparkSession, root: str, from_year: int, to_year: int, parts: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Index rows of all quarters below ``root`` with year and quarter, read in one go, and of each quarter its number of
-    rows, null for a quarter that has no file. (The quarter is taken from the file's path.)"""
+    rows, null for a quarter that has no file. (The quarter is taken from the file's path.) A quarter's index is one file or
+    several parts; ``parts`` (path) names those that count, where attempts may have left others."""
     every = spark.createDataFrame([(y, q) for y in range(from_year, to_year + 1) for q in (1, 2, 3, 4)], "year int, quarter int")
     jvm = spark._jvm.org.apache.hadoop.fs.Path(root)
-    there = jvm.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{root}/edgar/full-index/*/QTR*/form.idx"))
+    there = jvm.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{root}/edgar/full-index/*/QTR*/form*.idx")) or []
     path = F.col("_metadata.file_path")
-    part = lambda name: F.regexp_extract(path, "/full-index/([0-9]{4})/QTR([1-4])/form[.]idx", name).cast("int")
-    if there is None or not len(there):
-        lines = spark.createDataFrame([], "value string, year int, quarter int")
+    part = lambda name: F.regexp_extract(path, "/full-index/([0-9]{4})/QTR([1-4])/form[^/]*[.]idx$", name).cast("int")
+    if not len(there):
+        lines = spark.createDataFrame([], "value string, year int, quarter int, file string")
     else:
-        lines = spark.read.text([f.getPath().toString() for f in there]).select("value", part(1).alias("year"), part(2).alias("quarter"))
-    rows = index_rows(lines).where(F.col("year").between(from_year, to_year))
+        lines = spark.read.text([f.getPath().toString() for f in there]).select("value", part(1).alias("year"), part(2).alias("quarter"), F.regexp_extract(path, "(edgar/full-index/.*)$", 1).alias("file"))
+    if parts is not None:
+        lines = lines.join(F.broadcast(parts.select(F.col("path").alias("file"))), "file", "left_semi")  # a path for each file
+    rows = index_rows(lines.drop("file")).where(F.col("year").between(from_year, to_year))
     return rows, every.join(rows.groupBy("year", "quarter").agg(F.count("*").alias("rows")), ["year", "quarter"], "left")
 
 
 def write_quarters(lines: DataFrame, root: str) -> DataFrame:
-    """Lay down index lines (year, quarter, value) as a landing folder has them, one file a quarter; year, quarter, path."""
+    """Lay down index lines (year, quarter, value) as a landing folder has them; year, quarter and path of every part.
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        name = index_url(int(g["year"].iloc[0]), int(g["quarter"].iloc[0]))
-        store, base = fs.FileSystem.from_uri(root if "://" in root else f"file://{root}")
-        store.create_dir(f"{base}/{name}".rsplit("/", 1)[0], recursive=True)
-        with store.open_output_stream(f"{base}/{name}") as out:
-            out.write(("\n".join(sorted(g["value"])) + "\n").encode())
-        return pd.DataFrame({"year": g["year"][:1], "quarter": g["quarter"][:1], "path": name})
+    A quarter's folder has a part for each task that holds some of its lines: tasks get ranges of the lines in order and
+    write them as they come, so no task holds a quarter, and a quarter's parts in order of their names are its index."""
 
-    return lines.groupBy("year", "quarter").applyInPandas(run, "year int, quarter int, path string")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = fs.FileSystem.from_uri(root if "://" in root else f"file://{root}")
+        part = f"form-{TaskContext.get().partitionId():06d}-{TaskContext.get().taskAttemptId()}.idx"
+        open_, out, made = None, None, []
+        for batch in batches:
+            for year, quarter, value in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (year, quarter) != open_:
+                    if out:
+                        out.close()
+                    open_ = year, quarter
+                    name = index_url(year, quarter).replace("form.idx", part)
+                    store.create_dir(f"{base}/{name}".rsplit("/", 1)[0], recursive=True)
+                    out = store.open_output_stream(f"{base}/{name}")
+                    made.append((year, quarter, name))
+                out.write(f"{value}\n".encode())
+        if out:
+            out.close()
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*made, strict=True), (pa.int32(), pa.int32(), pa.string()), strict=True)], ["year", "quarter", "path"])
+
+    dealt = lines.select("year", "quarter", "value").repartitionByRange("year", "quarter", "value").sortWithinPartitions("year", "quarter", "value")
+    return dealt.mapInArrow(run, "year int, quarter int, path string")
 
 
 def annual_filers(rows: DataFrame) -> DataFrame:
@@ -188,12 +188,27 @@ def chart_closes(docs: DataFrame) -> DataFrame:
     none = F.coalesce(F.lower(error).contains("no data found"), F.lit(False))
     rest = [c for c in docs.columns if c != "chart"]
     ok = docs.where(~none).withColumn("chart", F.when(error.isNotNull(), F.raise_error(error)).otherwise(F.col("chart")))
-    r = ok.select(*rest, F.get("chart.result", F.lit(0)).alias("r")).where("r IS NOT NULL")
-    splits = F.transform(F.coalesce(F.map_values("r.events.splits"), F.array().cast("array<struct<date:long,numerator:double,denominator:double>>")), lambda s: F.struct(s["date"].alias("at"), (s["numerator"] / s["denominator"]).alias("ratio")))
-    points = r.select(*rest, splits.alias("splits"), F.coalesce("r.meta.gmtoffset", F.lit(0)).alias("offset"), F.inline(F.arrays_zip(F.col("r.timestamp").alias("stamp"), F.get("r.indicators.quote", F.lit(0))["close"].alias("close"))))
-    points = points.where("close IS NOT NULL AND stamp IS NOT NULL")
-    factor = F.aggregate(F.filter("splits", lambda s: s["at"] > F.col("stamp")), F.lit(1.0), lambda a, s: a * s["ratio"])
-    return points.select(*rest, F.to_date(F.timestamp_seconds(F.col("stamp") + F.col("offset"))).alias("price_date"), F.bround(F.col("close") * factor, 4).alias("close"))
+    r = ok.select(*rest, F.get("chart.result", F.lit(0)).alias("r")).where("r IS NOT NULL").withColumn("__doc", F.monotonically_increasing_id())
+    splits = r.select("__doc", F.explode(F.map_values("r.events.splits")).alias("s")).select("__doc", F.col("s.date").alias("at"), (F.col("s.numerator") / F.col("s.denominator")).alias("ratio"))
+    points = r.select(*rest, "__doc", F.coalesce("r.meta.gmtoffset", F.lit(0)).alias("offset"), F.inline(F.arrays_zip(F.col("r.timestamp").alias("stamp"), F.get("r.indicators.quote", F.lit(0))["close"].alias("close"))))
+    rows = as_traded(points.where("close IS NOT NULL AND stamp IS NOT NULL"), splits, "__doc")
+    return rows.select(*rest, F.to_date(F.timestamp_seconds(F.col("stamp") + F.col("offset"))).alias("price_date"), "close")
+
+
+def as_traded(closes: DataFrame, splits: DataFrame, key: str) -> DataFrame:
+    """Adjusted ``closes`` (key, stamp, close, ...) with the adjustment for later ``splits`` (key, at, ratio) undone, rounded to four
+    digits. Closes and splits of a key meet in one order of time, in which the product of the ratios runs back from
+    the last; a split at the very time of a close is part of it. Splits without a time or ratio say nothing."""
+    rest = [c for c in closes.columns if c not in (key, "stamp", "close")]
+    kind = lambda c: closes.schema[c].dataType
+    said = splits.where("at IS NOT NULL AND ratio IS NOT NULL").select(
+        F.col(key), F.col("at").cast("long").alias("stamp"), F.lit(None).cast("double").alias("close"), F.col("ratio").cast("double").alias("__ratio"), *[F.lit(None).cast(kind(c)).alias(c) for c in rest]
+    )
+    own = closes.select(F.col(key), F.col("stamp").cast("long").alias("stamp"), F.col("close").cast("double").alias("close"), F.lit(None).cast("double").alias("__ratio"), *rest)
+    later = Window.partitionBy(key).orderBy(F.col("stamp").desc()).rangeBetween(Window.unboundedPreceding, -1)
+    both = own.withColumn("__close", F.lit(True)).unionByName(said.withColumn("__close", F.lit(False)))
+    factor = F.coalesce(F.product("__ratio").over(later), F.lit(1.0))
+    return both.withColumn("close", F.bround(F.col("close") * factor, 4)).where("__close").select(*closes.columns)
 
 
 def latest_of(df: DataFrame, key: list[str], *order: str) -> DataFrame:

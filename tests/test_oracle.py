@@ -8,7 +8,7 @@ from ledgermark import tables
 from ledgermark.plans import registry, registry_stored  # noqa: F401
 
 SF = "/root/testdata/sf0.01"
-TABLES = "customer orders events documents benchmark labels pages".split()
+TABLES = "customer orders lineitem events documents benchmark labels pages".split()
 FIRST = {}
 for _n, _f in registry.QUERIES.items():
     FIRST.setdefault(_f, _n)  # names that share a plan are run once

@@ -96,17 +96,55 @@ def test_stored_results_are_superseded(spark):
     assert {(r["cik"], r["written_at"]): r["version"] for r in sinks.append_versions(theses, more).collect()} == {(1, 4): 3, (1, 5): 4, (2, 1): 1}
 
 
-def test_bulk_archive_is_read_from_the_landing_folder(spark, tmp_path):
+def test_bulk_archive_is_inflated_by_tasks(spark, tmp_path, monkeypatch):
     import zipfile
 
-    with zipfile.ZipFile(tmp_path / "facts.zip", "w") as z:
-        for cik in (1, 2):
-            point = {"end": "2023-12-31", "val": cik, "accn": "x", "filed": "2024-02-01"}
-            z.writestr(zipfile.ZipInfo(f"CIK{cik:010}.json", (2024, 3, cik, 6, 0, 0)), json.dumps({"cik": cik, "facts": {"us-gaap": {"Assets": {"units": {"USD": [point]}}}}}))
-    rows = landing.bulk_company_facts(spark, str(tmp_path / "facts.zip"), str(tmp_path / "landing"), [2, 3])
-    assert [(r["wanted"], r["cik"]) for r in rows.collect()] == [(2, 2)] and landing.company_facts(rows).count() == 1
-    assert landing.bulk_version(str(tmp_path / "facts.zip")) == "2024-03-02T06:00:00"
-    assert landing.bulk_company_facts(spark, str(tmp_path / "facts.zip"), str(tmp_path / "none"), [9]).count() == 0
+    from ledgermark.sources import archives
+
+    def doc(cik):
+        return json.dumps({"cik": cik, "facts": {"us-gaap": {"Assets": {"units": {"USD": [{"end": "2023-12-31", "val": cik, "accn": "x", "filed": "2024-02-01"}]}}}}})
+
+    for part in (0, 1):
+        with zipfile.ZipFile(tmp_path / f"facts{part}.zip", "w") as z:
+            z.writestr("folder/", "")
+            for cik in range(1 + part, 60, 2):
+                info = zipfile.ZipInfo(f"CIK{cik:010}.json", (2024, 3, 1 + cik % 20, 6, 0, 0))
+                info.compress_type, info.extra = (zipfile.ZIP_DEFLATED if cik % 3 else zipfile.ZIP_STORED), b"\x99\x99\x02\x00ab"
+                z.writestr(info, doc(cik))
+            z.writestr(zipfile.ZipInfo("README.txt", (2024, 1, 1, 0, 0, 0)), "no filer")
+    monkeypatch.setattr(archives, "READ", 500)  # many tasks
+    found = archives.entries(spark, archives.listed(spark, str(tmp_path / "*.zip")))
+    assert found.count() == 61 and landing.bulk_version(found).first()[0] == "2024-03-20T06:00:00"
+    wanted = spark.createDataFrame([(c,) for c in (*range(0, 60, 4), 2, 2, 99)], "cik long")
+    rows = landing.bulk_company_facts(found, wanted)
+    assert sorted((r["wanted"], r["cik"]) for r in rows.collect()) == [(c, c) for c in sorted({2, *range(4, 60, 4)})]
+    assert landing.company_facts(rows, expected_cik=F.col("wanted")).count() == 15
+    assert landing.bulk_company_facts(found, wanted.limit(0)).count() == 0 and archives.entries(spark, []).count() == 0
+    every = spark.createDataFrame([(f"CIK{c:010}.json", doc(c)) for c in range(9)], "name string, content string")
+    made = [r["archive"] for r in archives.write(every.repartition(2), str(tmp_path / "own"), (2024, 1, 1, 0, 0, 0)).collect()]
+    assert sorted(r["content"] for r in archives.members(archives.entries(spark, made)).collect()) == sorted(doc(c) for c in range(9))
+    raw = bytearray((tmp_path / "facts0.zip").read_bytes())
+    raw[raw.index(b'"val": 3') + 7] = ord("4")
+    (tmp_path / "facts0.zip").write_bytes(raw)
+    with pytest.raises(Exception, match="damaged"):
+        archives.members(archives.entries(spark, [str(tmp_path / "facts0.zip")])).count()
+
+
+def test_quarters_are_written_in_parts(spark, tmp_path):
+    lines = [(2020, 1 + i % 2, f"10-K        CO {i}                          {i:010}  2020-01-{1 + i % 28:02}  edgar/data/{i}/x.txt") for i in range(1, 200)]
+    parts = landing.write_quarters(spark.createDataFrame(lines, "year int, quarter int, value string").repartition(4), str(tmp_path)).collect()
+    rows, report = landing.read_quarters(spark, str(tmp_path), 2020, 2020, spark.createDataFrame(parts))
+    assert {(r["quarter"], r["rows"]) for r in report.collect()} == {(1, 99), (2, 100), (3, None), (4, None)}
+    (tmp_path / "edgar/full-index/2020/QTR1/form-lost.idx").write_text(lines[0][2] + "\n")  # an attempt that does not count
+    assert landing.read_quarters(spark, str(tmp_path), 2020, 2020, spark.createDataFrame(parts))[0].count() == 199
+
+
+def test_splits_from_a_table_of_their_own(spark):
+    closes = spark.createDataFrame([("a", 5, 10.0, 1), ("a", 10, 10.0, 2), ("a", 11, 10.0, 3), ("a", 20, 10.0, 4), ("b", 5, 7.0, 5), (None, 5, 1.0, 6), ("a", 5, 10.0, 1)], "k string, stamp int, close double, n int")
+    splits = spark.createDataFrame([("a", 10, 4.0), ("a", 15, 2.0), ("a", 15, 3.0), ("a", None, 9.0), ("a", 16, None), ("c", 9, 5.0)], "k string, at long, ratio double")
+    got = sorted((r["n"], r["close"]) for r in landing.as_traded(closes, splits, "k").collect())
+    assert got == [(1, 240.0), (1, 240.0), (2, 60.0), (3, 60.0), (4, 10.0), (5, 7.0), (6, 1.0)]
+    assert landing.as_traded(closes, splits.limit(0), "k").count() == 7 and landing.as_traded(closes.limit(0), splits, "k").count() == 0
 
 
 def test_terminal_marks(spark):
@@ -128,6 +166,26 @@ def test_stream_appends_each_fact_once(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
 
 
+def test_stream_keeps_the_latest_version(spark, tmp_path):
+    """Restatements in any order, years late, over a restart and a fold; equal to the view of the same facts."""
+    from ledgermark.plans.asof import AsOfView
+    from ledgermark.sources.adapter import star_store
+
+    s = star_store(spark, "/root/testdata/sf0.001")
+    day = date(2000, 6, 30)
+    want = AsOfView(s, day).fact_asof.select(*arrivals.FACT_KEY, *arrivals.VERSION)
+    paths = [str(tmp_path / x) for x in ("in", "out", "state", "folded")]
+    for n, rest in enumerate((2, 0, 1)):
+        s.fact.where(f"pmod(crc32(cast(accession_no AS binary)), 3) = {rest}").coalesce(1).write.mode("append").parquet(paths[0])
+        arrivals.keep_latest(arrivals.latest_versions(arrivals.arrived(spark, paths[0], 1), day), paths[1], paths[2]).awaitTermination()
+        assert spark.read.parquet(paths[1]).select("batch").distinct().count() == n + 1
+    rows = arrivals.current(spark, paths[1])
+    assert rows.count() == want.count() and rows.exceptAll(want).count() == 0
+    arrivals.folded(spark, paths[1], paths[3])
+    folded = arrivals.current(spark, paths[3])
+    assert folded.count() == want.count() and folded.exceptAll(want).count() == 0
+
+
 def test_tickers_and_dates(spark):
     cases = {"ABC": "common", "BF-B": "common", "BF.B": "common", "SCE-PG": "preferred", "X-WS": "warrant", "X-WI": "when_issued", "X-U": "unit", "X-R": "right", "A-B-C": "unknown", "-B": "unknown", "X-77": "unknown", None: None}
     df = spark.createDataFrame([(k, v) for k, v in cases.items()], "t string, want string")
@@ -148,6 +206,14 @@ def test_valuation_recovers_growth(spark):
     df = spark.createDataFrame([(1e9, g, 0.1, dcf(1e9, g, 0.1)) for g in (-0.2, 0.0, 0.07)], "r double, g double, m double, v double")
     for row in df.select("*", valuation.scenario_value("r", "g", "m").alias("x"), valuation.implied_growth("v", "r", "m").alias("i")).collect():
         assert row["x"] == pytest.approx(row["v"], rel=1e-12) and row["i"] == pytest.approx(row["g"], abs=1e-9)
+
+
+def test_newton_reaches_growth_in_the_whole_range(spark):
+    some = [(10.0**e, g / 100, m, dcf(10.0**e, g / 100, m)) for e in (2, 9) for m in (0.01, 0.9) for g in range(-49, 50)]
+    some += [(1e9, None, 0.1, v) for v in (dcf(1e9, -0.51, 0.1), dcf(1e9, 0.51, 0.1), 0.0, -1.0, None)] + [(0.0, None, 0.1, 5.0), (1e9, None, -0.1, 5.0), (None, None, 0.1, 5.0)]
+    df = spark.createDataFrame(some, "r double, g double, m double, v double").select("*", valuation.implied_growth("v", "r", "m").alias("i"))
+    for row in df.collect():
+        assert row["i"] is None if row["g"] is None else row["i"] == pytest.approx(row["g"], abs=1e-12)
     bad = spark.createDataFrame([("revenue_growth", 0.1, 0.2, 0.3, "grew 7% in 2024"), ("revenue_growth", 0.3, 0.2, 0.1, "7%"), ("discount_rate", 0.1, 0.1, 0.1, "7%"), ("terminal_growth", 0.1, 0.1, 0.1, "a conservative estimate")], "name string, bear double, base double, bull double, justification string")
     assert [r["p"] for r in bad.select(valuation.assumption_problem().alias("p")).collect()] == [None, "cases out of order", "the discount rate is fixed", "justification cites nothing"]
 

@@ -15,7 +15,7 @@ def catalog(spark, tmp_path_factory):
     assert store.create(spark, path).fact.count() == 0
     s = healthy(spark).store()
     for name in store.RELATIONS:
-        getattr(s, name).write.mode("append").parquet(f"{path}/{name}")
+        store.append(spark, path, name, getattr(s, name))
     return path
 
 
@@ -32,6 +32,40 @@ def test_catalog_and_its_version(spark, catalog, monkeypatch):
     monkeypatch.setattr(store, "version_of", lambda *_: schemas.SCHEMA_VERSION)
 
 
+def test_rows_of_all_versions_are_read_with_defaults(spark, tmp_path):
+    path = str(tmp_path / "old")
+    store.create(spark, path)
+    s = healthy(spark).store()
+    s.filing.limit(1).write.mode("append").parquet(f"{path}/filing")  # laid down before versions had folders
+    store.append(spark, path, "filing", s.filing.limit(2))
+    steps = (store.Step(2, "filing", "amends", "boolean", False), store.Step(3, "filing", "pages", "int", 7))
+    assert store.migrate(spark, path, steps[:1]) == [2] and store.migrate(spark, path, steps[:1]) == []
+    store.append(spark, path, "filing", s.filing.limit(3).selectExpr("*", "CAST(NULL AS boolean) AS amends"), steps)
+    with pytest.raises(ValueError, match="schema version 2"):
+        store.open_store(spark, path)
+    assert store.migrate(spark, path, steps) == [3]
+    store.append(spark, path, "filing", s.filing.limit(1).selectExpr("*", "true AS amends"), steps)
+    for _ in range(2):  # twice the same
+        got = sorted(str((r["amends"], r["pages"])) for r in store.open_store(spark, path, steps).filing.collect())
+        assert got == sorted(map(str, [(False, 7)] * 3 + [(None, 7)] * 3 + [(True, 7)]))
+    assert store.open_store(spark, path, steps).fact.count() == 0
+
+
+def test_settled_facts_are_not_shuffled(spark, tmp_path):
+    from ledgermark.plans.asof import AsOfView
+    from ledgermark.sources.adapter import star_store
+
+    s = star_store(spark, "/root/testdata/sf0.001")
+    path = str(tmp_path / "facts")
+    store.settle(spark, s, path, 8)
+    view = AsOfView(store.settled(spark, s, path, 8), date(2000, 6, 30))
+    rows = view.fact_asof
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "filed_date" in plan.split("PushedFilters")[1]
+    want = AsOfView(s, date(2000, 6, 30)).fact_asof
+    assert rows.count() == want.count() and rows.exceptAll(want).count() == 0
+
+
 def test_command_line(spark, catalog, monkeypatch, capsys, tmp_path):
     monkeypatch.setattr(store, "version_of", lambda *_: schemas.SCHEMA_VERSION)
 
