@@ -2,21 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
 from functools import reduce
 
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ledgermark.functions import text as tx
 from ledgermark.tables import materialise
 
-from . import quotes
+from . import lines, quotes
 
-SECTION = "array<struct<item:string,text:string,confidence:double,ended_at:string,heading:string>>"
-NOTE = "array<struct<number:string,heading:string,text:string,char_count:int>>"
 USABLE = 0.6
 
 # What a finding may be called.
@@ -26,51 +23,38 @@ INCENTIVE_FLAGS = ("metric_mix", "metric_change", "target_change", "adjustment",
 SEVERITIES = ("high", "medium", "low")
 
 
-def _mapped(name: str, returns: str) -> Callable:
-    f = getattr(tx, name)
-
-    @F.pandas_udf(returns)
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(f, na_action=None)
-
-    return run
+@F.pandas_udf(StringType())
+def _filing_text(s: pd.Series) -> pd.Series:
+    return s.map(tx.filing_text, na_action=None)
 
 
 def filing_text(df: DataFrame, html: str = "html") -> DataFrame:
     """Adds ``text``, the lines of each page's text (null: empty)."""
     quotes.batched(df)
-    return df.withColumn("text", _mapped("filing_text", "string")(F.col(html).cast("string")))
+    return df.withColumn("text", _filing_text(F.col(html).cast("string")))
 
 
 def sections(filings: DataFrame, html: str = "html", form: str = "form_type") -> DataFrame:
-    """A row for each section of each filing; proxy statements by name, all others by item number."""
-    quotes.batched(filings)
-    proxy = F.coalesce(F.startswith(F.upper(form), F.lit("DEF 14A")), F.lit(False))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("item", pa.string()), ("text", pa.string()), ("confidence", pa.float64()), ("ended_at", pa.string()), ("heading", pa.string())]))
-        for b in batches:
-            pages, named = b.column(b.schema.get_field_index(html)).to_pylist(), b.column(b.schema.get_field_index("__proxy")).to_pylist()
-            found = pa.array([(tx.proxy_sections if p else tx.item_sections)(x) for x, p in zip(pages, named, strict=True)], kind)
-            keep = [i for i, n in enumerate(b.schema.names) if n not in (html, "__proxy")]
-            yield pa.RecordBatch.from_arrays([*[b.column(i) for i in keep], found], [*[b.schema.names[i] for i in keep], "__sections"])
-
+    """A row for each section of each filing; proxy statements by name, all others by item number. Markup is read by Python in
+    Arrow batches, all else by expressions on the lines."""
     rest = [c for c in filings.columns if c != html]
-    schema = ", ".join(f"`{c}` {filings.schema[c].dataType.simpleString()}" for c in rest) + f", __sections {SECTION}"
-    rows = filings.select(*rest, F.col(html).cast("string").alias(html), proxy.alias("__proxy")).mapInArrow(run, schema)
-    return rows.select(*rest, F.inline("__sections")).withColumnRenamed("confidence", "extraction_confidence").withColumn("char_count", F.length("text"))
+    proxy = F.coalesce(F.startswith(F.upper(form), F.lit("DEF 14A")), F.lit(False))
+    rows = filing_text(filings, html).select(*rest, proxy.alias("__proxy"), lines.lines("text").alias("__lines"))
+    found = F.when(F.col("__proxy"), lines.proxy_sections(F.col("__lines"))).otherwise(lines.item_sections(F.col("__lines")))
+    rows = rows.select(*rest, found.alias("__sections")).select(*rest, F.explode_outer("__sections").alias("__s")).where("__s IS NOT NULL").select(*rest, "__s.*")
+    return rows.withColumnRenamed("confidence", "extraction_confidence").withColumn("char_count", F.length("text"))
 
 
 def notes(df: DataFrame, text: str = "text") -> DataFrame:
     """A row for each numbered note of each row's text."""
-    quotes.batched(df)
     rest = [c for c in df.columns if c != text]
-    return df.withColumn("__notes", _mapped("split_notes", NOTE)(F.col(text).cast("string"))).select(*rest, F.inline("__notes"))
+    rows = df.select(*rest, lines.lines(text).alias("__lines"))
+    return rows.select(*rest, F.explode_outer(lines.split_notes(F.col("__lines"))).alias("__n")).select(*rest, "__n.*")
 
 
 def note_index(text: str) -> Column:
     """Number, heading and length of each note of a text."""
-    return F.transform(_mapped("split_notes", NOTE)(F.col(text)), lambda x: x.dropFields("text"))
+    return F.transform(lines.given(lines.lines(text), lines.split_notes), lambda x: x.dropFields("text"))
 
 
 def spoken(text: str | Column) -> Column:
@@ -90,15 +74,18 @@ def _phrase(words: Column, at: Column, phrase: tuple[tuple[str, ...], ...], goes
 
 def advises(text: str | Column, imperative: bool = True) -> Column:
     """Whether a text says what to do with the shares: in a phrase anywhere, or (``imperative``) by the word it begins with."""
-    words = spoken(text)
+    return F.coalesce(lines.given(spoken(text), lambda words: _advised(words, imperative)), F.lit(False))
+
+
+def _advised(words: Column, imperative: bool) -> Column:
     begins = sorted({w for p in (*tx.ADVICE, *tx.URGING) for w in p[0]})
     anywhere = lambda i: reduce(Column.__or__, [_phrase(words, i, p) for p in tx.ADVICE] + [_phrase(words, i, p, True) for p in tx.URGING])
     places = F.filter(F.transform(words, lambda w, i: F.when(w.isin(*begins), i)), lambda i: i.isNotNull())
     hit = F.exists(places, anywhere)
     if imperative:
         first = F.array_position(F.transform(words, lambda w: w.rlike(r"(?U)^\w")), True).cast("int") - 1
-        hit = hit | ((first >= 0) & reduce(Column.__or__, [_phrase(words, first, p) for p in tx.ORDERS]))
-    return F.coalesce(hit, F.lit(False))
+        hit = hit | lines.given(first, lambda at: (at >= 0) & reduce(Column.__or__, [_phrase(words, at, p) for p in tx.ORDERS]))
+    return hit
 
 
 def malformed(findings: DataFrame) -> Column:

@@ -36,7 +36,7 @@ def filed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # extraction
 
-TEN_K = ("Item 1. Business", "t", "Item 1A. Risk Factors", "risk t", "Item 1B. Unresolved Staff Comments", "None.", "Item 2. Properties", "t", "Item 7. Discussion", "we t", "Item 8. Financial Statements", "See the notes.", "Item 9. Changes", "x", "NOTES TO CONSOLIDATED FINANCIAL STATEMENTS", "Note 1. General", "t", "Note 2. Debt", "owed t")
+TEN_K = ("Item 1. Business", "t", "Item 1A. Risk Factors", "risk t", "Item 1B. Unresolved Staff Comments", "None.", "12", "Item 2. Properties", "t", "Acme Pumps | 2001 Form 10-K | 13", "Table of Contents", "Item 7. Discussion", "we t", "Item 8. Financial Statements", "See the notes.", "Item 9. Changes", "x", "$ 1,200", "340", "(7)", "14", "Table of Contents", "NOTES TO CONSOLIDATED FINANCIAL STATEMENTS", "Note 1. General", "t", "Note 2. Debt", "owed t")
 PROXY = ("Notice of Meeting", "t", "Compensation Discussion & Analysis", "pay t", "Summary Compensation Table", "t", "Pay vs. Performance", "so t", "Director Compensation", "dir t")
 
 

@@ -2,6 +2,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+import plain_sections as plain
 from ledgermark.functions import text as tx
 from ledgermark.operators import documents as d
 
@@ -51,7 +52,7 @@ def test_sections_prefer_the_body_over_the_contents():
     body = "We make things. " * 200
     risk = "Risks abound here. " * 200
     p = page("Item 1. Business", "Item 1A. Risk Factors", "Item 1B. Unresolved", "Item 1. Business", body, "Item 1A. Risk Factors", risk, "Item 1B. Unresolved", "None.", "Item 2. Properties", "x" * 200, "Item 3. Legal")
-    got = {s["item"]: s for s in tx.item_sections(p)}
+    got = {s["item"]: s for s in plain.item_sections(p)}
     assert got["1"]["text"] == body.strip() and got["1"]["confidence"] == 1.0 and got["1A"]["ended_at"] == "1B"
     assert got["1B"]["text"] == "None." and got["1B"]["confidence"] == 1.0 and got["2"]["confidence"] == 1.0 and "7" not in got
 
@@ -59,22 +60,22 @@ def test_sections_prefer_the_body_over_the_contents():
 def test_item_8_that_points_to_the_notes():
     notes = "NOTES TO CONSOLIDATED FINANCIAL STATEMENTS"
     p = page("Item 8. Financial Statements", "See Part IV.", "Item 9. Changes", "None", notes, "Note 1. General", "We consolidate." * 300)
-    (s,) = tx.item_sections(p, ("8",))
+    (s,) = plain.item_sections(p, ("8",))
     assert s["confidence"] == 0.8 and s["text"].startswith(notes)
 
 
 def test_proxy():
     p = page("Compensation Discussion and Analysis", "Summary Compensation Table", "Compensation Discussion and Analysis", "We pay for sales. " * 30, "AUDIT COMMITTEE REPORT", "y", "Director Compensation", "Directors are paid.")
-    got = {s["item"]: s for s in tx.proxy_sections(p)}
+    got = {s["item"]: s for s in plain.proxy_sections(p)}
     assert got["CDA"]["ended_at"] == "OTHER" and got["CDA"]["confidence"] == 0.9 and got["DIRECTOR_COMP"]["confidence"] == 0.6 and "SUMMARY_COMP" not in got
 
 
 def test_notes():
     text = "Intro\nNOTE 1. General\nabc\nNote 1 (Continued)\nmore\nNote 2 — Debt\nNote 1, above, says\nend"
-    assert [n["number"] for n in tx.split_notes(text)] == ["1", "2"]
+    assert [n["number"] for n in plain.split_notes(text)] == ["1", "2"]
     text = "1. Organization\nabc\n2. Revenue\nsteps\n1. Identify the contract\n2. Identify duties\n3. Leases\nend"
-    assert [n["number"] for n in tx.split_notes(text)] == ["1", "2"]
-    assert tx.split_notes("nothing here")[0]["number"] is None and tx.split_notes(None)[0]["char_count"] == 0
+    assert [n["number"] for n in plain.split_notes(text)] == ["1", "2"]
+    assert plain.split_notes("nothing here")[0]["number"] is None and plain.split_notes(None)[0]["char_count"] == 0
 
 
 def test_document_operators(spark):
