@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,8 +19,8 @@ from pyspark.sql import functions as F
 #: Words of texts, after A-Z is lower-cased (all but U+0000-2F, U+3A-60 and U+7B-7F), and the base phrases with their labels.
 WORD = r"[a-z0-9\x{80}-\x{10FFFF}]++"
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
-#: Public licence notices and passages of licence texts: label, words, key phrases that must stand at their places.
-TEMPLATES = (
+#: Public licence notices and passages of licence texts: label, words, key phrases that must stand at their places.
+NOTICES = (
     ("mit", "released under the mit license", ("mit license",)),
     ("mit", "licensed under the mit license", ("mit license",)),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction", ("permission is hereby granted free of charge", "without restriction")),
@@ -35,20 +36,49 @@ TEMPLATES = (
     ("boost", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license", ("person or organization obtaining a copy",)),
     ("gpl", "this work is licensed under the gnu general public license version 3", ("gnu general public license",)),
     ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", ("gnu general public license",)),
+    ("gpl", "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details", ("in the hope that it will be useful", "gnu general public license")),
     ("gpl", "everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed", ("verbatim copies of this license document",)),
     ("lgpl", "gnu lesser general public license", ("gnu lesser general public license",)),
     ("agpl", "gnu affero general public license", ("gnu affero general public license",)),
     ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0", ("mozilla public license",)),
     ("mpl", "if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0", ("copy of the mpl was not distributed",)),
+    ("bsd", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products", ("nor the names of its contributors",)),
+    ("zlib", "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions", ("to alter it and redistribute it freely",)),
     ("epl", "this program and the accompanying materials are made available under the terms of the eclipse public license", ("eclipse public license",)),
-    ("cc-by-nc", "licensed under cc by nc 4 0", ("cc by nc",)),
-    ("cc-by-sa", "licensed under cc by sa 4 0", ("cc by sa",)),
-    ("cc-by-nd", "licensed under cc by nd 4 0", ("cc by nd",)),
     ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license", ("creative commons attribution 4 0",)),
     ("cc0", "cc0 1 0 universal public domain dedication", ("cc0", "public domain dedication")),
     ("unlicense", "this is free and unencumbered software released into the public domain", ("released into the public domain",)),
     ("unlicense", "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means", ("compile sell or distribute this software",)),
 )
+#: Names of licences that stand for themselves, each a template and its own key phrase.
+NAMED = (
+    ("mit", "the mit license mit"), ("apache", "apache software license version 2 0"), ("apache", "apache software license version 1 1"), ("apache", "apache license 2 0"), ("bsd", "bsd 2 clause license"), ("bsd", "bsd 3 clause license"),
+    ("bsd", "3 clause bsd license"), ("bsd", "2 clause bsd license"), ("boost", "boost software license version 1 0"), ("artistic", "the artistic license 2 0"), ("artistic", "artistic license 1 0"), ("eupl", "european union public licence"), ("eupl", "european union public license"),
+    ("wtfpl", "do what the fuck you want to public license"), ("gfdl", "gnu free documentation license"), ("ofl", "sil open font license"), ("ms-pl", "microsoft public license"), ("psf", "python software foundation license"), ("mpl", "mozilla public license version 2 0"),
+    ("epl", "eclipse public license v 2 0"), ("cddl", "common development and distribution license"), ("isc", "licensed under the isc license"), ("odbl", "open database license"), ("cc0", "creative commons zero"),
+)
+#: Identifiers of licences as they stand behind "SPDX-License-Identifier", and their labels.
+IDENTIFIERS = {
+    "mit": "mit", "apache 2 0": "apache", "bsd 2 clause": "bsd", "bsd 3 clause": "bsd", "gpl 2 0": "gpl", "gpl 3 0": "gpl", "lgpl 2 1": "lgpl", "lgpl 3 0": "lgpl", "agpl 3 0": "agpl", "mpl 2 0": "mpl", "epl 2 0": "epl", "isc": "isc",
+    "bsl 1 0": "boost", "zlib": "zlib", "unlicense": "unlicense", "cc0 1 0": "cc0", "cc by 4 0": "cc-by", "cc by sa 4 0": "cc-by-sa", "artistic 2 0": "artistic", "eupl 1 2": "eupl", "wtfpl": "wtfpl", "cddl 1 0": "cddl",
+}
+#: The conditions of the Creative Commons licences in short and written out, their versions, and the versions' names.
+CONDITIONS = {"nc": "noncommercial", "sa": "sharealike", "nd": "noderivatives", "nc sa": "noncommercial sharealike", "nc nd": "noncommercial noderivatives"}
+VERSIONS = {"4 0": "international", "3 0": "unported", "2 5": "generic", "2 0": "generic"}
+
+
+def _templates() -> tuple[tuple[str, str, tuple[str, ...]], ...]:
+    """The notices, and what the names, identifiers, conditions and versions make up."""
+    own = list(NAMED)
+    own += [(label, f"spdx license identifier {x}") for x, label in IDENTIFIERS.items()]
+    for version, name in VERSIONS.items():
+        own.append(("cc-by", f"attribution {version} {name}"))
+        for short, long in CONDITIONS.items():
+            own += [(f"cc-by-{short.replace(' ', '-')}", f"{x} {version}") for x in (f"cc by {short}", f"attribution {long}")]
+    return (*NOTICES, *[(label, words, (words,)) for label, words in own])
+
+
+TEMPLATES = _templates()
 #: Words of a template that are indexed (its rarest), and the share of their places that must agree.
 INDEXED, AGREE = 6, 0.6
 #: A vote is (template, first word + SHIFT, rare, key) in one number, so that votes sort by template and place.
@@ -146,10 +176,17 @@ def scan(docs: DataFrame) -> DataFrame:
     lower = F.lower(F.replace(plain, F.lit("\u212a"), F.lit("\u00e9")))
     words = docs.select("doc_id", F.regexp_extract_all(lower, F.lit(WORD), 0).alias("words"))
     index = Index(*document_frequency(words.select("words")))
+    # indexed words by a hash: a word is compared with those few of its slot
     post = {w: [(t << (PLACE_BITS + 2)) + ((SHIFT - p) << 2) + 2 * rare + key for t, p, rare, key in ps] for w, ps in sorted(index.postings.items())}
-    lookup = F.create_map(*[x for w, codes in post.items() for x in (F.lit(w), F.array(*[F.lit(c).cast("long") for c in codes]))])
+    size = 1 << (4 * len(post)).bit_length()
+    table: list[list[Column]] = [[] for _ in range(size)]
+    for w, codes in post.items():
+        table[zlib.crc32(w.encode()) % size].append(F.struct(F.lit(w).alias("w"), F.array(*[F.lit(c).cast("long") for c in codes]).alias("codes")))
+    kind = "array<struct<w:string,codes:array<bigint>>>"
+    slots = F.array(*[F.array(*x).cast(kind) if x else F.lit(None).cast(kind) for x in table])
     hits = F.filter(F.transform("words", lambda w, i: F.struct(w.alias("w"), F.shiftleft(i.cast("long"), 2).alias("i"))), lambda h: h["w"].isin(*post))
-    votes = F.flatten(F.transform(hits, lambda h: F.transform(lookup[h["w"]], lambda code: code + h["i"])))
+    of = lambda h: F.filter(F.get(slots, (F.crc32(h["w"].cast("binary")) % size).cast("int")), lambda e: e["w"] == h["w"])
+    votes = F.flatten(F.transform(hits, lambda h: F.transform(F.get(of(h), F.lit(0))["codes"], lambda code: code + h["i"])))
     anchored = F.arrays_overlap("words", F.array(*map(F.lit, index.anchors)))
     rows = words.select("doc_id", "words", *[_places(F.col("words"), p).alias(f"p{i}") for i, p in enumerate(BASE)], F.when(anchored, F.sort_array(votes)).alias("votes"))
     rows = rows.withColumn("best", _best(F.col("votes"), index))

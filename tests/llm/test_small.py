@@ -413,6 +413,18 @@ def test_licenses_many_notices(spark):
     assert all(t[0] in got[3]["labels"].split(",") and t[0] in got[4 + i]["labels"].split(",") for i, t in enumerate(licenses.TEMPLATES))
 
 
+def test_licenses_by_name_identifier_and_condition(spark):
+    said = {
+        "Creative Commons Attribution-ShareAlike 4.0 International": "cc-by-sa", "Attribution-NonCommercial 4.0": "cc-by-nc", "Attribution 3.0 Unported": "cc-by", "// SPDX-License-Identifier: MIT": "mit",
+        "SPDX-License-Identifier: GPL-3.0-or-later": "gpl", "Apache Software License, Version 2.0": "apache", "Boost Software License, Version 1.0": "boost", "The Artistic License 2.0": "artistic",
+        "European Union Public Licence (EUPL)": "eupl", "Do What The Fuck You Want To Public License": "wtfpl", "CC BY-NC-SA 4.0": "cc-by,cc-by-nc-sa", "Licensed under CC BY-NC 4.0.": "cc-by,cc-by-nc", "CC-BY-ND 3.0": "cc-by,cc-by-nd",
+        "the attribution of 4 paintings to an unported school": "", "identifier of the license, MIT press": "", "cc by night": "cc-by", "BSD 3-Clause License": "bsd",
+    }
+    got = {r["doc_id"]: r["labels"] for r in licenses.scan(spark.createDataFrame(list(enumerate(said)), "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(said))] == list(said.values())
+    assert len({(t[0], t[1]) for t in licenses.TEMPLATES}) == len(licenses.TEMPLATES) < 200
+
+
 def test_licenses_of_a_repetitive_text(spark):
     """Work grows with the words: a hundred thousand licence words in a row take seconds, not hours."""
     began = time.time()
