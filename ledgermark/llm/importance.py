@@ -28,7 +28,7 @@ RANGES = 8
 #: Words and documents in a block, at most (a longer document is a block of its own).
 BLOCK_WORDS, BLOCK_DOCS = 1 << 17, 1 << 12
 #: Postings that a group of a range holds (about).
-GROUP = 1 << 22
+GROUP = 1 << 20
 #: Bytes of a text that are cut into words at once; runs whose bucket a worker remembers, at most.
 STRETCH, CACHE = 1 << 20, 1 << 20
 SEED, LEAST_WORDS, PERCENT = 2024, 20, 10
