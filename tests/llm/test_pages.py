@@ -1,5 +1,6 @@
 """Main text of pages that no generator wrote, of broken markup, and of very long pages."""
 
+import math
 import time
 
 import numpy as np
@@ -96,3 +97,54 @@ def test_a_deep_sidebar_stays_one():
     began = time.time()
     odd = html_blocks.leaf_blocks("<div>" * 50_000 + "</span></table>" * 50_000 + "x")  # ends of what is not open cost nothing
     assert len(odd) == 1 and time.time() - began < 30
+
+
+def loop_probabilities(net, x):
+    """The network by the book: one cell, one number at a time, in both directions."""
+    h = html_blocks.HIDDEN
+    sig = lambda z: 1 / (1 + math.exp(-max(-30, min(30, z))))
+    states = {}
+    for d in "fb":
+        wx, wh, b = (net.p[f"{k}{d}"] for k in ("wx", "wh", "b"))
+        hidden, cell, out = [0.0] * h, [0.0] * h, {}
+        for t in range(len(x)) if d == "f" else reversed(range(len(x))):
+            z = [b[j] + sum(x[t][i] * wx[i][j] for i in range(len(x[t])) if x[t][i]) + sum(hidden[i] * wh[i][j] for i in range(h)) for j in range(4 * h)]
+            cell = [sig(z[h + j]) * cell[j] + sig(z[j]) * math.tanh(z[3 * h + j]) for j in range(h)]
+            hidden = [sig(z[2 * h + j]) * math.tanh(cell[j]) for j in range(h)]
+            out[t] = hidden
+        states[d] = out
+    wo = net.p["wo"]
+    return [sig(net.p["bo"][0] + sum(wo[j] * states["f"][t][j] + wo[h + j] * states["b"][t][j] for j in range(h))) for t in range(len(x))]
+
+
+def test_labels_equal_a_network_of_loops(spark):
+    """What the query returns against the network by the book, whose input, forget and output gates come in this order."""
+    net = html_blocks.train()
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").orderBy("page_id").limit(6)
+    got = {r["page_id"]: r for r in html_blocks.extract(pages).collect()}
+    for page in pages.collect():
+        blocks = html_blocks.leaf_blocks(page["html"])
+        p = loop_probabilities(net, html_blocks.vectors(blocks).tolist())
+        x, mask = html_blocks.padded([html_blocks.vectors(blocks)])
+        assert np.allclose(net.predict(x, mask)[:, 0], p, atol=1e-4)
+        text = " ".join(b.text for b, q in zip(blocks, p, strict=True) if q >= 0.5)
+        assert got[page["page_id"]]["text"] == text and got[page["page_id"]]["n_chars"] == len(text)
+
+
+def test_gradients_are_slopes_of_the_loss():
+    """Back-propagation against small steps of each kind of weight."""
+    r = np.random.default_rng(3)
+    net = html_blocks.Labeller(5)
+    x = r.normal(0, 0.3, (4, 2, html_blocks.DIMS))
+    mask = np.array([[1, 1], [1, 1], [1, 0], [1, 0]], bool)
+    y = r.integers(0, 2, mask.shape).astype(float)
+    _, g = net.gradients(x, mask, y)
+    for name, w in net.p.items():
+        for at in (tuple(int(r.integers(n)) for n in w.shape) for _ in range(4)):
+            was = w[at]
+            w[at] = was + 1e-5
+            up, _ = net.gradients(x, mask, y)
+            w[at] = was - 1e-5
+            down, _ = net.gradients(x, mask, y)
+            w[at] = was
+            assert g[name][at] == pytest.approx((up - down) / 2e-5, rel=1e-3, abs=1e-7), name
