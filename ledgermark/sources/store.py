@@ -16,6 +16,9 @@ from pyspark.sql.types import StructType
 from ledgermark.schemas import FACT, FILER, FILING, PRICE, SCHEMA_VERSION
 from ledgermark.schemas import schema as columns
 
+from ledgermark.tables import materialise
+
+from . import sinks
 from .adapter import Store
 
 RELATIONS = {"filer": FILER, "filing": FILING, "fact": FACT, "price": PRICE}
@@ -94,17 +97,65 @@ def _read(spark: SparkSession, path: str, name: str, schema: StructType, steps:
     """Rows of all versions. Files that lie beside the versions' folders are the first version's."""
     added = [s for s in steps if s.relation == name]
     wide = StructType([*schema.fields, *[columns(f"{s.column} {s.kind}")[0] for s in added], columns(f"{WRITTEN} int")[0]])
-    out = spark.read.schema(schema).option("recursiveFileLookup", False).parquet(f"{path}/{name}/*.parquet") if _there(spark, f"{path}/{name}/*.parquet") else spark.createDataFrame([], schema)
+    first, later = _there(spark, f"{path}/{name}/*.parquet"), _there(spark, f"{path}/{name}/{WRITTEN}=*")
+    if not first and not later:
+        raise ValueError(f"{path} has no {name}")
+    out = spark.read.schema(schema).parquet(f"{path}/{name}/*.parquet") if first else spark.createDataFrame([], schema)
     out = out.select("*", *[F.lit(s.default).cast(s.kind).alias(s.column) for s in added])
-    if _there(spark, f"{path}/{name}/{WRITTEN}=*"):
+    if later:
         # a null in a row that was written with the column is a null; only rows from before it have the default
         rows = spark.read.schema(wide).option("basePath", f"{path}/{name}").parquet(f"{path}/{name}/{WRITTEN}=*")
         for s in added:
             rows = rows.withColumn(s.column, F.when(F.col(WRITTEN) < s.version, F.lit(s.default).cast(s.kind)).otherwise(F.col(s.column)))
-        out = out.unionByName(rows.drop(WRITTEN))
+        rows = rows.drop(WRITTEN)
+        out = out.unionByName(rows) if first else rows
     return out
 
 
+def _fs(spark: SparkSession, path: str):
+    jvm = spark._jvm.org.apache.hadoop.fs.Path
+    return jvm, jvm(path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def rewrite(spark: SparkSession, path: str, name: str, rows: DataFrame) -> None:
+    """Put ``rows`` in a relation's place. They may come from the relation itself: they are written beside it first, and the old
+    folder goes only when they are whole. (``recover`` ends what a driver that died left between the two.)"""
+    version = version_of(spark, path)
+    rows.write.mode("overwrite").parquet(f"{path}/{name}.next/{WRITTEN}={version}")
+    jvm, fs = _fs(spark, path)
+    fs.delete(jvm(f"{path}/{name}"), True)
+    fs.rename(jvm(f"{path}/{name}.next"), jvm(f"{path}/{name}"))
+
+
+def recover(spark: SparkSession, path: str) -> list[str]:
+    """Relations that a broken rewrite had taken away and that now have their new rows; unfinished ones are dropped."""
+    jvm, fs = _fs(spark, path)
+    done = []
+    for name in RELATIONS:
+        following = jvm(f"{path}/{name}.next")
+        if fs.exists(following):
+            if fs.exists(jvm(f"{path}/{name}")):
+                fs.delete(following, True)
+            else:
+                fs.rename(following, jvm(f"{path}/{name}"))
+                done.append(name)
+    return done
+
+
+def ingest(spark: SparkSession, path: str, filers: DataFrame, filings: DataFrame, facts: DataFrame) -> dict[str, int]:
+    """Merge filers, filings and facts into a catalog: new facts are appended, filers and filings rewritten; rows of each after it.
+    The same rows once more change nothing. Facts come last, so that an ingest which breaks off is made good by the next."""
+    held = open_store(spark, path)
+    filer, filing, new = sinks.ingest(held.filer, held.filing, held.fact, filers, filings, facts)
+    new = materialise(new, "new-facts")  # read before anything is written
+    rewrite(spark, path, "filer", materialise(filer.select(*FILER.fieldNames()), "filers"))
+    rewrite(spark, path, "filing", materialise(filing.select(*FILING.fieldNames()), "filings"))
+    if not new.isEmpty():
+        append(spark, path, "fact", new)
+    now = open_store(spark, path)
+    return {"filer": now.filer.count(), "filing": now.filing.count(), "fact": now.fact.count(), "new_facts": new.count()}
+
+
 def settle(spark: SparkSession, store: Store, path: str, buckets: int = BUCKETS) -> None:
     """Lay out a store's facts below ``path`` in buckets of filers, sorted by filer and filing day. Rows are dealt out by filer
     first, so that each bucket is one file."""

@@ -82,8 +82,62 @@ def test_command_line(spark, catalog, monkeypatch, capsys, tmp_path):
     assert c["trend"] in ("new", "persistent", "recent", "returning")
     assert main(["filings", catalog, "--as-of", "2024-01-01", "--out", str(tmp_path / "f")], spark) == 0
     assert spark.read.parquet(str(tmp_path / "f")).where(f"filed_date > DATE '{date(2024, 1, 1)}'").count() == 0
-    with pytest.raises(SystemExit):
-        main(["screen", catalog], spark)
+    with pytest.raises(SystemExit) as e:
+        main(["recheck", catalog], spark)
+    assert e.value.code == 2
+    (v,) = run("value", catalog, "--growth", "0", "0.02", "0.05")
+    assert v["per_share_bear"] < v["per_share_base"] < v["per_share_bull"]
+    assert main(["value", catalog, "--as-of", str(AS_OF), "--cik", "9"], spark) == 1
+    assert main(["universe", str(tmp_path / "nothing")], spark) == 1 and "universe:" in capsys.readouterr().err
+
+
+def test_recheck_and_extract_verbs(spark, catalog, monkeypatch, capsys, tmp_path):
+    monkeypatch.setattr(store, "version_of", lambda *_: schemas.SCHEMA_VERSION)
+    told = [{"cik": 1, "metric": "operating margin", "direction": "below", "threshold": t, "window": "1 year"} for t in (0.01, 0.99)]
+    for name, rows, code in (("fine", told[:1], 0), ("bad", told, 2)):
+        (tmp_path / f"{name}.jsonl").write_text("\n".join(map(json.dumps, rows)))
+        assert main(["recheck", catalog, "--as-of", str(AS_OF), "--input", str(tmp_path / f"{name}.jsonl")], spark) == code
+        assert json.loads(capsys.readouterr().out)["status"] == ("breached" if code else "holding")
+    known = store.open_store(spark, catalog).filing.first()["accession_no"]
+    pages = [(known, "10-K", "<p>Item 1. Business</p><p>We make pumps.</p><p>Item 2. Properties</p><p>One.</p>"), ("later", "10-K", "<p>Item 1. Business</p><p>No.</p>")]
+    spark.createDataFrame(pages, "accession_no string, form_type string, html string").write.parquet(str(tmp_path / "pages"))
+    assert main(["extract", catalog, "--as-of", str(AS_OF), "--input", str(tmp_path / "pages")], spark) == 0
+    got = [json.loads(x) for x in capsys.readouterr().out.splitlines()]
+    assert {(g["accession_no"], g["item"], g["text"]) for g in got} == {(known, "1", "We make pumps."), (known, "2", "One.")}
+
+
+def test_ingest_twice_leaves_the_same_catalog(spark, capsys, tmp_path):
+    import zipfile
+
+    path, root = str(tmp_path / "store"), tmp_path / "landing"
+    store.create(spark, path)
+
+    def facts(cik, val):
+        return json.dumps({"cik": cik, "entityName": "x", "facts": {"us-gaap": {"Assets": {"units": {"USD": [{"end": "2023-12-31", "val": val, "accn": f"a{cik}", "fy": 2023, "fp": "FY", "form": "10-K", "filed": "2024-02-01"}]}}}}})
+
+    for name in ("submissions", "companyfacts", "bulk"):
+        (root / name).mkdir(parents=True)
+    for cik in (1, 2, 3):
+        recent = {"accessionNumber": [f"a{cik}"] if cik < 3 else [], "filingDate": ["2024-02-01"], "reportDate": ["2023-12-31"], "form": ["10-K"], "primaryDocument": ["d.htm"]}
+        (root / "submissions" / f"{cik}.json").write_text(json.dumps({"cik": str(cik), "name": f"Filer {cik}", "tickers": [f"T{cik}"], "exchanges": ["X"], "filings": {"recent": recent}}))
+    (root / "companyfacts" / "1.json").write_text(facts(1, 5.0))
+    with zipfile.ZipFile(root / "bulk" / "facts.zip", "w") as z:
+        for cik in (2, 3, 4):
+            z.writestr(f"CIK{cik:010}.json", facts(cik, 7.0))
+    seen = []
+    for _ in range(2):
+        assert main(["ingest", path, "--input", str(root)], spark) == 0
+        counts = json.loads(capsys.readouterr().out)
+        s = store.open_store(spark, path)
+        seen.append(sorted(str(tuple(r)) for name in store.RELATIONS for r in getattr(s, name).collect()))
+        assert (counts["filer"], counts["filing"], counts["fact"]) == (3, 3, 3)
+    assert seen[0] == seen[1] and counts["new_facts"] == 0
+    (root / "companyfacts" / "1.json").write_text(facts(1, 6.0).replace('"a1"', '"b1"'))  # a restatement by a filing that no list has
+    assert main(["ingest", path, "--input", str(root)], spark) == 0 and json.loads(capsys.readouterr().out)["filing"] == 4
+    # a rewrite that broke off after the old folder went
+    (tmp_path / "store" / "filer").rename(tmp_path / "store" / "filer.next")
+    assert store.recover(spark, path) == ["filer"] and store.open_store(spark, path).filer.count() == 3 and store.recover(spark, path) == []
+    assert main(["ingest", path, "--input", str(tmp_path / "none")], spark) == 1
 
 
 def test_a_cluster_needs_its_shared_folder(monkeypatch):
