@@ -64,10 +64,12 @@ def asked(quotes: DataFrame, sections: DataFrame) -> DataFrame:
     and found, a row for each quote whose section is there. ``sections`` (accession_no, item, text) holds one text for each;
     null ones are not there. A section's text is shuffled once, whatever the number of its quotes."""
     batched(quotes)
-    held = sections.where("text IS NOT NULL").select("accession_no", "item", matched_form("text").alias("form"))
+    key = ["accession_no", "item"]
+    # sections of which nothing is asked go before their form is worked out; the others lie where the join wants them
+    held = sections.where("text IS NOT NULL").select(*key, "text").join(quotes.select(*key).distinct(), key, "left_semi").select(*key, matched_form("text").alias("form"))
     # a quote is parted once, however often it is asked for
     known = quotes.select("quote").distinct().withColumn("parts", fragments("quote"))
-    return held.join(quotes.join(known, "quote"), ["accession_no", "item"]).select("accession_no", "item", "quote", stands("parts", "form").alias("found"))
+    return held.join(quotes.join(known, "quote"), key).select("accession_no", "item", "quote", stands("parts", "form").alias("found"))
 
 
 def _runs(words: str, k: int) -> Column:
