@@ -72,11 +72,12 @@ def asked(quotes: DataFrame, sections: DataFrame) -> DataFrame:
     return held.join(quotes.join(known, "quote"), key).select("accession_no", "item", "quote", stands("parts", "form").alias("found"))
 
 
-def _runs(words: str, k: int) -> Column:
-    """Hashes of all runs of ``k`` words (0: of ``LETTERS`` characters of the text)."""
+def _runs(hashes: str, k: int) -> Column:
+    """Hashes of all runs of ``k`` words, made of the words' hashes (0: of ``LETTERS`` characters of the text)."""
     if not k:
         return F.expr(f"transform(sequence(1, greatest(1, length(form) - {LETTERS - 1})), i -> xxhash64(0, substr(form, i, {LETTERS})))")
-    return F.expr(f"CASE WHEN size({words}) >= {k} THEN transform(sequence(1, size({words}) - {k - 1}), i -> xxhash64({k}, array_join(slice({words}, i, {k}), ' '))) ELSE array() END")
+    own = ", ".join(f"get({hashes}, i + {j})" for j in range(k))
+    return F.expr(f"CASE WHEN size({hashes}) >= {k} THEN transform(sequence(0, size({hashes}) - {k}), i -> xxhash64({k}, {own})) ELSE array() END")
 
 
 def anchored(quotes: DataFrame) -> DataFrame:
@@ -87,8 +88,10 @@ def anchored(quotes: DataFrame) -> DataFrame:
     inner = F.size("words") - 2  # the first and the last word may be parts of words
     k = F.coalesce(*[F.when(inner >= n, n) for n in WORDS], F.lit(0))
     word = F.expr("array_max(transform(words, w -> named_struct('n', length(w), 'w', w)))")["w"]
-    run = F.when(F.col("k") > 0, F.array_join(F.slice("words", F.lit(2), F.greatest(F.col("k"), F.lit(1))), " ")).otherwise(F.substring(word, 1, LETTERS))
-    return rows.withColumn("k", k).withColumn("anchor", F.xxhash64("k", run)).select("quote", "parts", "k", "anchor")
+    anchor = F.xxhash64(F.lit(0), F.substring(word, 1, LETTERS))
+    for n in WORDS:
+        anchor = F.when(F.col("k") == n, F.xxhash64(F.lit(n), *[F.xxhash64(F.get("words", F.lit(j))) for j in range(1, n + 1)])).otherwise(anchor)
+    return rows.withColumn("k", k).withColumn("anchor", anchor).select("quote", "parts", "k", "anchor")
 
 
 def candidates(quotes: DataFrame, sections: DataFrame) -> DataFrame:
@@ -99,8 +102,8 @@ def candidates(quotes: DataFrame, sections: DataFrame) -> DataFrame:
     kinds = [r["k"] for r in index.select("k").distinct().collect()]  # of four
     if not kinds:
         return sections.select(F.lit(None).cast("string").alias("quote"), "accession_no", "item").limit(0)
-    rows = sections.where("text IS NOT NULL").select("accession_no", "item", matched_form("text").alias("form")).withColumn("words", F.split("form", " "))
-    runs = F.array_distinct(F.concat(*[_runs("words", k) for k in sorted(kinds)]))
+    rows = sections.where("text IS NOT NULL").select("accession_no", "item", matched_form("text").alias("form")).withColumn("hashes", F.transform(F.split("form", " "), lambda w: F.xxhash64(w)))
+    runs = F.array_distinct(F.concat(*[_runs("hashes", k) for k in sorted(kinds)]))
     postings = rows.select("accession_no", "item", F.explode_outer(runs).alias("anchor"))  # numbers only: texts stay behind
     if index.count() <= FEW:
         index = F.broadcast(index)
