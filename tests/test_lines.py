@@ -61,3 +61,10 @@ def test_one_item_only(spark, monkeypatch):
     for r in rows.collect():
         assert sorted(s["item"] for s in r["s"]) == sorted(s["item"] for s in plain.item_sections(some[r["k"]], ("1a", "2")))
     assert tx.ITEMS[0] == "1"
+
+
+def test_confidence_is_not_rounded(spark):
+    """A section of 1,199 characters, where 2,000 are plausible, is just below the usable bound."""
+    page = "\n".join(["Item 1. Business", "x" * 1199, "Item 1A. Risk Factors", "y", "Item 2. Properties", "z"])
+    s = spark.createDataFrame([(page,)], "text string").select(F.inline(lines.item_sections(lines.lines("text")))).where("item = '1'").first()
+    assert s["confidence"] == 1199 / 2000
