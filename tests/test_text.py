@@ -96,3 +96,7 @@ def test_findings(spark):
     assert got == {1: None, 2: "quote_missing", 3: "source_unavailable", 4: "quote_not_found", 5: "prior_source_unavailable", 6: "malformed", 7: "malformed"}
     rate = d.drop_rate(d.validate_findings(df, src)).first()
     assert (rate["kept"], rate["dropped"]) == (1, 6)
+
+
+def test_references_without_a_semicolon_stay():
+    assert tx.filing_text("<p>a &amp;&amp;&amp</p><p>&copyx; &#233;&quot;&nosuch; &amp;quot;</p>") == 'a &&&amp\n&copyx; é"&nosuch; &quot;'
