@@ -274,3 +274,16 @@ def test_replacing_partitions(spark, tmp_path):
     sinks.write(rows(date(2024, 2, 1), 2), p, "replace", ["as_of"])
     sinks.write(rows(date(2024, 1, 1), 1), p, "replace", ["as_of"])
     assert spark.read.parquet(p).count() == 3
+
+
+@pytest.mark.parametrize("name", ["sink_insert_facts", "sink_ingest", "op_inputs"])
+def test_facts_are_not_broadcast(spark, name):
+    """The estimate of exploded facts is that of the few rows they come from."""
+    from ledgermark.plans import registry, registry_stored  # noqa: F401
+
+    plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    joins = [x for x in plan.splitlines() if "Join" in x]
+    if name == "op_inputs":
+        assert any("ShuffledHashJoin" in x and "period_end" in x for x in joins) and not any("BroadcastHashJoin" in x and "period_end" in x for x in joins)
+    else:
+        assert any("SortMergeJoin" in x and "LeftAnti" in x for x in joins) and not any("BroadcastHashJoin" in x and "LeftAnti" in x for x in joins)
