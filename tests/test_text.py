@@ -100,3 +100,9 @@ def test_findings(spark):
 
 def test_references_without_a_semicolon_stay():
     assert tx.filing_text("<p>a &amp;&amp;&amp</p><p>&copyx; &#233;&quot;&nosuch; &amp;quot;</p>") == 'a &&&amp\n&copyx; é"&nosuch; &quot;'
+
+
+def test_a_sharp_s_is_one_letter():
+    q = "Die Straße ist sehr lan"  # 23 letters
+    assert len(tx.for_match(q)) == 23 and tx.fragments(q) == [] and tx.fragments(q + "g") == [(q + "g").lower()]
+    assert not tx.quote_appears_in(q + "g und breit", (q + "g und breit").upper())
