@@ -38,6 +38,16 @@ def test_findings_cite_every_document_and_quote_whole_items(spark, tables):
     assert counts == {w: list(got.values()).count(w) for w in set(got.values()) - {None}}
 
 
+def test_findings_cite_sums_short_items_and_beginnings(spark, tables):
+    sf, docs, items = tables
+    got = {(r["item_id"], int(r["accession_no"])) for r in registry.QUERIES["op_validate_findings"](spark, sf).collect()}
+    words = {i: tx.for_match(q or "").split(" ") for i, q in items.items()}
+    begun = lambda i, a: f" {' '.join(words[i][1:6])} " in f" {tx.for_match(docs[a] or '')} "
+    quoting = {(i, a) for i, q in items.items() for a, t in docs.items() if tx.quote_appears_in(q, t)}
+    want = {(i, a) for i in items for a in docs if (i + a) % 40 == 0 or len(words[i]) <= 6 or a % 15 == i or begun(i, a)} | quoting
+    assert got == want and {(12, a) for a in docs} <= got
+
+
 def test_all_labels_have_a_place(spark, tables):
     got = [(r["place"], r["severity"], r["doc_id"]) for r in registry.QUERIES["srt_severity"](spark, tables[0]).collect()]
     level = lambda i: 2 - i % 2 - i // 2 % 2
