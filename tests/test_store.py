@@ -153,3 +153,12 @@ def test_a_cluster_needs_its_shared_folder(monkeypatch):
     for master in ("yarn", "spark://host:7077", "local-cluster[2,1,1024]"):
         with pytest.raises(ValueError, match="shared folder"):
             tables.shared_root(session(master))
+
+
+def test_facts_of_the_test_tables_are_dealt_out_as_filings(spark):
+    """A row for each filing is shuffled; by filer and period nothing is shuffled again, and settling puts a bucket in a file."""
+    from ledgermark.sources.adapter import star_store
+
+    s = star_store(spark, "/root/testdata/sf0.001")
+    plan = s.fact.groupBy("cik", "tag", "period_end").count()._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and plan.index("Generate explode") < plan.index("Exchange ")
