@@ -158,9 +158,12 @@ def ingest(spark: SparkSession, path: str, filers: DataFrame, filings: DataFrame
 
 def settle(spark: SparkSession, store: Store, path: str, buckets: int = BUCKETS) -> None:
     """Lay out a store's facts below ``path`` in buckets of filers, sorted by filer and filing day. Rows are dealt out by filer
-    first, so that each bucket is one file."""
+    first, so that each bucket is one file; facts that are dealt out by filer already are written from where they lie (one file
+    for each bucket, if there are as many parts)."""
     table = f"settled_{uuid.uuid4().hex}"
-    facts = store.fact.select(*FACT.fieldNames()).repartition(buckets, "cik")
+    facts = store.fact.select(*FACT.fieldNames())
+    if not store.by_filer:
+        facts = facts.repartition(buckets, "cik")
     facts.write.bucketBy(buckets, "cik").sortBy("cik", "filed_date").option("path", path).saveAsTable(table)
     spark.sql(f"DROP TABLE {table}")  # the table's files stay: its place is its own
 
