@@ -27,6 +27,8 @@ BUCKETS, ORDERS = 10_000, 1
 RANGES = 8
 #: Words and documents in a block, at most (a longer document is a block of its own).
 BLOCK_WORDS, BLOCK_DOCS = 1 << 17, 1 << 12
+#: Postings in a row, at most: Parquet readers hold thousands of rows at once, whatever is in them.
+ROW = 1 << 8
 #: Postings that a group of a range holds (about).
 GROUP = 1 << 20
 #: Bytes of a text that are cut into words at once; runs whose bucket a worker remembers, at most.
@@ -75,7 +77,7 @@ class Buckets:
 
 def postings(docs: DataFrame, buckets: int = BUCKETS, orders: int = ORDERS, ranges: int = RANGES) -> DataFrame:
     """Blocks of postings of ``docs`` (doc_id, text), three kinds of rows: ``part`` is the range that ``bucket`` is in, with
-    documents as places in the block, in order; or -1 for a block's documents, with their ids and numbers of words; or -2 for
+    documents as places in the block, in order, in rows of ``ROW`` postings; or -1 for a block's documents, with their ids and numbers of words; or -2 for
     a task's counts by bucket. (Written as a table: blocks are numbered by the task that read them.)"""
     bound_batches(docs.sparkSession)
     names = [c.split()[0] for c in POSTINGS.split(", ")]
@@ -101,8 +103,9 @@ def postings(docs: DataFrame, buckets: int = BUCKETS, orders: int = ORDERS, rang
             own = key.astype(np.int64) * ranges // buckets
             rows: list[tuple] = [(part + n, -1, words[:], ids[:], None, None, None)]
             for p in np.unique(own).tolist():
-                at = own == p
-                rows.append((part + n, p, None, None, doc[at], key[at], count[at]))
+                at = np.flatnonzero(own == p)
+                for x in np.split(at, range(ROW, len(at), ROW)):
+                    rows.append((part + n, p, None, None, doc[x], key[x], count[x]))
             for c in (ids, words, keys, counts):
                 c.clear()
             n, held = n + 1, 0
@@ -167,13 +170,12 @@ def weights(docs: DataFrame, target: DataFrame, buckets: int = BUCKETS, orders:
             for bucket, s, t in zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in ("bucket", "s", "t")), strict=True):
                 gain[np.array(bucket)] = gains(np.array(s), np.array(t), all_s, all_t, buckets)
         for b in left:
-            blocks = b.column(b.schema.get_field_index("block")).to_pylist()
-            column = [b.column(b.schema.get_field_index(c)) for c in ("doc", "bucket", "count")]
-            for i, block in enumerate(blocks):
-                doc, bucket, count = (c[i].values.to_numpy() for c in column)
-                first = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))  # a document's postings follow each other
-                sums = np.add.reduceat(gain[bucket] * count, first)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(first), block)), pa.array(doc[first]), pa.array(sums)], ["block", "doc", "gain"])
+            block, lists = b.column(b.schema.get_field_index("block")).to_numpy(), [b.column(b.schema.get_field_index(c)) for c in ("doc", "bucket", "count")]
+            block = np.repeat(block, lists[0].value_lengths().to_numpy())
+            doc, bucket, count = (c.flatten().to_numpy() for c in lists)
+            first = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (block[1:] != block[:-1])))  # a document's postings follow each other
+            sums = np.add.reduceat(gain[bucket] * count, first)
+            yield pa.RecordBatch.from_arrays([pa.array(block[first]), pa.array(doc[first]), pa.array(sums)], ["block", "doc", "gain"])
 
     def whole(left: pa.Table, right: pa.Table) -> pa.Table:
         got = list(contribute(iter(left.to_batches()), iter(right.to_batches())))

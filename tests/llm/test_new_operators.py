@@ -216,3 +216,15 @@ def test_resampling_without_documents_or_target(spark, corpus):
     docs, none = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([], "text string")
     assert importance.resample(docs.limit(0), none).count() == 0
     assert sorted(map(repr, map(tuple, importance.resample(docs, none).collect()))) == sorted(map(repr, brute(rows, [])))
+
+
+def test_rows_of_postings_are_bounded(spark):
+    """A reader holds thousands of rows at once, so none may hold a block's postings of a range."""
+    text = " ".join(f"w{i}" for i in range(30_000))
+    docs = spark.createDataFrame([(i, text) for i in range(3)], "doc_id long, text string")
+    own = importance.postings(docs).where("part >= 0")
+    assert own.agg(F.max(F.size("bucket"))).first()[0] <= 256
+    assert own.agg(F.sum(F.size("bucket"))).first()[0] == 3 * len({zlib.crc32(w.encode()) % 10_000 for w in text.split()})
+    goal = spark.createDataFrame([("w1 w2 w3",)], "text string")
+    got = [tuple(r) for r in importance.resample(docs, goal).orderBy("doc_id").collect()]
+    assert got == sorted(brute([(i, text) for i in range(3)], ["w1 w2 w3"]))
