@@ -31,3 +31,7 @@ def test_facts_are_no_arrays_to_explode_and_share_counts_read_them_once(spark):
     view = registry.view(spark, SF)
     assert scans(view.fact_asof, "Generate explode") == 0
     assert scans(Figures(view).shares_latest, "o_totalprice") <= scans(view.fact_asof, "o_totalprice")
+
+
+def test_a_valuation_reads_written_figures(spark):
+    assert scans(registry.QUERIES["op_value"](spark, SF), "o_orderkey") == 0
