@@ -1,9 +1,12 @@
 """Queries over whole documents and labels, against brute force on a small fixture."""
 
+from datetime import datetime
+
+import duckdb
 import pytest
 
 from ledgermark.functions import text as tx
-from ledgermark.plans import registry
+from ledgermark.plans import registry, registry_stored  # noqa: F401
 
 PASSAGES = {i: f"Item {i} tells of margins which fell in the {i} segments of the north, and only later, at the very end, of the {i} debts." for i in range(12)}
 
@@ -66,3 +69,20 @@ def test_prior_sections_hand_over_texts(spark):
     chars = {f"{r['doc_id']:010}": len(r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     assert rows and all(r[f"{w}_chars"] == chars[r[w]] for r in rows for w in ("current", "prior") if r[w])
     assert all(r["refused"] == any(int(r[w]) % 5 == 0 for w in ("current", "prior") if r[w]) for r in rows) and {r["refused"] for r in rows} == {True, False}
+
+
+def test_sections_of_every_document_of_either_form(spark, tmp_path):
+    sf = str(tmp_path)
+    docs = [(0, "alpha beta"), (1, "gamma"), (2, None), (3, "Delta 7"), (900, "one more text"), (901, "and another")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{sf}/documents.parquet")
+    spark.createDataFrame([(i, 5, datetime(1999, 1, 4)) for i in range(4)], "o_orderkey long, o_custkey long, o_orderdate timestamp").write.parquet(f"{sf}/orders.parquet")
+    got = {}
+    for r in registry.QUERIES["op_extract_filing"](spark, sf).collect():
+        got.setdefault(int(r["accession_no"]), set()).add(r["item"])
+    items, names = {"1", "1A", "1B", "2", "7", "8"}, {"CDA", "SUMMARY_COMP", "PAY_VS_PERFORMANCE", "DIRECTOR_COMP"}
+    assert got == {0: items, 1: names, 2: items - {"1", "2"}, 3: names, 900: items, 901: names}
+    c = duckdb.connect()
+    for t in ("documents", "orders"):
+        c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet/*.parquet'")
+    want = c.sql(registry.ORACLE_SQL["op_extract_filing"]).fetchall()
+    assert sorted((r["accession_no"], r["item"], r["digest"]) for r in registry.QUERIES["op_extract_filing"](spark, sf).collect()) == sorted((a, i, d) for a, i, _, d, _, _ in want)
