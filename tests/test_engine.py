@@ -101,3 +101,17 @@ def test_candidates_with_history(spark):
 def test_empty_store(spark):
     v = AsOfView(Builder(spark).store(), AS_OF)
     assert candidates(v, compare_months=(12,)).count() == 0 and {r["n"] for r in v.fingerprint().collect()} == {0}
+
+
+def test_newest_years_are_seven_where_quality_at_a_price_flags(spark):
+    from ledgermark.plans import registry
+
+    b = Builder(spark)
+    for cik, ebit in ((1, 3.0e8), (2, 1.0e7)):
+        b.filer(cik, ticker=f"T{cik}").history(cik, range(2016, 2025), **{**HEALTHY, "OperatingIncomeLoss": ebit})
+        b.shares(cik, 1e8, date(2025, 4, 30), date(2025, 5, 1)).price(cik, date(2025, 6, 27), 20.0)
+    s = Screens(Figures(AsOfView(b.store(), AS_OF)))
+    assert {r["cik"]: r["flagged"] for r in s.quality_at_price.collect()} == {1: True, 2: False}
+    years = lambda df: {(r["cik"], r["period_end"].year) for r in df.collect() if r["tag"] == "Assets"}
+    assert years(registry.srt_newest_n_fy(s)) == {(1, y) for y in range(2018, 2025)} | {(2, y) for y in range(2022, 2025)}
+    assert years(registry.op_inputs(s)) == {(c, y) for c in (1, 2) for y in range(2022, 2025)}
