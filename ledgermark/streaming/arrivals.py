@@ -61,3 +61,19 @@ def folded(spark: SparkSession, folder: str, into: str) -> None:
     """Put the changes of all batches together in ``into``, a row for each fact, as one batch for later ones to go on."""
     last = spark.read.parquet(folder).agg(F.max("batch")).first()[0]
     current(spark, folder).write.mode("overwrite").parquet(f"{into}/batch={last}")
+
+
+def keep_batches(stream: DataFrame, folder: str, checkpoint: str, as_of: date | None = None, once: bool = True) -> StreamingQuery:
+    """Write the latest version of every fact within each batch, one folder for each; a batch that runs again replaces its own. The
+    stream has no state, so its memory does not grow with the facts that arrived; ``newest`` puts the batches together."""
+
+    def put(rows: DataFrame, batch: int) -> None:
+        latest_versions(rows, as_of).write.mode("overwrite").parquet(f"{folder}/batch={batch}")
+
+    w = stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)
+    return (w.trigger(availableNow=True) if once else w).start()
+
+
+def newest(spark: SparkSession, folder: str) -> DataFrame:
+    """The latest version of every fact after all batches of ``keep_batches``, in whatever order they came."""
+    return latest_versions(spark.read.parquet(folder))

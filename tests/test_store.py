@@ -162,3 +162,19 @@ def test_facts_of_the_test_tables_are_dealt_out_as_filings(spark):
     s = star_store(spark, "/root/testdata/sf0.001")
     plan = s.fact.groupBy("cik", "tag", "period_end").count()._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange ") == 1 and plan.index("Generate explode") < plan.index("Exchange ")
+
+
+def test_batches_without_state_give_the_latest_versions(spark, tmp_path):
+    from datetime import date
+
+    from ledgermark.schemas import FACT
+    from ledgermark.streaming import arrivals
+
+    row = lambda a, v, filed, start=None: (a, 1, "Assets", "USD", start, date(2020, 12, 31), v, 2020, "FY", "10-K", filed)
+    parts = [[row("3", 3.0, date(2023, 1, 1)), row("2", 2.0, date(2022, 1, 1))], [row("1", 1.0, date(2021, 1, 1)), row("9", 9.0, date(2024, 1, 1))], [row("4", 4.0, date(2023, 1, 1)), row("5", 5.0, date(2021, 5, 1), date(2020, 1, 1))]]
+    for part in parts:
+        spark.createDataFrame(part, FACT).write.mode("append").parquet(f"{tmp_path}/in")
+        arrivals.keep_batches(arrivals.arrived(spark, f"{tmp_path}/in"), f"{tmp_path}/out", f"{tmp_path}/check", date(2023, 6, 30)).awaitTermination()
+    got = {(r["period_start"], r["value"], r["accession_no"]) for r in arrivals.newest(spark, f"{tmp_path}/out").collect()}
+    assert got == {(None, 4.0, "4"), (date(2020, 1, 1), 5.0, "5")}
+    assert not (tmp_path / "check" / "state").exists() and len(list((tmp_path / "out").glob("batch=*"))) == 3
